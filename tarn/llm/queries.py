@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tarn.llm import op6_line_dedup, op7_url_rules, op8_hilbert_shards
+from tarn.llm import op2_toxicity, op6_line_dedup, op7_url_rules, op8_hilbert_shards, op9_sentencepiece, op10_language
 
-MODULES = [op6_line_dedup, op7_url_rules, op8_hilbert_shards]
+MODULES = [op2_toxicity, op6_line_dedup, op7_url_rules, op8_hilbert_shards, op9_sentencepiece, op10_language]
 
 
 def name_of(module) -> str:
