@@ -19,6 +19,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A null doc_id sorts after every other one.
 LAST_ID = (1 << 63) - 1
+BATCH_ROWS = 1000
 
 _shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
@@ -44,7 +45,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that they can import it wherever they run."""
+    """Send this package to the executors, once per application, so that they can import it wherever they run; and have
+    texts come to Python in batches of BATCH_ROWS rows at most, as 10,000 texts of a page or two take much memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

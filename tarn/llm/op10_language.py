@@ -188,18 +188,21 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     """
     ship(docs.sparkSession)
     learnt = docs.sparkSession.sparkContext.broadcast(references(labelled, id_col, text_col, lang_col))
-    kept = docs.select(*(keep or [id_col]), F.col(text_col).alias("__text"))
+    keep = keep or [id_col]
+    kept = docs.select(*(c for c in keep if c != text_col), F.col(text_col).alias("__text"))  # the text crosses once
 
     def run(batches):
         p = parser(learnt.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 5000):
-                part = batch.slice(at, 5000)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
                 lang, score = p.judge(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names[:-1], "lang_pred", "score"])
+                columns = part.columns if text_col in keep else part.columns[:-1]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*part.schema.names[: len(columns)], "lang_pred", "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (kept.schema.fields if text_col in keep else kept.schema.fields[:-1]))
+    judged = kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return judged.select(*(F.col("__text").alias(c) if c == text_col else F.col(c) for c in keep), "lang_pred", "score")
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:

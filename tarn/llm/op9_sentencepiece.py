@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import ship, table
 
-TABLE = 200_000
+TABLE = 100_000
 MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
 _codecs: dict = {}
