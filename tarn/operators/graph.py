@@ -89,7 +89,7 @@ def _chance(seed: int, step, what: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), F.col("walk"), F.lit(step), F.lit(what)), F.lit(1 << 40)) / float(1 << 40)
 
 
-def random_walks(edges: DataFrame, walks: int, cyclic: bool, complete: bool, seed: int = 1, bored: float = BORED, steps_a_job: int = 8) -> DataFrame:
+def random_walks(edges: DataFrame, walks: int, cyclic: bool, complete: bool, seed: int = 1, bored: float = BORED, steps_a_job: int = 6) -> DataFrame:
     """node, pr estimated by `walks` random walks.
 
     cyclic: walks / N from each node, else from random nodes. complete=False counts end points, and a node without links
@@ -112,37 +112,40 @@ def random_walks(edges: DataFrame, walks: int, cyclic: bool, complete: bool, see
     spark = edges.sparkSession
     if not n:
         return nodes.select("node", F.lit(0.0).alias("pr"))
-    jump = lambda step: F.floor(_chance(seed, step, 3) * n).cast("int")
+    def jump(step: int) -> Column:
+        return F.floor(_chance(seed, step, 3) * n).cast("int")
+
+    places = numbered.select(F.col("number").alias("place"), F.col("node").alias("there"))
     if cyclic:
-        each = walks // n
-        at = spark.range(each * n).select(F.col("id").alias("walk"), F.pmod("id", F.lit(n)).cast("int").alias("number"))
+        at = spark.range(walks // n * n).select(F.col("id").alias("walk"), F.pmod("id", F.lit(n)).cast("int").alias("place"))
     else:
-        at = spark.range(walks).select(F.col("id").alias("walk")).withColumn("number", jump(0))
-    at = at.join(numbered, "number").select("walk", "node")
-    visits, step = [], 0
+        at = spark.range(walks).select(F.col("id").alias("walk")).withColumn("place", jump(0))
+    at = at.join(places, "place").select("walk", F.col("there").alias("node"), F.lit(True).alias("alive"), F.array().cast("array<bigint>").alias("seen"))
+    drawn = links.select(F.col("src").alias("of"), F.col("link").alias("drawn"), "dst")
+    visits, step = None, 0
     while True:
         for _ in range(steps_a_job):
             step += 1
-            stays = at.where(_chance(seed, step, 1) <= bored) if not complete else None
-            if stays is not None:
-                visits.append(stays.groupBy("node").agg(F.count("*").alias("n")))
-            going = at.where(_chance(seed, step, 1) > bored)
+            goes = F.col("alive") & (_chance(seed, step, 1) > bored)
+            counts = goes if complete else F.col("alive") & ~goes
+            seen = F.when(counts, F.concat("seen", F.array("node"))).otherwise(F.col("seen"))
+            at = at.select("walk", "node", goes.alias("alive"), seen.alias("seen"))
+            at = at.join(degree, F.col("alive") & (at["node"] == degree["src"]), "left")
+            at = at.select("walk", "node", "alive", "seen", F.floor(_chance(seed, step, 2) * F.col("out")).cast("int").alias("link"))
+            at = at.join(drawn, (F.col("node") == F.col("of")) & (F.col("link") == F.col("drawn")), "left")
             if complete:
-                visits.append(going.groupBy("node").agg(F.count("*").alias("n")))
-            drawn = going.join(degree, going["node"] == degree["src"], "left").drop("src").withColumn("link", F.floor(_chance(seed, step, 2) * F.col("out")).cast("int"))
-            moved = drawn.join(links.select("src", F.col("link").alias("l"), "dst"), (F.col("node") == F.col("src")) & (F.col("link") == F.col("l"))).select("walk", F.col("dst").alias("node"))
-            if not complete:
-                lost = drawn.where("out is null").withColumn("number", jump(step)).select("walk", "number")
-                moved = moved.union(lost.join(numbered, "number").select("walk", "node"))
-            at = moved
+                at = at.select("walk", F.coalesce("dst", "node").alias("node"), (F.col("alive") & F.col("dst").isNotNull()).alias("alive"), "seen")
+            else:
+                at = at.withColumn("place", F.when(F.col("alive") & F.col("dst").isNull(), jump(step))).join(places, "place", "left")
+                at = at.select("walk", F.coalesce("dst", "there", "node").alias("node"), "alive", "seen")
         at = stored(at, "walks")
-        kept = visits[0]
-        for v in visits[1:]:
-            kept = kept.union(v)
-        visits = [stored(kept.groupBy("node").agg(F.sum("n").alias("n")), "visits")]
+        more = at.select(F.explode("seen").alias("node")).groupBy("node").agg(F.count("*").alias("n"))
+        visits = more if visits is None else visits.union(more).groupBy("node").agg(F.sum("n").alias("n"))
+        visits = stored(visits, "visits")
+        at = at.where("alive").select("walk", "node", "alive", F.array().cast("array<bigint>").alias("seen"))
         if at.isEmpty():
             break
-    counted = visits[0]
+    counted = visits
     total = counted.agg(F.sum("n")).first()[0] if complete else walks
     return numbered.join(counted, "node", "left").select("node", (F.coalesce("n", F.lit(0)) / float(total or 1)).alias("pr"))
 

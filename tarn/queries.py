@@ -488,9 +488,9 @@ def spell_phrase(spark, d):
     return spell.suggest(index_of(spark, d), Query.parse("licence mit")).select("phrase", F.round("score", 6).alias("score"))
 
 
-@op(f"{TOKENS}, {_suggest_sql('thhe')} SELECT term || ' and' AS phrase, score FROM fixed ORDER BY score, phrase LIMIT 10")
+@op(f"{TOKENS}, {_suggest_sql('licence')} SELECT term || ' and' AS phrase, score FROM fixed ORDER BY score, phrase LIMIT 10")
 def search_with_suggestions(spark, d):
-    results, suggestions = spell.search_with_suggestions(index_of(spark, d), Query.parse("thhe and"))
+    results, suggestions = spell.search_with_suggestions(index_of(spark, d), Query.parse("licence and"))
     assert results is None
     return suggestions.select("phrase", F.round("score", 6).alias("score"))
 
