@@ -97,7 +97,7 @@ def tokenize(text: Column, patterns: list[str] | None = PATTERNS, case: bool = T
     if keep_punctuation:
         plain = F.flatten(F.transform(chunks, lambda c: split_punctuation(c, True)))
     elif drop_trailing_chunk:
-        plain = F.flatten(F.transform(chunks, split_punctuation))
+        plain = F.flatten(F.transform(chunks, lambda c: split_punctuation(c)))
     else:
         plain = F.filter(F.split(body, r"[^\p{L}0-9]+"), lambda x: x != "")
     if not patterns:

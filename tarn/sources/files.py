@@ -13,7 +13,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     Numbers come from the paths alone (a window over names, not texts)."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("name"), F.col("value").alias("text"))
-    names = files.select("name").distinct().withColumn("doc_id", (F.row_number().over(Window.orderBy("name")) - 1).cast("long"))
+    names = files.select("name").distinct().withColumn("doc_id", (F.row_number().over(Window.orderBy("name")) - 1).try_cast("long"))
     return files.join(names, "name").select("doc_id", "name", "text")
 
 
@@ -27,13 +27,13 @@ def read_patterns(path: str) -> list[str]:
 def read_links(spark: SparkSession, path: str) -> DataFrame:
     """src, dst of lines `node;out1,out2,...`; repeated links once. Lines without ; are left out."""
     parts = spark.read.text(path).select(F.split("value", ";").alias("p")).where(F.size("p") >= 2)
-    rows = parts.select(F.trim(F.col("p")[0]).cast("long").alias("src"), F.explode(F.split(F.col("p")[1], ",")).alias("dst"))
-    return rows.select("src", F.trim("dst").cast("long").alias("dst")).where("dst is not null and src is not null").distinct()
+    rows = parts.select(F.trim(F.col("p")[0]).try_cast("long").alias("src"), F.explode(F.split(F.col("p")[1], ",")).alias("dst"))
+    return rows.select("src", F.trim("dst").try_cast("long").alias("dst")).where("dst is not null and src is not null").distinct()
 
 
 def read_link_nodes(spark: SparkSession, path: str) -> DataFrame:
     """node: all nodes of a link file, those without links too."""
-    own = spark.read.text(path).select(F.trim(F.split("value", ";")[0]).cast("long").alias("node"))
+    own = spark.read.text(path).select(F.trim(F.split("value", ";")[0]).try_cast("long").alias("node"))
     return own.union(read_links(spark, path).select("dst")).where("node is not null").distinct()
 
 
@@ -47,14 +47,14 @@ def node_numbers(edges: DataFrame) -> DataFrame:
 def read_titles(spark: SparkSession, path: str) -> DataFrame:
     """node, title of lines `node;title`; the title is a path's last component."""
     cut = F.split("value", ";", 2)
-    return spark.read.text(path).where(F.instr("value", ";") > 0).select(cut[0].cast("long").alias("node"), base_name(cut[1]).alias("title"))
+    return spark.read.text(path).where(F.instr("value", ";") > 0).select(cut[0].try_cast("long").alias("node"), base_name(cut[1]).alias("title"))
 
 
 def read_scores(spark: SparkSession, path: str) -> DataFrame:
     """node, score of lines `node: score[: more]`; decimal commas are read as points."""
     cut = F.split("value", r":\s+")
     rows = spark.read.text(path).select(cut.alias("p")).where(F.size("p") >= 2)
-    return rows.select(F.trim(F.col("p")[0]).cast("long").alias("node"), F.regexp_replace(F.trim(F.col("p")[1]), ",", ".").cast("double").alias("score"))
+    return rows.select(F.trim(F.col("p")[0]).try_cast("long").alias("node"), F.regexp_replace(F.trim(F.col("p")[1]), ",", ".").try_cast("double").alias("score"))
 
 
 def read_judgments(spark: SparkSession, path: str, with_run: bool = True) -> DataFrame:
@@ -63,7 +63,7 @@ def read_judgments(spark: SparkSession, path: str, with_run: bool = True) -> Dat
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "line"))
     rows = lines.where("trim(line) <> '' and not ltrim(line) like '//%'").select("line_no", F.split(F.trim("line"), r"\s+").alias("p"))
     base = 1 if with_run else 0
-    rows = rows.where(F.size("p") >= base + 2).select("line_no", (F.col("p")[0].cast("int") if with_run else F.lit(1)).alias("run_id"), F.col("p")[base].alias("doc"), F.col("p")[base + 1].cast("int").alias("rel"))
+    rows = rows.where(F.size("p") >= base + 2).select("line_no", (F.col("p")[0].try_cast("int") if with_run else F.lit(1)).alias("run_id"), F.col("p")[base].alias("doc"), F.col("p")[base + 1].try_cast("int").alias("rel"))
     return rows.select("run_id", F.row_number().over(Window.partitionBy("run_id").orderBy("line_no")).alias("rank"), "doc", "rel")
 
 
@@ -80,7 +80,7 @@ def import_postings(lines: DataFrame) -> DataFrame:
     pieces = lines.select("term", F.explode(F.split("entry", ";")).alias("piece")).where("piece <> ''")
     numbers = F.split(part[1], ",")
     offsets = F.slice(numbers, 1, F.size(numbers) - 1).cast("array<int>")
-    return pieces.select("term", part[0].cast("long").alias("doc_id"), F.size(numbers).cast("long").alias("n"), offsets.alias("offsets")).select("term", "doc_id", (F.col("n") - 1).alias("tf"), "offsets")
+    return pieces.select("term", part[0].try_cast("long").alias("doc_id"), F.size(numbers).try_cast("long").alias("n"), offsets.alias("offsets")).select("term", "doc_id", (F.col("n") - 1).alias("tf"), "offsets")
 
 
 def score_lines(scores: DataFrame, value: str, pattern: str = "%s: %s") -> DataFrame:
