@@ -124,8 +124,8 @@ class CrossParser:
             grid[row, : size[i]] = blocks[i]
         grid = np.ascontiguousarray(grid.T)
         live = np.searchsorted(-size[order], -np.arange(most), side="left")  # blocks longer than the step
-        counts = np.ones((len(self.languages), n), dtype=np.int32)
-        state = np.repeat(self.roots, n, axis=1)
+        counts = np.zeros((len(self.languages), n), dtype=np.int32)
+        state = np.zeros((len(self.languages), n), dtype=np.int32)  # no phrase is open: every symbol begins one
         for step in range(most):
             m = live[step]
             sym = grid[step, :m]
@@ -134,8 +134,8 @@ class CrossParser:
             if dead.any():
                 lang, col = np.nonzero(dead)
                 counts[lang, col] += 1
-                again = self.table.take(self.roots[lang, 0] + sym[col])
-                to[lang, col] = np.where(again == 0, self.roots[lang, 0], again)
+                # from the root anew; a symbol that a reference lacks is a phrase by itself
+                to[lang, col] = self.table.take(self.roots[lang, 0] + sym[col])
             state[:, :m] = to
         out = np.zeros((len(self.languages), len(texts)), dtype=np.int64)
         for k in range(len(self.languages)):

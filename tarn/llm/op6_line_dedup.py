@@ -33,7 +33,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if min_docs == 2:
         counted = lines.groupBy("h1", "h2").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").drop("last")
     else:
-        counted = lines.groupBy("h1", "h2", "did").agg().groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min("did").alias("first")).where(F.col("docs") >= min_docs).drop("docs")
+        counted = lines.select("h1", "h2", "did").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min("did").alias("first")).where(F.col("docs") >= min_docs).drop("docs")
     gone = lines.join(counted, ["h1", "h2"]).where("did != first").groupBy("did", "th").agg(F.collect_set("pos").alias("gone"))
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept_columns)).alias("row"), own.alias("did"), F.xxhash64(body).alias("th"))
