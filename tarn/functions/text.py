@@ -29,9 +29,9 @@ PATTERNS = [
 #: ASCII punctuation, and what separates chunks: anything but letters and visible ASCII characters.
 PUNCTUATION = r"[ -/:-@\[-`{-~]"
 SEPARATOR = r"[^\p{L}!-~]+"
-#: A text without punctuation marks in words and without digits next to letters has no non-standard word; this finds,
-#: at least, every text that has one.
-_SUSPECT = r"[0-9]|'|@|\w-\w|://|[a-zA-Z]\.[a-zA-Z]\.|\.(?:doc|xls|ppt)"
+#: What every non-standard word has: a digit, an apostrophe or an @, or one of - . : / with something behind it. Looked for
+#: in whole texts, then in chunks, before the patterns themselves.
+_SUSPECT = r"[0-9'@]|[-.:/][!-~\p{L}]"
 #: Base letters of U+00C0..U+017E for characters that Unicode doesn't decompose.
 _BASE = dict(zip("ÆæÐðØøÞþß×÷ĐđĦħıĲĳĸĿŀŁłŉŊŋŒœŦŧ", "EeDdOoTtS*/DdHhiIikLlLlnNnOoTt"))
 
@@ -103,9 +103,12 @@ def tokenize(text: Column, patterns: list[str] | None = PATTERNS, case: bool = T
     if not patterns:
         return plain
     any_of = "|".join(f"(?:{p})" for p in patterns)
-    slow = F.flatten(F.transform(chunks, lambda c: F.when(c.rlike(any_of), extract_words(c, patterns, keep_punctuation)).otherwise(split_punctuation(c, keep_punctuation))))
-    suspect = body.rlike(_SUSPECT) if patterns == PATTERNS else F.lit(True)
-    return F.when(suspect, slow).otherwise(plain)
+
+    def suspect(col: Column) -> Column:
+        return col.rlike(_SUSPECT) if patterns == PATTERNS else F.lit(True)
+
+    slow = F.flatten(F.transform(chunks, lambda c: F.when(suspect(c) & c.rlike(any_of), extract_words(c, patterns, keep_punctuation)).otherwise(split_punctuation(c, keep_punctuation))))
+    return F.when(suspect(body), slow).otherwise(plain)
 
 
 def base_name(path: Column) -> Column:

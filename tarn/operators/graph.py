@@ -189,6 +189,6 @@ HUB_SHARE, AUTH_SHARE = 1.0, 1.0
 
 def hits_scores(edges: DataFrame, root: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, score: hub plus authority of the root's nodes within their base set."""
-    root = root.select("node").distinct()
+    root = stored(root.select("node").distinct(), "root")
     at = hits(edges, base_set(edges, root), rounds)
     return at.join(root, "node", "left_semi").select("node", (HUB_SHARE * F.col("hub") + AUTH_SHARE * F.col("auth")).alias("score"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import kgrams, tokenize
+from tarn.plans.storage import stored
 
 #: Documents that are numbered together when running sums over documents are split in two levels.
 NUMBERED = 4096
@@ -40,10 +41,11 @@ def doc_lengths(tokens: DataFrame) -> DataFrame:
 
 
 def term_counts(tokens: DataFrame) -> DataFrame:
-    """term, df (documents), cf (occurrences). A document's tokens are counted in its own row before any shuffle."""
-    once = tokens.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    all_ = tokens.select(F.explode("toks").alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
-    return once.join(all_, "term")
+    """term, df (documents), cf (occurrences). A document's tokens are sorted in its own row, where the first of equal
+    ones is marked, so one grouping by term counts both, map-side combined."""
+    ordered = tokens.select(F.array_sort("toks").alias("t"))
+    marked = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.try_element_at("t", i) == x), 0).otherwise(1).alias("first")))
+    return ordered.select(F.explode(marked).alias("m")).groupBy("m.term").agg(F.sum("m.first").alias("df"), F.count("*").alias("cf"))
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
@@ -130,6 +132,11 @@ class Index:
     def euclidean(self) -> DataFrame:
         return self.norms if self.norms is not None else doc_norms(self.tokens)
 
+    def stored(self) -> Index:
+        """This index with its tokens written to the shared folder, for work that reads them more than once."""
+        tokens = stored(self.tokens, "tokens")
+        return Index(tokens, postings(tokens), self.n, self.norms, self.saved_terms)
+
     def matching(self, condition: Column) -> DataFrame:
         return self.postings.where(condition)
 

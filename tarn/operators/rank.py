@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tarn.operators.graph import hits_scores
 from tarn.operators.index import Index
 from tarn.operators.query import Query, matches
+from tarn.plans.storage import stored
 
 
 class Normalization(Enum):
@@ -98,7 +99,8 @@ def ranked_combination(index: Index, query: Query, ranks: DataFrame, norm: Norma
 
 def ranked_hits(index: Index, query: Query, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """doc_id, score: for each term, hub plus authority within the base set of the term's documents; summed over terms."""
-    scores = []
+    index, scores = index.stored(), []
+    edges = stored(edges.select("src", "dst").distinct(), "edges")
     for term in query.terms:
         root = index.matching(matches(term)).select(F.col("doc_id").alias("node")).distinct()
         scores.append(hits_scores(edges, root, rounds).select(F.col("node").alias("doc_id"), "score"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarn.functions.text import edit_distance_within_2, kgram_bag
 from tarn.operators.index import Index, term_counts
 from tarn.operators.query import Query, intersection, phrase
+from tarn.plans.storage import stored
 
 JACCARD, DISTANCE, LIMIT = 0.4, 2, 10
 
@@ -41,7 +42,7 @@ def suggest(index: Index, query: Query, limit: int = LIMIT, k: int = 2) -> DataF
     """phrase, score: the best `limit` corrections of a query. Known terms stand for themselves with score 1. Terms are
     combined from the left, scores multiplied; from the second term on only the best `limit` go on."""
     spark = index.tokens.sparkSession
-    counts = term_counts(index.tokens).select("term", "df")
+    counts = stored(term_counts(index.tokens).select("term", "df"), "term-counts")
     beam: DataFrame | None = None
     for term in query.terms:
         if not counts.where(F.col("term") == term).isEmpty():

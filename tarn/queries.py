@@ -14,6 +14,7 @@ from tarn.operators.query import Query
 from tarn.operators.rank import Normalization
 from tarn.plans.storage import new_path
 from tarn.sources.files import export_postings, import_postings
+from tarn.sources.tables import dealt, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,12 +101,11 @@ def op(oracle: str | None = None):
     return keep
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+table = read_table
 
 
 def docs_of(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text")
+    return dealt(table(spark, d, "documents").select("doc_id", "text"))
 
 
 def index_of(spark: SparkSession, d: str) -> Index:
@@ -424,7 +424,7 @@ def rocchio_query(spark, d):
 
 @op(f"{_FEEDBACK}, scored AS (SELECT doc_id, s / doc_len AS score FROM (SELECT doc_id, sum(tf * ln((SELECT n FROM n) / df) * weight) AS s FROM post JOIN terms USING (term) JOIN fed USING (term) GROUP BY doc_id HAVING s > 0) JOIN lens USING (doc_id)) {_top('scored')}")
 def rocchio_search(spark, d):
-    ix = index_of(spark, d)
+    ix = index_of(spark, d).stored()
     return top(rank.ranked_weighted(ix, query.rocchio(ix, Query.parse("the and"), list(_REL)).select("term", "weight")))
 
 
@@ -490,7 +490,7 @@ def spell_phrase(spark, d):
 
 @op(f"{TOKENS}, {_suggest_sql('licence')} SELECT term || ' and' AS phrase, score FROM fixed ORDER BY score, phrase LIMIT 10")
 def search_with_suggestions(spark, d):
-    results, suggestions = spell.search_with_suggestions(index_of(spark, d), Query.parse("licence and"))
+    results, suggestions = spell.search_with_suggestions(index_of(spark, d).stored(), Query.parse("licence and"))
     assert results is None
     return suggestions.select("phrase", F.round("score", 6).alias("score"))
 
@@ -600,7 +600,7 @@ def judged(spark, d) -> DataFrame:
     """run_id, rank, doc, rel: labelled documents of two ranked queries."""
     from pyspark.sql import Window
 
-    ix, labels = index_of(spark, d), table(spark, d, "labels")
+    ix, labels = index_of(spark, d).stored(), table(spark, d, "labels")
     out = None
     for i, text in enumerate(_RUNS, 1):
         scored = rank.ranked_tfidf(ix, Query.parse(text)).join(labels, "doc_id").select("doc_id", F.round("score", 6).alias("score"), "quality")
