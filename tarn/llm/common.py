@@ -1,17 +1,18 @@
-"""Shared helpers: text folding, split rules, tables in the shared folder, code for the executors."""
+"""Shared helpers: text folding, split rules, tables, code for the executors."""
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.plans.storage import stored  # noqa: F401 - for the operators
+from tarn.sources.tables import dealt, read_table
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The white space that separates words: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\x0c\r"
@@ -22,7 +23,6 @@ LAST_ID = (1 << 63) - 1
 BATCH_ROWS = 1000
 
 _shipped: set[str] = set()
-_written: list[tuple[SparkSession, str]] = []
 
 
 def fold(col: Column) -> Column:
@@ -41,7 +41,7 @@ def remainder(doc_id: Column, mod: int) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return dealt(read_table(spark, sf_dir, name))
 
 
 def ship(spark: SparkSession) -> None:
@@ -61,42 +61,5 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        jsc = spark.sparkContext._jsc.sc()
-        if not jsc.getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tarn-checkpoint-"))
-        base = jsc.getCheckpointDir().get()
-    return base.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _remove(spark, path)
-        except Exception:  # noqa: BLE001 - the session is gone; the folder's owner clears it
-            return
-
-
-atexit.register(_clean)
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarn/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
