@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import BLANKS, LAST_ID, fold, table
+from tarn.llm.common import BLANKS, LAST_ID, fold, stored, table
 
 MIN_CHARS, MIN_DOCS = 10, 2
 
@@ -29,7 +29,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     body = F.coalesce(F.col(text_col), F.lit(""))
     flat = docs.select(own.alias("did"), F.xxhash64(body).alias("th"), F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"))
     long = flat.where(F.length("line") >= min_chars).select("did", "th", "pos", fold(F.trim(F.col("line"), F.lit(BLANKS))).alias("key")).where(F.length("key") >= min_chars)
-    lines = long.select("did", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
+    # read twice below: hashes are kept, so that texts are split and folded once
+    lines = stored(long.select("did", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2")), "lines")
     if min_docs == 2:
         counted = lines.groupBy("h1", "h2").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").drop("last")
     else:
