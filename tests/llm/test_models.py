@@ -52,33 +52,39 @@ def test_trie_of_order_three():
 
 
 def brute_lm(texts, held):
-    """The model as its docstring states it, with D of all bigrams together; returns base, score and counts by text."""
+    """The model as its docstring states it, with D2 and D3 of all n-grams together; returns counts, base and score by text."""
     T = [words(t) + [None] for t in texts]
     train = [t for t, h in zip(T, held) if not h]
     c = collections.Counter(w for t in train for w in t)
     n, v = sum(c.values()), len(c)
-    bi = collections.Counter(p for t in train for p in zip([0] + t[:-1], t))
-    total, succ = collections.Counter(), collections.Counter()
-    for (a, _), k in bi.items():
-        total[a] += k
-        succ[a] += 1
+    places = lambda t: [(t[i - 2] if i > 1 else 0, t[i - 1] if i else 0, t[i]) for i in range(len(t))]
+    tri = collections.Counter(g for t in train for g in places(t))
+    bi, hist, total = collections.Counter(), collections.Counter(), collections.Counter()
+    for (a, b, w), k in tri.items():
+        bi[b, w] += k
+        hist[a, b] += k
+        total[b] += k
     discount = lambda xs: (o := sum(x == 1 for x in xs)) / (o + 2 * sum(x == 2 for x in xs)) if 1 in xs else 0.5
-    d1, d = discount(list(c.values())), discount(list(bi.values()))
+    d1, d2, d3 = (discount(list(x.values())) for x in (c, bi, tri))
     p = lambda w: (c[w] - d1) / n if c[w] else d1 * v / n
-    taken = collections.Counter()
-    for a, b in bi:
-        if c[b] >= max(1, int(n * op1_ngram_lm.TOP)):
-            taken[a] += p(b)
-    out = []
-    for t in T:
-        score = 0.0
-        for a, b in zip([0] + t[:-1], t):
-            if bi[a, b]:
-                score += math.log10((bi[a, b] - d) / total[a])
-            else:
-                score += math.log10(p(b)) + (math.log10(d * succ[a] / total[a] / (1 - taken[a])) if total[a] else 0)
-        out.append((len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), score))
-    return out
+    taken, more, taken3, more3 = (collections.Counter() for _ in range(4))
+    for b, w in bi:
+        more[b] += 1
+        if c[w] >= max(1, int(n * op1_ngram_lm.TOP)):
+            taken[b] += p(w)
+    for a, b, w in tri:
+        more3[a, b] += 1
+        taken3[a, b] += (bi[b, w] - d2) / total[b]
+
+    def log_p(a, b, w):
+        if tri[a, b, w]:
+            return math.log10((tri[a, b, w] - d3) / hist[a, b])
+        back = math.log10(d3 * more3[a, b] / hist[a, b] / max(1 - taken3[a, b], 1e-9)) if hist[a, b] else 0
+        if bi[b, w]:
+            return back + math.log10((bi[b, w] - d2) / total[b])
+        return back + math.log10(p(w)) + (math.log10(d2 * more[b] / total[b] / (1 - taken[b])) if total[b] else 0)
+
+    return [(len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), sum(log_p(*g) for g in places(t))) for t in T]
 
 
 def test_language_model(spark, tiny):
