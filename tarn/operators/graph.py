@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.plans.numbering import numbered
 from tarn.plans.storage import stored
 
 BORED, EPSILON, MOST_ROUNDS, KEEP_EVERY = 0.15, 1e-4, 1000, 4
@@ -101,23 +102,21 @@ def random_walks(edges: DataFrame, walks: int, cyclic: bool, complete: bool, see
     ended leave the table, which is written out every few steps.
     """
     nodes = nodes_of(edges)
-    number = Window.orderBy("node")
-    numbered = stored(nodes.withColumn("number", F.row_number().over(number) - 1), "numbered")
+    places = stored(numbered(nodes, "node", "place").select("place", F.col("node").alias("there")), "numbered")
     by_src = Window.partitionBy("src").orderBy("dst")
     links = edges.select("src", "dst").distinct()
     out = links.groupBy("src").agg(F.count("*").alias("out"))
     links = stored(links.withColumn("link", F.row_number().over(by_src) - 1).join(out, "src"), "numbered-links")
     degree = stored(out, "degrees")
-    n = numbered.count()
+    n = places.count()
     spark = edges.sparkSession
     if not n:
         return nodes.select("node", F.lit(0.0).alias("pr"))
     def jump(step: int) -> Column:
-        return F.floor(_chance(seed, step, 3) * n).cast("int")
+        return F.floor(_chance(seed, step, 3) * n).cast("long")
 
-    places = numbered.select(F.col("number").alias("place"), F.col("node").alias("there"))
     if cyclic:
-        at = spark.range(walks // n * n).select(F.col("id").alias("walk"), F.pmod("id", F.lit(n)).cast("int").alias("place"))
+        at = spark.range(walks // n * n).select(F.col("id").alias("walk"), F.pmod("id", F.lit(n)).alias("place"))
     else:
         at = spark.range(walks).select(F.col("id").alias("walk")).withColumn("place", jump(0))
     at = at.join(places, "place").select("walk", F.col("there").alias("node"), F.lit(True).alias("alive"), F.array().cast("array<bigint>").alias("seen"))
@@ -147,7 +146,7 @@ def random_walks(edges: DataFrame, walks: int, cyclic: bool, complete: bool, see
             break
     counted = visits
     total = counted.agg(F.sum("n")).first()[0] if complete else walks
-    return numbered.join(counted, "node", "left").select("node", (F.coalesce("n", F.lit(0)) / float(total or 1)).alias("pr"))
+    return places.select(F.col("there").alias("node")).join(counted, "node", "left").select("node", (F.coalesce("n", F.lit(0)) / float(total or 1)).alias("pr"))
 
 
 # HITS
