@@ -3,7 +3,7 @@ threshold, and reassemble the rest by position.
 
 Scale: hashes of 128 bits stand for lines, so line texts are never shuffled. Counting is by (hash, document) and then by
 hash, each combined map-side, so that a line that a third of all documents hold is counted by many tasks. Dropped
-positions come from a join on the hash whose large side adaptive execution can split. Texts are shuffled once, to meet
+positions come from a join on hash and salt. Texts are shuffled once, to meet
 their dropped positions.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import BLANKS, LAST_ID, fold, stored, table
 
-MIN_CHARS, MIN_DOCS = 10, 2
+MIN_CHARS, MIN_DOCS, SALTS = 10, 2, 16
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -35,7 +35,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         counted = lines.groupBy("h1", "h2").agg(F.min("did").alias("first"), F.max("did").alias("last")).where("first < last").drop("last")
     else:
         counted = lines.select("h1", "h2", "did").distinct().groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.min("did").alias("first")).where(F.col("docs") >= min_docs).drop("docs")
-    gone = lines.join(counted, ["h1", "h2"]).where("did != first").groupBy("did", "th").agg(F.collect_set("pos").alias("gone"))
+    # a line that a third of all documents hold meets its count in SALTS groups, which adaptive execution can split further
+    counted = counted.select("*", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))).alias("salt"))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("did", "pos"), F.lit(SALTS)).cast("int"))
+    gone = salted.join(counted, ["h1", "h2", "salt"]).where("did != first").groupBy("did", "th").agg(F.collect_set("pos").alias("gone"))
     kept_columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept_columns)).alias("row"), own.alias("did"), F.xxhash64(body).alias("th"))
     split = row.join(gone, ["did", "th"], "left").select("row", F.split(F.coalesce(F.col(f"row.`{text_col}`"), F.lit("")), "\n", -1).alias("lines"), "gone")
