@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 from tarn.llm.common import remainder, ship, stored, table
 from tarn.llm.sampling import bounded_sample
 
-LIMIT, FEATURES, BUCKET_BITS, ORDERS, THRESHOLD = 4000, 6000, 20, (4, 5, 6), 0.3
+LIMIT, FEATURES, BUCKET_BITS, ORDERS, THRESHOLD = 4000, 6000, 21, (5, 6, 7, 8), 0.3
+#: Counts are smoothed by this much, so that rare n-grams have small ratios; a feature's chi-square is at least LEAST.
+SMOOTH, LEAST = 5.0, 15.0
 _BLANKS = re.compile(r"\s+")
 
 
@@ -60,7 +62,7 @@ def _chi_square(pos: np.ndarray, neg: np.ndarray, n_pos: float, n_neg: float) ->
     return top / np.maximum(seen * (n - seen) * n_pos * n_neg, 1)
 
 
-def logistic(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, scale: np.ndarray, penalty: float = 1.0, rounds: int = 300) -> np.ndarray:
+def logistic(rows: list[np.ndarray], label: np.ndarray, weight: np.ndarray, scale: np.ndarray, penalty: float = 1.0, rounds: int = 600) -> np.ndarray:
     """Weights (bias first) of an L2-penalised logistic regression on presence * scale, by accelerated gradients."""
     start = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
     col = np.concatenate([*rows, np.zeros(0, dtype=np.int64)]).astype(np.int64)
@@ -120,8 +122,9 @@ def fit(labelled: DataFrame, limit: int = LIMIT, features: int = FEATURES) -> Mo
         return Model(np.zeros(size, dtype=np.int16), np.array([40.0 if n[1] else -40.0]))
     chi = np.where(seen.sum(0) >= 2, _chi_square(seen[1], seen[0], n[1], n[0]), 0)
     chosen = np.argsort(-chi, kind="stable")[:features]
+    chosen = chosen[chi[chosen] >= min(LEAST, chi[chosen].max(initial=0) / 2)]
     chosen = chosen[chi[chosen] > 0]
-    ratio = np.log((seen[1][chosen] + 0.5) / (n[1] + 1)) - np.log((seen[0][chosen] + 0.5) / (n[0] + 1))
+    ratio = np.log((seen[1][chosen] + SMOOTH) / (n[1] + 2 * SMOOTH)) - np.log((seen[0][chosen] + SMOOTH) / (n[0] + 2 * SMOOTH))
     slot = np.zeros(size, dtype=np.int16)
     slot[chosen] = np.arange(1, len(chosen) + 1)
     sent = labelled.sparkSession.sparkContext.broadcast(slot)
