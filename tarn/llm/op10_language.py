@@ -11,7 +11,6 @@ language at once. Texts are parsed whole, in blocks of BLOCK characters, so that
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +21,13 @@ from tarn.llm.common import remainder, ship, table
 from tarn.llm.sampling import bounded_sample
 
 ROWS, CHARS, TABLE_BYTES, BLOCK, ALPHABET = 48, 32_000, 96 << 20, 2048, 200
-_LETTER = re.compile(r"[^\W\d_]")
 _models: dict = {}
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 class SuffixAutomaton:
     """Suffix automaton of a text: accepts exactly its substrings. next[s] maps symbols to states; state 0 is the root."""
 
@@ -65,7 +67,7 @@ class CrossParser:
 
     def __init__(self, references: dict[str, str]):
         self.languages = sorted(references)
-        texts = {k: self._lower(references[k]) for k in self.languages}
+        texts = {k: references[k].lower() for k in self.languages}
         seen: dict[str, int] = {}
         for t in texts.values():
             for c in t:
@@ -75,10 +77,8 @@ class CrossParser:
         self.width = len(letters) + 2
         self.symbol = np.zeros(0x110000, dtype=np.uint8)
         self.other = self.width - 1
-        self.codes = {ord(c): i + 1 for i, c in enumerate(letters)}
-        for c, i in self.codes.items():
-            self.symbol[c] = i
-        self.is_letter: dict[int, bool] = {}
+        for i, c in enumerate(letters, 1):
+            self.symbol[ord(c)] = i
         limit = max(500, min(CHARS, TABLE_BYTES // (8 * self.width * max(1, len(self.languages)))))
         rows, roots, self.bits = [np.zeros((1, self.width), dtype=np.int32)], [], []
         first = 1
@@ -96,17 +96,13 @@ class CrossParser:
         self.table = np.concatenate(rows).ravel()
         self.roots = np.array(roots, dtype=np.int32).reshape(-1, 1)
 
-    @staticmethod
-    def _lower(text: str) -> str:
-        return text.lower()
-
     def symbols(self, text: str) -> np.ndarray:
         code = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         s = self.symbol[code]
         blank = s == 0
         if blank.any():
             rare = np.unique(code[blank])
-            for c in rare[[bool(_LETTER.match(chr(x))) for x in rare]]:  # letters that no reference has
+            for c in rare[[chr(x).isalpha() for x in rare]]:  # letters that no reference has
                 s[code == c] = self.other
             blank = s == 0
             s = s[~(blank & np.concatenate(([True], blank[:-1])))]
@@ -145,7 +141,7 @@ class CrossParser:
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text; the score is the runner-up's share of both entropies (one language: 1)."""
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
-        rows = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        rows = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if not rows or not self.languages:
             return lang, score
         symbols = [self.symbols(texts[i]) for i in rows]
@@ -172,7 +168,7 @@ def references(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, r
     picked, _ = bounded_sample(labelled.select(F.col(id_col).alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")), "lang", "k", rows)
     found: dict[str, list] = {}
     for r in picked.select("lang", F.xxhash64(F.lit(17), "k").alias("h"), "k", F.substring("text", 1, chars).alias("text")).collect():
-        if r["text"] and _LETTER.search(r["text"]):
+        if r["text"] and has_letter(r["text"]):
             found.setdefault(r["lang"], []).append((r["h"], r["k"], r["text"]))
     # equal shares of several rows, so that one long text isn't all that is learnt
     share = {k: max(1, 2 * chars // len(v)) for k, v in found.items()}
