@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import ship, table
 
-K, QUERY_BLOCK, SEEDS, CHUNK, HEAD = 5, 20_000, 1024, 512, 0.25
+K, QUERY_BLOCK, SEEDS, CHUNK, HEAD, VISIT = 5, 20_000, 1024, 512, 0.25, 50_000
 _NONE = np.iinfo(np.int64).min
 
 
@@ -159,8 +159,15 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
         def search(batches, sent=sent, b=b):
             ids, ints, turn, bound = sent.value
             s = Searcher(ids, ints, turn, k, bound)
-            for batch in batches:
-                s.visit(batch.column("vec_id").to_numpy(), matrix(batch.column("v"), turn.shape[0]))
+            held, size = [], 0
+            for batch in batches:  # some batches together, so that their order by length is worth more
+                held.append((batch.column("vec_id").to_numpy(), matrix(batch.column("v"), turn.shape[0])))
+                size += batch.num_rows
+                if size >= VISIT:
+                    s.visit(*(np.concatenate(x) for x in zip(*held)))
+                    held, size = [], 0
+            if held:
+                s.visit(*(np.concatenate(x) for x in zip(*held)))
             q, r = np.nonzero(s.score != _NONE)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), b, dtype=np.int32)), pa.array(q.astype(np.int32)), pa.array(ids[q]), pa.array(s.best[q, r]), pa.array(s.score[q, r])], ["block", "query", "query_id", "vec_id", "score"])
 
