@@ -192,26 +192,26 @@ def op5_simhash_bktree(spark, sf_dir: str) -> DataFrame:
 
 # Near copies of a lower similarity, as the pipeline removes them.
 
-NEAR_WIDTH, SIMILARITY, NEAR_RADIUS, BANDS, BAND_ROWS = 5, 0.8, 16, 21, 6
+NEAR_WIDTH, SIMILARITY, NEAR_RADIUS, BANDS, BAND_ROWS, PERMUTATIONS = 5, 0.8, 16, 21, 6, 252
 _rng = np.random.default_rng(20)
-_MULTIPLY = (_rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-_ADD = _rng.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64)
+_MULTIPLY = (_rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
 
 
 def min_hashes(hashes: np.ndarray) -> np.ndarray:
-    """Minimum of the shingles' hashes under each of BANDS * BAND_ROWS permutations, 16 bits of each kept."""
+    """Minimum of the shingles' hashes under each of PERMUTATIONS permutations, 16 bits of each kept."""
     low = np.full(len(_MULTIPLY), np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(hashes), 4096):
-        low = np.minimum(low, (hashes[at : at + 4096, None] * _MULTIPLY + _ADD).min(axis=0))
+    for at in range(0, len(hashes), 2048):
+        low = np.minimum(low, (hashes[at : at + 2048, None] * _MULTIPLY + _ADD).min(axis=0))
     return ((low >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
     """Returns doc_id, component_id: documents linked by a similarity of `similarity` or more of their word shingles
-    (Jaccard, estimated from 126 min-hashes) whose fingerprints are within `radius` bits; one row for each input row.
+    (Jaccard, estimated from PERMUTATIONS min-hashes: standard error 0.025) whose fingerprints are within `radius` bits; one row for each input row.
 
     At this similarity fingerprints differ in up to 15 bits or so, too many for shards by runs of bits: the shards are
-    the BANDS bands of BAND_ROWS min-hashes here (a pair at 0.8 misses all bands with a chance of 0.002). Texts
+    BANDS bands of BAND_ROWS of the min-hashes here (a pair at 0.8 misses all bands with a chance of 0.002). Texts
     without words are linked to each other. A null id sorts last. Extra columns are left out.
     """
     spark = docs.sparkSession
@@ -233,12 +233,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     own = F.coalesce("doc_id", F.lit(LAST_ID)).alias("own")
     sketch = stored(sketch.select("doc_id", own, "fp", F.xxhash64("sig").alias("sh"), "sig", "keys"), "sketches")
     names = stored(sketch.groupBy("fp", "sh").agg(F.min("own").alias("node")), "nodes")
-    # the row that stands for its texts: its id is the node (repeated rows of it are one)
-    nodes = sketch.join(names.select("fp", "sh", F.col("node").alias("own")), ["fp", "sh", "own"]).dropDuplicates(["own", "fp", "sh"]).withColumnRenamed("own", "node")
-    # an id can stand for several texts if rows repeat it; their links then meet in that id
-    dealt = stored(nodes.select("node", "fp", "sh", F.explode("keys").alias("key")), "keys")
+    # the row that stands for its texts: its id is the node; an id that repeats with several texts has several rows, which
+    # `row` tells apart, and their links meet in that id
+    firsts = sketch.join(names.select("fp", "sh", F.col("node").alias("own")), ["fp", "sh", "own"]).dropDuplicates(["fp", "sh"])
+    nodes = stored(firsts.select(F.xxhash64("fp", "sh").alias("row"), F.col("own").alias("node"), "fp", "sig", "keys"), "representatives")
+    dealt = nodes.select("row", F.explode("keys").alias("key"))
     several = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = dealt.join(several, "key").join(nodes.select("node", "fp", "sh", "sig"), ["node", "fp", "sh"])
+    rows = dealt.join(several, "key").join(nodes.drop("keys"), "row")
     labels = connected_components(shard_links(rows.select("key", "node", "fp", "sig"), radius, similarity))
     named = names.join(labels, "node", "left").select("fp", "sh", F.coalesce("component", "node").alias("component"))
     component = F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id")
