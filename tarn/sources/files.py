@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tarn.functions.text import base_name
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """doc_id, name, text: a document for each file below path, numbered in the order of their paths.
 
     Numbers come from the paths alone (a window over names, not texts)."""
