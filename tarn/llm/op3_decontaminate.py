@@ -1,15 +1,22 @@
-"""Benchmark decontamination. Word n-grams of the test items that few documents hold are seeds; seeds that a passage
-shares with an item make it a candidate, and a Smith-Waterman alignment of item and passage scores it, so that
-paraphrased and edited copies are found too.
+"""Benchmark decontamination. Pairs of words that stand at most two places apart in a test item and in a document are
+seeds; a passage that holds enough seeds of an item is a candidate, and a Smith-Waterman alignment of item and passage
+scores it, so that paraphrased and edited copies are found too.
 
-Scale: documents are read twice (to count in how many documents each n-gram occurs, and to align) and never shuffled;
+Nothing that scores the threshold is lost. An alignment of s matches and of penalties c between neighbouring matches
+scores 2 s - sum(c), and a pair of neighbouring matches that lie further than two places apart costs c >= 2. So the
+pairs that are seeds (2 points where the words are neighbours on both sides, else 1) gather 2 * threshold * m - 2
+points or more for an item of m words (`need`), and they begin at threshold * m - 1 places of the item or more: any
+larger set of the item's other places has one of them. The rarest such set triggers a comparison (`choose`).
+
+Scale: documents are read twice (to count in how many documents each pair occurs, and to align) and never shuffled;
 each document is judged where it is read, so a passage that a third of all documents hold costs no task more than
-another. Test items are taken in blocks of ITEM_CHARS characters, and only a block's n-grams are sent to executors.
-Which n-grams are rare is relative to the other n-grams of the same item: an item that is everywhere keeps its seeds.
+another. Test items are taken in blocks of ITEM_CHARS characters, and only a block's pairs are sent to executors.
+Which pairs are rare is relative to the other pairs of the same item: an item that is everywhere keeps its seeds.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from functools import reduce
 
@@ -20,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import ship, table
 
-SEED, MATCH, MISMATCH, GAP, THRESHOLD, ITEM_CHARS = 3, 2, -1, 1, 0.5, 8_000_000
+LEAST, APART, MATCH, MISMATCH, GAP, THRESHOLD, ITEM_CHARS = 3, 2, 2, -1, 1, 0.5, 8_000_000
 _SPACED = bytes(32 if chr(c) in string.punctuation or c < 32 else c for c in range(256))
 
 
@@ -47,13 +54,13 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 
 
 class Items:
-    """A block of test items: ids of their words, n-grams, and which n-grams are seeds of which items."""
+    """A block of test items: ids of their words, pairs of words, and which pairs trigger a comparison with which items."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         classes: dict[tuple, list] = {}
         for item_id, text in rows:
             words = tuple(tokens(text))
-            if len(words) >= SEED:
+            if len(words) >= LEAST:
                 classes.setdefault(words, []).append(item_id)
         self.vocabulary: dict[bytes, int] = {}
         self.ids, self.copies, self.words = [], [], []
@@ -62,72 +69,88 @@ class Items:
             self.copies.append(len(ids))
             self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.int64))
         self.base = len(self.vocabulary) + 1
-        found = [self.codes(w) for w in self.words]
+        found = [self.codes(w, d) for w in self.words for d in range(1, APART + 1)]
         self.grams = np.unique(np.concatenate([*found, np.zeros(0, dtype=np.int64)]))
-        self.of = [np.unique(np.searchsorted(self.grams, f)) for f in found]  # the n-grams of each item
-        self.owners: list[list[int]] = []
+        found = [np.searchsorted(self.grams, f) for f in found]
+        self.of = [found[at : at + APART] for at in range(0, len(found), APART)]  # an item's pairs by distance and place
 
-    def codes(self, ids: np.ndarray) -> np.ndarray:
-        out = ids[: len(ids) - SEED + 1]
-        for k in range(1, SEED):
-            out = out * self.base + ids[k : len(ids) - SEED + 1 + k]
-        return out
+    def codes(self, ids: np.ndarray, apart: int) -> np.ndarray:
+        return ids[:-apart] * self.base + ids[apart:]
 
-    def choose(self, seen: np.ndarray) -> None:
-        """Seeds of an item: its n-grams that no more documents hold than its median n-gram."""
-        self.owners = [[] for _ in self.grams]
+    def choose(self, seen: np.ndarray, threshold: float) -> None:
+        """The places of an item whose pairs the fewest documents hold, just so many that no alignment of `threshold`
+        or more can do without all of them."""
+        owners, triggers = [], []
         for i, own in enumerate(self.of):
-            for g in own[seen[own] <= np.median(seen[own])]:
-                self.owners[g].append(i)
-        self.seed = np.array([bool(o) for o in self.owners], dtype=bool)
+            held = seen[own[0]].copy()
+            for d in range(1, APART):
+                held[: len(own[d])] += seen[own[d]]
+            places = np.argsort(held, kind="stable")[: len(held) - max(1, math.ceil(threshold * len(self.words[i]) - 1 - 1e-9)) + 1]
+            mine = np.unique(np.concatenate([o[places[places < len(o)]] for o in own]))
+            triggers.append(mine)
+            owners.append(np.full(len(mine), i))
+        triggers, owners = np.concatenate([*triggers, np.zeros(0, dtype=np.int64)]), np.concatenate([*owners, np.zeros(0, dtype=np.int64)])
+        order = np.argsort(triggers, kind="stable")
+        self.owners = owners[order]
+        self.first = np.searchsorted(triggers[order], np.arange(len(self.grams) + 1))
+        self.seed = np.diff(self.first) > 0
 
     def encode(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, 0) for w in tokens(text)], dtype=np.int64)
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in a document, and the n-grams of the block that stand there."""
-        n = len(ids) - SEED + 1
-        if n < 1 or not len(self.grams):
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        known = ids > 0
-        full = known[:n].copy()
-        for k in range(1, SEED):
-            full &= known[k : n + k]
-        at = np.nonzero(full)[0]
-        code = ids[at]
-        for k in range(1, SEED):
-            code = code * self.base + ids[at + k]
-        where = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
-        same = self.grams[where] == code
-        return at[same], where[same]
+    def pairs(self, ids: np.ndarray) -> list[np.ndarray]:
+        """For each distance, the pair of the block that begins at each place of a document; -1: none."""
+        out = []
+        for d in range(1, APART + 1):
+            gram = np.full(len(ids), -1, dtype=np.int64)
+            if len(ids) > d and len(self.grams):
+                at = np.nonzero((ids[:-d] > 0) & (ids[d:] > 0))[0]
+                code = ids[at] * self.base + ids[at + d]
+                where = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
+                same = self.grams[where] == code
+                gram[at[same]] = where[same]
+            out.append(gram)
+        return out
+
+    def points(self, i: int, pairs: list[np.ndarray]) -> np.ndarray:
+        """The most that a seed of item i can add at each place of a passage."""
+        own = np.concatenate(self.of[i])
+        out = np.zeros(len(pairs[0]), dtype=np.int64)
+        for gram in pairs:
+            out[np.isin(gram, own)] = 1
+        out[np.isin(pairs[0], self.of[i][0])] = 2
+        return out
 
     def matches(self, text: str | None, threshold: float) -> list[tuple]:
         """item, copies, score, first and last word in the document, aligned words: the best passage of each item."""
         ids = self.encode(text)
-        at, gram = self.hits(ids)
-        keep = self.seed[gram] if len(gram) else gram.astype(bool)
+        pairs = self.pairs(ids)
         by: dict[int, list] = {}
-        for a, g in zip(at[keep].tolist(), gram[keep].tolist()):
-            for i in self.owners[g]:
-                by.setdefault(i, []).append((a, g))
+        for gram in pairs:
+            for a in np.nonzero(self.seed[gram] & (gram >= 0))[0].tolist() if len(self.seed) else []:
+                for i in self.owners[self.first[gram[a]] : self.first[gram[a] + 1]].tolist():
+                    by.setdefault(i, []).append(a)
         out = []
         for i, found in by.items():
             item, m = self.words[i], len(self.words[i])
-            need = 2 if len(self.of[i]) > 3 else 1
+            found.sort()
+            need = 2 * threshold * m - 2 - 1e-9
+            reach = max(1, math.ceil((3 - 2 * threshold) * m))  # words of a passage that scores the threshold, at most
             best = (0,)
             start = 0
-            for k in range(1, len(found) + 1):  # runs of seeds that lie within an item's length of each other
-                if k < len(found) and found[k][0] - found[k - 1][0] <= m:
+            for k in range(1, len(found) + 1):  # runs of triggers whose passages overlap
+                if k < len(found) and found[k] - found[k - 1] <= reach:
                     continue
-                run, start = found[start:k], k
-                if len({g for _, g in run}) < need:
+                lo, hi = max(0, found[start] - reach), min(len(ids), found[k - 1] + reach + 1)
+                start = k
+                total = np.concatenate(([0], np.cumsum(self.points(i, [g[lo:hi] for g in pairs]))))
+                if (total[reach:] - total[:-reach] if len(total) > reach else total[-1:]).max() < need:
                     continue
-                lo, hi = max(0, run[0][0] - m), min(len(ids), run[-1][0] + SEED + m)
                 score, end_i, end_j = align(item, ids[lo:hi])
                 if score > best[0]:
                     best = (score, lo, end_i, end_j)
-            if best[0] >= threshold * MATCH * m:
+            if best[0] and best[0] >= threshold * MATCH * m:
                 score, lo, end_i, end_j = best
                 back = align(item[:end_i][::-1], ids[lo : lo + end_j][::-1])
                 out.append((self.ids[i], self.copies[i], score / (MATCH * m), lo + end_j - back[2], lo + end_j - 1, back[1]))
@@ -150,8 +173,9 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """Returns doc_id, item_id, item_copies, score, first_word, last_word, item_words: a row for each document and
     item whose alignment scores `threshold` or more (1: the item stands there word for word).
 
-    Items of equal words are one item, under their smallest id. Items of fewer than SEED words, or without id or text,
-    match nothing; null and empty documents match nothing. Repeated rows are each judged. Extra columns are left out.
+    Items of equal words are one item, under their smallest id. Items of fewer than LEAST words, or without id or text,
+    match nothing; null and empty documents match nothing. An item for which a single word would score the threshold
+    (threshold * words of 1 or less) still takes a pair of words. Repeated rows are each judged. Extra columns are left out.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -168,15 +192,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             seen = np.zeros(len(b.grams), dtype=np.int64)
             for batch in batches:
                 for text in batch.column(0).to_pylist():
-                    seen[np.unique(b.hits(b.encode(text))[1])] += 1
+                    held = np.unique(np.concatenate(b.pairs(b.encode(text))))
+                    seen[held[held >= 0]] += 1
             some = np.nonzero(seen)[0]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["gram", "docs"])
 
         counted = texts.select("text").mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
         seen = np.zeros(len(block.grams), dtype=np.int64)
-        for r in counted.toLocalIterator():  # a row for each n-gram of the block at most
+        for r in counted.toLocalIterator():  # a row for each pair of the block at most
             seen[r["gram"]] = r["docs"]
-        block.choose(seen)
+        block.choose(seen, threshold)
         ready = spark.sparkContext.broadcast(block)
 
         def judge(batches, ready=ready):

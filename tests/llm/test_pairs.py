@@ -63,6 +63,45 @@ def test_edited_copies_and_messy_rows(spark, messy, none):
     assert {(r["doc_id"], r["item_id"]) for r in blocks} == {(1, 7), (1, 8), (5, 7), (5, 8)}
 
 
+@pytest.mark.parametrize("every", [4, 5, 6])
+def test_single_edited_copies(spark, tiny, every):
+    """No whole copy stands anywhere, and each item's edited copy once."""
+    items = spark.read.parquet(f"{tiny}/benchmark.parquet")
+    texts = {r["item_id"]: [w.decode() for w in op3_decontaminate.tokens(r["text"])] for r in items.collect()}
+    edited = [(i, " ".join("changed" if k % every == every - 1 else w for k, w in enumerate(ws))) for i, ws in texts.items()]
+    docs = spark.createDataFrame(edited, "doc_id long, text string")
+    got = {r["item_id"] for r in op3_decontaminate.contaminated(docs, items).collect() if r["doc_id"] == r["item_id"]}
+    assert got == set(texts)
+
+
+def test_every_alignment_of_the_threshold_is_found():
+    rng = np.random.default_rng(12)
+    hits = 0
+    for threshold in (0.4, 0.5, 0.7):
+        for _ in range(60):
+            n = int(rng.integers(5, 40))
+            items = [(i, " ".join(f"w{k}" for k in rng.integers(0, n, rng.integers(3, 14)))) for i in range(4)]
+            docs = []
+            for _, t in items:
+                ws = [f"x{k}" for k in rng.integers(0, 9, 6)]
+                for w in t.split():
+                    ws += [[w], [w], [w], ["x0"], [], [w, "x1"], ["x2", w]][rng.integers(7)]
+                docs.append(" ".join([*ws, *(f"w{k}" for k in rng.integers(0, n, 15))]))
+            block = op3_decontaminate.Items(items)
+            seen = np.zeros(len(block.grams), dtype=np.int64)
+            for t in docs:
+                held = np.unique(np.concatenate(block.pairs(block.encode(t))))
+                seen[held[held >= 0]] += 1
+            block.choose(seen, threshold)
+            for t in docs:
+                got = {m[0]: m[2] for m in block.matches(t, threshold)}
+                scores = {i: smith_waterman(block.words[k], block.encode(t)) / (2 * len(block.words[k])) for k, i in enumerate(block.ids)}
+                want = {i: s for i, s in scores.items() if s >= threshold}
+                hits += len(want)
+                assert got == pytest.approx(want)
+    assert hits > 300
+
+
 @pytest.mark.parametrize("size", ["tiny", "small"])
 def test_top_k_equals_sql(spark, request, size):
     d = request.getfixturevalue(size)
