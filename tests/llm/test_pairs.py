@@ -74,6 +74,15 @@ def test_single_edited_copies(spark, tiny, every):
     assert got == set(texts)
 
 
+def test_edited_copies_of_short_items(spark):
+    """Copies of short items that share a single trigram with their item, or none."""
+    items = [(1, "red orange yellow green blue violet"), (2, "one two three four five six seven eight nine"), (3, "north south east west up")]
+    docs = [(1, "red orange x green blue violet"), (1, "red orange yellow x blue violet"), (2, "one two x four five six x eight nine"), (3, "north south x west up"), (4, "red two x west blue")]
+    found = op3_decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = [(1, 1, 0.75), (1, 1, 0.75), (2, 2, 2 / 3), (3, 3, 0.7)]
+    assert sorted((r["doc_id"], r["item_id"], r["score"]) for r in found.collect()) == want
+
+
 def test_every_alignment_of_the_threshold_is_found():
     rng = np.random.default_rng(12)
     hits = 0
