@@ -100,32 +100,34 @@ class ShardTree:
         return found
 
 
-def shard_links(rows: DataFrame, radius: int, similarity: float | None = None) -> DataFrame:
-    """rows: key, node, fp (and sig with similarity). Returns links a, b within shards: a spanning forest of each."""
+def shard_links(rows: DataFrame, radius: int, column: str | None = None, read=None, like=None) -> DataFrame:
+    """rows: key, node, fp. Returns links a, b within shards: a spanning forest of each.
+
+    With `column`, members are linked only if like(read(x), read(y)) holds too, x and y being their values of that column.
+    """
     n = parts(rows.sparkSession)
-    with_sig = similarity is not None
+    names = ["key", "node", "fp", *([column] if column else [])]
 
     def run(batches):
-        key, tree, nodes, sigs = None, None, [], []
+        key, tree, nodes, held = None, None, [], []
         for batch in batches:
             a, b = [], []
-            columns = [batch.column(c).to_pylist() for c in (("key", "node", "fp", "sig") if with_sig else ("key", "node", "fp"))]
-            for k, node, fp, *sig in zip(*columns):
+            for k, node, fp, *value in zip(*(batch.column(c).to_pylist() for c in names)):
                 if k != key:
-                    key, tree, nodes, sigs = k, ShardTree(radius), [], []
-                like = None
-                if with_sig:
-                    own = np.frombuffer(sig[0], dtype=np.uint16)
-                    like = lambda m, own=own: np.count_nonzero(sigs[m] == own) >= similarity * len(own)  # noqa: B023, E731
-                found = tree.add(fp & 0xFFFFFFFFFFFFFFFF, like)
+                    key, tree, nodes, held = k, ShardTree(radius), [], []
+                test = None
+                if column:
+                    own = read(value[0])
+                    test = lambda m, own=own: like(held[m], own)  # noqa: B023, E731
+                found = tree.add(fp & 0xFFFFFFFFFFFFFFFF, test)
                 a += [node] * len(found)
                 b += [nodes[m] for m in found]
                 nodes.append(node)
-                if with_sig:
-                    sigs.append(own)
+                if column:
+                    held.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
+    return rows.select(*names).repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
 def bit_shards(nodes: DataFrame, radius: int) -> DataFrame:
@@ -193,6 +195,8 @@ def op5_simhash_bktree(spark, sf_dir: str) -> DataFrame:
 # Near copies of a lower similarity, as the pipeline removes them.
 
 NEAR_WIDTH, SIMILARITY, NEAR_RADIUS, BANDS, BAND_ROWS, PERMUTATIONS = 5, 0.8, 16, 21, 6, 252
+#: Pairs whose estimate is below the similarity by more than this aren't decided exactly: 5.5 standard errors at 0.8.
+SLACK = 0.14
 _rng = np.random.default_rng(20)
 _MULTIPLY = (_rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -206,13 +210,30 @@ def min_hashes(hashes: np.ndarray) -> np.ndarray:
     return ((low >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def agree(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Whether the min-hashes leave it open that the similarity is `least`."""
+    return np.count_nonzero(a == b) >= (least - SLACK) * len(a)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sets of hashes, each sorted and without repeats."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def resemble(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    return min(len(a), len(b)) / max(1, len(a), len(b)) >= least and jaccard(a, b) >= least
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
-    """Returns doc_id, component_id: documents linked by a similarity of `similarity` or more of their word shingles
-    (Jaccard, estimated from PERMUTATIONS min-hashes: standard error 0.025) whose fingerprints are within `radius` bits; one row for each input row.
+    """Returns doc_id, component_id: documents linked by a similarity of `similarity` or more of their sets of word
+    shingles (Jaccard, exact) whose fingerprints are within `radius` bits; one row for each input row.
 
     At this similarity fingerprints differ in up to 15 bits or so, too many for shards by runs of bits: the shards are
-    BANDS bands of BAND_ROWS of the min-hashes here (a pair at 0.8 misses all bands with a chance of 0.002). Texts
-    without words are linked to each other. A null id sorts last. Extra columns are left out.
+    BANDS bands of BAND_ROWS of the min-hashes here (a pair at 0.8 misses all bands with a chance of 0.002). Band mates
+    whose min-hashes agree to within SLACK of the similarity are put together, and each group of documents so connected is
+    a shard in which the shingle sets decide; texts are read again for these documents alone. Texts without words are
+    linked to each other. A null id sorts last. Extra columns are left out.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -224,14 +245,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rows = []
                 for t in part.column("text").to_pylist():
                     h = shingle_hashes(t, width)
-                    sig = min_hashes(np.unique(h))
+                    distinct = np.unique(h)
+                    sig = min_hashes(distinct)
                     keys = [xxhash.xxh64_intdigest(sig[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) for b in range(BANDS)]
-                    rows.append((fingerprint(h), sig.tobytes(), np.array(keys, dtype=np.uint64).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], ["doc_id", "fp", "sig", "keys"])
+                    same = xxhash.xxh64_intdigest(distinct.tobytes(), 42)
+                    rows.append((fingerprint(h), same - (1 << 64) if same >> 63 else same, sig.tobytes(), np.array(keys, dtype=np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["doc_id", "fp", "sh", "sig", "keys"])
+
+    def reread(batches):
+        for batch in batches:
+            hashes = [shingle_hashes(t, width) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), pa.array([fingerprint(h) for h in hashes], pa.int64()), batch.column("text")], ["key", "node", "fp", "text"])
 
-    sketch = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long, sig binary, keys array<long>")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sketch = texts.mapInArrow(run, "doc_id long, fp long, sh long, sig binary, keys array<long>")
     own = F.coalesce("doc_id", F.lit(LAST_ID)).alias("own")
-    sketch = stored(sketch.select("doc_id", own, "fp", F.xxhash64("sig").alias("sh"), "sig", "keys"), "sketches")
+    sketch = stored(sketch.select("doc_id", own, "fp", "sh", "sig", "keys"), "sketches")
     names = stored(sketch.groupBy("fp", "sh").agg(F.min("own").alias("node")), "nodes")
     # the row that stands for its texts: its id is the node; an id that repeats with several texts has several rows, which
     # `row` tells apart, and their links meet in that id
@@ -240,7 +269,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     dealt = nodes.select("row", F.explode("keys").alias("key"))
     several = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     rows = dealt.join(several, "key").join(nodes.drop("keys"), "row")
-    labels = connected_components(shard_links(rows.select("key", "node", "fp", "sig"), radius, similarity))
+    near = connected_components(shard_links(rows, radius, "sig", lambda s: np.frombuffer(s, dtype=np.uint16), lambda a, b: agree(a, b, similarity)))
+    chosen = texts.select(own.alias("node"), "text").join(near.select("node", F.col("component").alias("key")), "node")
+    chosen = chosen.select("key", "node", "text").mapInArrow(reread, "key long, node long, fp long, text string")
+    labels = connected_components(shard_links(chosen, radius, "text", lambda t: np.unique(shingle_hashes(t, width)), lambda a, b: resemble(a, b, similarity)))
     named = names.join(labels, "node", "left").select("fp", "sh", F.coalesce("component", "node").alias("component"))
     component = F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id")
     return sketch.select("doc_id", "fp", "sh").join(named, ["fp", "sh"]).select("doc_id", component)

@@ -241,6 +241,38 @@ def test_near_copies_find_similar_texts(spark, small):
             assert any(group[j] == c for j in linked[i]), i
 
 
+def five_words(text):
+    ws = text.lower().split()
+    return {" ".join(ws[k : k + 5]) for k in range(max(1, len(ws) - 4))}
+
+
+def similarity(a, b):
+    return len(five_words(a) & five_words(b)) / len(five_words(a) | five_words(b))
+
+
+def linked_pairs(spark, pairs):
+    """Of texts and their copies, each pair apart from all others: which are in one group."""
+    rows = [(2 * i + k, t) for i, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    group = {r["doc_id"]: r["component_id"] for r in op5_simhash_bktree.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return [group[2 * i] == group[2 * i + 1] for i in range(len(pairs))]
+
+
+def test_near_copies_decide_at_the_similarity_exactly(spark):
+    rng = np.random.default_rng(21)
+    pairs = []
+    while len(pairs) < 400:
+        ws = [f"w{k}" for k in rng.integers(0, 5000, rng.integers(60, 250))]
+        edited = [f"edit{rng.integers(10**6)}" if rng.random() < 0.023 else w for w in ws]
+        pair = " ".join(ws), " ".join(edited)
+        if 0.74 <= similarity(*pair) < 0.86:
+            pairs.append(pair)
+    pairs += [("a b c d e f g h", "a b c d e f g h i")] + [(" ".join(map(str, range(n + 4))), " ".join([*map(str, range(n + 3)), "x"])) for n in (8, 9)]
+    like, got = [similarity(*p) for p in pairs], linked_pairs(spark, pairs)
+    assert like[-3] == 0.8 and 0.79 > like[-2] and 0.8 <= like[-1] and min(like) < 0.76
+    assert not [j for j, g in zip(like, got) if g and j < 0.8]
+    assert sum(g for j, g in zip(like, got) if j >= 0.8) >= 0.97 * sum(j >= 0.8 for j in like)
+
+
 def test_pipeline(spark, tiny):
     import corpus_pipeline as pipeline
 
