@@ -194,7 +194,7 @@ def op5_simhash_bktree(spark, sf_dir: str) -> DataFrame:
 
 # Near copies of a lower similarity, as the pipeline removes them.
 
-NEAR_WIDTH, SIMILARITY, NEAR_RADIUS, BANDS, BAND_ROWS, PERMUTATIONS = 5, 0.8, 16, 21, 6, 252
+NEAR_WIDTH, SIMILARITY, NEAR_RADIUS, BANDS, BAND_ROWS, PERMUTATIONS = 5, 0.8, 28, 21, 6, 252
 #: Pairs whose estimate is below the similarity by more than this aren't decided exactly: 5.5 standard errors at 0.8.
 SLACK = 0.14
 _rng = np.random.default_rng(20)
@@ -227,9 +227,11 @@ def resemble(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
     """Returns doc_id, component_id: documents linked by a similarity of `similarity` or more of their sets of word
-    shingles (Jaccard, exact) whose fingerprints are within `radius` bits; one row for each input row.
+    shingles (Jaccard, exact) whose fingerprints, taken over these sets, are within `radius` bits; one row for each input
+    row.
 
-    At this similarity fingerprints differ in up to 15 bits or so, too many for shards by runs of bits: the shards are
+    At this similarity fingerprints differ in about 10 bits, in more than NEAR_RADIUS with a chance of 2e-9 (4e-8 for texts
+    of a dozen shingles, 1e-6 of four or five). That is too many for shards by runs of bits: the shards are
     BANDS bands of BAND_ROWS of the min-hashes here (a pair at 0.8 misses all bands with a chance of 0.002). Band mates
     whose min-hashes agree to within SLACK of the similarity are put together, and each group of documents so connected is
     a shard in which the shingle sets decide; texts are read again for these documents alone. Texts without words are
@@ -249,12 +251,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     sig = min_hashes(distinct)
                     keys = [xxhash.xxh64_intdigest(sig[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) for b in range(BANDS)]
                     same = xxhash.xxh64_intdigest(distinct.tobytes(), 42)
-                    rows.append((fingerprint(h), same - (1 << 64) if same >> 63 else same, sig.tobytes(), np.array(keys, dtype=np.uint64).view(np.int64)))
+                    rows.append((fingerprint(distinct), same - (1 << 64) if same >> 63 else same, sig.tobytes(), np.array(keys, dtype=np.uint64).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["doc_id", "fp", "sh", "sig", "keys"])
 
     def reread(batches):
         for batch in batches:
-            hashes = [shingle_hashes(t, width) for t in batch.column("text").to_pylist()]
+            hashes = [np.unique(shingle_hashes(t, width)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), pa.array([fingerprint(h) for h in hashes], pa.int64()), batch.column("text")], ["key", "node", "fp", "text"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

@@ -273,6 +273,21 @@ def test_near_copies_decide_at_the_similarity_exactly(spark):
     assert sum(g for j, g in zip(like, got) if j >= 0.8) >= 0.97 * sum(j >= 0.8 for j in like)
 
 
+def test_near_copies_with_repeated_passages(spark):
+    """Sets of shingles are alike, however often a passage stands in one of the texts; short texts as well."""
+    rng = np.random.default_rng(22)
+    pairs = []
+    for _ in range(60):
+        ws = [f"w{k}" for k in rng.integers(0, 5000, rng.integers(150, 400))]
+        pairs.append((" ".join(ws), " ".join(ws + ws[40:70] * 20)))
+    for k in range(300):
+        ws = [f"v{x}" for x in rng.integers(0, 10**6, 9 + k % 5)]
+        pairs.append((" ".join(ws), " ".join(ws[:-1])))
+    assert min(similarity(*p) for p in pairs) >= 0.8
+    got = linked_pairs(spark, pairs)
+    assert all(got[:60]) and sum(got[60:]) >= 298  # bands miss a pair at 0.8 with a chance of 0.002
+
+
 def test_pipeline(spark, tiny):
     import corpus_pipeline as pipeline
 
