@@ -526,7 +526,7 @@ def pagerank_converged(spark, d):
     return graph.served(graph.pagerank(part_edges(spark, d)))
 
 
-def _walks(cyclic: bool, complete: bool, each: int = 3):
+def _walks(cyclic: bool, complete: bool, each: int = 10):
     def run(spark, d):
         edges = part_edges(spark, d)
         return graph.random_walks(edges, each * graph.nodes_of(edges).count(), cyclic, complete)

@@ -160,3 +160,15 @@ def test_ndcg_of_nothing(spark):
     judged = spark.createDataFrame([(1, 1, "a", 0)], "run_id int, rank int, doc string, rel int")
     assert math.isnan(evaluate.ndcg(judged).first()["ndcg"])
     assert rows(evaluate.precision_recall_at(judged, 1), "k", "precision") == [(1, 0.0)]
+
+
+def test_registered_walks_are_as_many_as_the_reference_takes(spark, tiny, monkeypatch):
+    """10 walks a node is the smallest of the reference's settings."""
+    from tarn import queries
+    from tarn.operators import graph
+
+    taken, n = [], graph.nodes_of(queries.part_edges(spark, tiny)).count()
+    monkeypatch.setattr(queries.graph, "random_walks", lambda edges, walks, *rest: taken.append(walks))
+    for name in ("pagerank_mc1", "pagerank_mc2", "pagerank_mc4", "pagerank_mc5"):
+        queries.QUERIES[name](spark, tiny)
+    assert len(taken) == 4 and min(taken) >= 10 * n
