@@ -56,18 +56,14 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
 class Items:
     """A block of test items: ids of their words, pairs of words, and which pairs trigger a comparison with which items."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        classes: dict[tuple, list] = {}
-        for item_id, text in rows:
-            words = tuple(tokens(text))
-            if len(words) >= LEAST:
-                classes.setdefault(words, []).append(item_id)
+    def __init__(self, rows: list[tuple[int, int, str]]):
+        """rows: id, copies and text of items whose words differ."""
         self.vocabulary: dict[bytes, int] = {}
         self.ids, self.copies, self.words = [], [], []
-        for words, ids in classes.items():
-            self.ids.append(min(ids))
-            self.copies.append(len(ids))
-            self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], dtype=np.int64))
+        for item_id, copies, text in rows:
+            self.ids.append(item_id)
+            self.copies.append(copies)
+            self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)], dtype=np.int64))
         self.base = len(self.vocabulary) + 1
         found = [self.codes(w, d) for w in self.words for d in range(1, APART + 1)]
         self.grams = np.unique(np.concatenate([*found, np.zeros(0, dtype=np.int64)]))
@@ -157,10 +153,22 @@ class Items:
         return out
 
 
+def merged(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """i, n, t: items of equal words as one, with their smallest id, their number and their words."""
+
+    def read(batches):
+        for batch in batches:
+            found = [tokens(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b" ".join(ws).decode("utf-8", "surrogatepass") for ws in found], pa.string()), pa.array([len(ws) for ws in found], pa.int64())], ["i", "t", "words"])
+
+    rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    return rows.mapInArrow(read, "i long, t string, words long").where(F.col("words") >= LEAST).groupBy("t").agg(F.min("i").alias("i"), F.count("*").alias("n")).select("i", "n", "t")
+
+
 def blocks(items: DataFrame, item_id: str, item_text: str, limit: int):
     part, size = [], 0
-    for r in items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator():
-        part.append((r["i"], r["t"]))
+    for r in merged(items, item_id, item_text).orderBy("i", "t").toLocalIterator():
+        part.append((r["i"], r["n"], r["t"]))
         size += len(r["t"])
         if size >= limit:
             yield part
@@ -169,20 +177,9 @@ def blocks(items: DataFrame, item_id: str, item_text: str, limit: int):
         yield part
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, item_chars: int = ITEM_CHARS) -> DataFrame:
-    """Returns doc_id, item_id, item_copies, score, first_word, last_word, item_words: a row for each document and
-    item whose alignment scores `threshold` or more (1: the item stands there word for word).
-
-    Items of equal words are one item, under their smallest id. Items of fewer than LEAST words, or without id or text,
-    match nothing; null and empty documents match nothing. An item for which a single word would score the threshold
-    (threshold * words of 1 or less) still takes a pair of words. Repeated rows are each judged. Extra columns are left out.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, item_copies long, score double, first_word long, last_word long, item_words long"
-    found = []
+def ready_blocks(texts: DataFrame, items: DataFrame, item_id: str, item_text: str, threshold: float, item_chars: int):
+    """A broadcast block of items after the other, with the triggers chosen by how many of the texts hold each pair."""
+    spark = texts.sparkSession
     for part in blocks(items, item_id, item_text, item_chars):
         block = Items(part)
         sent = spark.sparkContext.broadcast(block)
@@ -191,8 +188,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             b = sent.value
             seen = np.zeros(len(b.grams), dtype=np.int64)
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    held = np.unique(np.concatenate(b.pairs(b.encode(text))))
+                for text in batch.column(0):
+                    held = np.unique(np.concatenate(b.pairs(b.encode(text.as_py()))))
                     seen[held[held >= 0]] += 1
             some = np.nonzero(seen)[0]
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["gram", "docs"])
@@ -201,13 +198,32 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         seen = np.zeros(len(block.grams), dtype=np.int64)
         for r in counted.toLocalIterator():  # a row for each pair of the block at most
             seen[r["gram"]] = r["docs"]
+        sent.destroy()
         block.choose(seen, threshold)
-        ready = spark.sparkContext.broadcast(block)
+        yield spark.sparkContext.broadcast(block)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, item_chars: int = ITEM_CHARS) -> DataFrame:
+    """Returns doc_id, item_id, item_copies, score, first_word, last_word, item_words: a row for each document and
+    item whose alignment scores `threshold` or more (1: the item stands there word for word). Of several passages of the
+    same score the first is reported.
+
+    Items of equal words are one item, under their smallest id. Items of fewer than LEAST words, or without id or text,
+    match nothing; null and empty documents match nothing. An item for which a single word would score the threshold
+    (threshold * words of 1 or less) still takes a pair of words. Repeated rows are each judged. Extra columns are left out.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    schema = f"doc_id {kind}, item_id long, item_copies long, score double, first_word long, last_word long, item_words long"
+    found = []
+    for ready in ready_blocks(texts, items, item_id, item_text, threshold, item_chars):
 
         def judge(batches, ready=ready):
             b = ready.value
             for batch in batches:
-                rows = [(d, *m) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for m in b.matches(t, threshold)]
+                rows = [(d.as_py(), *m) for d, t in zip(batch.column(0), batch.column(1)) for m in b.matches(t.as_py(), threshold)]
                 types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
                 names = ["doc_id", "item_id", "item_copies", "score", "first_word", "last_word", "item_words"]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
@@ -216,5 +232,21 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     return reduce(DataFrame.unionAll, found) if found else spark.createDataFrame([], schema)
 
 
+def without_items(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, item_chars: int = ITEM_CHARS) -> DataFrame:
+    """docs without the rows for whose text contaminated() has a row. Rows are judged where they are read, each by its own
+    text, so that nothing is shuffled and ids play no part."""
+    ship(docs.sparkSession)
+    place = docs.columns.index(text_col)
+    for ready in ready_blocks(docs.select(F.col(text_col).alias("text")), items, item_id, item_text, threshold, item_chars):
+
+        def clean(batches, ready=ready):
+            b = ready.value
+            for batch in batches:
+                yield batch.filter(pa.array([not b.matches(t.as_py(), threshold) for t in batch.column(place)], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
