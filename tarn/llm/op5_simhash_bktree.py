@@ -168,8 +168,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Returns doc_id, fingerprint (16 hex digits), component_id: the smallest id reachable over links of fingerprints
     that differ in `radius` bits at most; one row for each input row.
 
-    Texts without words (null too) have fingerprint zero and are linked like any other. Repeated rows share a component;
-    a null id sorts last and is never a component's id unless it is alone with other nulls. Extra columns are left out.
+    Texts without words (null too) have fingerprint zero and are linked like any other. Each row is judged by its own text:
+    rows of one id with several texts may be in several components, and so may rows without an id. A component of
+    such rows alone has a null id. Extra columns are left out.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -180,12 +181,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
     prints = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long"), "fingerprints")
-    own = F.coalesce("doc_id", F.lit(LAST_ID))
-    nodes = stored(prints.groupBy("fp").agg(F.min(own).alias("node")), "nodes")
-    labels = connected_components(shard_links(bit_shards(nodes, radius), radius))
-    named = nodes.join(labels, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    component = F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
+    # fingerprints are the nodes, so that ids that are null or repeat link nothing
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "nodes")
+    labels = connected_components(shard_links(bit_shards(nodes.select(F.col("fp").alias("node"), "fp"), radius), radius))
+    named = nodes.join(labels, nodes["fp"] == labels["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = named.join(lowest, "component").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_simhash_bktree(spark, sf_dir: str) -> DataFrame:
@@ -226,24 +228,27 @@ def resemble(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = NEAR_WIDTH, similarity: float = SIMILARITY, radius: int = NEAR_RADIUS) -> DataFrame:
-    """Returns doc_id, component_id: documents linked by a similarity of `similarity` or more of their sets of word
-    shingles (Jaccard, exact) whose fingerprints, taken over these sets, are within `radius` bits; one row for each input
-    row.
+    """Returns doc_id, h1, h2 (two hashes of the text), component_id, stays: documents linked by a similarity of
+    `similarity` or more of their sets of word shingles (Jaccard, exact) whose fingerprints, taken over these sets, are
+    within `radius` bits; one row for each input row. component_id is the smallest id of a component (null, if no row of it
+    has one). `stays` holds for one row of each component, with those equal to it in id and text: the row of the
+    smallest id, rows without an id last, ties by the text's hashes.
 
     At this similarity fingerprints differ in about 10 bits, in more than NEAR_RADIUS with a chance of 2e-9 (4e-8 for texts
     of a dozen shingles, 1e-6 of four or five). That is too many for shards by runs of bits: the shards are
     BANDS bands of BAND_ROWS of the min-hashes here (a pair at 0.8 misses all bands with a chance of 0.002). Band mates
     whose min-hashes agree to within SLACK of the similarity are put together, and each group of documents so connected is
     a shard in which the shingle sets decide; texts are read again for these documents alone. Texts without words are
-    linked to each other. A null id sorts last. Extra columns are left out.
+    linked to each other. Each row is judged by its own text, whatever its id: null and repeated ids link nothing. Extra
+    columns are left out.
     """
     spark = docs.sparkSession
     ship(spark)
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
                 rows = []
                 for t in part.column("text").to_pylist():
                     h = shingle_hashes(t, width)
@@ -252,29 +257,44 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     keys = [xxhash.xxh64_intdigest(sig[b * BAND_ROWS : (b + 1) * BAND_ROWS].tobytes(), b) for b in range(BANDS)]
                     same = xxhash.xxh64_intdigest(distinct.tobytes(), 42)
                     rows.append((fingerprint(distinct), same - (1 << 64) if same >> 63 else same, sig.tobytes(), np.array(keys, dtype=np.uint64).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["doc_id", "fp", "sh", "sig", "keys"])
+                own = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", "h1", "h2")), *own], ["doc_id", "h1", "h2", "fp", "sh", "sig", "keys"])
 
     def reread(batches):
         for batch in batches:
-            hashes = [np.unique(shingle_hashes(t, width)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("node"), pa.array([fingerprint(h) for h in hashes], pa.int64()), batch.column("text")], ["key", "node", "fp", "text"])
-
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketch = texts.mapInArrow(run, "doc_id long, fp long, sh long, sig binary, keys array<long>")
-    own = F.coalesce("doc_id", F.lit(LAST_ID)).alias("own")
-    sketch = stored(sketch.select("doc_id", own, "fp", "sh", "sig", "keys"), "sketches")
-    names = stored(sketch.groupBy("fp", "sh").agg(F.min("own").alias("node")), "nodes")
-    # the row that stands for its texts: its id is the node; an id that repeats with several texts has several rows, which
-    # `row` tells apart, and their links meet in that id
-    firsts = sketch.join(names.select("fp", "sh", F.col("node").alias("own")), ["fp", "sh", "own"]).dropDuplicates(["fp", "sh"])
-    nodes = stored(firsts.select(F.xxhash64("fp", "sh").alias("row"), F.col("own").alias("node"), "fp", "sig", "keys"), "representatives")
-    dealt = nodes.select("row", F.explode("keys").alias("key"))
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                sets = [np.unique(shingle_hashes(t, width)) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("node"), pa.array([fingerprint(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["key", "node", "fp", "set"])
+
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(7), body).alias("h2"), body.alias("text"))
+    sketch = texts.mapInArrow(run, "doc_id long, h1 long, h2 long, fp long, sh long, sig binary, keys array<long>")
+    # a node is a set of shingles; one text stands for it
+    sketch = stored(sketch.withColumn("node", F.xxhash64("fp", "sh")).drop("sh"), "sketches")
+    nodes = sketch.groupBy("node").agg(F.min(F.struct("h1", "h2")).alias("of"))
+    firsts = sketch.join(nodes.select("node", "of.*"), ["node", "h1", "h2"]).dropDuplicates(["node"])
+    firsts = stored(firsts.select("node", "h1", "h2", "fp", "sig", "keys"), "representatives")
+    dealt = firsts.select("node", F.explode("keys").alias("key"))
     several = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = dealt.join(several, "key").join(nodes.drop("keys"), "row")
+    rows = dealt.join(several, "key").join(firsts.select("node", "fp", "sig"), "node")
     near = connected_components(shard_links(rows, radius, "sig", lambda s: np.frombuffer(s, dtype=np.uint16), lambda a, b: agree(a, b, similarity)))
-    chosen = texts.select(own.alias("node"), "text").join(near.select("node", F.col("component").alias("key")), "node")
-    chosen = chosen.select("key", "node", "text").mapInArrow(reread, "key long, node long, fp long, text string")
-    labels = connected_components(shard_links(chosen, radius, "text", lambda t: np.unique(shingle_hashes(t, width)), lambda a, b: resemble(a, b, similarity)))
-    named = names.join(labels, "node", "left").select("fp", "sh", F.coalesce("component", "node").alias("component"))
-    component = F.when(F.col("component") != LAST_ID, F.col("component")).alias("component_id")
-    return sketch.select("doc_id", "fp", "sh").join(named, ["fp", "sh"]).select("doc_id", component)
+    chosen = firsts.select("node", "h1", "h2").join(near.select("node", F.col("component").alias("key")), "node")
+    chosen = texts.select("h1", "h2", "text").join(chosen, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("key", "node", "text")
+    chosen = chosen.mapInArrow(reread, "key long, node long, fp long, set binary")
+    labels = connected_components(shard_links(chosen, radius, "set", lambda b: np.frombuffer(b, dtype=np.uint64), lambda a, b: resemble(a, b, similarity)))
+    rows = sketch.select("doc_id", "h1", "h2", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = stored(rows.drop("node"), "rows")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("own"), F.col("doc_id").alias("component_id"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))).alias("best"))
+    found = rows.join(best.select("component", "best.component_id", "best.b1", "best.b2"), "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2"))
+    return found.select("doc_id", "h1", "h2", "component_id", stays.alias("stays"))
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one row of each component of near_copies(); columns named h1, h2 or __own are replaced. Rows that are equal in
+    id and text become one row, which one is undefined where they differ in other columns."""
+    gone = near_copies(docs, id_col, text_col, **options).where("not stays").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__own"), "h1", "h2").distinct()
+    body, columns = F.coalesce(F.col(text_col), F.lit("")), docs.columns
+    keyed = docs.withColumns({"__own": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "h1": F.xxhash64(body), "h2": F.xxhash64(F.lit(7), body)})
+    return keyed.join(gone, ["__own", "h1", "h2"], "left_anti").dropDuplicates(["__own", "h1", "h2"]).select(*columns)
