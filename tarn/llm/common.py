@@ -20,7 +20,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: A null doc_id sorts after every other one.
 LAST_ID = (1 << 63) - 1
-BATCH_ROWS = 1000
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 _shipped: set[str] = set()
 
@@ -41,14 +41,22 @@ def remainder(doc_id: Column, mod: int) -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for a query."""
+    small_batches(spark)
     return dealt(read_table(spark, sf_dir, name))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """For queries and pipeline stages, which own their session: texts come to Python in batches of BATCH_ROWS rows and
+    BATCH_BYTES at most, as 10,000 texts of a page or two take much memory. Operators leave settings alone."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}", None)
+        if not now or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that they can import it wherever they run; and have
-    texts come to Python in batches of BATCH_ROWS rows at most, as 10,000 texts of a page or two take much memory."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Send this package to the executors, once per application, so that they can import it wherever they run."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
