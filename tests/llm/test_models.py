@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from tarn.llm import op1_ngram_lm, op2_toxicity, op9_sentencepiece, op10_language
 from tarn.llm.common import words
 from tarn.llm.elias_fano import EliasFano, NgramTrie, Quantised
+from tarn.llm.packing import pack, small
 
 
 @settings(max_examples=60, deadline=None)
@@ -141,44 +143,121 @@ def test_toxicity_of_messy_rows(spark, messy, none):
 
 
 @pytest.fixture(scope="module")
-def codec():
+def model():
     with open(op9_sentencepiece.default_model(), "rb") as f:
-        return op9_sentencepiece.Codec(f.read(), limit=50)
+        return f.read()
+
+
+def round_trip(texts, model, shards=3, limit=op9_sentencepiece.TABLE_BYTES):
+    """The operator's steps by themselves."""
+    s, batch = op9_sentencepiece.Segmenter(model, limit), op9_sentencepiece.Batch()
+    for i, t in enumerate(texts):
+        batch.add(i, t)
+    (_, _, docs, numbers), *asked = batch.rows(0, shards)
+    answers = []
+    for _, shard, _, data in asked:
+        ids = s.ids(zstandard.decompress(data).decode("utf-8", "surrogatepass").split(op9_sentencepiece.MARK))
+        answers.append((shard, pack(small(np.array([len(i) // 4 for i in ids])), small(np.frombuffer(b"".join(ids), dtype="<u4")))))
+    p = s.processor
+    coded, decoded = op9_sentencepiece.assemble(docs, numbers, answers, p.decode, (p.bos_id(), p.eos_id()))
+    return s, [np.frombuffer(c, dtype="<u4").tolist() for c in coded], decoded
 
 
 @settings(max_examples=150, deadline=None)
-@given(text=st.text(alphabet=st.sampled_from("ab é▁\n\t\x00日.<s>  "), max_size=60))
-def test_chunks_encode_as_the_library_does(codec, text):
-    want = codec.processor.encode(text, add_bos=True, add_eos=True)
-    assert codec.encode(text).tolist() == want and codec.decode(codec.encode(text)) == codec.processor.decode(want)
+@given(texts=st.lists(st.text(alphabet=st.sampled_from("ab é▁\n\t\x00日.<s>  "), max_size=60), min_size=1, max_size=4))
+def test_chunks_encode_as_the_library_does(model, texts):
+    s, coded, decoded = round_trip(texts, model)
+    want = [s.processor.encode(t, add_bos=True, add_eos=True) for t in texts]
+    assert coded == want and decoded == [s.processor.decode(w) for w in want]
+
+
+def test_each_distinct_chunk_is_segmented_once(model, monkeypatch):
+    texts = ["the cat  and the dog", "the dog and the cat", "and"] * 5
+    s, coded, _ = round_trip(texts, model)
+    assert s.segmented == len({c for t in texts for c in op9_sentencepiece.chunks_of(t)} - {""})
+    assert s.ids(["the", "dog"]) and s.segmented == 5  # the, cat, " and" after two blanks, and, dog
+    monkeypatch.setattr(op9_sentencepiece, "SLICE", 2)
+    assert round_trip(texts, model, shards=2, limit=0)[1] == coded  # a full table is begun anew
+    with pytest.raises(RuntimeError):
+        op9_sentencepiece.assemble([1], next(_one("a b").rows(0, 2))[3], [], None, None)
+
+
+def _one(text):
+    batch = op9_sentencepiece.Batch()
+    batch.add(1, text)
+    return batch
 
 
-def test_sentencepiece_round_trip(spark, tiny, messy, none, codec):
-    p = codec.processor
+def test_sentencepiece_round_trip(spark, tiny, messy, none, model):
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_proto=model)
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     for r in op9_sentencepiece.op9_sentencepiece(spark, tiny).collect():
         ids = p.encode(docs[r["doc_id"]], add_bos=True, add_eos=True)
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(p.decode(ids).encode()).hexdigest()
-    coded = op9_sentencepiece.digests(op9_sentencepiece.sentencepiece_round_trip(messy, op9_sentencepiece.default_model())).collect()
+    path = op9_sentencepiece.default_model()
+    coded = op9_sentencepiece.digests(op9_sentencepiece.sentencepiece_round_trip(messy, path)).collect()
     assert len(coded) == 12 and {r["n_tokens"] for r in coded if r["doc_id"] in (3, 4)} == {2}
-    assert op9_sentencepiece.sentencepiece_round_trip(none, op9_sentencepiece.default_model()).count() == 0
+    many = op9_sentencepiece.digests(op9_sentencepiece.sentencepiece_round_trip(messy, path, shards=7, batch_tokens=3)).collect()
+    assert sorted(map(str, many)) == sorted(map(str, coded))
+    assert op9_sentencepiece.sentencepiece_round_trip(none, path).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
 @given(reference=st.text(alphabet="abc", min_size=1, max_size=40), text=st.text(alphabet="abcd", max_size=60))
 def test_phrases_are_longest_matches(reference, text):
     p = op10_language.CrossParser({"x": reference})
-    symbols = p.symbols(text)
-    known, i, phrases = p.symbols(reference).tobytes().decode("latin-1"), 0, 0
-    s = symbols.tobytes().decode("latin-1")
+    want = plain_phrases(reference, text)
+    assert all(p.phrases([p.symbols(text)], block)[0, 0] == want for block in (1, 3, 8192))
+
+
+def letters_only(text):
+    """Lower case, each run of characters that aren't letters as one blank."""
+    out = []
+    for c in text.lower():
+        if c.isalpha() or not (out and out[-1] == " "):
+            out.append(c if c.isalpha() else " ")
+    return "".join(out)
+
+
+def plain_phrases(reference, text):
+    known, s, i, phrases = letters_only(reference), letters_only(text), 0, 0
     while i < len(s):
-        n = 0
+        n = 1
         while i + n < len(s) and s[i : i + n + 1] in known:
             n += 1
-        i += max(n, 1)
+        i += n
         phrases += 1
-    assert p.phrases([symbols])[0, 0] == phrases
+    return phrases
+
+
+def test_languages_and_scores_by_plain_parsing():
+    """Many languages, two of 500 ideographs each, and texts longer than a block."""
+    rng = np.random.default_rng(4)
+    letters = {"en": "abcdefghij", "fr": "abcdefghié", "de": "bcdefghijü", "x1": "".join(map(chr, range(0x4E00, 0x4E00 + 500))), "x2": "".join(map(chr, range(0x5200, 0x5200 + 500)))}
+    known = {k: ["".join(rng.permutation([*a])[:4]) for _ in range(100)] for k, a in letters.items()}
+    write = lambda k, n: " ".join(rng.choice(known[k], n))
+    references = {k: write(k, 300) for k in letters}
+    texts = [write(k, n) for k in letters for n in (2, 10, 100)] + ["".join(rng.choice([*"abc "], 12_000)), "abab" * 5000, references["x1"] * 12, "1 2", "", None]
+    p = op10_language.CrossParser(references)
+    lang, score = p.judge(texts)
+    for t, got, s in zip(texts, lang, score):
+        if not t or not op10_language.has_letter(t):
+            assert (got, s) == ("und", 0.0)
+            continue
+        entropy = {k: plain_phrases(r, t) * math.log2(len(letters_only(r))) / len(letters_only(t)) for k, r in references.items()}
+        first, second = sorted(entropy.items(), key=lambda e: (e[1], e[0]))[:2]
+        assert got == first[0] and s == pytest.approx(second[1] / (first[1] + second[1]))
+    assert lang[9:15] == ["x1"] * 3 + ["x2"] * 3 and all(s > 0.5 for s in score[9:15])
+
+
+def test_references_are_spread_over_whole_texts(spark):
+    rows = [(i, "x" * 100 + chr(97 + i) * 900 + "y" * 100, "en") for i in range(5)] + [(9, "short", "de"), (10, "1 2", "de")]
+    found = op10_language.references(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", rows=4, chars=800)
+    assert found["de"] == "short" and len(found["en"].split("\n")) == 16
+    assert found["en"].count("x" * 50) == found["en"].count("y" * 50) == 4
 
 
 def test_language_on_held_out_rows(spark, small):
@@ -193,3 +272,5 @@ def test_language_of_messy_rows(messy, none):
     assert {by[i]["lang_pred"] for i in (3, 4, 5, 6)} == {"und"} and by[3]["score"] == 0 and by[7]["lang_pred"] == "en" and by[9]["lang_pred"] != "und"
     assert {r["lang_pred"] for r in op10_language.identify(messy, none).collect()} == {"und"}
     assert op10_language.identify(none, messy).count() == 0
+    with pytest.raises(ValueError):
+        op10_language.identify(messy, none, keep=["score"])

@@ -5,6 +5,7 @@ import collections
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tarn.llm import op3_decontaminate, op4_exact_topk, op5_simhash_bktree
 from tarn.llm.components import connected_components
@@ -59,8 +60,37 @@ def test_edited_copies_and_messy_rows(spark, messy, none):
     assert 0.5 <= one["score"] < 1 and (one["first_word"], one["last_word"]) == (1, 24)
     assert op3_decontaminate.contaminated(messy, items).count() == 0
     assert op3_decontaminate.contaminated(none, items).count() == 0 and op3_decontaminate.contaminated(docs, items.limit(0)).count() == 0
-    blocks = op3_decontaminate.contaminated(docs, items, item_chars=1).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in blocks} == {(1, 7), (1, 8), (5, 7), (5, 8)}
+    more = items.union(spark.createDataFrame([(11, half), (12, "Alpha, beta gamma! delta epsilon zeta eta theta"), (13, "omega psi chi phi upsilon")], items.schema))
+    for text in (items, more):
+        whole = sorted(map(str, op3_decontaminate.contaminated(docs, text).collect()))
+        assert sorted(map(str, op3_decontaminate.contaminated(docs, text, item_chars=1).collect())) == whole
+    kept = op3_decontaminate.without_items(docs.withColumn("extra", F.lit(1)), more, item_chars=1)
+    assert kept.columns == ["doc_id", "text", "extra"] and sorted(r["doc_id"] for r in kept.collect()) == [3, 4]
+    assert op3_decontaminate.without_items(messy, items).count() == 12 and op3_decontaminate.without_items(none, items).count() == 0
+
+
+def test_graded_edits_are_all_found(spark, tiny):
+    """Every third word replaced aligns just above the threshold; full alignment says which copies count."""
+    items = [(r["item_id"], [w.decode() for w in op3_decontaminate.tokens(r["text"])]) for r in spark.read.parquet(f"{tiny}/benchmark.parquet").collect()]
+    rng = np.random.default_rng(6)
+    docs = []
+    for i, ws in items:
+        for share in (0.1, 0.2, 0.3, 0.34, 0.4):
+            docs.append((i, " ".join(x for w in ws for x in ([w] if rng.random() > share else [[], ["new"], [w, "more"]][rng.integers(3)]))))
+    block = op3_decontaminate.Items([(i, 1, " ".join(ws)) for i, ws in items])
+    want = set()
+    for n, (i, text) in enumerate(docs):
+        own = block.words[block.ids.index(i)]
+        if op3_decontaminate.align(own, block.encode(text))[0] / (2 * len(own)) >= 0.5:
+            want.add((n, i))
+    rows = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(docs)], "doc_id long, text string")
+    frame = spark.createDataFrame([(i, " ".join(ws)) for i, ws in items], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in op3_decontaminate.contaminated(rows, frame).collect()}
+    assert want <= got and len(want) > 60
+    thirty_one = " ".join(f"w{k}" for k in range(31))
+    copy = " ".join("x" if k % 3 == 2 else f"w{k}" for k in range(31))
+    one = op3_decontaminate.contaminated(spark.createDataFrame([(1, copy)], rows.schema), spark.createDataFrame([(1, thirty_one)], frame.schema)).collect()
+    assert len(one) == 1 and one[0]["score"] == pytest.approx(0.516, abs=0.001)
 
 
 @pytest.mark.parametrize("every", [4, 5, 6])
@@ -89,9 +119,9 @@ def test_every_alignment_of_the_threshold_is_found():
     for threshold in (0.4, 0.5, 0.7):
         for _ in range(60):
             n = int(rng.integers(5, 40))
-            items = [(i, " ".join(f"w{k}" for k in rng.integers(0, n, rng.integers(3, 14)))) for i in range(4)]
+            items = [(i, 1, " ".join(f"w{k}" for k in rng.integers(0, n, rng.integers(3, 14)))) for i in range(4)]
             docs = []
-            for _, t in items:
+            for *_, t in items:
                 ws = [f"x{k}" for k in rng.integers(0, 9, 6)]
                 for w in t.split():
                     ws += [[w], [w], [w], ["x0"], [], [w, "x1"], ["x2", w]][rng.integers(7)]
@@ -175,6 +205,31 @@ def test_simhash_of_messy_rows(messy, none):
     assert op5_simhash_bktree.near_copies(messy).count() == 12 and op5_simhash_bktree.near_copies(none).count() == 0
 
 
+NULL_IDS = [
+    (1, "the quick brown fox jumps over the lazy dog and runs far away into the dark green forest tonight"),
+    (None, "the quick brown fox jumps over the lazy dog and runs far away into the dark green forest tonight"),
+    (7, "the quick brown fox jumps over the lazy dog and runs far away into the dark green forest"),
+    (None, "an unrelated text about gardens and the many kinds of flowers that grow there in spring"),
+    (None, "another unrelated text about ships that sail between the islands of the southern sea all year"),
+    (5, "a recipe for bread with flour and water and salt and a little time to rest before baking"),
+    (5, "the quick brown fox jumps over the lazy dog and runs far away into the dark green forest tonight alone"),
+    (6, "a clean text that shares nothing with all the others but a few of the small words"),
+    (6, "a clean text that shares nothing with all the others but a few of the small words"),
+]
+
+
+def test_null_and_repeated_ids_link_nothing(spark):
+    docs = spark.createDataFrame([(*r, "x") for r in NULL_IDS], "doc_id long, text string, h1 string")
+    kept = op5_simhash_bktree.without_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(str, {NULL_IDS[k] for k in (0, 3, 4, 5, 7)}))
+    prints = brute_prints(enumerate(t for _, t in NULL_IDS))
+    want = components(prints)
+    lowest = {c: min((i for k, (i, _) in enumerate(NULL_IDS) if want[k] == c and i is not None), default=None) for c in want.values()}
+    got = op5_simhash_bktree.simhash_groups(docs).collect()
+    assert sorted(str((r["doc_id"], r["fingerprint"], r["component_id"])) for r in got) == sorted(str((i, format(prints[k], "016x"), lowest[want[k]])) for k, (i, _) in enumerate(NULL_IDS))
+
+
 def test_tree_links_dense_groups():
     rng = np.random.default_rng(8)
     prints = {int(b ^ np.uint64(1 << int(rng.integers(64))) ^ np.uint64(1 << int(rng.integers(64)))): None for b in rng.integers(0, 1 << 63, 40, dtype=np.uint64) for _ in range(25)}
@@ -310,5 +365,40 @@ def test_pipeline_of_messy_rows(spark, messy, none, tiny):
     for docs in (messy, none):
         for _, stage in pipeline.STAGES:
             docs = stage(spark, docs, tiny)
-        ids = [r["doc_id"] for r in docs.collect()]
-        assert len(ids) == len(set(ids))
+        rows = docs.collect()
+        assert len(rows) == len({(r["doc_id"], r["ids"]) for r in rows})
+
+
+def test_pipeline_stages_against_plain_ones(spark, tiny):
+    """Each stage on null and repeated ids, repeated rows, and copies, against a plain version of what it should keep."""
+    import corpus_pipeline as pipeline
+
+    bench = spark.read.parquet(f"{tiny}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(i, t, None, "s", len(t)) for i, t in NULL_IDS] + [(20, bench, "en", "s", 1), (None, "before it " + bench, "en", "s", 1), (21, "1234", "en", "s", 4), (None, None, None, None, None), (22, "x\nshared line of text\ny", "en", "s", 1), (23, "SHARED line of text\nz", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    plain_rows = lambda df: sorted(str((r["doc_id"], r["text"])) for r in df.collect())
+    lettered = [r for r in rows if r[1] and any(map(str.isalpha, r[1]))]
+    lang = pipeline.language_stage(spark, docs, tiny)
+    assert plain_rows(lang) == sorted(str(r[:2]) for r in lettered) and {r["lang"] for r in lang.collect()} == {"en"}
+    seen = collections.defaultdict(set)
+    last = 1 << 63
+    for i, t, *_ in lettered:
+        for line in t.split("\n"):
+            seen[line.strip().lower()].add(last if i is None else i)
+    drop = lambda i, line: len(k := line.strip().lower()) >= 10 and len(seen[k]) > 1 and min(seen[k]) != (last if i is None else i)
+    lined = [(i, "\n".join(x for x in t.split("\n") if not drop(i, x))) for i, t, *_ in lettered]
+    lines = pipeline.line_stage(spark, lang, tiny)
+    assert plain_rows(lines) == sorted(map(str, lined))
+    group = list(range(len(lined)))
+    for a in range(len(lined)):
+        for b in range(a):
+            if not lined[a][1] and not lined[b][1] or lined[a][1] and lined[b][1] and similarity(lined[a][1], lined[b][1]) >= 0.8:
+                group = [group[b] if g == group[a] else g for g in group]
+    kept = []
+    for g in set(group):
+        own = [r for r, x in zip(lined, group) if x == g]
+        kept.append(min(own, key=lambda r: last if r[0] is None else r[0]))
+    copies = pipeline.near_copy_stage(spark, lines, tiny)
+    assert plain_rows(copies) == sorted(map(str, kept))
+    clean = pipeline.benchmark_stage(spark, copies, tiny)
+    assert plain_rows(clean) == sorted(str(r) for r in kept if bench not in r[1])
