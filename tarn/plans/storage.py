@@ -11,12 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Bytes that a writer holds of a table before it puts them out.
+BLOCK_BYTES = 16 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """spark.checkpoint.dir; where that is unset, the context's checkpoint folder, or with a local master, where driver and
+    executors are one machine, a folder of our own. A cluster without any such folder raises a RuntimeError."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         jsc = spark.sparkContext._jsc.sc()
         if not jsc.getCheckpointDir().isDefined():
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tarn-checkpoint-"))
         base = jsc.getCheckpointDir().get()
     return base.rstrip("/")
@@ -34,7 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     zstd, as the default codec keeps buffers outside the heap that many small files add up."""
     path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
