@@ -1,22 +1,23 @@
 """URL filter. Pattern rules are indexed by their rarest literal token; a URL's tokens fetch candidate rules, and
 only those run their regular expressions. DataFrame functions only.
 
-Scale: rows are only read and exploded into tokens next to the broadcast rule index (rules come from the driver, so
-their number is known; above MAX_BROADCAST_RULES Spark plans a shuffle join instead). Only (url, rule) matches are
-shuffled, and they are combined map-side by url, so that a hot url costs one row a task.
+Scale: each url is judged in its own row, so that no url is hot and no row is shuffled. The rules come from the driver,
+where their number is known; their index is a hash table that is sent along as a constant, MAX_RULES rules at a time.
+Before that, one pass counts the rules' literal tokens, combined map-side.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import fold, table
+from tarn.llm.common import LOWER, UPPER, fold, table
 
-MAX_BROADCAST_RULES = 200_000
+MAX_RULES = 100_000
 
 
 @dataclass(frozen=True)
@@ -30,20 +31,24 @@ class Rule:
     kind: int  # 0: host and path rule, 1: pattern rule of the method
 
 
+def ascii_lower(text: str) -> str:
+    return text.translate({ord(a): b for a, b in zip(UPPER, LOWER)})
+
+
 def host_path_rule(action: str, rule: str) -> Rule:
     """`example.net/en/`: the host and its subdomains, where the path starts with /en/."""
     host, _, path = rule.partition("/")
-    host = host.lower()
+    host = ascii_lower(host)
     pattern = rf"^(?:[^/]*\.)?{re.escape(host)}/{re.escape(path)}"
     # the path's last token may go on in a url unless a separator ends it
-    whole = re.split(r"[^a-z0-9]+", host) + re.split(r"[^a-z0-9]+", path.lower())[: None if not path or not path[-1].isalnum() else -1]
+    whole = re.split(r"[^a-z0-9]+", host) + re.split(r"[^a-z0-9]+", ascii_lower(path))[: None if not path or not path[-1].isalnum() else -1]
     return Rule(rule, action, pattern, tuple(dict.fromkeys(t for t in whole if t)), 0)
 
 
 def word_rule(action: str, word: str) -> Rule:
     """A hyphenated or plain word that stands by itself in host or path."""
     pattern = rf"(?i)(?:^|[^A-Za-z0-9]){re.escape(word)}(?:$|[^A-Za-z0-9])"
-    return Rule(word, action, pattern, tuple(t for t in re.split(r"[^a-z0-9]+", word.lower()) if t), 1)
+    return Rule(word, action, pattern, tuple(t for t in re.split(r"[^a-z0-9]+", ascii_lower(word)) if t), 1)
 
 
 #: The rules of the query.
@@ -62,7 +67,7 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def url_tokens(subject: Column) -> Column:
-    return F.array_distinct(F.split(F.lower(subject), "[^a-z0-9]+"))
+    return F.array_distinct(F.split(fold(subject), "[^a-z0-9]+"))
 
 
 def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[Rule, str]:
@@ -72,41 +77,48 @@ def rarest_tokens(urls: DataFrame, rules: list[Rule]) -> dict[Rule, str]:
     if not known:
         return {r: "" for r in rules}
     index = spark.createDataFrame([(t,) for t in known], "token string")
-    hit = urls.select(F.explode(url_tokens(F.col("subject"))).alias("token")).join(F.broadcast(index) if len(known) <= MAX_BROADCAST_RULES else index, "token")
+    hit = urls.select(F.explode(url_tokens(F.col("subject"))).alias("token")).join(F.broadcast(index) if len(known) <= MAX_RULES else index, "token")
     seen = {r["token"]: r["n"] for r in hit.groupBy("token").agg(F.count("*").alias("n")).collect()}
     return {r: min(r.tokens, key=lambda t: (seen.get(t, 0), t), default="") for r in rules}
 
 
+def best_match(rules: list[Rule], chosen: dict[Rule, str], subject: Column, kind: int) -> Column:
+    """size, name, action of the longest rule of a kind that matches (ties: the last by name); null if there is none. The
+    subject's tokens fetch rules from a hash table of arrays, and those run their expressions."""
+    best = []
+    for at in range(0, len(rules), MAX_RULES):
+        own = [r for r in rules[at : at + MAX_RULES] if r.kind == kind]
+        if not own:
+            continue
+        spark, slots = SparkSession.active(), 2 * len(own)
+        tokens = sorted({chosen[r] for r in own})
+        hashed = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", F.pmod(F.xxhash64("t"), F.lit(slots)).alias("h")).collect()
+        place, index = {r["t"]: r["h"] for r in hashed}, [[] for _ in range(slots)]
+        for r in own:
+            index[place[chosen[r]]].append({"token": chosen[r], "size": len(r.name), "name": r.name, "action": r.action, "regex": r.pattern})
+        table = F.from_json(F.lit(json.dumps(index)), "array<array<struct<token:string,size:int,name:string,action:string,regex:string>>>")
+        asked = F.array_union(url_tokens(subject), F.array(F.lit(""))) if "" in tokens else url_tokens(subject)
+        fetched = F.flatten(F.transform(asked, lambda t: F.filter(F.element_at(table, F.pmod(F.xxhash64(t), F.lit(slots)).cast("int") + 1), lambda r: r["token"] == t)))
+        fits = F.filter(fetched, lambda r: F.regexp_like(subject, r["regex"]))
+        best.append(F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r["name"].alias("name"), r["action"].alias("action")))))
+    none = F.lit(None).cast("struct<size:int,name:string,action:string>")
+    return F.when(subject != "", F.greatest(*best, none) if best else none)
+
+
 def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: list[Rule] | None = None, default: str = "allow") -> DataFrame:
     """Returns id, host, path, rule (the longest host rule that fits, else null), verdict, pattern (the longest
-    pattern rule that matched, else null); one row for each input row.
+    pattern rule that matched, else null); one row for each input row. Of equally long rules the last by name is taken.
 
-    Null urls and urls without :// have empty parts, no rule, and the default verdict. Repeated rows are each
-    judged; other columns are left out. An empty table gives an empty result.
+    Null urls and urls without :// have empty parts, no rule, and the default verdict. Urls of any length are judged whole.
+    Repeated rows are each judged; other columns are left out. An empty table gives an empty result.
     """
-    spark = pages.sparkSession
     rules = HOST_RULES + WORD_RULES if rules is None else rules
     host, path = url_parts(F.col("url"))
-    rows = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias("url")).select(id_col, "url", host.alias("host"), path.alias("path"))
-    subject = rows.select("url", F.concat("host", "path").alias("subject"))
-    if not rules:
-        return rows.select(id_col, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(None).cast("string").alias("pattern"))
-    chosen = rarest_tokens(subject, rules)
-    index = spark.createDataFrame([(chosen[r], r.kind, len(r.name), r.name, r.action, r.pattern) for r in rules], "token string, kind int, size int, name string, action string, regex string")
-    if len(rules) <= MAX_BROADCAST_RULES:
-        index = F.broadcast(index)
-    tokens = url_tokens(F.col("subject"))
-    if "" in chosen.values():
-        tokens = F.array_union(tokens, F.array(F.lit("")))
-    found = (
-        subject.where(F.col("subject") != "")
-        .select("url", "subject", F.explode(tokens).alias("token"))
-        .join(index, "token")
-        .where("subject rlike regex")
-        .groupBy("url")
-        .agg(*(F.max(F.when(F.col("kind") == k, F.struct("size", "name", "action"))).alias(f"best{k}") for k in (0, 1)))
-    )
-    return rows.join(found, "url", "left").select(
+    rows = pages.select(F.col(id_col).alias(id_col), F.col(url_col).alias("url")).select(id_col, host.alias("host"), path.alias("path"))
+    subject = F.concat("host", "path")
+    chosen = rarest_tokens(rows.select(subject.alias("subject")), rules)
+    found = rows.select("*", *(best_match(rules, chosen, subject, k).alias(f"best{k}") for k in (0, 1)))
+    return found.select(
         id_col,
         "host",
         "path",
