@@ -2,22 +2,24 @@
 their cell's index on the curve, and runs of that order are cut into shards, so that each shard's files span a small
 box of every dimension and can be pruned by min/max of any of them.
 
-Scale: a global order without a global sort. Rows are counted by (curve index, sub-cell); there are at most
-2^(bits * dimensions) * SUB groups however large the input is. Cumulative counts give each group's first position,
-and a row's position is that plus its number within the group. Only ids and sizes are shuffled, not texts. Sub-cells
-are hashes of the id, so a cell that holds a third of all rows still spreads over SUB window groups.
+Scale: a global order without a global sort. Texts are read once, for their size and checksum; the small rows that are
+left are written and read from there. They are counted by (curve index, sub-cell); cumulative counts give each group's
+first position, and a row's position is that plus its number within the group. Sub-cells are hashes of id and text, as
+many as keep a cell that holds all rows to about SUB_ROWS rows a window group. The curve is a table of 2^(bits *
+dimensions) numbers in the plan. Only ids and sizes are shuffled, not texts.
 """
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import parts, ship, table
+from tarn.llm.common import stored, table
 
-BITS, SUB = 4, 64
+BITS, SUB, SUB_ROWS, MOST_CELLS = 4, 64, 200_000, 1 << 16
 
 
 def hilbert_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
@@ -60,50 +62,55 @@ def shard_plan(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     one at most. Null texts have size 16 and crc32 0; null metadata is in cell 0; rows with equal ids and texts take
     neighbouring positions in either order. Extra columns are left out. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    ship(spark)
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 16
     dims = {"lang": sortable(F.col("lang")), "source": sortable(F.col("source")), "size": size} if dimensions is None else dimensions
+    if 1 << bits * len(dims) > MOST_CELLS:
+        raise ValueError(f"{len(dims)} dimensions of {bits} bits make more than {MOST_CELLS} cells")
     names = [f"dim{i}" for i in range(len(dims))]
     rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(F.col(text_col)), F.lit(0)).alias("text_crc32"), *(c.cast("long").alias(n) for n, c in zip(names, dims.values())))
+    rows = stored(rows, "shard-rows")
     cut = [k / 2**bits for k in range(1, 2**bits)]
     seen = rows.agg(F.count("*").alias("n"), *(F.percentile_approx(n, cut, 10_000).alias(n) for n in names)).first()
     total = seen["n"]
-
-    @F.pandas_udf("long")
-    def curve(cells: pd.DataFrame) -> pd.Series:
-        return pd.Series(hilbert_index([cells[c].to_numpy() for c in cells.columns], bits))
+    cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * len(dims), indexing="ij"), -1).reshape(-1, len(dims))
+    curve = F.from_json(F.lit(json.dumps(hilbert_index(list(cells.T), bits).tolist())), "array<int>")
 
     def cell(name: str) -> Column:
         out = F.lit(0)
         for edge in seen[name] or []:
             out = out + F.when(F.col(name) > edge, 1).otherwise(0)
-        return out.alias(name)
+        return out
 
-    group = ["curve", "sub"]
-    placed = rows.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SUB)).cast("int").alias("sub"), *(cell(n) for n in names))
-    placed = placed.select("doc_id", "size", "text_crc32", "sub", curve(F.struct(*names)).alias("curve"))
-    n = parts(spark)
+    group, subs = ["curve", "sub"], max(SUB, -(-total // SUB_ROWS))
+    number = F.lit(0)
+    for name in names:
+        number = number * (1 << bits) + cell(name)
+    placed = rows.select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(subs)).cast("int").alias("sub"), F.element_at(curve, number + 1).alias("curve"))
     counted = placed.groupBy(*group).agg(F.count("*").alias("rows"))
     inside = Window.partitionBy("curve").orderBy("sub").rowsBetween(Window.unboundedPreceding, -1)
     cells = counted.groupBy("curve").agg(F.sum("rows").alias("rows"))  # 2^(bits * dims) rows at most: one window is enough
     first = cells.select("curve", F.coalesce(F.sum("rows").over(Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     starts = counted.select(*group, F.coalesce(F.sum("rows").over(inside), F.lit(0)).alias("within")).join(first, "curve").select(*group, (F.col("before") + F.col("within")).alias("start"))
-    ranked = placed.repartition(n, *group).withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy("text_crc32", "doc_id", "size")) - 1).join(starts, group).withColumn("at", F.col("at") + F.col("start"))
+    ranked = placed.withColumn("at", F.row_number().over(Window.partitionBy(*group).orderBy("text_crc32", "doc_id", "size")) - 1).join(starts, group).withColumn("at", F.col("at") + F.col("start"))
     # integer arithmetic in decimal: a position times the number of shards may pass 2^63
     shard = F.expr(f"cast((cast(at as decimal(20,0)) * {shards}) div {max(total, 1)} as int)")
     begin = F.expr(f"cast((cast(shard as decimal(20,0)) * {total} + {shards - 1}) div {shards} as bigint)")
     return ranked.withColumn("shard", shard).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("at") - begin).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, **options) -> DataFrame:
-    """Writes docs below path in folders shard=N, in slot order, and returns the manifest: for each shard its rows,
-    bytes and the range of each metadata column. doc_id must identify rows here."""
-    plan = shard_plan(docs, shards, **options).select("doc_id", "size", "shard", "slot")
-    full = docs.join(plan, "doc_id").repartition(shards, "shard").sortWithinPartitions("shard", "slot")
-    full.drop("slot", "size").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 40, file_rows: int = 100_000, **options) -> DataFrame:
+    """Writes docs below path in folders shard=N, as files of at most file_rows rows that are runs of the shard's slots, and
+    returns the manifest: for each shard and run its rows, bytes and the range of each metadata column. doc_id must
+    identify rows here; null or repeated ids raise a ValueError."""
+    if not docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        raise ValueError("doc_id is null or repeats")
+    plan = stored(shard_plan(docs, shards, **options).select("doc_id", "size", "shard", "slot", F.floor(F.col("slot") / file_rows).alias("run")), "shard-plan")
+    files = max(1, plan.select("shard", "run").distinct().count())
+    full = docs.join(plan.select("doc_id", "shard", "slot", "run"), "doc_id")
+    full.repartition(files, "shard", "run").sortWithinPartitions("shard", "slot").drop("slot", "run").write.option("maxRecordsPerFile", file_rows).partitionBy("shard").parquet(path)
     kept = [c for c in ("lang", "source") if c in docs.columns]
-    return full.groupBy("shard").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), *(f(c).alias(f"{k}_{c}") for c in kept for k, f in (("min", F.min), ("max", F.max))))
+    facts = plan.join(docs.select("doc_id", *kept), "doc_id")
+    return facts.groupBy("shard", "run").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes"), F.min("size").alias("min_size"), F.max("size").alias("max_size"), *(f(c).alias(f"{k}_{c}") for c in kept for k, f in (("min", F.min), ("max", F.max))))
 
 
 def op8_hilbert_shards(spark, sf_dir: str) -> DataFrame:
