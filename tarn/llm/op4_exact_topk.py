@@ -3,9 +3,12 @@ table, so that the first coordinates carry most of each product. Candidates are
 stops as soon as |q| * |c| cannot reach its k-th score, and otherwise a partial sum over the first coordinates plus
 the Cauchy-Schwarz bound of the rest decides which pairs get their exact integer product.
 
-Scale: queries are a fixed share of the rows, so they are taken in blocks of QUERY_BLOCK rows: a block is what is sent
-to the executors, and each block reads the candidates once. The rotation comes from a d x d matrix that is summed on
-the executors. The SEEDS longest vectors give each query a first bound on its k-th score, so tasks return few rows.
+Scale: vectors are written once, range-partitioned and sorted by descending length, so that a task holds a band of lengths
+and reads it from its longest vector on; vectors of one length are split by id. Queries are a fixed share of the rows, so
+they are taken in blocks of QUERY_BYTES: a block is what is sent to the executors, reads the bands once, and its result is
+written before the next block is sent. The rotation comes from a d x d matrix that is summed on the executors. The SEEDS
+longest vectors give each query a first bound on its k-th score, so bands of short vectors stop at their first vector,
+and tasks return few rows.
 """
 
 from __future__ import annotations
@@ -18,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.common import ship, table
+from tarn.llm.common import parts, ship, stored, table
 
-K, QUERY_BLOCK, SEEDS, CHUNK, HEAD, VISIT = 5, 20_000, 1024, 512, 0.25, 50_000
+K, QUERY_BYTES, SEEDS, CHUNK, HEAD, VISIT = 5, 32 << 20, 1024, 512, 0.25, 50_000
 _NONE = np.iinfo(np.int64).min
 
 
@@ -124,27 +127,28 @@ def rotation(rows: DataFrame, dim: int) -> np.ndarray:
     return np.ascontiguousarray(np.linalg.eigh(total)[1][:, ::-1])
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = K, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = K, query_block: int | None = None) -> DataFrame:
     """Returns query_id, rank (from 1), vec_id, score: for each row whose id is divisible by `every`, the k largest
     integer inner products with rows of other ids; ties go to the smaller id.
 
     Null ids and unsound vectors take no part; shorter vectors count as filled up with zeros. Repeated rows are
     candidates of their own, equal query rows are one query. Without queries or candidates the result is empty.
-    Products must fit in 63 bits.
+    Products must fit in 63 bits. query_block: queries of a block (default: as many as take QUERY_BYTES).
     """
     spark = vectors.sparkSession
     ship(spark)
-    rows = integers(vectors, id_col, vector_col)
-    asked = rows.where(F.col("vec_id") % every == 0).distinct()
+    rows = integers(vectors, id_col, vector_col).withColumn("n2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    rows = stored(rows.repartitionByRange(parts(spark), F.desc("n2"), "vec_id").sortWithinPartitions(F.desc("n2"), "vec_id"), "bands")
+    asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
     dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
     n = asked.count()
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    schema = "block int, query int, query_id long, vec_id long, score long"
     if not n or not dim:
-        return empty
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     turn = rotation(rows, dim)
-    longest = rows.select("vec_id", "v", F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x).alias("n2")).orderBy(F.desc("n2"), "vec_id").limit(SEEDS).toPandas()
+    longest = rows.orderBy(F.desc("n2"), "vec_id").limit(SEEDS).toPandas()
     seed_ids, seed_rows = longest["vec_id"].to_numpy(), np.array([np.pad(v, (0, dim - len(v))) for v in longest["v"]], dtype=np.int64)
-    blocks = -(-n // query_block)
+    blocks = -(-n // (query_block or max(1, QUERY_BYTES // (8 * dim))))
     found = []
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id", "v").toPandas()
@@ -171,12 +175,11 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
             q, r = np.nonzero(s.score != _NONE)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), b, dtype=np.int32)), pa.array(q.astype(np.int32)), pa.array(ids[q]), pa.array(s.best[q, r]), pa.array(s.score[q, r])], ["block", "query", "query_id", "vec_id", "score"])
 
-        found.append(rows.mapInArrow(search, "block int, query int, query_id long, vec_id long, score long"))
-    if not found:
-        return empty
-    order = Window.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.unionAll, found).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        order = Window.partitionBy("block", "query").orderBy(F.desc("score"), "vec_id")
+        best = rows.select("vec_id", "v").mapInArrow(search, schema).withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+        found.append(stored(best.select("query_id", "rank", "vec_id", "score"), "top"))
+        sent.destroy()
+    return reduce(DataFrame.unionAll, found)
 
 
 def op4_exact_topk(spark, sf_dir: str) -> DataFrame:
