@@ -131,6 +131,40 @@ def test_toxicity_on_held_out_rows(spark, small):
     assert right > 0.8 and found > 0.5
 
 
+def test_toxicity_by_a_plain_fit(spark, monkeypatch):
+    """n-grams as strings, chi-square, log-count ratios and Newton steps on a dense matrix."""
+    monkeypatch.setattr(op2_toxicity, "LEAST", 2.0)
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["awful", "rotten", "garden", "river", "stone"] if k % 2 else ["garden", "river", "stone", "gentle"], 6)) for k in range(24)]
+    label = np.array([k % 2 for k in range(24)], dtype=float)
+    rows = spark.createDataFrame([(t, int(y), 1.0) for t, y in zip(texts, label)], "text string, label int, weight double")
+    model = op2_toxicity.fit(rows)
+    asked = [*texts[:6], "a rotten stone", "nothing of the kind", "", None]
+    got = [r["score"] for r in op2_toxicity.toxicity(spark.createDataFrame(list(enumerate(asked)), "doc_id int, text string"), model).orderBy("doc_id").collect()]
+
+    def grams(t):
+        t = " " + " ".join((t or "").lower().split()) + " "
+        return {t[i : i + n] for n in op2_toxicity.ORDERS for i in range(len(t) - n + 1)}
+
+    sets = [grams(t) for t in texts]
+    n1, n0 = label.sum(), (1 - label).sum()
+    chi, ratio = {}, {}
+    for g in set().union(*sets):
+        a = sum(y for s, y in zip(sets, label) if g in s)
+        b = sum(1 - y for s, y in zip(sets, label) if g in s)
+        if a + b >= 2:
+            chi[g] = 24 * (a * (n0 - b) - b * (n1 - a)) ** 2 / ((a + b) * (24 - a - b) * n1 * n0) if a + b < 24 else 0
+            ratio[g] = math.log((a + 5) / (n1 + 10)) - math.log((b + 5) / (n0 + 10))
+    chosen = [g for g, x in chi.items() if x >= min(2.0, max(chi.values()) / 2)]
+    x = np.array([[1.0] + [ratio[g] * (g in s) for g in chosen] for s in sets])
+    w, penalty = np.zeros(x.shape[1]), np.diag([0.0] + [1.0] * len(chosen))
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + penalty + 1e-12 * np.eye(len(w)), x.T @ (p - label) + penalty @ w)
+    want = [1 / (1 + math.exp(-(w[0] + sum(w[1 + i] * ratio[g] for i, g in enumerate(chosen) if g in grams(t))))) for t in asked]
+    assert len(chosen) > 20 and got == pytest.approx(want, abs=0.01)
+
+
 def test_toxicity_of_messy_rows(spark, messy, none):
     labels = spark.createDataFrame([(1, 1), (1, 0), (7, 0), (8, 0), (10, 0), (None, 1), (9, None)], "doc_id long, toxic int")
     model = op2_toxicity.fit(op2_toxicity.training_rows(messy, labels, "toxic"))

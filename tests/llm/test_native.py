@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.llm import op6_line_dedup, op7_url_rules, op8_hilbert_shards
 from tests.compare import plain, sql_rows
@@ -85,6 +86,16 @@ def test_urls(spark):
     assert op7_url_rules.url_filter(pages, rules=[free]).where("verdict = 'block'").count() == sum("example" in (u or "").lower() for u in URLS + URLS[:3])
 
 
+def test_ties_blocks_of_rules_and_letters_beyond_ascii(spark, monkeypatch):
+    urls = ["http://a.b/casino\u212a", "http://a.b/\u212acasino/", "http://a.b/" + "x/" * 50_000 + "casino", "http://a.b/porn-casino", "http://a.b/xxxx"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = op7_url_rules.WORD_RULES + [op7_url_rules.word_rule("allow", "x" * 4), op7_url_rules.word_rule("block", "x" * 4), op7_url_rules.Rule("yyyy", "block", "xxxx", (), 1)]
+    whole = [(r["verdict"], r["pattern"]) for r in op7_url_rules.url_filter(pages, rules=rules).orderBy("page_id").collect()]
+    assert whole == [("block", "casino")] * 4 + [("block", "yyyy")]  # the Kelvin sign is no letter of a token; the longest wins, then the last by name
+    monkeypatch.setattr(op7_url_rules, "MAX_RULES", 2)
+    assert [(r["verdict"], r["pattern"]) for r in op7_url_rules.url_filter(pages, rules=rules).orderBy("page_id").collect()] == whole
+
+
 def test_candidates_come_from_rare_tokens(spark):
     from pyspark.sql import functions as F
 
@@ -118,9 +129,35 @@ def test_shards(spark, small, messy, none):
     assert op8_hilbert_shards.shard_plan(none).count() == 0
 
 
+def test_positions_equal_a_plain_sort_along_the_curve(spark, small, monkeypatch):
+    """Quantise, sort by curve, sub-cell, checksum and id, cut into runs."""
+    monkeypatch.setattr(op8_hilbert_shards, "SUB_ROWS", 10)
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    dims = {"lang": op8_hilbert_shards.sortable(F.col("lang")), "size": F.octet_length("text").cast("long")}
+    got = {r["doc_id"]: (r["shard"], r["slot"], r["curve"]) for r in op8_hilbert_shards.shard_plan(docs, 7, dimensions=dims, bits=3).collect()}
+    rows = docs.select("doc_id", F.crc32("text").alias("crc"), *(c.alias(k) for k, c in dims.items()), F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(100)).alias("sub")).toPandas()
+    cells = []
+    for k in dims:  # with so few rows quantiles are exact: the smallest value that a share of k / 8 doesn't exceed
+        ranked = np.sort(rows[k].to_numpy())
+        edges = [ranked[-(-len(ranked) * i // 8) - 1] for i in range(1, 8)]
+        cells.append(sum((rows[k].to_numpy() > e).astype(int) for e in edges))
+    rows["curve"] = op8_hilbert_shards.hilbert_index(cells, 3)
+    rows = rows.sort_values(["curve", "sub", "crc", "doc_id"]).reset_index(drop=True)
+    n, want, slots = len(rows), {}, Counter()
+    for at, r in enumerate(rows.itertuples()):
+        shard = at * 7 // n
+        want[r.doc_id] = (shard, slots[shard], r.curve)
+        slots[shard] += 1
+    assert got == want
+    with pytest.raises(ValueError):
+        op8_hilbert_shards.shard_plan(docs, dimensions={str(i): F.lit(1) for i in range(5)})
+
+
 def test_written_shards(spark, tiny, tmp_path):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     manifest = op8_hilbert_shards.write_shards(docs, str(tmp_path / "shards"), 8).collect()
     back = spark.read.parquet(str(tmp_path / "shards"))
+    with pytest.raises(ValueError):
+        op8_hilbert_shards.write_shards(docs.union(docs.limit(1)), str(tmp_path / "no"))
     assert back.count() == docs.count() == sum(r["rows"] for r in manifest)
     assert hashlib.sha256("".join(sorted(r["text"] for r in back.collect())).encode()).digest() == hashlib.sha256("".join(sorted(r["text"] for r in docs.collect())).encode()).digest()
