@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tarn.llm.common import parts, ship, table
 from tarn.llm.packing import LEVEL, Numbers, by_group, pack, small, unpack
 
-BATCH_TOKENS, BATCH_BYTES, TABLE_BYTES, SLICE = 2_000_000, 16 << 20, 128 << 20, 200_000
+BATCH_TOKENS, BATCH_BYTES, TABLE_BYTES, SLICE = 3_000_000, 24 << 20, 128 << 20, 200_000
 MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
 
@@ -85,11 +85,14 @@ class Batch:
         with the chunks that lie there, in the order of their numbers."""
         self.digest.update(str(place).encode())
         key = self.digest.intdigest() >> 1
-        chunks = list(self.numbers)
+        sizes, numbers, chunks = np.array([len(t) for t in self.texts]), np.concatenate(self.texts), list(self.numbers)
+        # frequent chunks get small numbers, which pack better
+        order = np.argsort(-np.bincount(numbers, minlength=len(chunks)), kind="stable")
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order))
+        numbers, chunks = rank[numbers], [chunks[i] for i in order.tolist()]
         shard = np.fromiter((xxhash.xxh3_64_intdigest(c.encode("utf-8", "surrogatepass")) % shards for c in chunks), dtype=np.int64, count=len(chunks))
-        sizes = np.array([len(t) for t in self.texts])
-        numbers = np.concatenate(self.texts)
-        yield key, key % shards, self.docs, pack(small(sizes), small(numbers), small(shard))
+        yield key, key % shards, self.docs, pack(small(sizes), small(numbers), small(shard), level=6)
         for g, at in by_group(shard, shards):
             yield key, g, None, zstandard.compress(MARK.join([chunks[i] for i in at.tolist()]).encode("utf-8", "surrogatepass"), LEVEL)
 

@@ -24,11 +24,11 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32 if top < 1 << 32 else np.uint64)
 
 
-def pack(*arrays: np.ndarray) -> bytes:
+def pack(*arrays: np.ndarray, level: int = LEVEL) -> bytes:
     """Integers are laid out byte by byte, as their upper bytes are alike."""
     head = b"".join(struct.pack("<cI", a.dtype.char.encode(), len(a)) for a in arrays)
     body = (np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() if len(a) else b"" for a in arrays)
-    return zstandard.compress(struct.pack("<B", len(arrays)) + head + b"".join(body), LEVEL)
+    return zstandard.compress(struct.pack("<B", len(arrays)) + head + b"".join(body), level)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
