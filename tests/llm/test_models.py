@@ -32,7 +32,12 @@ def test_elias_fano(values):
         rng = np.random.default_rng(1)
         wanted = np.concatenate((values, values + 1, [0, 1 << 51], rng.integers(0, int(values[-1]) + 2, 50)))
         lo, hi = np.sort(rng.integers(0, len(values) + 1, (2, len(wanted))), axis=0)
-        assert (ef.next_geq(lo, hi, wanted) == np.clip(np.searchsorted(values, wanted), lo, hi)).all()
+        for k in np.arange(0, len(wanted), 40), np.arange(len(wanted)):  # few at once, and many
+            want = np.clip(np.searchsorted(values, wanted[k]), lo[k], hi[k])
+            at, same = ef.next_geq(lo[k], hi[k], wanted[k])
+            assert (at == want).all() and (same == [i < h and values[i] == w for i, h, w in zip(want, hi[k], wanted[k])]).all()
+        x = values[len(values) // 2]
+        assert ef.next_geq([0], [len(values)], [x])[0] == np.searchsorted(values, x) and (ef.take(at := rng.integers(0, len(values), 1)) == values[at]).all()
 
 
 def test_quantised():
