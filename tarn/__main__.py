@@ -12,7 +12,7 @@ from tarn.operators import graph
 from tarn.operators.index import Index, kgram_index, kgram_report, term_dictionary, tokenized, vocabulary
 from tarn.operators.query import Query, page
 from tarn.operators.rank import Normalization
-from tarn.operators.spell import suggest
+from tarn.operators.spell import shorten, suggest
 from tarn.plans.search import Kind, Ranking, search
 from tarn.sources import files
 
@@ -75,8 +75,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         return [f"{n} terms", *terms]
     if args.command == "index":
         docs = files.read_documents(spark, args.dir)
-        Index.build(docs, **options).save(args.out)
-        docs.select("doc_id", "name").write.parquet(f"{args.out}/names")
+        Index.build(docs, **options).save(args.out, names=docs.select("doc_id", "name"))
         return [f"{docs.count()} documents"]
     if args.command == "search":
         index, q = Index.load(spark, args.index), Query.parse(args.query)
@@ -84,8 +83,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> list[str]:
         ranks = graph.served(graph.pagerank(edges)) if edges is not None and args.ranking in ("pagerank", "combination") else None
         found = search(index, q, Kind(args.kind), Ranking(args.ranking), Normalization(args.norm), ranks, edges)
         if found is None:
-            return ["No match. Did you mean:", *(r["phrase"] for r in suggest(index, q).collect())]
-        best = page(found.select("doc_id", "score"), 0, args.n).join(spark.read.parquet(f"{args.index}/names"), "doc_id").orderBy("rank")
+            return ["No match. Did you mean:", *(shorten(r["phrase"]) for r in suggest(index, q).collect())]
+        best = page(found.select("doc_id", "score"), 0, args.n).join(index.docs.select("doc_id", "name"), "doc_id").orderBy("rank")
         return [f"{r['rank']}. {r['name']}   {r['score']:.5f}" for r in best.collect()]
     edges = files.read_links(spark, args.links)
     nodes = files.read_link_nodes(spark, args.links)

@@ -45,3 +45,14 @@ def override(judgments: DataFrame, doc: str, rel: int = 0) -> DataFrame:
     first = Window.partitionBy("run_id", "doc").orderBy("rank")
     changed = (F.col("doc") == doc) & (F.col("__at") == 1)
     return judgments.withColumn("__at", F.row_number().over(first)).withColumn("rel", F.when(changed, F.lit(rel)).otherwise(F.col("rel"))).drop("__at")
+
+
+def precision_recall_lines(judgments: DataFrame, relevant: int = RELEVANT) -> DataFrame:
+    """value: a line for each run with precision and recall to two decimals, in order of runs."""
+    found = precision_recall(judgments, relevant).orderBy("run_id")
+    return found.select(F.format_string("Run %s: precision %.2f, recall %.2f", F.col("run_id").cast("string"), "precision", "recall").alias("value"))
+
+
+def curve(judgments: DataFrame, step: int = 10, relevant: int = RELEVANT) -> DataFrame:
+    """run_id, recall, precision: the points of each run's precision-recall curve, in order of recall."""
+    return precision_recall_at(judgments, step, relevant).select("run_id", "recall", "precision").orderBy("run_id", "recall", F.desc("precision"))

@@ -16,10 +16,6 @@ from pyspark.sql import functions as F
 from tarn.functions.text import kgrams, tokenize
 from tarn.plans.storage import stored
 
-#: Documents that are numbered together when running sums over documents are split in two levels.
-NUMBERED = 4096
-
-
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, toks. options: see functions.text.tokenize."""
     return docs.select(F.col(id_col).alias("doc_id"), tokenize(F.col(text_col), **options).alias("toks"))
@@ -55,15 +51,17 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
 def term_dictionary(tokens: DataFrame) -> DataFrame:
     """term_id (from 0, in order of first occurrence), term.
 
-    Terms are numbered within the document of their first occurrence; running sums over documents, within groups of
-    NUMBERED documents and then over groups, give each document's first number, so no task orders all terms.
+    Terms are numbered within the document of their first occurrence. Documents are range-partitioned by id, which may be of
+    any type; running sums within a partition and over partitions' sums, of which there are as many as shuffle partitions,
+    give each document's first number, so no task orders all terms or documents.
     """
     first = token_rows(tokens).groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("term", "at.doc_id", "at.pos")
-    new = first.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("part", F.floor(F.col("doc_id") / NUMBERED))
-    in_part = Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    totals = new.groupBy("part").agg(F.sum("n").alias("n"))
-    parts = totals.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    starts = new.select("doc_id", "part", F.coalesce(F.sum("n").over(in_part), F.lit(0)).alias("within")).join(parts, "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"))
+    new = first.groupBy("doc_id").agg(F.count("*").alias("n"))
+    n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    new = stored(new.repartitionByRange(n, "doc_id").withColumn("part", F.spark_partition_id()), "new-terms")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = new.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("base"))
+    starts = new.select("doc_id", "part", before(Window.partitionBy("part").orderBy("doc_id")).alias("within")).join(F.broadcast(parts), "part").select("doc_id", (F.col("base") + F.col("within")).alias("start"))
     ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1)
     return ranked.join(starts, "doc_id").select((F.col("start") + F.col("rank")).cast("long").alias("term_id"), "term")
 
@@ -119,6 +117,8 @@ class Index:
     n: int
     norms: DataFrame | None = None
     saved_terms: DataFrame | None = None
+    saved_docs: DataFrame | None = None
+    saved_kgrams: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> Index:
@@ -129,20 +129,32 @@ class Index:
     def terms(self) -> DataFrame:
         return self.saved_terms if self.saved_terms is not None else vocabulary(self.tokens)
 
+    @property
+    def docs(self) -> DataFrame:
+        """doc_id, name (null where none was saved), doc_len."""
+        if self.saved_docs is not None:
+            return self.saved_docs
+        return doc_lengths(self.tokens).select("doc_id", F.lit(None).cast("string").alias("name"), "doc_len")
+
+    @property
+    def kgrams(self) -> DataFrame:
+        """kgram, term of the vocabulary's 2-grams."""
+        return self.saved_kgrams if self.saved_kgrams is not None else kgram_index(self.terms)
+
     def euclidean(self) -> DataFrame:
         return self.norms if self.norms is not None else doc_norms(self.tokens)
 
     def stored(self) -> Index:
         """This index with its tokens written to the shared folder, for work that reads them more than once."""
         tokens = stored(self.tokens, "tokens")
-        return Index(tokens, postings(tokens), self.n, self.norms, self.saved_terms)
+        return Index(tokens, postings(tokens), self.n, self.norms, self.saved_terms, self.saved_docs, self.saved_kgrams)
 
     def matching(self, condition: Column) -> DataFrame:
         return self.postings.where(condition)
 
-    def save(self, path: str, partitions: int | None = None) -> None:
-        """Write the index below path: postings range-partitioned and sorted by term, so that a term's filter reads few
-        row groups; tokens, norms and terms beside them. Overwrites nothing."""
+    def save(self, path: str, partitions: int | None = None, names: DataFrame | None = None) -> None:
+        """Write the index below path: postings range-partitioned and sorted by term and k-grams by k-gram, so that a filter
+        reads few row groups; tokens, norms, terms and documents (with names: doc_id, name) beside them. Overwrites nothing."""
         spark = self.tokens.sparkSession
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
         # doc_id too, so that a frequent term's postings fall into several files
@@ -150,9 +162,14 @@ class Index:
         self.tokens.write.parquet(f"{path}/tokens")
         self.euclidean().write.parquet(f"{path}/norms")
         self.terms.write.parquet(f"{path}/terms")
+        docs = self.docs
+        if names is not None:
+            docs = docs.drop("name").join(names.select("doc_id", "name").dropDuplicates(["doc_id"]), "doc_id", "left").select("doc_id", "name", "doc_len")
+        docs.write.parquet(f"{path}/docs")
+        self.kgrams.repartitionByRange(n, "kgram", "term").sortWithinPartitions("kgram", "term").write.parquet(f"{path}/kgrams")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
         read = spark.read.parquet
         tokens = read(f"{path}/tokens")
-        return cls(tokens, read(f"{path}/postings"), tokens.count(), read(f"{path}/norms"), read(f"{path}/terms"))
+        return cls(tokens, read(f"{path}/postings"), tokens.count(), read(f"{path}/norms"), read(f"{path}/terms"), read(f"{path}/docs"), read(f"{path}/kgrams"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.text import edit_distance_within_2, kgram_bag
@@ -49,12 +49,13 @@ def suggest(index: Index, query: Query, limit: int = LIMIT, k: int = 2) -> DataF
             options = spark.createDataFrame([(term, 1.0)], "term string, score double")
         else:
             options = corrections(counts, term, k)
-        # a term's own options are cut only when they are alone; pairs are cut after each step
+        # products of positive scores: the best `limit` pairs are made of the best `limit` of each side
+        options = options.orderBy("score", "term").limit(limit)
         if beam is None:
             beam = options.select(F.col("term").alias("phrase"), "score")
         else:
             right = options.select("term", F.col("score").alias("s"))
-            # both sides on one key: `limit` rows against one term's options
+            # both sides on one key: `limit` rows against `limit` rows
             pairs = beam.withColumn("one", F.lit(1)).join(right.withColumn("one", F.lit(1)), "one")
             beam = pairs.select(F.concat_ws(" ", "phrase", "term").alias("phrase"), (F.col("score") * F.col("s")).alias("score")).orderBy("score", "phrase").limit(limit)
     if beam is None:
@@ -72,9 +73,3 @@ def search_with_suggestions(index: Index, query: Query, as_phrase: bool = False,
 def shorten(text: str, most: int = 50) -> str:
     """A suggestion as it is shown."""
     return text if len(text) <= most else text[:most] + "..."
-
-
-def ranked_corrections(index: Index, term: str, k: int = 2) -> DataFrame:
-    """rank, term, score of one term's corrections."""
-    best = corrections(term_counts(index.tokens).select("term", "df"), term, k)
-    return best.select(F.row_number().over(Window.orderBy("score", "term")).alias("rank"), "term", "score")

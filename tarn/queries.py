@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -488,6 +489,18 @@ def spell_phrase(spark, d):
     return spell.suggest(index_of(spark, d), Query.parse("licence mit")).select("phrase", F.round("score", 6).alias("score"))
 
 
+def _both(first: str, second: str) -> str:
+    """All pairs of both terms' corrections, unrounded, the ten best."""
+    exact = lambda t: _suggest_sql(t).replace("round(distance / (df * jaccard), 6)", "distance / (df * jaccard)")
+    named = lambda t, k: re.sub(r"(?m)(^|FROM )(bag|shared|near|dist|fixed)\b", rf"\g<1>\g<2>{k}", exact(t))
+    return f"{TOKENS}, {named(first, 1)}, {named(second, 2)} SELECT phrase, round(score, 6) AS score FROM (SELECT a.term || ' ' || b.term AS phrase, a.score * b.score AS score FROM fixed1 a CROSS JOIN fixed2 b) ORDER BY score, phrase LIMIT 10"
+
+
+@op(_both("thaat", "andd"))
+def spell_phrase_two_unknown(spark, d):
+    return spell.suggest(index_of(spark, d), Query.parse("thaat andd")).select("phrase", F.round("score", 6).alias("score"))
+
+
 @op(f"{TOKENS}, {_suggest_sql('licence')} SELECT term || ' and' AS phrase, score FROM fixed ORDER BY score, phrase LIMIT 10")
 def search_with_suggestions(spark, d):
     results, suggestions = spell.search_with_suggestions(index_of(spark, d).stored(), Query.parse("licence and"))
@@ -521,7 +534,13 @@ def pagerank_loss(spark, d):
     return graph.squared_loss(graph.pagerank(edges, rounds=8), graph.pagerank(edges, rounds=4)).select(F.round("loss", 12).alias("loss"))
 
 
-@op()
+_MOST = 60  # rounds unrolled in SQL; more than 0.85^k takes to fall below the threshold
+
+_MOVES = " UNION ALL ".join(f"SELECT {k} AS k, max(abs(a.pr - b.pr)) AS moved FROM p{k} a JOIN p{k - 1} b USING (node)" for k in range(1, _MOST + 1))
+_STATES = " UNION ALL ".join(f"SELECT {k} AS k, node, pr FROM p{k}" for k in range(1, _MOST + 1))
+
+
+@op(_pagerank_sql(_PART_EDGES, _MOST) + f", moves AS MATERIALIZED ({_MOVES}), final AS (SELECT node, pr FROM ({_STATES}) WHERE k = (SELECT min(k) FROM moves WHERE moved <= 1e-4)) SELECT node, round(pr / (SELECT sum(pr) FROM final), 5) AS pr FROM final")
 def pagerank_converged(spark, d):
     return graph.served(graph.pagerank(part_edges(spark, d)))
 
@@ -586,9 +605,9 @@ def hits_subset(spark, d):
 
 @op(f"WITH e AS ({_PART_EDGES}) SELECT node, coalesce(n, 0)::BIGINT AS out FROM (SELECT src AS node FROM e UNION SELECT dst FROM e) LEFT JOIN (SELECT src, count(*) AS n FROM e GROUP BY src) ON src = node")
 def link_degrees(spark, d):
-    from tarn.sources.files import node_numbers
+    from tarn.sources.files import out_degrees
 
-    return node_numbers(part_edges(spark, d))
+    return out_degrees(part_edges(spark, d))
 
 
 # ------------------------------------------------------------------ evaluation: rank labelled documents, quality is relevance

@@ -37,7 +37,7 @@ def read_link_nodes(spark: SparkSession, path: str) -> DataFrame:
     return own.union(read_links(spark, path).select("dst")).where("node is not null").distinct()
 
 
-def node_numbers(edges: DataFrame) -> DataFrame:
+def out_degrees(edges: DataFrame) -> DataFrame:
     """node, out: out-degree of each node (0 for nodes that are only linked to)."""
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
@@ -85,13 +85,14 @@ def import_postings(lines: DataFrame) -> DataFrame:
 
 def score_lines(scores: DataFrame, value: str, pattern: str = "%s: %s") -> DataFrame:
     """value: a line for each score. "%.5g" of a text writer becomes round-trip text here unless a pattern says otherwise."""
-    return scores.select(F.format_string(pattern, "node", value).alias("value"))
+    return scores.select(F.format_string(pattern, F.col("node").cast("string"), value).alias("value"))
 
 
-def write_top(scores: DataFrame, value: str, path: str, k: int = 30) -> None:
-    """The k largest scores as lines `node: value`, in one file: k rows are few."""
+def write_top(scores: DataFrame, value: str, path: str, k: int = 30, pattern: str = "%s: %s") -> None:
+    """The k largest scores as lines `node: value`, in one file: k rows are few. pattern: as for score_lines, `%s: %.5g`
+    for five significant digits."""
     best = scores.where(F.col(value) > 0).orderBy(F.desc(value), "node").limit(k)
-    score_lines(best, value).coalesce(1).write.text(path)
+    score_lines(best, value, pattern).coalesce(1).write.text(path)
 
 
 def token_dump(tokens: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from tarn.operators import evaluate, graph
-from tarn.operators.index import Index, merge_postings, postings, tokenized
+from tarn.operators.index import Index, kgram_index, merge_postings, postings, term_dictionary, tokenized
 from tarn.operators.query import Query, intersection, kgram_side_lookup, matches, page, phrase, rocchio
 from tarn.operators.rank import Normalization, ranked_tfidf
 from tarn.operators.spell import search_with_suggestions, shorten
@@ -79,6 +80,11 @@ def test_save_load_merge(spark, index, tmp_path):
     index.save(str(tmp_path / "ix"), 2)
     back = Index.load(spark, str(tmp_path / "ix"))
     assert rows(back.postings, "term", "doc_id", "tf") == rows(index.postings, "term", "doc_id", "tf") and back.n == 4
+    assert rows(back.kgrams, "kgram", "term") == rows(kgram_index(index.terms), "kgram", "term") and {r["name"] for r in back.docs.collect()} == {None}
+    names = index.tokens.select("doc_id", F.concat(F.lit("name "), "doc_id").alias("name"))
+    index.save(str(tmp_path / "named"), 2, names)
+    named = Index.load(spark, str(tmp_path / "named")).docs
+    assert rows(named, "doc_id", "name") == rows(names, "doc_id", "name") and rows(named, "doc_id", "doc_len") == rows(index.docs, "doc_id", "doc_len")
     docs = index.tokens
     whole = merge_postings(postings(docs.where("doc_id < 2")), postings(docs.where("doc_id >= 1")).where("doc_id > 1"))
     assert rows(whole, "term", "doc_id", "offsets") == rows(index.postings, "term", "doc_id", "offsets")
@@ -86,6 +92,19 @@ def test_save_load_merge(spark, index, tmp_path):
     assert rows(files.import_postings(lines), "term", "doc_id", "tf", "offsets") == rows(index.postings, "term", "doc_id", "tf", "offsets")
 
 
+def test_terms_of_documents_with_text_ids_are_numbered(spark):
+    docs = spark.createDataFrame([("b", "y x"), ("a", "z y z"), ("c", "x w")], "doc_id string, text string")
+    assert sorted((r["term_id"], r["term"]) for r in term_dictionary(tokenized(docs)).collect()) == [(0, "z"), (1, "y"), (2, "x"), (3, "w")]
+
+
+def test_formatted_results_and_curves(spark, tmp_path):
+    judged = spark.createDataFrame([(1, k, f"d{k}", int(k % 2)) for k in range(1, 21)], "run_id int, rank int, doc string, rel int")
+    assert [r["value"] for r in evaluate.precision_recall_lines(judged).collect()] == ["Run 1: precision 0.50, recall 0.10"]
+    assert [tuple(r) for r in evaluate.curve(judged).collect()] == [(1, 0.05, 0.5), (1, 0.1, 0.5)]
+    files.write_top(spark.createDataFrame([(7, 0.123456789), (8, 0.5)], "node long, pr double"), "pr", str(tmp_path / "top"), pattern="%s: %.5g")
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "top")).collect()] == ["8: 0.50000", "7: 0.12346"]
+
+
 def test_streamed_index(spark, tmp_path):
     docs = spark.createDataFrame([(0, "a b a"), (1, "b")], "doc_id long, text string")
     docs.write.parquet(str(tmp_path / "in"))
