@@ -7,7 +7,6 @@ shuffle, and a query can pick its terms out of a document before anything is exp
 from __future__ import annotations
 
 import unicodedata
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -141,7 +140,3 @@ def edit_distance_within_2(a: Column, b: Column) -> Column:
 
     same_length = F.when(a == b, 0).when((lev <= 2) & F.arrays_overlap(drops(a), drops(b)), 2)
     return F.when(gap == 0, same_length).when((gap == 1) & (lev == 1), 1).when((gap == 2) & (lev == 2), 2)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x & y, conditions, F.lit(True))

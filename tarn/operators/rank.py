@@ -20,20 +20,6 @@ class Normalization(Enum):
     EUCLIDEAN = "euclid"
 
 
-def term_weights(index: Index, query: Query) -> DataFrame:
-    """term, weight: what each term of the vocabulary counts in a query. A wildcard's expansions each take its weight;
-    repeated terms add up."""
-    parts = {}
-    for t, w in zip(query.terms, query.weights):
-        parts[t] = parts.get(t, 0.0) + w
-    exact = {t: w for t, w in parts.items() if "*" not in t}
-    spark = index.tokens.sparkSession
-    rows = [spark.createDataFrame(list(exact.items()), "term string, weight double")] if exact else []
-    rows += [index.terms.where(matches(t)).select("term", F.lit(w).alias("weight")) for t, w in parts.items() if "*" in t]
-    every = reduce(DataFrame.unionAll, rows)
-    return every.groupBy("term").agg(F.sum("weight").alias("weight")) if len(rows) > 1 else every
-
-
 def hits_of(index: Index, query: Query) -> DataFrame:
     """Postings of the query's terms with `weight`: term, doc_id, tf, doc_len, weight."""
     some = reduce(lambda a, b: a | b, (matches(t) for t in set(query.terms)), F.lit(False))
