@@ -6,9 +6,11 @@ hash of a token's immediate context (the word before it), so that a shard has al
 with that word. There are as many shards as SHARD_TOKENS asks for, each in a task of its own. Texts' occurrences travel to the
 shards in packed rows, where they are counted and tries are built in memory-mapped levels. A text's score is a sum of
 what shards return for it. Held-out texts' n-grams are looked up by successor search among their context's children; those
-of training texts stand at positions known from building. Contexts of more than HOT occurrences are dealt to
-several shards by a hash class of their next word. Sent to all executors are only words of a share of TOP or more of the
-corpus, which are 1 / TOP at most.
+of training texts stand at positions known from building. Contexts of more than SPLIT occurrences are dealt to
+several shards by a hash of their next word, on which no score depends: logarithms are added up by text, so that
+each is added where its counts are. c(t u) of a dealt context u is known where t's successors are; what the back-off of t u
+and of u needs is summed from all of u's shards, beside the word counts, and asked for there by texts that back off.
+Sent to all executors are only words of a share of TOP or more of the corpus, which are 1 / TOP at most.
 
 What the model is, exactly, at any number of shards: with c(w), N, V from the training texts' tokens, D1 = n1 / (n1 + 2 n2)
 from how many words occur once and twice, and D2, D3 parameters,
@@ -18,7 +20,8 @@ from how many words occur once and twice, and D2, D3 parameters,
   than the mass there is, never more;
   P(w | t u) = (c(t u w) - D3) / c(t u) for a trigram of the training texts, else b(t u) P(w | u), with
   b(t u) = D3 * successors(t u) / c(t u) / (1 - sum of P(. | u) over successors of t u).
-An unknown context has b = 1. A context u with more than HOT occurrences (`ways` of its count, not of shards) is a mixture
+An unknown context has b = 1. This holds for contexts of any size, as HOT is infinite. A finite HOT is another model, which
+needs no sums over shards: a context u with more than HOT occurrences (`ways` of its count, not of shards) is then a mixture
 of classes: w's hash class is drawn first, by its share of u's occurrences, and then w within its class by the same
 formulas, where P(w) is divided by the class's share of all words, so that the probabilities of a context still sum to one.
 Probabilities and b are quantised on one grid of 1 / 2048 decade, so that a token is off by a thousandth of a decade at
@@ -42,11 +45,15 @@ from tarn.llm.common import LAST_ID, parts, remainder, ship, stored, table, word
 from tarn.llm.elias_fano import NgramTrie, Quantised
 from tarn.llm.packing import Numbers, by_group, pack, small, unpack
 
-SHARD_TOKENS, PIECE_TOKENS, BATCH_TOKENS, HOT, TOP = 4_000_000, 400_000, 2_000_000, 400_000, 1e-5
+SHARD_TOKENS, PIECE_TOKENS, BATCH_TOKENS, SPLIT, TOP = 4_000_000, 400_000, 2_000_000, 400_000, 1e-5
+#: A context of more occurrences is a mixture of classes: none is, as scores would then depend on the size of the input.
+HOT = float("inf")
 #: Discounts of bigrams and trigrams.
 D2, D3 = 0.8, 0.85
 #: Begin and end of a text: hashes of strings that hold a blank and so are no words.
 BEGIN, END = (xxhash.xxh64_intdigest(s) >> 1 for s in (b" begin", b" end"))
+#: Instead of a batch: rows of what a shard tells of dealt contexts, and of word counts.
+TOLD, COUNTS = -2, -1
 
 
 def hashes_of(numbers: Numbers) -> np.ndarray:
@@ -111,17 +118,33 @@ class Words:
         seen = np.concatenate((self.counts, [self.docs]))
         order = np.argsort(contexts)
         contexts, seen = contexts[order], seen[order]
-        # the training texts' share of occurrences is what is known here; HOT is about all of them
-        ways = -(-(seen * max(1, totals["tokens"]) // max(1, self.n)) // HOT)
-        self.hot, self.hot_count, self.hot_ways = contexts[ways > 1], seen[ways > 1], ways[ways > 1]
+        # the training texts' share of occurrences is what is known here; HOT and SPLIT are about all of them
+        every = seen * max(1, totals["tokens"]) // max(1, self.n)
+        ways = -(-every // HOT)
+        self.hot, self.hot_count, self.hot_ways = contexts[ways > 1], seen[ways > 1], ways[ways > 1].astype(np.int64)
+        split = (every > SPLIT) & (ways <= 1) & (contexts != END)
+        self.split, self.split_count, self.split_parts = contexts[split], seen[split], -(-every[split] // SPLIT)
 
     @staticmethod
     def number(totals: dict) -> int:
         """Of shards of contexts."""
         return max(1, -(-totals["tokens"] // SHARD_TOKENS))
 
+    def split_at(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each context among those dealt to several shards, or -1."""
+        if not len(self.split):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.split, hashes), len(self.split) - 1)
+        return np.where(self.split[at] == hashes, at, -1)
+
+    def dealt(self, hashes: np.ndarray) -> np.ndarray:
+        """Over how many shards each context is dealt: its classes, or parts."""
+        out, at = self.ways(hashes), self.split_at(hashes)
+        out[at >= 0] = self.split_parts[at[at >= 0]]
+        return out
+
     def ways(self, hashes: np.ndarray) -> np.ndarray:
-        """Over how many shards each context is dealt."""
+        """Of how many classes each context is a mixture."""
         out = np.ones(len(hashes), dtype=np.int64)
         if len(self.hot):
             at = np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)
@@ -156,6 +179,13 @@ def spread(hashes: np.ndarray, sub: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def history_key(before: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """A number for each pair of words."""
+    x = before.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + context.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(29))) >> np.uint64(1)).astype(np.int64)
+
+
 class Batch:
     """Texts of one task, packed into a row for each shard that their occurrences (two words of context, next word) go to."""
 
@@ -192,10 +222,10 @@ class Batch:
         prev[1:] = cur[:-1]
         prev[first] = begin
         doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        ways, shard = c.ways(hashes), np.empty(self.tokens, dtype=np.int32)
+        dealt, shard = c.dealt(hashes), np.empty(self.tokens, dtype=np.int32)
         for at in range(0, self.tokens, 1 << 17):  # in steps, as hashes of all occurrences take much memory
             u, w = cur[at : at + (1 << 17)], nxt[at : at + (1 << 17)]
-            shard[at : at + (1 << 17)] = spread(hashes[u], hashes[w] % ways[u]) % np.uint64(c.shards)
+            shard[at : at + (1 << 17)] = spread(hashes[u], hashes[w] % dealt[u]) % np.uint64(c.shards)
         for g, at in by_group(shard, c.shards):
             cw, ci = np.unique(cur[at], return_inverse=True)
             ow, oi = np.unique(np.concatenate((prev[at], nxt[at])), return_inverse=True)
@@ -231,17 +261,49 @@ def occurrences(texts: DataFrame, common) -> DataFrame:
 PARTIAL = "batch long, target int, data binary"
 
 
+def back_off(discount: float, more: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return np.log10(discount * more / left)
+
+
+def back_off_history(more: np.ndarray, after: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """log10 of b(t u) c(t u) / c(u), from the successors of t u and the sum of c(u w) over them."""
+    return back_off(D3, more, np.maximum(count - after + D2 * more, 1e-9 * count))
+
+
+class BackOffs:
+    """Of contexts dealt to several shards and of histories that end in them, from what the shards tell."""
+
+    def __init__(self, told: list[list[np.ndarray]], c: Words):
+        keys, of, more, after, at, more2, taken = (np.concatenate(x) for x in zip(*told)) if told else (np.zeros(0, dtype=np.int64) for _ in range(7))
+        self.keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        add = lambda x: np.bincount(inverse, weights=x, minlength=len(self.keys))
+        self.histories = Quantised(back_off_history(add(more), add(after), c.split_count[of[first]]))
+        # in a fixed order, so that a repeated run gives the same bits
+        order = np.lexsort((taken, at))
+        at, more2, taken = (np.bincount(at[order], weights=x[order], minlength=len(c.split)) for x in (np.ones(len(at)), more2, taken))
+        with np.errstate(divide="ignore"):
+            self.contexts = Quantised(np.where(at > 0, back_off(D2, more2, c.split_count * np.maximum(1 - taken, 1e-9)), 0.0))
+
+    def of_histories(self, keys: np.ndarray) -> np.ndarray:
+        """0 for those that no training text has."""
+        if not len(self.keys):
+            return np.zeros(len(keys))
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.histories.take(at), 0.0)
+
+
 def piece_scores(prev: np.ndarray, cur: np.ndarray, nxt: np.ndarray, train: np.ndarray, c: Words) -> tuple[np.ndarray, ...]:
     """For occurrences of some contexts, all there are: count their bigrams and trigrams in training texts, build the trie,
     look each occurrence up. Returns log10 score, log10 (count of the context as a word + 1), whether that count is above 0
-    (both 0 for the begin of a text), and whether the next word's frequency is still to be added to the score."""
+    (both 0 for the begin of a text), whether the next word's frequency is still to be added to the score, the key of the
+    history and the place of the dealt context whose back-off is (-1: none); and what is told of dealt contexts."""
     contexts, cur = np.unique(cur, return_inverse=True)
     prevs, prev = np.unique(prev, return_inverse=True)
     nexts, nxt = np.unique(nxt, return_inverse=True)
-    ways = c.ways(contexts)
-    most = int(ways.max())
-    # a node is a context, or the class of its next words that came here
-    nodes, node = np.unique(cur * most + nexts[nxt] % ways[cur], return_inverse=True)
+    ways, dealt, split = c.ways(contexts), c.dealt(contexts), c.split_at(contexts)
+    most = int(dealt.max())
+    # a node is a context, or the class or part of its next words that came here
+    nodes, node = np.unique(cur * most + nexts[nxt] % dealt[cur], return_inverse=True)
     owner, sub = nodes // most, nodes % most
     n_prev, n_node, n_next = len(prevs), len(nodes), len(nexts)
     count = lambda which, n: np.bincount(which, weights=train, minlength=n).astype(np.int64)
@@ -254,6 +316,9 @@ def piece_scores(prev: np.ndarray, cur: np.ndarray, nxt: np.ndarray, train: np.n
     hot = ways > 1
     if hot.any():
         own[hot] = c.hot_counts(contexts[hot])
+    own[split >= 0] = c.split_count[split[split >= 0]]
+    part = split[owner] >= 0
+    total[part] = own[owner[part]]
     seen2, seen3, seen_h = c2 > 0, c3 > 0, ch > 0
     d2, d3 = D2, D3
     # bigrams
@@ -263,18 +328,25 @@ def piece_scores(prev: np.ndarray, cur: np.ndarray, nxt: np.ndarray, train: np.n
         mine = ways[owner] == w
         room[mine] = np.maximum(c.share(int(w))[sub[mine]], 1e-9)
     more2 = np.bincount(of2[seen2], minlength=n_node)
-    left = np.maximum(room - np.bincount(of2[seen2], weights=p[succ2[seen2]], minlength=n_node), 1e-9)
+    taken = np.bincount(of2[seen2], weights=p[succ2[seen2]], minlength=n_node)
+    left = np.maximum(room - taken, 1e-9)
     share = np.where(hot[owner], np.where(total > 0, total / np.maximum(own[owner], 1), room), 1.0)  # of a class
     p2 = np.where(seen2, (c2 - d2) / np.maximum(total[of2], 1), 0.0)
-    # trigrams
+    # trigrams; values are relative to the context's count, and its ratio to the history's is added to them
+    of_h = history % n_node
     more3 = np.bincount(of3[seen3], minlength=len(history))
-    left3 = np.maximum(1 - np.bincount(of3[seen3], weights=p2[suffix[seen3]], minlength=len(history)), 1e-9)
+    after3 = np.bincount(of3[seen3], weights=c2[suffix[seen3]], minlength=len(history))
     with np.errstate(divide="ignore", invalid="ignore"):
-        back2 = np.where(more2 > 0, np.log10(d2 * more2 / total / left), -np.log10(room))
-        back3 = np.log10(d3 * more3 / ch / left3)[seen_h]
-        value2, value3 = np.log10(p2[seen2]), np.log10((c3 - d3) / ch[of3])[seen3]
+        back2 = np.where(more2 > 0, back_off(d2, more2, total * left), -np.log10(room))
+        back3 = np.where(part[of_h], 0.0, back_off_history(more3, after3, total[of_h]))[seen_h]
+        value2, value3 = np.log10(p2[seen2]), np.log10((c3 - d3) / total[of_h[of3]])[seen3]
+        ratio = np.where(seen_h & ~part[of_h], np.log10(total[of_h] / ch), 0.0)
+        # of a history that ends in a dealt context, the ratio is known here, where its last word is the next one
+        ends = c.split_at(nexts)[succ2]
+        ending = np.where((ends >= 0) & seen2, np.log10(c.split_count[ends] / c2), 0.0) if len(c.split) else np.zeros(len(pair))
+    back2[part] = 0.0
     # numbers in the trie: words before, then nodes, then next words; its second level has pairs of either kind
-    before = np.stack((history // n_node, n_prev + history % n_node), 1)
+    before = np.stack((history // n_node, n_prev + of_h), 1)
     after = np.stack((n_prev + of2, n_prev + n_node + succ2), 1)
     whole = np.concatenate((before[of3], (n_prev + n_node + triple % n_next)[:, None]), 1)
     back1 = np.zeros(n_prev + n_node + n_next)
@@ -299,19 +371,31 @@ def piece_scores(prev: np.ndarray, cur: np.ndarray, nxt: np.ndarray, train: np.n
         score = np.where(at3 >= 0, trie.probability[1].take(np.maximum(at3, 0)), score)
     else:
         score = score[suffix]
-    score = score + np.log10(share)[(history % n_node)[of3]]
+    score = score + np.log10(share)[of_h[of3]] + ratio[of3] + ending[suffix]
+    key = history_key(prevs[history // n_node], contexts[owner[of_h]])
+    backs = part[of_h[of3]] & (at3 < 0)
+    ask3, ask2 = np.where(backs, key[of3], -1), np.where(backs & (at2[suffix] < 0), split[owner[of_h[of3]]], -1)
+    at, here = np.flatnonzero(seen_h & part[of_h]), np.flatnonzero(part & (more2 > 0))
+    told = key[at], split[owner[of_h[at]]], more3[at], after3[at].astype(np.int64), split[owner[here]], more2[here], taken[here]
     is_word = contexts != BEGIN
-    return score[in_triple], np.where(is_word, np.log10(own + 1.0), 0.0)[cur], (is_word & (own > 0))[cur], ask[in_triple]
+    return score[in_triple], np.where(is_word, np.log10(own + 1.0), 0.0)[cur], (is_word & (own > 0))[cur], ask[in_triple], ask3[in_triple], ask2[in_triple], told
+
+
+def by_groups(hashes: list[np.ndarray], groups: int):
+    """Each group that occurs among some of the hashes, with its places in each."""
+    found, none = [dict(by_group(h % groups, groups)) for h in hashes], np.zeros(0, dtype=np.int32)
+    for g in sorted(set().union(*found)):
+        yield g, [f.get(g, none) for f in found]
 
 
 def shard_model(rows: list[tuple[int, bytes]], c: Words, word_shards: int):
     """Score a shard's occurrences, piece by piece. Yields rows batch, target, data: target -1 has sums for texts, others
-    occurrences whose next word's frequency that word shard has to add."""
+    occurrences whose next word's frequency, or whose back-off, that word shard has to add; batch TOLD what it adds them from."""
     rows = [(b, *unpack(d)) for b, d in rows]
     pieces = max(1, -(-sum(len(r[2]) for r in rows) // PIECE_TOKENS))
-    state = []
+    state, told = [], []
     for b, cw, ci, ow, pi, ni, step, trained in rows:
-        sub = ow[ni] % c.ways(cw)[ci]
+        sub = ow[ni] % c.dealt(cw)[ci]
         piece = (spread(cw[ci], sub) // np.uint64(c.shards) % np.uint64(pieces)).astype(np.int32)
         order = np.argsort(piece, kind="stable").astype(np.int32)
         edges = np.searchsorted(piece[order], np.arange(pieces + 1))
@@ -326,31 +410,39 @@ def shard_model(rows: list[tuple[int, bytes]], c: Words, word_shards: int):
         prev = np.concatenate([r[3][r[4][i]] for r, i in zip(rows, at)])
         nxt = np.concatenate([r[3][r[5][i]] for r, i in zip(rows, at)])
         train = np.concatenate([s[3][s[2][i]] for s, i in zip(state, at)])
-        score, base, known, ask = piece_scores(prev, cur, nxt, train, c)
+        score, base, known, ask, ask3, ask2, tell = piece_scores(prev, cur, nxt, train, c)
+        told.append(tell)
         lo = 0
         for s, i in zip(state, at):
             hi, doc = lo + len(i), s[2][i]
             for k, w in enumerate((score, base, known)):
                 s[4][k] += np.bincount(doc, weights=w[lo:hi], minlength=s[4].shape[1])
-            wanted = np.flatnonzero(ask[lo:hi])
-            s[6].append((nxt[lo:hi][wanted], doc[wanted]))
+            wanted, keys, places = np.flatnonzero(ask[lo:hi]), np.flatnonzero(ask3[lo:hi] >= 0), np.flatnonzero(ask2[lo:hi] >= 0)
+            s[6].append((nxt[lo:hi][wanted], doc[wanted], ask3[lo:hi][keys], doc[keys], ask2[lo:hi][places], doc[places]))
             lo = hi
     for (b, *_), (*_, sums, ids, asked) in zip(rows, state):
         yield b, -1, pack(small(np.diff(ids.astype(np.int64), prepend=0)), sums[0][ids], sums[1][ids], small(sums[2][ids].astype(np.int64)))
-        hashes, doc = (np.concatenate(x) for x in zip(*asked))
-        for g, i in by_group(hashes % word_shards, word_shards):
-            yield b, g, pack(hashes[i], small(doc[i]))
-
-
-def word_model(asked: bytes, hashes: np.ndarray, log: Quantised | None, c: Words) -> bytes:
-    """The log frequency of the words that a batch's texts asked for, summed by text."""
-    wanted, doc = unpack(asked)
+        asked = [np.concatenate(x) for x in zip(*asked)]
+        for g, at in by_groups(asked[::2], word_shards):
+            yield b, g, pack(*(x for h, doc, i in zip(asked[::2], asked[1::2], at) for x in (h[i], small(doc[i]))))
+    keys, of, more, after, *contexts = (np.concatenate(x) for x in zip(*told))
+    keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+    more, after = (np.bincount(inverse, weights=x, minlength=len(keys)).astype(np.int64) for x in (more, after))
+    of, (place, more2, taken) = of[first], contexts
+    for g, (i, k) in by_groups([keys, place], word_shards):
+        yield TOLD, g, pack(keys[i], small(of[i]), small(more[i]), small(after[i]), small(place[k]), small(more2[k]), taken[k])
+
+
+def word_model(asked: bytes, hashes: np.ndarray, log: Quantised | None, backs: BackOffs, c: Words) -> bytes:
+    """The log frequency of the words, and the back-offs, that a batch's texts asked for, summed by text."""
+    wanted, doc, keys, doc3, places, doc2 = unpack(asked)
     value = np.full(len(wanted), c.unknown)
     if log:
         at = np.minimum(np.searchsorted(hashes, wanted), len(hashes) - 1)
         same = hashes[at] == wanted
         value[same] = log.take(at[same])
-    ids, where = np.unique(doc, return_inverse=True)
+    value = np.concatenate((value, backs.of_histories(keys), backs.contexts.take(places)))
+    ids, where = np.unique(np.concatenate((doc, doc3, doc2)), return_inverse=True)
     zero = np.zeros(len(ids))
     return pack(small(np.diff(ids.astype(np.int64), prepend=0)), np.bincount(where, weights=value), zero, small(zero.astype(np.int64)))
 
@@ -415,18 +507,21 @@ def language_model_scores(docs: DataFrame, held, id_col: str = "doc_id", text_co
             yield from together(shard_model(rows, common.value, n))
 
     def added_up(batches):
-        hashes, log, c = np.zeros(0, dtype=np.int64), None, common.value
-        for batch in batches:  # the shard's counts come first
+        hashes, log, told, backs, c = np.zeros(0, dtype=np.int64), None, [], None, common.value
+        for batch in batches:  # what is told and the shard's counts come first
             for b, data in zip(batch.column("batch").to_pylist(), batch.column("data").to_pylist()):
-                if b < 0:
+                if b == TOLD:
+                    told.append(unpack(data))
+                elif b == COUNTS:
                     hashes, count = unpack(data)
                     log = Quantised(np.log10(c.probability(count.astype(np.int64)))) if len(hashes) else None
                 else:
-                    yield b, -1, word_model(data, hashes, log, c)
+                    backs, told = backs or BackOffs(told, c), []
+                    yield b, -1, word_model(data, hashes, log, backs, c)
 
     dealt = occurrences(texts, common).repartitionById(Words.number(totals), "shard")
     partial = stored(dealt.mapInArrow(score, PARTIAL), "partial")
-    asked = partial.where("target >= 0").select("target", "batch", "data").union(counts.selectExpr("shard target", "-1L batch", "data"))
+    asked = partial.where("target >= 0").select("target", "batch", "data").union(counts.selectExpr("shard target", f"{COUNTS}L batch", "data"))
     added = asked.repartitionById(n, "target").sortWithinPartitions("batch").mapInArrow(lambda batches: together(added_up(batches)), PARTIAL)
     summed = partial.where("target < 0").union(added).groupBy("batch").applyInPandas(lambda pdf: total_scores(pdf, common.value), "own long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return summed.select(F.when(F.col("own") != LAST_ID, F.col("own")).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(totals["n"]).cast("long").alias("train_tokens"), "base_score", "score")

@@ -131,6 +131,33 @@ def test_language_model(spark, tiny, monkeypatch, sizes):
     assert seen["score"].sum() > seen["base_score"].sum()
 
 
+def test_contexts_of_any_size_follow_one_model(spark):
+    """A word of half a million occurrences is scored by the formulas that hold for rare ones."""
+    rng, k, texts = np.random.default_rng(5), 0, []
+    for _ in range(105):
+        ws = []
+        for jump in rng.random(5000):
+            k = (k + 1) % 2000 if jump < 0.7 else int(rng.integers(0, 2000))
+            ws.append(f"the w{k}")
+        texts.append(" ".join(ws))
+    held = [i % 7 == 2 for i in range(len(texts))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = op1_ngram_lm.language_model_scores(docs, F.col("doc_id") % 7 == 2).toPandas().sort_values("doc_id")
+    for row, (tokens, _, n, base, score) in zip(got.itertuples(), brute_lm(texts, held, math.inf)):
+        assert (row.n_tokens, row.train_tokens) == (tokens, n) and row.base_score == pytest.approx(base, rel=1e-9)
+        assert abs(row.score - score) <= 1.5 * Quantised.STEP * tokens
+
+
+def test_dealing_contexts_to_shards_changes_no_score(spark, tiny, monkeypatch):
+    run = lambda: op1_ngram_lm.op1_ngram_lm(spark, tiny).toPandas().sort_values("doc_id")
+    want = run()
+    for k, n in {"SPLIT": 150, "SHARD_TOKENS": 9000, "PIECE_TOKENS": 700, "BATCH_TOKENS": 5000}.items():
+        monkeypatch.setattr(op1_ngram_lm, k, n)
+    got = run()
+    assert got["doc_id"].tolist() == want["doc_id"].tolist() and got["held_out"].any()
+    assert got["score"].to_numpy() == pytest.approx(want["score"].to_numpy(), rel=1e-9)
+
+
 def test_language_model_of_messy_rows(messy, none):
     scored = op1_ngram_lm.language_model_scores(messy, F.col("doc_id") == 8).collect()
     assert len(scored) == 12 and sum(r["doc_id"] is None for r in scored) == 1
