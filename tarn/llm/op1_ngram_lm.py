@@ -274,10 +274,20 @@ class BackOffs:
     """Of contexts dealt to several shards and of histories that end in them, from what the shards tell."""
 
     def __init__(self, told: list[list[np.ndarray]], c: Words):
-        keys, of, more, after, at, more2, taken = (np.concatenate(x) for x in zip(*told)) if told else (np.zeros(0, dtype=np.int64) for _ in range(7))
-        self.keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        add = lambda x: np.bincount(inverse, weights=x, minlength=len(self.keys))
-        self.histories = Quantised(back_off_history(add(more), add(after), c.split_count[of[first]]))
+        # keys are sorted; some at a time, as sums of all take much memory
+        pieces = -(-sum(len(t[0]) for t in told) // PIECE_TOKENS)
+        inner = np.array([(i << 63) // pieces for i in range(1, pieces)], dtype=np.int64)
+        edges = [[0, *np.searchsorted(t[0], inner), len(t[0])] for t in told]
+        all_keys, codes = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.uint16)]
+        for i in range(pieces):
+            keys, of, more, after = (np.concatenate([t[k][e[i] : e[i + 1]] for t, e in zip(told, edges)]) for k in range(4))
+            keys, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+            more, after = (np.bincount(inverse, weights=x, minlength=len(keys)) for x in (more, after))
+            all_keys.append(keys)
+            codes.append(Quantised(back_off_history(more, after, c.split_count[of[first]])).codes)
+        self.keys, self.histories = np.concatenate(all_keys), Quantised(np.zeros(0))
+        self.histories.codes = np.concatenate(codes)
+        at, more2, taken = (np.concatenate([np.zeros(0, dtype=np.int64), *(t[k] for t in told)]) for k in (4, 5, 6))
         # in a fixed order, so that a repeated run gives the same bits
         order = np.lexsort((taken, at))
         at, more2, taken = (np.bincount(at[order], weights=x[order], minlength=len(c.split)) for x in (np.ones(len(at)), more2, taken))

@@ -151,13 +151,29 @@ def test_contexts_of_any_size_follow_one_model(spark):
 def test_dealing_contexts_to_shards_changes_no_score(spark, tiny, monkeypatch):
     run = lambda: op1_ngram_lm.op1_ngram_lm(spark, tiny).toPandas().sort_values("doc_id")
     want = run()
-    for k, n in {"SPLIT": 150, "SHARD_TOKENS": 9000, "PIECE_TOKENS": 700, "BATCH_TOKENS": 5000}.items():
+    for k, n in {"SPLIT": 150, "SHARD_TOKENS": 9000}.items():
         monkeypatch.setattr(op1_ngram_lm, k, n)
     got = run()
     assert got["doc_id"].tolist() == want["doc_id"].tolist() and got["held_out"].any()
     assert got["score"].to_numpy() == pytest.approx(want["score"].to_numpy(), rel=1e-9)
 
 
+def test_back_offs_are_equal_at_any_ranges_of_keys(monkeypatch):
+    rng = np.random.default_rng(6)
+    c = op1_ngram_lm.Words({"n": 0, "words": 0, "docs": 0, "tokens": 0, "once": 0, "twice": 0}, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    c.split, c.split_count = np.arange(2), np.array([5000, 70000])
+    pool = np.unique(rng.integers(0, (1 << 63) - 1, 5000))
+    told = []
+    for _ in range(4):
+        i = np.sort(rng.choice(len(pool), 2000, replace=False))
+        told.append([pool[i], small(i % 2), small(rng.integers(1, 9, 2000)), small(rng.integers(9, 500, 2000)), small(np.array([0, 1])), small(np.array([3, 4])), np.array([0.1, 0.2])])
+    want = op1_ngram_lm.BackOffs(told, c)
+    monkeypatch.setattr(op1_ngram_lm, "PIECE_TOKENS", 700)
+    got = op1_ngram_lm.BackOffs(told, c)
+    assert (got.keys == want.keys).all() and (got.of_histories(pool) == want.of_histories(pool)).all() and (want.of_histories(pool) != 0).any()
+    assert (op1_ngram_lm.BackOffs([], c).of_histories(pool) == 0).all()
+
+
 def test_language_model_of_messy_rows(messy, none):
     scored = op1_ngram_lm.language_model_scores(messy, F.col("doc_id") == 8).collect()
     assert len(scored) == 12 and sum(r["doc_id"] is None for r in scored) == 1
