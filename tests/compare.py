@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,7 +20,7 @@ def plain(df):
     def value(x):
         if hasattr(x, "tolist"):
             x = x.tolist()
-        if x is None or x != x:
+        if x is None or x is pd.NA or x != x:
             return "null"
         if isinstance(x, float):
             return repr(int(x)) if x == int(x) else repr(round(x, 9))
