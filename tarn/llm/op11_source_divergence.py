@@ -7,7 +7,7 @@ language hold; the second, over these with their shares, emits the partial sums
 
 Scale: a task adds up its own documents by (lang, source, term) before anything is shuffled, so that a word that every
 document holds travels as one row for each task and source, and no run is longer than tasks x sources. Scans keep the
-rows of one term at most. A pair's sum covers all kept terms, but only terms that both sources hold are met in pairs, one
+sums of one term's sources at most. A pair's sum covers all kept terms, but only terms that both sources hold are met in pairs, one
 run at a time and summed within the task: the rest follows from each source's histogram of shares and the share of a term
 that it doesn't hold.
 """
@@ -91,8 +91,8 @@ def _breaks(table_: pa.Table, columns: list[str]) -> np.ndarray:
     return new
 
 
-def _whole_runs(batches, columns: list[str]):
-    """Tables of SCAN_ROWS rows or so that end where a run of `columns` ends."""
+def _whole_runs(batches, columns: list[str], shrink=lambda rows: rows):
+    """Tables of SCAN_ROWS rows or so that end where a run of `columns` ends; shrink() is applied to the rows that wait."""
     held, size = [], 0
     for batch in batches:
         held.append(pa.Table.from_batches([batch]))
@@ -102,7 +102,7 @@ def _whole_runs(batches, columns: list[str]):
             cut = int(np.flatnonzero(_breaks(whole, columns))[-1])
             if cut:
                 yield whole.slice(0, cut)
-            held, size = [whole.slice(cut)], 0
+            held, size = [shrink(whole.slice(cut))], 0
     whole = pa.concat_tables(held).combine_chunks() if held else None
     if whole is not None and whole.num_rows:
         yield whole
@@ -119,7 +119,7 @@ def count_runs(min_docs: int):
         return heads.append_column("docs", pa.array(sums["docs"])).append_column("n", pa.array(sums["n"]))
 
     def run(batches):
-        for t in _whole_runs(batches, ["lang", "term"]):
+        for t in _whole_runs(batches, ["lang", "term"], collapse):
             t = collapse(t)
             new = _breaks(t, ["lang", "term"])
             starts, run_of = np.flatnonzero(new), np.cumsum(new) - 1
