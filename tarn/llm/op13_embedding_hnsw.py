@@ -24,7 +24,7 @@ from tarn.llm.components import connected_components
 from tarn.llm.packing import pack, small, unpack
 from tarn.llm.small_worlds import STEP, Graph, layer_sizes
 
-LEAST, SHARD_ROWS, SMALL_SHARD, MOST_TASKS = 0.95, 100_000, 4096, 10_000
+LEAST, SHARD_ROWS, SMALL_SHARD, MOST_TASKS = 0.95, 100_000, 1024, 10_000
 #: Beams: the width to begin with; vectors of each two shards whose links are compared with all; the recall asked for.
 BEAM, AUDIT, RECALL = 32, 256, 0.99
 #: Cosines of single precision are this much off at most.
@@ -142,8 +142,9 @@ def sound_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
 
 
 def shard_count(nodes: int, cores: int, shard_rows: int = SHARD_ROWS) -> int:
-    """Shards of shard_rows nodes at most, and so many that their pairs make some tasks a core."""
-    return max(1, -(-nodes // shard_rows), min(-(-nodes // SMALL_SHARD), math.isqrt(8 * cores)))
+    """Shards of shard_rows nodes at most, and so many that their pairs give each core a task: each vector is searched in
+    half of the shards, so that more of them are more work."""
+    return max(1, -(-nodes // shard_rows), min(-(-nodes // SMALL_SHARD), math.ceil((math.sqrt(8 * cores + 1) - 1) / 2)))
 
 
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = LEAST, shard_rows: int = SHARD_ROWS) -> DataFrame:
