@@ -154,33 +154,72 @@ def random_walks(edges: DataFrame, walks: int, cyclic: bool, complete: bool, see
 
 def base_set(edges: DataFrame, root: DataFrame) -> DataFrame:
     """node: the root, what it links to, and what links to it."""
-    root = root.select("node").distinct()
-    out = edges.join(root, edges["src"] == root["node"], "left_semi").select(F.col("dst").alias("node"))
-    into = edges.join(root, edges["dst"] == root["node"], "left_semi").select(F.col("src").alias("node"))
-    return root.union(out).union(into).distinct()
+    return base_sets(edges, root.select(F.lit(0).alias("key"), "node")).select("node")
+
+
+def base_sets(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, node: for each key its root set (roots: key, node), what that links to, and what links to it."""
+    roots = roots.select("key", "node").distinct()
+    out = edges.join(roots, edges["src"] == roots["node"]).select("key", F.col("dst").alias("node"))
+    into = edges.join(roots, edges["dst"] == roots["node"]).select("key", F.col("src").alias("node"))
+    return roots.union(out).union(into).distinct()
 
 
 def hits(edges: DataFrame, base: DataFrame, rounds: int | None = None, epsilon: float = HITS_EPSILON) -> DataFrame:
-    """node, hub, auth on the links within `base`. Both start at 1 and are updated together from the values before:
-    auth(v) = sum of hub over links into v, hub(v) = sum of auth over links out of v, each divided by its 2-norm
-    (a zero vector stays zero). rounds=k: exactly k; None: until nothing moves by more than epsilon."""
-    base = stored(base.select("node").distinct(), "base")
+    """node, hub, auth on the links within `base`; see hits_of_sets."""
+    return hits_of_sets(edges, base.select(F.lit(0).alias("key"), "node"), rounds, epsilon).select("node", "hub", "auth")
+
+
+def hits_of_sets(edges: DataFrame, bases: DataFrame, rounds: int | None = None, epsilon: float = HITS_EPSILON) -> DataFrame:
+    """key, node, hub, auth: HITS on the links within each of many base sets (bases: key, node) at once.
+
+    Both values start at 1 and are updated together from those before: auth(v) = sum of hub over links into v, hub(v) =
+    sum of auth over links out of v, each divided by its 2-norm over the key's nodes (a zero vector stays zero). rounds=k:
+    exactly k; None: each key until none of its nodes moves by more than epsilon.
+
+    A round is a grouping by (key, node), so the number of jobs doesn't depend on the number of keys. Norms are a table of
+    a row a key that is joined in the plan. As dividing all of a key's values by one number commutes with the sums, a
+    fixed number of rounds takes norms at every KEEP_EVERY-th round and at the last alone.
+    """
+    bases = stored(bases.select("key", "node").distinct(), "bases")
     links = edges.select("src", "dst").distinct()
-    links = stored(links.join(base, links["src"] == base["node"], "left_semi").join(base, F.col("dst") == base["node"], "left_semi"), "base-links")
-    at = base.select("node", F.lit(1.0).alias("hub"), F.lit(1.0).alias("auth"))
-    for k in range(rounds if rounds is not None else MOST_ROUNDS):
-        into = links.join(at, links["src"] == at["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum("hub").alias("a"))
-        out = links.join(at, links["dst"] == at["node"]).groupBy(F.col("src").alias("node")).agg(F.sum("auth").alias("h"))
-        new = at.join(into, "node", "left").join(out, "node", "left").select("node", F.col("hub").alias("old_hub"), F.col("auth").alias("old_auth"), F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("a", F.lit(0.0)).alias("a"))
-        if rounds is None or k % KEEP_EVERY == KEEP_EVERY - 1:
-            new = stored(new, "hits")
-        norm = new.agg(F.sqrt(F.sum(F.col("h") * F.col("h"))).alias("h"), F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("a")).first()
-        scale = lambda c, s: (F.col(c) / s if s else F.lit(0.0))
-        new = new.select("node", scale("h", norm["h"]).alias("hub"), scale("a", norm["a"]).alias("auth"), "old_hub", "old_auth")
-        at = new.select("node", "hub", "auth")
-        if rounds is None and not new.where((F.abs(F.col("hub") - F.col("old_hub")) > epsilon) | (F.abs(F.col("auth") - F.col("old_auth")) > epsilon)).count():
-            break
-    return at
+    links = links.join(bases.select("key", F.col("node").alias("src")), "src")
+    links = stored(links.join(bases.select("key", F.col("node").alias("dst")), ["key", "dst"]).select("key", "src", "dst"), "base-links")
+    none = F.lit(0.0)
+    still = bases.select("key", "node", none.alias("hub"), none.alias("auth"))
+    at = bases.select("key", "node", F.lit(1.0).alias("hub"), F.lit(1.0).alias("auth"))
+
+    def sums(at: DataFrame) -> DataFrame:
+        into = links.join(at.select("key", F.col("node").alias("src"), "hub"), ["key", "src"]).select("key", F.col("dst").alias("node"), none.alias("hub"), F.col("hub").alias("auth"))
+        out = links.join(at.select("key", F.col("node").alias("dst"), "auth"), ["key", "dst"]).select("key", F.col("src").alias("node"), F.col("auth").alias("hub"), none.alias("auth"))
+        return into.union(out).union(still).groupBy("key", "node").agg(F.sum("hub").alias("hub"), F.sum("auth").alias("auth"))
+
+    def scaled(at: DataFrame) -> DataFrame:
+        at = stored(at, "hits")
+        size = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c))).alias(f"{c}_size")
+        ratio = lambda c: F.when(F.col(f"{c}_size") > 0, F.col(c) / F.col(f"{c}_size")).otherwise(0.0).alias(c)
+        return at.join(at.groupBy("key").agg(size("hub"), size("auth")), "key").select("key", "node", ratio("hub"), ratio("auth"))
+
+    if rounds is not None:
+        for k in range(1, rounds + 1):
+            at = sums(at)
+            if k == rounds or k % KEEP_EVERY == 0:
+                at = scaled(at)
+        return at
+    done = None
+    for _ in range(MOST_ROUNDS):
+        before = at.select("key", "node", F.col("hub").alias("old_hub"), F.col("auth").alias("old_auth"))
+        new = stored(scaled(sums(at)).join(before, ["key", "node"]), "moved")
+        moves = F.max(F.greatest(F.abs(F.col("hub") - F.col("old_hub")), F.abs(F.col("auth") - F.col("old_auth"))))
+        ended = stored(new.groupBy("key").agg(moves.alias("moved")).where(F.col("moved") <= epsilon).select("key"), "ended")
+        now = new.select("key", "node", "hub", "auth")
+        at = now.join(ended, "key", "left_anti")
+        over = now.join(ended, "key", "left_semi")
+        done = over if done is None else done.union(over)
+        if at.isEmpty():
+            return done
+        links, still = links.join(ended, "key", "left_anti"), still.join(ended, "key", "left_anti")
+    return done.union(at)
 
 
 HUB_SHARE, AUTH_SHARE = 1.0, 1.0
@@ -188,6 +227,11 @@ HUB_SHARE, AUTH_SHARE = 1.0, 1.0
 
 def hits_scores(edges: DataFrame, root: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, score: hub plus authority of the root's nodes within their base set."""
-    root = stored(root.select("node").distinct(), "root")
-    at = hits(edges, base_set(edges, root), rounds)
-    return at.join(root, "node", "left_semi").select("node", (HUB_SHARE * F.col("hub") + AUTH_SHARE * F.col("auth")).alias("score"))
+    return root_scores(edges, root.select(F.lit(0).alias("key"), "node"), rounds).select("node", "score")
+
+
+def root_scores(edges: DataFrame, roots: DataFrame, rounds: int | None = None) -> DataFrame:
+    """key, node, score: hub plus authority of each root's nodes (roots: key, node) within their base set, all at once."""
+    roots = stored(roots.select("key", "node").distinct(), "roots")
+    at = hits_of_sets(edges, base_sets(edges, roots), rounds)
+    return at.join(roots, ["key", "node"], "left_semi").select("key", "node", (HUB_SHARE * F.col("hub") + AUTH_SHARE * F.col("auth")).alias("score"))

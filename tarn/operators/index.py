@@ -8,7 +8,7 @@ files are sorted by term, where the same filter prunes row groups.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tarn.functions.text import kgrams, tokenize
 from tarn.plans.storage import stored
 
+
 def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, toks. options: see functions.text.tokenize."""
     return docs.select(F.col(id_col).alias("doc_id"), tokenize(F.col(text_col), **options).alias("toks"))
@@ -66,13 +67,50 @@ def term_dictionary(tokens: DataFrame) -> DataFrame:
     return ranked.join(starts, "doc_id").select((F.col("start") + F.col("rank")).cast("long").alias("term_id"), "term")
 
 
-def doc_norms(tokens: DataFrame) -> DataFrame:
-    """doc_id, norm: sqrt of the sum over terms of (tf * ln(N / df)) squared."""
-    n = tokens.count()
-    tf = postings(tokens).select("term", "doc_id", "tf")
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+def bags(tokens: DataFrame) -> DataFrame:
+    """doc_id, doc_len, bag: a document's distinct terms with their tf, counted in the document's own row."""
+    ordered = tokens.select("doc_id", F.size("toks").alias("doc_len"), F.array_sort("toks").alias("t"))
+    starts = F.expr("case when size(t) > 0 then filter(sequence(0, size(t) - 1), i -> i = 0 or get(t, i - 1) <> t[i]) else array() end")
+    bag = F.expr("transform(s, (at, k) -> struct(t[at] as term, coalesce(get(s, k + 1), size(t)) - at as tf))")
+    return ordered.withColumn("s", starts).select("doc_id", "doc_len", bag.alias("bag"))
+
+
+#: Row groups of a saved index: small, as a lookup reads whole ones.
+BLOCK_BYTES = 8 << 20
+#: Terms whose df is sent to all tasks, at most.
+HEAVY_TERMS = 50_000
+
+
+def with_df(rows: DataFrame, df: DataFrame, heavy_terms: int = HEAVY_TERMS) -> DataFrame:
+    """rows (with a column `term`) with the df of their terms; df: a table of term, df over the whole corpus.
+
+    Terms of more than total / heavy_terms documents are at most heavy_terms in number, whatever the corpus, so their df go
+    to all tasks and their rows stay where they are. Every other term has total / heavy_terms rows at most, which are
+    shuffled to its df. Each term takes one of the two ways.
+    """
+    total = df.agg(F.sum("df")).first()[0] or 0
+    least = total // heavy_terms + 1
+    tagged = rows.join(F.broadcast(df.where(F.col("df") >= least)), "term", "left")
+    light = tagged.where("df is null").drop("df").join(df.where(F.col("df") < least), "term")
+    return tagged.where("df is not null").unionByName(light)
+
+
+def doc_freqs(bagged: DataFrame) -> DataFrame:
+    """term, df."""
+    return bagged.select(F.explode("bag.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def bag_norms(bagged: DataFrame, df: DataFrame, n: int, heavy_terms: int = HEAVY_TERMS) -> DataFrame:
+    """doc_id, norm of the documents of bagged (all, or those that a query found); df, n: of the whole corpus."""
+    rows = bagged.select("doc_id", F.explode("bag").alias("b")).select("doc_id", "b.term", "b.tf")
     weight = F.pow(F.col("tf") * F.log(F.lit(float(n)) / F.col("df")), 2)
-    return tf.join(df, "term").groupBy("doc_id").agg(F.sqrt(F.sum(weight)).alias("norm"))
+    return with_df(rows, df, heavy_terms).groupBy("doc_id").agg(F.sqrt(F.sum(weight)).alias("norm"))
+
+
+def doc_norms(tokens: DataFrame) -> DataFrame:
+    """doc_id, norm: sqrt of the sum over terms of (tf * ln(N / df)) squared. Documents are tokenized once."""
+    kept = stored(bags(tokens), "bags")
+    return bag_norms(kept, stored(doc_freqs(kept), "df"), kept.count())
 
 
 def merge_postings(*partial: DataFrame) -> DataFrame:
@@ -108,6 +146,10 @@ def kgram_report(index: DataFrame, dictionary: DataFrame, wanted: str, k: int, s
     return found.count(), [r["term"] for r in found.join(dictionary, "term").orderBy("term_id").limit(show).collect()]
 
 
+def reversed_terms(terms: DataFrame) -> DataFrame:
+    return terms.select(F.reverse("term").alias("backwards"), "term")
+
+
 @dataclass
 class Index:
     """What queries read. norms may be None until Euclidean normalisation is asked for."""
@@ -119,6 +161,9 @@ class Index:
     saved_terms: DataFrame | None = None
     saved_docs: DataFrame | None = None
     saved_kgrams: DataFrame | None = None
+    saved_reversed: DataFrame | None = None
+    kept_bags: DataFrame | None = None
+    kept_df: DataFrame | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> Index:
@@ -141,35 +186,71 @@ class Index:
         """kgram, term of the vocabulary's 2-grams."""
         return self.saved_kgrams if self.saved_kgrams is not None else kgram_index(self.terms)
 
-    def euclidean(self) -> DataFrame:
-        return self.norms if self.norms is not None else doc_norms(self.tokens)
+    @property
+    def reversed(self) -> DataFrame:
+        """backwards, term: the vocabulary by its terms' letters from the last to the first."""
+        return self.saved_reversed if self.saved_reversed is not None else reversed_terms(self.terms)
+
+    def bags(self) -> DataFrame:
+        """doc_id, doc_len, bag; written out the first time, so that documents are tokenized once."""
+        if self.kept_bags is None:
+            self.kept_bags = stored(bags(self.tokens), "bags")
+        return self.kept_bags
+
+    def doc_freqs(self) -> DataFrame:
+        """term, df; written out the first time."""
+        if self.kept_df is None:
+            self.kept_df = stored(doc_freqs(self.bags()), "df")
+        return self.kept_df
+
+    def counts(self, condition: Column) -> DataFrame:
+        """term, doc_id, tf, doc_len of the terms that the condition picks: from bags where there are any, else postings."""
+        if self.kept_bags is None:
+            return self.matching(condition).select("term", "doc_id", "tf", "doc_len")
+        rows = self.kept_bags.select("doc_id", "doc_len", F.explode("bag").alias("b"))
+        return rows.select("b.term", "doc_id", F.col("b.tf").cast("long").alias("tf"), "doc_len").where(condition)
+
+    def euclidean(self, of: DataFrame | None = None) -> DataFrame:
+        """doc_id, norm; of the documents in `of` (doc_id) alone, where given."""
+        if self.norms is not None:
+            return self.norms
+        rows = self.bags() if of is None else self.bags().join(of.select("doc_id"), "doc_id", "left_semi")
+        return bag_norms(rows, self.doc_freqs(), self.n)
 
     def stored(self) -> Index:
         """This index with its tokens written to the shared folder, for work that reads them more than once."""
         tokens = stored(self.tokens, "tokens")
-        return Index(tokens, postings(tokens), self.n, self.norms, self.saved_terms, self.saved_docs, self.saved_kgrams)
+        return replace(self, tokens=tokens, postings=postings(tokens))
 
     def matching(self, condition: Column) -> DataFrame:
         return self.postings.where(condition)
 
     def save(self, path: str, partitions: int | None = None, names: DataFrame | None = None) -> None:
-        """Write the index below path: postings range-partitioned and sorted by term and k-grams by k-gram, so that a filter
-        reads few row groups; tokens, norms, terms and documents (with names: doc_id, name) beside them. Overwrites nothing."""
+        """Write the index below path, so that lookups read few row groups: postings, terms (with df) and k-grams
+        range-partitioned and sorted by what they are looked up by, terms once more by their reversal; tokens, norms and
+        documents (with names: doc_id, name) beside them. Documents are tokenized once. Overwrites nothing."""
         spark = self.tokens.sparkSession
         n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+        def write(rows: DataFrame, name: str, *by: str) -> None:
+            rows = rows.repartitionByRange(n, *by).sortWithinPartitions(*by) if by else rows
+            rows.write.option("parquet.block.size", BLOCK_BYTES).option("parquet.bloom.filter.enabled#term", name == "postings").parquet(f"{path}/{name}")
+
+        write(self.tokens, "tokens")
+        kept = replace(self, tokens=spark.read.parquet(f"{path}/tokens"))
         # doc_id too, so that a frequent term's postings fall into several files
-        self.postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-        self.tokens.write.parquet(f"{path}/tokens")
-        self.euclidean().write.parquet(f"{path}/norms")
-        self.terms.write.parquet(f"{path}/terms")
-        docs = self.docs
+        write(postings(kept.tokens), "postings", "term", "doc_id")
+        write(kept.euclidean(), "norms")
+        write(kept.doc_freqs(), "terms", "term")
+        terms = spark.read.parquet(f"{path}/terms")
+        write(reversed_terms(terms), "reversed", "backwards")
+        write(kgram_index(terms), "kgrams", "kgram", "term")
+        docs = kept.docs
         if names is not None:
             docs = docs.drop("name").join(names.select("doc_id", "name").dropDuplicates(["doc_id"]), "doc_id", "left").select("doc_id", "name", "doc_len")
-        docs.write.parquet(f"{path}/docs")
-        self.kgrams.repartitionByRange(n, "kgram", "term").sortWithinPartitions("kgram", "term").write.parquet(f"{path}/kgrams")
+        write(docs, "docs")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Index:
-        read = spark.read.parquet
-        tokens = read(f"{path}/tokens")
-        return cls(tokens, read(f"{path}/postings"), tokens.count(), read(f"{path}/norms"), read(f"{path}/terms"), read(f"{path}/docs"), read(f"{path}/kgrams"))
+        tokens, postings_, norms, terms, docs, kgrams_, backwards = (spark.read.parquet(f"{path}/{name}") for name in ("tokens", "postings", "norms", "terms", "docs", "kgrams", "reversed"))
+        return cls(tokens, postings_, docs.count(), norms, terms.select("term"), docs, kgrams_, backwards, kept_df=terms)

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tarn.operators.index import Index
+from tarn.operators.index import Index, kgram_intersect
 
 
 @dataclass
@@ -59,10 +59,25 @@ def matches(term: str, column: str = "term") -> Column:
 
 
 def expand(index: Index, term: str) -> DataFrame:
-    """The vocabulary's terms that a wildcard stands for."""
+    """The vocabulary's terms that a wildcard stands for.
+
+    On a saved index each kind is a filter on the column that its table is sorted by, so that the scan takes the row
+    groups that can match: prefixes on terms, suffixes on reversed terms, and those with both ends on k-grams, of which a term
+    must hold all, before it is compared with the wildcard itself.
+    """
+    if term.startswith("*") and term != "*":
+        return index.reversed.where(F.col("backwards").startswith(term[:0:-1])).select("term")
+    before, star, after = term.partition("*")
+    if star and after and index.saved_kgrams is not None:
+        return kgram_intersect(index.saved_kgrams, end_grams(before, after)).where(matches(term))
     return index.terms.where(matches(term))
 
 
+def end_grams(before: str, after: str, k: int = 2) -> list[str]:
+    """k-grams of every ^term$ that starts with `before` and ends with `after`."""
+    return [x[i : i + k] for x in ("^" + before, after + "$") for i in range(len(x) - k + 1)]
+
+
 def by_position(rows: DataFrame, query: Query) -> DataFrame:
     """rows with `ord`: a row for each position of the query that its term matches."""
     places = F.filter(F.array(*(F.when(matches(t), F.lit(i)) for i, t in enumerate(query.terms))), lambda x: x.isNotNull())

@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators.graph import hits_scores
-from tarn.operators.index import Index
-from tarn.operators.query import Query, matches
+from tarn.operators.graph import root_scores
+from tarn.operators.index import Index, with_df
+from tarn.operators.query import Query, by_position, empty_results, matches
 from tarn.plans.storage import stored
 
 
@@ -26,36 +26,46 @@ def hits_of(index: Index, query: Query) -> DataFrame:
     weight = F.lit(0.0)
     for t, w in zip(query.terms, query.weights):
         weight = weight + F.when(matches(t), w).otherwise(0.0)
-    return index.matching(some).select("term", "doc_id", "tf", "doc_len", weight.alias("weight"))
+    return index.counts(some).select("term", "doc_id", "tf", "doc_len", weight.alias("weight"))
 
 
 def ranked_tfidf(index: Index, query: Query, norm: Normalization = Normalization.NUMBER_OF_WORDS) -> DataFrame:
     """doc_id, score: sum over the query's terms of tf * ln(N / df) * weight, if above 0, then normalised.
 
     Both the count of documents for each term and the scores read the same shuffled postings of the query's terms; the
-    counts, a row for each term, go to where the postings are.
+    counts, a row for each term, go to where the postings are. Euclidean norms are worked out for the documents found.
     """
+    if norm is Normalization.EUCLIDEAN and index.norms is None:
+        index.bags()
     rows = hits_of(index, query)
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    scored = rows.join(df, "term").groupBy("doc_id").agg(F.sum(F.col("tf") * F.log(F.lit(float(index.n)) / F.col("df")) * F.col("weight")).alias("score"), F.first("doc_len").alias("doc_len")).where("score > 0")
+    return normalised(index, scores_of(index, rows.join(df, "term")), norm)
+
+
+def scores_of(index: Index, rows: DataFrame) -> DataFrame:
+    """doc_id, score, doc_len from rows term, doc_id, tf, doc_len, weight, df."""
+    score = F.sum(F.col("tf") * F.log(F.lit(float(index.n)) / F.col("df")) * F.col("weight")).alias("score")
+    return rows.groupBy("doc_id").agg(score, F.first("doc_len").alias("doc_len")).where("score > 0")
+
+
+def normalised(index: Index, scored: DataFrame, norm: Normalization) -> DataFrame:
     if norm is Normalization.NUMBER_OF_WORDS:
         return scored.select("doc_id", (F.col("score") / F.col("doc_len")).alias("score"))
     if norm is Normalization.EUCLIDEAN:
-        return scored.join(index.euclidean(), "doc_id").select("doc_id", (F.col("score") / F.col("norm")).alias("score"))
+        scored = stored(scored.select("doc_id", "score"), "scored")
+        return scored.join(index.euclidean(scored), "doc_id").select("doc_id", (F.col("score") / F.col("norm")).alias("score"))
     return scored.select("doc_id", "score")
 
 
 def ranked_weighted(index: Index, weights: DataFrame, norm: Normalization = Normalization.NUMBER_OF_WORDS) -> DataFrame:
     """As ranked_tfidf, for a query that is a table of term, weight (after relevance feedback): of any size."""
-    weights = weights.groupBy("term").agg(F.sum("weight").alias("weight"))
-    rows = index.postings.select("term", "doc_id", "tf", "doc_len").join(weights, "term")
-    df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    scored = rows.join(df, "term").groupBy("doc_id").agg(F.sum(F.col("tf") * F.log(F.lit(float(index.n)) / F.col("df")) * F.col("weight")).alias("score"), F.first("doc_len").alias("doc_len")).where("score > 0")
-    if norm is Normalization.NUMBER_OF_WORDS:
-        return scored.select("doc_id", (F.col("score") / F.col("doc_len")).alias("score"))
-    if norm is Normalization.EUCLIDEAN:
-        return scored.join(index.euclidean(), "doc_id").select("doc_id", (F.col("score") / F.col("norm")).alias("score"))
-    return scored.select("doc_id", "score")
+    weights = stored(weights.groupBy("term").agg(F.sum("weight").alias("weight")), "weights")
+    # tokens of other terms are left out before anything is grouped
+    kept = index.tokens.select("doc_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).join(weights, "term")
+    rows = kept.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"), F.first("weight").alias("weight"))
+    rows = stored(rows, "weighted-rows")
+    df = stored(rows.groupBy("term").agg(F.count("*").alias("df")), "weighted-df")
+    return normalised(index, scores_of(index, with_df(rows, df)), norm)
 
 
 def occurrences(index: Index, query: Query) -> DataFrame:
@@ -84,10 +94,10 @@ def ranked_combination(index: Index, query: Query, ranks: DataFrame, norm: Norma
 
 
 def ranked_hits(index: Index, query: Query, edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """doc_id, score: for each term, hub plus authority within the base set of the term's documents; summed over terms."""
-    index, scores = index.stored(), []
+    """doc_id, score: for each term, hub plus authority within the base set of the term's documents; summed over terms.
+    All terms' base sets are iterated together. Without terms the result is empty."""
+    if not query.terms:
+        return empty_results(index).select("doc_id", F.lit(0.0).alias("score"))
     edges = stored(edges.select("src", "dst").distinct(), "edges")
-    for term in query.terms:
-        root = index.matching(matches(term)).select(F.col("doc_id").alias("node")).distinct()
-        scores.append(hits_scores(edges, root, rounds).select(F.col("node").alias("doc_id"), "score"))
-    return reduce(DataFrame.unionAll, scores).groupBy("doc_id").agg(F.sum("score").alias("score"))
+    roots = by_position(index.postings, query).select(F.col("ord").alias("key"), F.col("doc_id").alias("node"))
+    return root_scores(edges, roots, rounds).groupBy(F.col("node").alias("doc_id")).agg(F.sum("score").alias("score"))

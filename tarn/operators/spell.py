@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.text import edit_distance_within_2, kgram_bag
-from tarn.operators.index import Index, term_counts
+from tarn.operators.index import Index
 from tarn.operators.query import Query, intersection, phrase
-from tarn.plans.storage import stored
 
 JACCARD, DISTANCE, LIMIT = 0.4, 2, 10
 
@@ -31,9 +30,19 @@ def candidates(terms: DataFrame, term: str, k: int = 2) -> DataFrame:
     return rows.select("term", (F.col("shared") / (F.lit(len(grams)) + F.col("n") - F.col("shared"))).alias("jaccard"))
 
 
-def corrections(counts: DataFrame, term: str, k: int = 2) -> DataFrame:
-    """term, score (lower is better) for one unknown term; counts: term, df. score = distance / (df * jaccard)."""
-    near = candidates(counts, term, k).where(F.col("jaccard") >= JACCARD)
+def near_terms(index: Index, term: str, k: int = 2) -> DataFrame:
+    """candidates() in the vocabulary of an index. A saved one's k-grams are looked up, so that only terms which share one
+    are read; it holds 2-grams."""
+    if index.saved_kgrams is None or k != 2:
+        return candidates(index.terms, term, k)
+    shared = index.saved_kgrams.where(F.col("kgram").isin(term_grams(term, k))).select("term").distinct()
+    return candidates(shared, term, k)
+
+
+def corrections(counts: DataFrame, term: str, k: int = 2, near: DataFrame | None = None) -> DataFrame:
+    """term, score (lower is better) for one unknown term; counts: term, df. score = distance / (df * jaccard). near: its
+    candidates, where they are known."""
+    near = (candidates(counts, term, k) if near is None else near).where(F.col("jaccard") >= JACCARD)
     near = near.withColumn("distance", edit_distance_within_2(F.lit(term), F.col("term"))).where("distance is not null")
     return near.join(counts, "term").select("term", (F.col("distance") / (F.greatest("df", F.lit(1)) * F.col("jaccard"))).alias("score"))
 
@@ -42,13 +51,13 @@ def suggest(index: Index, query: Query, limit: int = LIMIT, k: int = 2) -> DataF
     """phrase, score: the best `limit` corrections of a query. Known terms stand for themselves with score 1. Terms are
     combined from the left, scores multiplied; from the second term on only the best `limit` go on."""
     spark = index.tokens.sparkSession
-    counts = stored(term_counts(index.tokens).select("term", "df"), "term-counts")
+    counts = index.doc_freqs()
     beam: DataFrame | None = None
     for term in query.terms:
         if not counts.where(F.col("term") == term).isEmpty():
             options = spark.createDataFrame([(term, 1.0)], "term string, score double")
         else:
-            options = corrections(counts, term, k)
+            options = corrections(counts, term, k, near_terms(index, term, k))
         # products of positive scores: the best `limit` pairs are made of the best `limit` of each side
         options = options.orderBy("score", "term").limit(limit)
         if beam is None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -177,9 +178,9 @@ def postings_lookup(spark, d):
     return joined(index_of(spark, d).matching(F.col("term").isin("license", "the")).select("term", "doc_id", "tf", "offsets"))
 
 
-@op(f"{TOKENS} SELECT term, doc_id, tf, {_offsets('offsets')} AS offsets FROM post WHERE term IN ('license', 'mit', 'the')")
+@op(f"{TOKENS} SELECT term, doc_id, tf, {_offsets('offsets')} AS offsets FROM post")
 def postings_codec(spark, d):
-    lines = export_postings(index_of(spark, d).matching(F.col("term").isin("license", "mit", "the")))
+    lines = export_postings(index_of(spark, d).postings)
     return joined(import_postings(lines)).select("term", "doc_id", F.col("tf").cast("long").alias("tf"), "offsets")
 
 
@@ -209,12 +210,17 @@ def index_merge(spark, d):
     return joined(index.merge_postings(*parts).select("term", "doc_id", "tf", "offsets"))
 
 
-@op(f"{TOKENS} SELECT term, doc_id, tf, round(norm, 6) AS norm FROM post JOIN norms USING (doc_id) WHERE starts_with(term, 'lic')")
-def index_roundtrip(spark, d):
+def saved_index(spark, d) -> Index:
     path = new_path(spark, "index")
     index_of(spark, d).save(path)
-    kept = Index.load(spark, path)
-    return kept.matching(query.matches("lic*")).join(kept.norms, "doc_id").select("term", "doc_id", "tf", F.round("norm", 6).alias("norm"))
+    return Index.load(spark, path)
+
+
+@op(f"{TOKENS} SELECT term, doc_id, tf, round(norm, 6) AS norm, df, l.doc_len::INT AS doc_len, {_offsets('offsets')} AS offsets FROM post JOIN norms USING (doc_id) JOIN terms USING (term) JOIN lens l USING (doc_id)")
+def index_roundtrip(spark, d):
+    kept = saved_index(spark, d)
+    rows = joined(kept.postings.drop("doc_len")).join(kept.norms, "doc_id").join(kept.docs, "doc_id").join(kept.doc_freqs(), "term")
+    return rows.select("term", "doc_id", "tf", F.round("norm", 6).alias("norm"), "df", "doc_len", "offsets")
 
 
 _GRAMS = f"{TOKENS}, grams AS (SELECT DISTINCT term, unnest(list_transform(range(1, length(term) + 2), lambda i: substr('^' || term || '$', i, 2))) AS kgram FROM terms)"
@@ -235,6 +241,11 @@ def kgram_intersect(spark, d):
     return index.kgram_intersect(index.kgram_index(index_of(spark, d).terms, 2), ["ic", "se", "^l"])
 
 
+@op(f"{_GRAMS} SELECT kgram, term FROM grams")
+def kgram_roundtrip(spark, d):
+    return saved_index(spark, d).kgrams
+
+
 # ------------------------------------------------------------------ boolean, phrase, wildcard
 
 
@@ -292,6 +303,16 @@ for _name, _text in [("wildcard_prefix", "thr*"), ("wildcard_suffix", "*tion"),
     ORACLES[_name] = f"{TOKENS} SELECT term FROM terms WHERE {_like(_text)}"
 
 
+#: Wildcards of every kind, looked up in a saved index.
+_LOOKED_UP = ["thr*", "*tion", "th*on", "the*here", "a*e", "l*", "*ed"]
+
+
+@op(f"{TOKENS} " + " UNION ALL ".join(f"SELECT '{t}' AS wildcard, term FROM terms WHERE {_like(t)}" for t in _LOOKED_UP))
+def wildcard_saved(spark, d):
+    kept = saved_index(spark, d)
+    return reduce(DataFrame.unionAll, [query.expand(kept, t).select(F.lit(t).alias("wildcard"), "term") for t in _LOOKED_UP])
+
+
 # ------------------------------------------------------------------ ranking
 
 
@@ -401,12 +422,23 @@ def _hits_sql(root: str, rounds: int, tag: str = "") -> str:
     return ", ".join(sql)
 
 
-_TERM_HITS = ", ".join(_hits_sql(f"SELECT doc_id AS node FROM post WHERE term = '{t}'", 4, t) for t in ("license", "mit"))
 
 
-@op(f"{_RANKED_HEAD} e AS MATERIALIZED ({_DOC_EDGES}), {_TERM_HITS}, scored AS (SELECT node AS doc_id, sum(score) AS score FROM (" + " UNION ALL ".join(f"SELECT node, hub + auth AS score FROM hits{t} WHERE node IN (SELECT node FROM root{t})" for t in ("license", "mit")) + f") GROUP BY node) {_top('scored')}")
-def ranked_hits(spark, d):
-    return top(rank.ranked_hits(index_of(spark, d), Query.parse("license mit"), doc_edges(spark, d), rounds=4))
+def _term_hits(text: str) -> str:
+    """Each term's own HITS, unrolled, and the scores of its root summed."""
+    parts = [(f"t{i}", t) for i, t in enumerate(text.split())]
+    runs = ", ".join(_hits_sql(f"SELECT doc_id AS node FROM post WHERE {_like(t)}", 4, tag) for tag, t in parts)
+    both = " UNION ALL ".join(f"SELECT node, hub + auth AS score FROM hits{tag} WHERE node IN (SELECT node FROM root{tag})" for tag, _ in parts)
+    return f"{_RANKED_HEAD} e AS MATERIALIZED ({_DOC_EDGES}), {runs}, scored AS (SELECT node AS doc_id, sum(score) AS score FROM ({both}) GROUP BY node) {_top('scored')}"
+
+
+def _ranked_hits(text: str):
+    return lambda spark, d: top(rank.ranked_hits(index_of(spark, d), Query.parse(text), doc_edges(spark, d), rounds=4))
+
+
+for _name, _text in [("ranked_hits", "license mit"), ("ranked_hits_four_terms", "license mit apac* license")]:
+    QUERIES[_name] = _ranked_hits(_text)
+    ORACLES[_name] = _term_hits(_text)
 
 
 # ------------------------------------------------------------------ feedback, paging and other helpers
@@ -470,6 +502,11 @@ def spell_jaccard(spark, d):
     return spell.candidates(index_of(spark, d).terms, "thhe").select("term", F.round("jaccard", 6).alias("jaccard"))
 
 
+@op(f"{TOKENS}, {_suggest_sql('thhe')} SELECT term, round(jaccard, 6) AS jaccard FROM near")
+def spell_saved(spark, d):
+    return spell.near_terms(saved_index(spark, d), "thhe").select("term", F.round("jaccard", 6).alias("jaccard"))
+
+
 @op(f"{TOKENS}, {_suggest_sql('licence')} SELECT term, distance::INT AS distance FROM dist WHERE distance IS NOT NULL")
 def spell_edit_distance(spark, d):
     near = spell.candidates(index_of(spark, d).terms, "licence")
