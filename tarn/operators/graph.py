@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.plans.numbering import numbered
+from tarn.plans.skew import split_join
 from tarn.plans.storage import stored
 
 BORED, EPSILON, MOST_ROUNDS, KEEP_EVERY = 0.15, 1e-4, 1000, 4
@@ -84,69 +85,131 @@ def squared_loss(a: DataFrame, b: DataFrame) -> DataFrame:
 
 # Random walks
 
+#: Links of a block, and links into a node for each copy of its first block.
+BLOCK, SPREAD = 1024, 4096
+#: What a walk leaves behind: the node where it ended, or one that it visited before it first met a node without links.
+ENDED, VISITED = 0, 1
+
 
 def _chance(seed: int, step, what: int) -> Column:
     """A number in [0, 1) for each walk and step, the same in every run."""
     return F.pmod(F.xxhash64(F.lit(seed), F.col("walk"), F.lit(step), F.lit(what)), F.lit(1 << 40)) / float(1 << 40)
 
 
-def random_walks(edges: DataFrame, walks: int, cyclic: bool, complete: bool, seed: int = 1, bored: float = BORED, steps_a_job: int = 6) -> DataFrame:
-    """node, pr estimated by `walks` random walks.
-
-    cyclic: walks / N from each node, else from random nodes. complete=False counts end points, and a node without links
-    leads to a random node; complete=True counts every node that a walk reaches after surviving its toss, and such a
-    node ends the walk. Shares are of `walks` (end points; as in the cyclic case walks / N is rounded down, they may sum
-    to less than 1) or of all visits.
-
-    All walks step together: a step joins each walk with the one link, by number, that it has drawn; walks that have
-    ended leave the table, which is written out every few steps.
-    """
-    nodes = nodes_of(edges)
-    places = stored(numbered(nodes, "node", "place").select("place", F.col("node").alias("there")), "numbered")
-    by_src = Window.partitionBy("src").orderBy("dst")
-    links = edges.select("src", "dst").distinct()
-    out = links.groupBy("src").agg(F.count("*").alias("out"))
-    links = stored(links.withColumn("link", F.row_number().over(by_src) - 1).join(out, "src"), "numbered-links")
-    degree = stored(out, "degrees")
-    n = places.count()
+def node_facts(edges: DataFrame) -> DataFrame:
+    """node, out, into, copies for each node of edges (distinct links). Walks at a node are spread over its blocks of
+    links and, where many links lead to it, over copies of these."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = edges.select(F.col("src").alias("node"), one.alias("out"), zero.alias("into")).union(edges.select("dst", zero, one))
+    facts = ends.groupBy("node").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
+    blocks = F.greatest(F.ceil(F.col("out") / BLOCK), F.lit(1))
+    return facts.withColumn("copies", F.greatest(F.ceil(F.col("into") / (blocks * SPREAD)), F.lit(1)).cast("int"))
+
+
+def link_blocks(edges: DataFrame, facts: DataFrame) -> DataFrame:
+    """node, block, copy, links: a node's links in arrays of BLOCK, each link with what a walk needs to know of its end.
+
+    A node's links are numbered by hash part and end; parts hold about BLOCK links, and running sums of their sizes give
+    each part's first number, so that no task orders a hub's links."""
+    ahead = split_join(edges.select("src", F.col("dst").alias("node")), facts.select("node", "into", F.struct(F.col("node").alias("dst"), "out", "copies").alias("end")), "node", "into")
+    rows = split_join(ahead.select(F.col("src").alias("node"), "end"), facts.where("out > 0").select("node", "out", "copies"), "node", "out")
+    part = F.pmod(F.xxhash64("end.dst"), F.ceil(F.col("out") / BLOCK)).cast("int")
+    rows = rows.withColumn("part", part).withColumn("at", F.row_number().over(Window.partitionBy("node", "part").orderBy("end.dst")) - 1)
+    rows = stored(rows, "ordered-links")
+    sizes = rows.where(F.col("out") > BLOCK).groupBy("node", "part").agg(F.count("*").alias("n"))
+    starts = sizes.select("node", "part", F.coalesce(F.sum("n").over(Window.partitionBy("node").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    number = (F.coalesce("start", F.lit(0)) + F.col("at")).alias("number")
+    rows = rows.join(starts, ["node", "part"], "left").select("node", "copies", "end", number)
+    rows = rows.groupBy("node", "copies", F.floor(F.col("number") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("number", "end"))).alias("links"))
+    return rows.select("node", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("links.end").alias("links"))
+
+
+def walk_visits(edges: DataFrame, walks: int, cyclic: bool, jumps: bool = True, bands: list[int] | None = None, seed: int = 1, bored: float = BORED, steps_a_job: int = 6) -> DataFrame:
+    """node, kind, band, n: what `walks` random walks leave, counted. cyclic: walks / N (rounded down) from each node, else
+    from random nodes. At each node a walk ends with chance `bored` (kind ENDED), else has visited it (kind VISITED, until
+    it first meets a node without links) and follows one of its links; from a node without links it jumps to a random
+    one, or, with jumps=False, ends without counting. A walk is of the first band whose bound its number is below.
+
+    All walks step together. A step joins each walk with one block of links, drawn by number, and takes one of them: walks
+    at a hub meet as many tasks as it has blocks. Walks that have ended leave the table, which is written out every few
+    steps."""
     spark = edges.sparkSession
-    if not n:
-        return nodes.select("node", F.lit(0.0).alias("pr"))
-    def jump(step: int) -> Column:
-        return F.floor(_chance(seed, step, 3) * n).cast("long")
-
-    if cyclic:
-        at = spark.range(walks // n * n).select(F.col("id").alias("walk"), F.pmod("id", F.lit(n)).alias("place"))
-    else:
-        at = spark.range(walks).select(F.col("id").alias("walk")).withColumn("place", jump(0))
-    at = at.join(places, "place").select("walk", F.col("there").alias("node"), F.lit(True).alias("alive"), F.array().cast("array<bigint>").alias("seen"))
-    drawn = links.select(F.col("src").alias("of"), F.col("link").alias("drawn"), "dst")
-    visits, step = None, 0
+    facts = stored(node_facts(edges.select("src", "dst").distinct()), "facts")
+    n = facts.count()
+    schema = "node long, kind int, band int, n long"
+    if not n or not walks:
+        return spark.createDataFrame([], schema)
+    places = stored(numbered(facts.select(F.struct("node", "out", "copies").alias("spot"), "node"), "node", "place").select("place", "spot"), "places")
+    blocks = stored(link_blocks(edges.select("src", "dst").distinct(), facts), "blocks")
+    bands = bands or [walks]
+    jump = lambda step: F.floor(_chance(seed, step, 3) * n).cast("long")
+    at = spark.range(walks // n * n if cyclic else walks).select(F.col("id").alias("walk"))
+    at = at.withColumn("place", F.pmod("walk", F.lit(n)) if cyclic else jump(0)).join(places, "place")
+    none = F.array().cast("array<struct<node: bigint, kind: int>>")
+    at = at.select("walk", "spot", F.lit(True).alias("alive"), F.lit(True).alias("whole"), none.alias("left"))
+    found, step = None, 0
     while True:
         for _ in range(steps_a_job):
             step += 1
             goes = F.col("alive") & (_chance(seed, step, 1) > bored)
-            counts = goes if complete else F.col("alive") & ~goes
-            seen = F.when(counts, F.concat("seen", F.array("node"))).otherwise(F.col("seen"))
-            at = at.select("walk", "node", goes.alias("alive"), seen.alias("seen"))
-            at = at.join(degree, F.col("alive") & (at["node"] == degree["src"]), "left")
-            at = at.select("walk", "node", "alive", "seen", F.floor(_chance(seed, step, 2) * F.col("out")).cast("int").alias("link"))
-            at = at.join(drawn, (F.col("node") == F.col("of")) & (F.col("link") == F.col("drawn")), "left")
-            if complete:
-                at = at.select("walk", F.coalesce("dst", "node").alias("node"), (F.col("alive") & F.col("dst").isNotNull()).alias("alive"), "seen")
+            mark = lambda kind: F.concat("left", F.array(F.struct(F.col("spot.node").alias("node"), F.lit(kind).alias("kind"))))
+            left = F.when(goes & F.col("whole"), mark(VISITED)).when(F.col("alive") & ~goes, mark(ENDED)).otherwise(F.col("left"))
+            drawn = F.when(goes, F.floor(_chance(seed, step, 2) * F.col("spot.out")).cast("long")).otherwise(0)
+            at = at.select("walk", "spot", "whole", goes.alias("alive"), left.alias("left"), drawn.alias("drawn"), jump(step).alias("place"))
+            at = at.withColumns({"node": F.col("spot.node"), "block": F.floor(F.col("drawn") / BLOCK), "copy": F.pmod("walk", F.col("spot.copies")).cast("int")})
+            at = at.join(blocks, ["node", "block", "copy"], "left")
+            whole = F.col("whole") & F.col("links").isNotNull()
+            link = F.expr(f"links[cast(drawn % {BLOCK} as int)]")
+            if jumps:
+                # a place is drawn for every walk, so that the join has no hot key
+                there = F.struct(F.col("there.node").alias("dst"), F.col("there.out"), F.col("there.copies"))
+                at = at.join(places.withColumnRenamed("spot", "there"), "place")
+                at = at.select("walk", F.coalesce(link, there).alias("next"), "spot", whole.alias("whole"), "alive", "left")
             else:
-                at = at.withColumn("place", F.when(F.col("alive") & F.col("dst").isNull(), jump(step))).join(places, "place", "left")
-                at = at.select("walk", F.coalesce("dst", "there", "node").alias("node"), "alive", "seen")
+                at = at.select("walk", link.alias("next"), "spot", whole.alias("whole"), (F.col("alive") & F.col("links").isNotNull()).alias("alive"), "left")
+            spot = F.struct(F.col("next.dst").alias("node"), F.col("next.out").alias("out"), F.col("next.copies").alias("copies"))
+            at = at.select("walk", F.when(F.col("alive"), spot).otherwise(F.col("spot")).alias("spot"), "alive", "whole", "left")
         at = stored(at, "walks")
-        more = at.select(F.explode("seen").alias("node")).groupBy("node").agg(F.count("*").alias("n"))
-        visits = more if visits is None else visits.union(more).groupBy("node").agg(F.sum("n").alias("n"))
-        visits = stored(visits, "visits")
-        at = at.where("alive").select("walk", "node", "alive", F.array().cast("array<bigint>").alias("seen"))
+        band = F.aggregate(F.array(*(F.lit(int(b)) for b in bands)), F.lit(0), lambda a, b: a + F.when(F.col("walk") >= b, 1).otherwise(0))
+        more = at.select(band.alias("band"), F.explode("left").alias("l")).groupBy("l.node", "l.kind", "band").agg(F.count("*").alias("n"))
+        found = stored(more if found is None else found.unionByName(more).groupBy("node", "kind", "band").agg(F.sum("n").alias("n")), "visits")
+        at = at.where("alive").select("walk", "spot", "alive", "whole", none.alias("left"))
         if at.isEmpty():
-            break
-    counted = visits
-    total = counted.agg(F.sum("n")).first()[0] if complete else walks
-    return places.select(F.col("there").alias("node")).join(counted, "node", "left").select("node", (F.coalesce("n", F.lit(0)) / float(total or 1)).alias("pr"))
+            return found
+
+
+def random_walks(edges: DataFrame, walks: int, cyclic: bool, complete: bool, seed: int = 1, bored: float = BORED, steps_a_job: int = 6) -> DataFrame:
+    """node, pr estimated by `walks` random walks; see walk_visits. complete=False: shares of the walks that ended at a node
+    (as in the cyclic case walks / N is rounded down, they may sum to less than 1). complete=True: shares of all visits."""
+    kind = VISITED if complete else ENDED
+    counted = walk_visits(edges, walks, cyclic, not complete, None, seed, bored, steps_a_job).where(F.col("kind") == kind)
+    total = (counted.agg(F.sum("n")).first()[0] if complete else walks) or 1
+    return nodes_of(edges).join(counted, "node", "left").select("node", (F.coalesce("n", F.lit(0)) / float(total)).alias("pr"))
+
+
+RUNS = (10, 20, 50, 100)
+
+
+def walk_losses(edges: DataFrame, ranks: DataFrame, runs: tuple[int, ...] = RUNS, seed: int = 1, bored: float = BORED) -> DataFrame:
+    """estimator, runs, loss: the squared loss against `ranks` (node, pr) of four estimates, each by `runs` times as many walks
+    as there are nodes. mc1, mc2 count end points, mc4, mc5 whole paths up to a node without links; mc2, mc4 start
+    from each node in turn, mc1, mc5 at random.
+
+    The runs are nested: one set of walks of each kind of start, numbered, gives the estimates of both kinds of count at
+    every prefix, and one aggregation their losses."""
+    n = nodes_of(edges).count()
+    edges, runs, out = stored(edges.select("src", "dst").distinct(), "edges"), sorted(runs), None
+    for cyclic, names in ((False, ("mc1", "mc5")), (True, ("mc2", "mc4"))):
+        left = walk_visits(edges, runs[-1] * n, cyclic, True, [r * n for r in runs], seed, bored)
+        sums = [F.sum(F.when((F.col("kind") == kind) & (F.col("band") <= j), F.col("n")).otherwise(0)).alias(f"{name}_{r}") for kind, name in zip((ENDED, VISITED), names) for j, r in enumerate(runs)]
+        visits = left.agg(*sums).first()
+        total = {f"{name}_{r}": float((r * n if kind == ENDED else visits[f"{name}_{r}"]) or 1) for kind, name in zip((ENDED, VISITED), names) for r in runs}
+        both = ranks.select("node", "pr").join(left.groupBy("node").agg(*sums), "node", "left")
+        losses = both.agg(*(F.coalesce(F.sum(F.pow(F.coalesce(F.col(c), F.lit(0)) / t - F.col("pr"), 2)), F.lit(0.0)).alias(c) for c, t in total.items()))
+        rows = F.array(*(F.struct(F.lit(c.split("_")[0]).alias("estimator"), F.lit(int(c.split("_")[1])).alias("runs"), F.col(c).alias("loss")) for c in total))
+        table = losses.select(F.explode(rows).alias("r")).select("r.*")
+        out = table if out is None else out.union(table)
+    return out
 
 
 # HITS

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import kgrams, tokenize
+from tarn.plans.skew import HEAVY_KEYS, split_join
 from tarn.plans.storage import stored
 
 
@@ -77,34 +78,18 @@ def bags(tokens: DataFrame) -> DataFrame:
 
 #: Row groups of a saved index: small, as a lookup reads whole ones.
 BLOCK_BYTES = 8 << 20
-#: Terms whose df is sent to all tasks, at most.
-HEAVY_TERMS = 50_000
-
-
-def with_df(rows: DataFrame, df: DataFrame, heavy_terms: int = HEAVY_TERMS) -> DataFrame:
-    """rows (with a column `term`) with the df of their terms; df: a table of term, df over the whole corpus.
-
-    Terms of more than total / heavy_terms documents are at most heavy_terms in number, whatever the corpus, so their df go
-    to all tasks and their rows stay where they are. Every other term has total / heavy_terms rows at most, which are
-    shuffled to its df. Each term takes one of the two ways.
-    """
-    total = df.agg(F.sum("df")).first()[0] or 0
-    least = total // heavy_terms + 1
-    tagged = rows.join(F.broadcast(df.where(F.col("df") >= least)), "term", "left")
-    light = tagged.where("df is null").drop("df").join(df.where(F.col("df") < least), "term")
-    return tagged.where("df is not null").unionByName(light)
-
-
 def doc_freqs(bagged: DataFrame) -> DataFrame:
     """term, df."""
     return bagged.select(F.explode("bag.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bag_norms(bagged: DataFrame, df: DataFrame, n: int, heavy_terms: int = HEAVY_TERMS) -> DataFrame:
-    """doc_id, norm of the documents of bagged (all, or those that a query found); df, n: of the whole corpus."""
+def bag_norms(bagged: DataFrame, df: DataFrame, n: int, heavy_terms: int = HEAVY_KEYS) -> DataFrame:
+    """doc_id, norm of the documents of bagged (all, or those that a query found); df, n: of the whole corpus.
+
+    No task holds a stop word's postings: they stay with their documents, and the word's df comes to them."""
     rows = bagged.select("doc_id", F.explode("bag").alias("b")).select("doc_id", "b.term", "b.tf")
     weight = F.pow(F.col("tf") * F.log(F.lit(float(n)) / F.col("df")), 2)
-    return with_df(rows, df, heavy_terms).groupBy("doc_id").agg(F.sqrt(F.sum(weight)).alias("norm"))
+    return split_join(rows, df, "term", "df", heavy_terms).groupBy("doc_id").agg(F.sqrt(F.sum(weight)).alias("norm"))
 
 
 def doc_norms(tokens: DataFrame) -> DataFrame:

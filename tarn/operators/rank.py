@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.operators.graph import root_scores
-from tarn.operators.index import Index, with_df
+from tarn.operators.index import Index
 from tarn.operators.query import Query, by_position, empty_results, matches
+from tarn.plans.skew import split_join
 from tarn.plans.storage import stored
 
 
@@ -65,7 +66,7 @@ def ranked_weighted(index: Index, weights: DataFrame, norm: Normalization = Norm
     rows = kept.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"), F.first("weight").alias("weight"))
     rows = stored(rows, "weighted-rows")
     df = stored(rows.groupBy("term").agg(F.count("*").alias("df")), "weighted-df")
-    return normalised(index, scores_of(index, with_df(rows, df)), norm)
+    return normalised(index, scores_of(index, split_join(rows, df, "term", "df")), norm)
 
 
 def occurrences(index: Index, query: Query) -> DataFrame:

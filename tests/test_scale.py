@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import graph
-from tarn.operators.index import Index, bag_norms, bags, doc_freqs, tokenized, with_df
+from tarn.operators.index import Index, bag_norms, bags, doc_freqs, tokenized
 from tarn.operators.query import Query, end_grams, expand, matches
 from tarn.operators.rank import Normalization, ranked_hits, ranked_tfidf
+from tarn.plans.skew import split_join
+from tarn.plans.storage import stored
 from tarn.operators.spell import candidates, corrections, near_terms, suggest
 
 
@@ -26,12 +28,12 @@ def values(df, *cols):
 
 def test_df_joins_are_the_same_however_they_are_split(spark, words):
     bagged = bags(tokenized(words))
-    df, rows = doc_freqs(bagged), bagged.select("doc_id", F.explode("bag").alias("b")).select("doc_id", "b.term", "b.tf")
+    df, rows = stored(doc_freqs(bagged), "df"), bagged.select("doc_id", F.explode("bag").alias("b")).select("doc_id", "b.term", "b.tf")
     plain = values(rows.join(df, "term"), "doc_id", "term", "tf", "df")
     for heavy in (1, 5, 40, 10**9):
-        assert values(with_df(rows, df, heavy), "doc_id", "term", "tf", "df") == plain
+        assert values(split_join(rows, df, "term", "df", heavy), "doc_id", "term", "tf", "df") == plain
     assert values(bag_norms(bagged, df, 62, 3), "doc_id", "norm") == values(bag_norms(bagged, df, 62), "doc_id", "norm")
-    assert with_df(rows.limit(0), df.limit(0)).collect() == []
+    assert split_join(rows.limit(0), df.limit(0), "term", "df").collect() == []
     # terms of at least total / heavy documents alone are sent to all
     total = df.agg(F.sum("df")).first()[0]
     assert df.where(F.col("df") >= total // 5 + 1).count() <= 5
