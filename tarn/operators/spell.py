@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.text import edit_distance_within_2, kgram_bag
+from tarn.functions.text import edit_distance_within_2, kgram_bag, kgrams
 from tarn.operators.index import Index
 from tarn.operators.query import Query, intersection, phrase
 
@@ -47,6 +47,75 @@ def corrections(counts: DataFrame, term: str, k: int = 2, near: DataFrame | None
     return near.join(counts, "term").select("term", (F.col("distance") / (F.greatest("df", F.lit(1)) * F.col("jaccard"))).alias("score"))
 
 
+#: Words up to this length meet by what is left of them without one or two letters, longer ones by thirds.
+LONG = 24
+#: Letters taken from the word and from the term, for each kind of meeting; together they are the distance.
+CUTS = ((0, 0), (0, 1), (1, 0), (1, 1), (0, 2), (2, 0))
+
+
+def shortened(word: Column, letters: int) -> Column:
+    """What is left of a word without 0, 1 or 2 of its letters: distinct texts."""
+    if not letters:
+        return F.array(word)
+    without = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.call_function("left", w, i - 1), F.call_function("substring", w, i + 1)))
+    some = F.when(F.length(word) >= letters, without(word)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(some if letters == 1 else F.flatten(F.transform(some, without)))
+
+
+def short_keys(words: DataFrame, column: str, side: int) -> DataFrame:
+    """words with `meet`: hashes under which a word and a term of two edits at most meet, side 0 for words and 1 for terms.
+    For each kind of cut both sides give what is left after their part of it, so only such pairs meet."""
+
+    def hashed(kind: int, texts: Column) -> Column:
+        return F.transform(texts, lambda t: F.xxhash64(F.lit(kind), t))
+
+    kinds = [hashed(k, shortened(F.col(column), cut[side])) for k, cut in enumerate(CUTS)]
+    return words.where(F.length(column) <= LONG + 2).select("*", F.explode(F.array_distinct(F.flatten(F.array(*kinds)))).alias("meet"))
+
+
+def long_keys(words: DataFrame, column: str, side: int) -> DataFrame:
+    """As short_keys, for words of more than LONG letters: of a term's thirds, two edits leave one as it is, at most two
+    places from where it was. Terms give their thirds, words what lies at those places for each length that a term can have."""
+    w, n = F.col(column), F.length(column)
+    size = lambda length: F.floor(length / 3).cast("int")
+    last = lambda length, k: length - 2 * size(length) if k == 2 else size(length)
+
+    def key(k: int, length, at) -> Column:
+        return F.xxhash64(F.lit(k), length, F.call_function("substring", w, at, last(length, k)))
+
+    if side:
+        keys = F.array(*(key(k, n, k * size(n) + 1) for k in range(3)))
+    else:
+        keys = F.array(*(F.when(n + d > LONG, key(k, n + d, k * size(n + d) + 1 + move)) for d in range(-2, 3) for k in range(3) for move in range(-2, 3)))
+    return words.where(n > LONG).select("*", F.explode(F.array_distinct(F.filter(keys, lambda x: x.isNotNull()))).alias("meet"))
+
+
+def correct_words(words: DataFrame, counts: DataFrame, k: int = 2) -> DataFrame:
+    """word, term, score for every correction of many words at once; words: word (distinct), counts: term, df. A word's
+    corrections and scores are those of corrections(counts, word).
+
+    A similarity join: words and terms meet under keys that two edits leave in common, then distance and Jaccard decide. No
+    word scans the vocabulary, and pairs that meet are few beyond those that are near. A pair of which the shorter has
+    LONG letters at most meets by short keys, any other by long ones."""
+    words, counts = words.select("word"), counts.select("term", "df")
+    near = None
+    for keys, part in ((short_keys, F.least(F.length("word"), F.length("term")) <= LONG), (long_keys, F.least(F.length("word"), F.length("term")) > LONG)):
+        met = keys(words, "word", 0).join(keys(counts, "term", 1), "meet").where(part).select("word", "term", "df").distinct()
+        near = met if near is None else near.unionByName(met)
+    near = near.withColumn("distance", edit_distance_within_2(F.col("word"), F.col("term"))).where("distance is not null")
+    grams, bag = kgrams(F.col("word"), k), kgram_bag(F.col("term"), k)
+    near = near.select("word", "term", "df", "distance", grams.alias("grams"), bag.alias("bag"))
+    near = near.withColumn("shared", F.size(F.filter("bag", lambda g: F.array_contains("grams", g)))).where("shared > 0")
+    near = near.withColumn("jaccard", F.col("shared") / (F.size("grams") + F.size("bag") - F.col("shared"))).where(F.col("jaccard") >= JACCARD)
+    return near.select("word", "term", (F.col("distance") / (F.greatest("df", F.lit(1)) * F.col("jaccard"))).alias("score"))
+
+
+def best_corrections(words: DataFrame, counts: DataFrame, k: int = 2) -> DataFrame:
+    """word, term, score: each word with its best correction (ties: the first in order), nulls where it has none."""
+    best = correct_words(words, counts, k).groupBy("word").agg(F.min(F.struct("score", "term")).alias("best"))
+    return words.select("word").join(best, "word", "left").select("word", "best.term", "best.score")
+
+
 def suggest(index: Index, query: Query, limit: int = LIMIT, k: int = 2) -> DataFrame:
     """phrase, score: the best `limit` corrections of a query. Known terms stand for themselves with score 1. Terms are
     combined from the left, scores multiplied; from the second term on only the best `limit` go on."""

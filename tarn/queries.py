@@ -538,6 +538,27 @@ def spell_phrase_two_unknown(spark, d):
     return spell.suggest(index_of(spark, d), Query.parse("thaat andd")).select("phrase", F.round("score", 6).alias("score"))
 
 
+_GONE = lambda s: f"list_transform(range(1, length({s}) + 1), lambda i: left({s}, i - 1) || substr({s}, i + 1))"
+_CORRECTED = f"""{TOKENS},
+cut0 AS (SELECT term, df, term AS key, 0 AS cut FROM terms), cut1 AS (SELECT DISTINCT term, df, unnest({_GONE('term')}) AS key, 1 AS cut FROM terms),
+cut2 AS (SELECT DISTINCT term, df, unnest({_GONE('key')}) AS key, 2 AS cut FROM cut1), cuts AS MATERIALIZED (SELECT * FROM cut0 UNION ALL SELECT * FROM cut1 UNION ALL SELECT * FROM cut2),
+met AS (SELECT u.term AS word, v.term, v.df, min(u.cut + v.cut) AS distance FROM (VALUES (0, 1), (1, 0), (1, 1), (0, 2), (2, 0)) c(i, j)
+ JOIN cuts u ON u.cut = c.i AND u.df = 1 JOIN cuts v ON v.cut = c.j AND v.key = u.key AND v.df > 1 GROUP BY u.term, v.term, v.df),
+bags AS (SELECT *, list_transform(range(1, length(word) + 2), lambda i: substr('^' || word || '$', i, 2)) AS grams, list_transform(range(1, length(term) + 2), lambda i: substr('^' || term || '$', i, 2)) AS bag FROM met),
+shares AS (SELECT word, term, df, distance, len(list_distinct(grams)) AS g, len(bag) AS n, len(list_filter(bag, lambda x: list_contains(grams, x))) AS s FROM bags),
+scores AS (SELECT word, term, distance / (df * (s / (g + n - s))) AS score FROM shares WHERE s > 0 AND s / (g + n - s) >= 0.4),
+best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY score, term) AS place FROM scores)
+SELECT terms.term AS word, best.term, round(score, 6) AS score FROM terms LEFT JOIN best ON best.word = terms.term AND place = 1 WHERE terms.df = 1"""
+
+
+@op(_CORRECTED)
+def spell_single_words(spark, d):
+    """Every word that one document alone holds, with the best word of several documents in its place."""
+    counts = index_of(spark, d).doc_freqs()
+    best = spell.best_corrections(counts.where("df = 1").select(F.col("term").alias("word")), counts.where("df > 1"))
+    return best.withColumn("score", F.round("score", 6))
+
+
 @op(f"{TOKENS}, {_suggest_sql('licence')} SELECT term || ' and' AS phrase, score FROM fixed ORDER BY score, phrase LIMIT 10")
 def search_with_suggestions(spark, d):
     results, suggestions = spell.search_with_suggestions(index_of(spark, d).stored(), Query.parse("licence and"))

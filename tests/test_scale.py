@@ -11,7 +11,7 @@ from tarn.operators.query import Query, end_grams, expand, matches
 from tarn.operators.rank import Normalization, ranked_hits, ranked_tfidf
 from tarn.plans.skew import split_join
 from tarn.plans.storage import stored
-from tarn.operators.spell import candidates, corrections, near_terms, suggest
+from tarn.operators.spell import best_corrections, candidates, correct_words, corrections, near_terms, suggest
 
 
 @pytest.fixture(scope="module")
@@ -147,3 +147,45 @@ def test_absent_terms_read_no_row_group(spark, words, saved):
     assert 0 < scan_rows(saved.matching(F.col("term") == here)) < everything
     for term in ("aaaab", "ccccccc", "m", "zz"):
         assert scan_rows(saved.matching(F.col("term") == term)) == 0
+
+
+def test_words_are_corrected_together_as_one_by_one(spark):
+    rng = random.Random(11)
+    made = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+
+    def edited(w):
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(w) + 1)
+            w = rng.choice((w[:at] + rng.choice("abcd") + w[at:], w[:at] + w[at + 1 :]))
+        return w
+
+    terms = {made(rng.choice([1, 2, 3, 5, 8, 22, 23, 24, 25, 26, 27, 28, 40])) for _ in range(120)} | {"aaaa", "abab", "x" * 60}
+    terms = sorted(terms | {edited(t) for t in sorted(terms)} - {""})
+    words = sorted({edited(t) for t in rng.sample(terms, 60)} | {"a", "zz", "x" * 58, "x" * 61, "aaaaa"} - {""})
+    counts = spark.createDataFrame([(t, rng.randint(1, 9)) for t in terms], "term string, df long")
+    got = values(correct_words(spark.createDataFrame([(w,) for w in words], "word string"), counts), "word", "term", "score")
+    df = {r["term"]: r["df"] for r in counts.collect()}
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+            row = new
+        return row[-1]
+
+    want = []
+    for w in words:
+        grams = {f"^{w}$"[i : i + 2] for i in range(len(w) + 1)}
+        for t in terms:
+            distance = len(w) + len(t) - 2 * lcs(w, t)
+            bag = [f"^{t}$"[i : i + 2] for i in range(len(t) + 1)]
+            shared = sum(g in grams for g in bag)
+            if distance <= 2 and shared and shared / (len(grams) + len(bag) - shared) >= 0.4:
+                want.append((w, t, round(distance / (df[t] * shared / (len(grams) + len(bag) - shared)), 9)))
+    assert [g[:2] for g in got] == [w[:2] for w in sorted(want)] and [g[2] for g in got] == pytest.approx([w[2] for w in sorted(want)])
+    one = "aaaaa"
+    assert [g[1:] for g in got if g[0] == one] == values(corrections(counts, one), "term", "score")
+    best = {r["word"]: r["term"] for r in best_corrections(spark.createDataFrame([(one,), ("zz",)], "word string"), counts).collect()}
+    assert best == {one: min((g[2], g[1]) for g in got if g[0] == one)[1], "zz": None}
