@@ -6,6 +6,7 @@ shuffle, and a query can pick its terms out of a document before anything is exp
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -53,31 +54,91 @@ def split_punctuation(col: Column, keep: bool = False) -> Column:
     return F.filter(F.split(col, PUNCTUATION), lambda x: x != "")
 
 
-def _first_match(rest: Column, patterns: list[str]) -> Column:
-    """The match of the first pattern that is found at all, or null."""
-    return F.coalesce(*(F.nullif(F.regexp_extract(rest, p, 0), F.lit("")) for p in patterns), F.lit(None).cast("string"))
-
-
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.transform(F.array(value), body)[0]
 
 
+#: A match of these patterns that starts behind a character which it could take in starts there too, so it needs to be looked
+#: for only where no such character stands in front. That makes finding all matches linear in long runs of them.
+_IN_FRONT = {PATTERNS[1]: "[0-9]", PATTERNS[2]: "[a-zA-Z0-9._%+-]", PATTERNS[3]: r"[a-zA-Z0-9\-.%_]", PATTERNS[5]: "[0-9]", PATTERNS[6]: "[0-9]", PATTERNS[7]: r"\w"}
+
+
+#: The same matches by loops that give nothing back, as a loop over a group may overflow the matcher's stack in long texts.
+_LOOPS = {PATTERNS[4]: r"[$£€\+][0-9]++(?:[.,][0-9]++)*+", PATTERNS[6]: r"[0-9]++(?:[,\-:.][0-9]++)++"}
+
+
+def _sought(pattern: str) -> str:
+    front = f"(?<!{_IN_FRONT[pattern]})" if pattern in _IN_FRONT else ""
+    return front + _LOOPS.get(pattern, pattern)
+
+
+#: Those of PATTERNS that stand for a whole chunk or for nothing.
+_WHOLE = [p for p in PATTERNS if p.startswith("^") and p.endswith("$")]
+
+
+def _is_free(pattern: str) -> bool:
+    """Whether a pattern's matches depend on nothing around them: no ^, $, word bounds, back references or looks around."""
+    bare = re.sub(r"\[\^?\]?(?:\\.|[^\]\\])*\]", "", pattern)
+    return not re.search(r"\\[bBAGzZ0-9]|\(\?[=!<]", bare) and not re.search(r"[\^$]", re.sub(r"\\.", "", bare))
+
+
 def extract_words(chunk: Column, patterns: list[str], keep: bool = False) -> Column:
     """Tokens of a chunk: the first pattern that is found anywhere gives a token as it stands; what is before it is split
     at punctuation, and what is after it is a chunk anew."""
+    if patterns == PATTERNS or all(map(_is_free, patterns)):
+        return _in_turn(chunk, [p for p in patterns if p not in _WHOLE], [p for p in patterns if p in _WHOLE], keep)
+    return _step_by_step(chunk, patterns, keep)
+
+
+def _in_turn(chunk: Column, free: list[str], whole: list[str], keep: bool) -> Column:
+    """A pattern that isn't found in a text isn't found in what is left of it, so each is sought once: all its matches, one
+    behind the other, are tokens, and what is behind the last goes to the next pattern. The work grows with the chunk's
+    length, not with its square.
+
+    Those of PATTERNS for whole chunks come last: the patterns before them cut all that they would match in, and what the
+    one behind them (letters with full stops) matches, they do not."""
+
+    def cut(state: Column, pattern: str) -> Column:
+        def taken(found: Column) -> Column:
+            def parted(pieces: Column) -> Column:
+                token = lambda m, i: F.concat(split_punctuation(pieces[i], keep), F.array(m))
+                return F.struct(F.element_at(pieces, -1).alias("rest"), F.concat(state["toks"], F.flatten(F.transform(found, token))).alias("toks"))
+
+            return F.when(F.size(found) == 0, state).otherwise(_let(F.split(state["rest"], _sought(pattern), -1), parted))
+
+        return _let(F.regexp_extract_all(state["rest"], F.lit(_sought(pattern)), F.lit(0)), taken)
+
+    def ended(state: Column) -> Column:
+        is_whole = state["rest"].rlike("|".join(f"(?:{p})" for p in whole)) if whole else F.lit(False)
+        return F.concat(state["toks"], F.when(is_whole, F.array(state["rest"])).otherwise(split_punctuation(state["rest"], keep)))
+
+    def onward(state: Column, left: list[str]) -> Column:
+        return _let(cut(state, left[0]), lambda s: onward(s, left[1:])) if left else ended(state)
+
+    return _let(F.struct(chunk.alias("rest"), F.array().cast("array<string>").alias("toks")), lambda s: onward(s, free))
+
+
+def _step_by_step(chunk: Column, patterns: list[str], keep: bool) -> Column:
+    """One match after another, each pattern looked for in what is left: for patterns that depend on what is around them."""
     start = F.struct(chunk.alias("rest"), F.array().cast("array<string>").alias("toks"), F.lit(False).alias("done"))
 
+    def found_by(rest: Column, pattern: str) -> Column:
+        match = F.regexp_extract(rest, pattern, 0)
+        return F.when(match != "", F.struct(match.alias("match"), F.regexp_instr(rest, F.lit(pattern)).alias("at")))
+
+    first = lambda rest: F.coalesce(*(found_by(rest, p) for p in patterns))
+
     def step(state: Column, _: Column) -> Column:
-        def cut(match: Column) -> Column:
-            at = F.call_function("instr", state["rest"], match)
+        def cut(hit: Column) -> Column:
+            match, at = hit["match"], hit["at"]
             before = F.call_function("left", state["rest"], at - 1)
             after = F.call_function("substring", state["rest"], at + F.length(match))
             found = F.struct(after.alias("rest"), F.concat(state["toks"], split_punctuation(before, keep), F.array(match)).alias("toks"), F.lit(False).alias("done"))
             ended = F.struct(state["rest"].alias("rest"), state["toks"].alias("toks"), F.lit(True).alias("done"))
             return F.when(match.isNull(), ended).otherwise(found)
 
-        return F.when(state["done"], state).otherwise(_let(_first_match(state["rest"], patterns), cut))
+        return F.when(state["done"], state).otherwise(_let(first(state["rest"]), cut))
 
     # each step uses up a character at least
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(chunk), F.lit(1))), start, step, lambda s: F.concat(s["toks"], split_punctuation(s["rest"], keep)))
@@ -101,7 +162,7 @@ def tokenize(text: Column, patterns: list[str] | None = PATTERNS, case: bool = T
         plain = F.filter(F.split(body, r"[^\p{L}0-9]+"), lambda x: x != "")
     if not patterns:
         return plain
-    any_of = "|".join(f"(?:{p})" for p in patterns)
+    any_of = "|".join(f"(?:{_sought(p)})" for p in patterns)
 
     def suspect(col: Column) -> Column:
         return col.rlike(_SUSPECT) if patterns == PATTERNS else F.lit(True)

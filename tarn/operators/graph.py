@@ -6,6 +6,8 @@ shared folder every few rounds, which cuts the lineage so that a lost executor c
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,38 +30,71 @@ def weighted(edges: DataFrame) -> DataFrame:
     return links.join(out, "src")
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame | None = None, start=None, rounds: int | None = None, epsilon: float = EPSILON, bored: float = BORED, normalise: bool = True) -> DataFrame:
-    """node, pr. All mass starts on node `start` (default: the smallest); each round
-    pr'(p) = bored / N + (1 - bored) * sum over q -> p of pr(q) / out(q). What nodes without links hold isn't passed on.
+@dataclass
+class Iteration:
+    """PageRank as far as it has come: values after the last round and before it (node, pr), not normalised."""
 
-    rounds=k runs exactly k rounds; None runs until no node moves by more than epsilon, or MOST_ROUNDS. Then scores are
-    divided by their sum (normalise). One number a round comes to the driver.
-    """
+    last: DataFrame
+    before: DataFrame
+    rounds: int
+    converged: bool
+
+    def normalised(self) -> DataFrame:
+        """node, pr: the last values divided by their sum."""
+        total = self.last.agg(F.sum("pr")).first()[0]
+        return self.last.select("node", (F.col("pr") / total).alias("pr"))
+
+    def written(self) -> DataFrame:
+        """Values as they are written out: normalised if the iteration has converged, else the last ones as they are."""
+        return self.normalised() if self.converged else self.last
+
+    def served(self) -> DataFrame:
+        """Values as they are served to queries: normalised and rounded to 5 decimals if the iteration has converged, else
+        those before the last round, as they are."""
+        return served(self.normalised()) if self.converged else self.before
+
+
+def iterate(edges: DataFrame, nodes: DataFrame | None = None, start=None, most: int = MOST_ROUNDS, epsilon: float = EPSILON, bored: float = BORED) -> Iteration:
+    """PageRank until no node moves by more than epsilon in a round, or for `most` rounds (1 at least). All mass starts on
+    node `start` (default: the smallest, which is 0 where nodes are numbered); each round pr'(p) = bored / N + (1 - bored) *
+    sum over q -> p of pr(q) / out(q). What nodes without links hold isn't passed on. One number a round comes to the
+    driver."""
+    nodes, links, n, ranks = _start(edges, nodes, start)
+    before, moved, k = ranks, None, 0
+    for k in range(1, max(most, 1) + 1):
+        new = stored(_round(links, ranks, n, bored), "ranks")
+        moved = new.agg(F.max(F.abs(F.col("pr") - F.col("old")))).first()[0]
+        before, ranks = new.select("node", F.col("old").alias("pr")), new.select("node", "pr")
+        if moved is None or moved <= epsilon:
+            break
+    return Iteration(ranks, before, k, moved is None or moved <= epsilon)
+
+
+def _start(edges: DataFrame, nodes: DataFrame | None, start) -> tuple[DataFrame, DataFrame, int, DataFrame]:
     nodes = nodes_of(edges) if nodes is None else nodes.select("node").distinct()
     nodes = stored(nodes, "nodes")
     links = stored(weighted(edges), "links")
-    n = nodes.count()
-    if not n:
-        return nodes.select("node", F.lit(0.0).alias("pr"))
     start = nodes.agg(F.min("node")).first()[0] if start is None else start
-    ranks = nodes.select("node", F.when(F.col("node") == start, 1.0).otherwise(0.0).alias("pr"))
-    for k in range(rounds if rounds is not None else MOST_ROUNDS):
-        into = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("pr") * F.col("w")).alias("sent"))
-        new = ranks.join(into, ranks["node"] == into["dst"], "left").select("node", F.col("pr").alias("old"), (F.lit(bored / n) + (1 - bored) * F.coalesce("sent", F.lit(0.0))).alias("pr"))
-        if rounds is None:
-            new = stored(new, "ranks")
-            moved = new.agg(F.max(F.abs(F.col("pr") - F.col("old")))).first()[0]
-            ranks = new.select("node", "pr")
-            if moved <= epsilon:
-                break
-        else:
-            ranks = new.select("node", "pr")
-            if k % KEEP_EVERY == KEEP_EVERY - 1:
-                ranks = stored(ranks, "ranks")
-    if not normalise:
-        return ranks
-    total = ranks.agg(F.sum("pr")).first()[0]
-    return ranks.select("node", (F.col("pr") / total).alias("pr"))
+    return nodes, links, nodes.count(), nodes.select("node", F.when(F.col("node") == F.lit(start), 1.0).otherwise(0.0).alias("pr"))
+
+
+def _round(links: DataFrame, ranks: DataFrame, n: int, bored: float) -> DataFrame:
+    into = links.join(ranks, links["src"] == ranks["node"]).groupBy("dst").agg(F.sum(F.col("pr") * F.col("w")).alias("sent"))
+    return ranks.join(into, ranks["node"] == into["dst"], "left").select("node", F.col("pr").alias("old"), (F.lit(bored / max(n, 1)) + (1 - bored) * F.coalesce("sent", F.lit(0.0))).alias("pr"))
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame | None = None, start=None, rounds: int | None = None, epsilon: float = EPSILON, bored: float = BORED, normalise: bool = True) -> DataFrame:
+    """node, pr; see iterate(). rounds=k runs exactly k rounds, without a job for each; None runs until it has converged, or
+    MOST_ROUNDS. Then scores are divided by their sum (normalise)."""
+    if rounds is None:
+        done = iterate(edges, nodes, start, MOST_ROUNDS, epsilon, bored)
+        return done.normalised() if normalise else done.last
+    nodes, links, n, ranks = _start(edges, nodes, start)
+    for k in range(1, rounds + 1):
+        ranks = _round(links, ranks, n, bored).select("node", "pr")
+        if k % KEEP_EVERY == 0 or k == rounds:
+            ranks = stored(ranks, "ranks")
+    return Iteration(ranks, ranks, rounds, True).normalised() if normalise else ranks
 
 
 def served(ranks: DataFrame) -> DataFrame:

@@ -42,6 +42,21 @@ class Query:
         return any("*" in t for t in self.terms)
 
 
+def parsed(queries: DataFrame, text_col: str = "text") -> DataFrame:
+    """queries with `terms` and `weights` as Query.parse has them, for a table of queries."""
+    terms = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\s+"), lambda t: t != "")
+    return queries.withColumn("terms", terms).withColumn("weights", F.transform("terms", lambda t: F.lit(1.0)))
+
+
+def sizes(terms: str) -> Column:
+    return F.size(terms).cast("long")
+
+
+def lengths(weights: str) -> Column:
+    """Manhattan lengths."""
+    return F.aggregate(weights, F.lit(0.0), lambda a, w: a + w)
+
+
 def matches(term: str, column: str = "term") -> Column:
     """The condition that a term of a query stands for. A leading * means a suffix, else a trailing one a prefix, else
     the first one splits prefix and suffix, which may overlap; further * are literal."""
@@ -123,8 +138,9 @@ def union_postings(index: Index, terms: list[str]) -> DataFrame:
     return index.matching(some).groupBy("doc_id").agg(F.sum("tf").alias("score"), F.sort_array(F.flatten(F.collect_list("offsets"))).alias("offsets"))
 
 
-def phrase(index: Index, query: Query) -> DataFrame | None:
-    """Documents that hold the terms one after another: doc_id, score, offsets (of the last term).
+def phrase(index: Index, query: Query, apart: int = 1, within: int | None = None) -> DataFrame | None:
+    """Documents that hold the terms one after another: doc_id, score, offsets (of the last term). apart=k: each term
+    stands exactly k places behind the one before; within=k: at any of the 1 to k places behind it.
 
     One grouping by document and start (position minus the term's place) serves any number of terms. With h(i) the
     number of starts where the first i terms match: score = tf(1) + sum over i > 1 of (tf(i) + h(i) - 1). One unknown
@@ -138,17 +154,39 @@ def phrase(index: Index, query: Query) -> DataFrame | None:
             return None
         return union_postings(index, query.terms)
     at = by_position(index.postings.select("doc_id", "term", F.explode("offsets").alias("pos")), query)
-    starts = at.groupBy("doc_id", (F.col("pos") - F.col("ord")).alias("start")).agg(F.collect_set("ord").alias("ords"))
+    if within is not None:
+        return chained(at, n, within)
+    starts = at.groupBy("doc_id", (F.col("pos") - F.col("ord") * apart).alias("start")).agg(F.collect_set("ord").alias("ords"))
     starts = starts.withColumn("run", F.size(F.filter(F.sequence(F.lit(1), F.lit(n)), lambda i: F.forall(F.sequence(F.lit(0), i - 1), lambda j: F.array_contains("ords", j)))))
     tf = [F.sum(F.array_contains("ords", i).cast("long")) for i in range(n)]
     hits = [F.sum((F.col("run") > i).cast("long")) for i in range(n)]
     score = tf[0]
     for i in range(1, n):
         score = score + tf[i] + hits[i] - 1
-    last = F.sort_array(F.collect_list(F.when(F.col("run") == n, (F.col("start") + n - 1).cast("int"))))
+    last = F.sort_array(F.collect_list(F.when(F.col("run") == n, (F.col("start") + (n - 1) * apart).cast("int"))))
     return starts.groupBy("doc_id").agg(score.alias("score"), last.alias("offsets")).where(F.size("offsets") > 0)
 
 
+def chained(at: DataFrame, n: int, within: int) -> DataFrame:
+    """phrase() over rows doc_id, pos, ord: a place is a hit of the i-th term if one of the `within` places before it is a
+    hit of the one before. A window over a document's places, in their order, finds that for one term after another;
+    all windows share one shuffle and one sort, and no pairs of places are made."""
+    if within < 1:
+        raise ValueError("a term stands at least one place behind the one before")
+    rows = at.groupBy("doc_id", "pos").agg(F.collect_set("ord").alias("ords"))
+    before = Window.partitionBy("doc_id").orderBy("pos").rangeBetween(-within, -1)
+    rows = rows.withColumn("h0", F.array_contains("ords", 0))
+    for i in range(1, n):
+        rows = rows.withColumn(f"h{i}", F.array_contains("ords", i) & F.coalesce(F.max(f"h{i - 1}").over(before), F.lit(False)))
+    tf = [F.sum(F.array_contains("ords", i).cast("long")) for i in range(n)]
+    hits = [F.sum(F.col(f"h{i}").cast("long")) for i in range(n)]
+    score = tf[0]
+    for i in range(1, n):
+        score = score + tf[i] + hits[i] - 1
+    last = F.sort_array(F.collect_list(F.when(F.col(f"h{n - 1}"), F.col("pos"))))
+    return rows.groupBy("doc_id").agg(score.alias("score"), last.alias("offsets")).where(F.size("offsets") > 0)
+
+
 def kgram_side_lookup(index: Index, query: Query, k: int = 2) -> tuple[int, list[str]]:
     """Terms of length k read as k-grams: how many vocabulary terms hold them all, and the first ten."""
     from tarn.operators.index import kgram_index, kgram_report, term_dictionary

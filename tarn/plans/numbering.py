@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.plans.storage import stored
+
 PARTS = 4096
 
 
@@ -17,3 +19,14 @@ def numbered(keys: DataFrame, column: str, name: str = "number") -> DataFrame:
     starts = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(column)) - 1
     return rows.withColumn("__at", inside).join(starts, "__part").withColumn(name, (F.col("__start") + F.col("__at")).cast("long")).drop("__part", "__at", "__start")
+
+
+def numbered_in_order(rows: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """rows with a dense number from 0 by `order`, which must be distinct. Rows are range-partitioned; running sums of the
+    partitions' sizes, as many as there are shuffle partitions, give each one's first number."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = stored(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "in-order")
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = kept.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return kept.withColumn("__at", inside).join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col("__at")).cast("long")).drop("__part", "__at", "__start")

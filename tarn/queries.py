@@ -273,13 +273,13 @@ def postings_union(spark, d):
     return joined(query.union_postings(index_of(spark, d), ["license", "mit"]))
 
 
-def _phrase_sql(text: str) -> str:
+def _phrase_sql(text: str, behind: str = "b.pos = a.pos + 1") -> str:
     """Left fold of positional joins, as a plain statement of the score."""
     terms = text.split()
     sql = [f"{TOKENS}", f"t0 AS (SELECT doc_id, pos FROM tokens WHERE {_like(terms[0])})", "h0 AS (SELECT doc_id, pos FROM t0)", "s0 AS (SELECT doc_id, count(*) AS s FROM t0 GROUP BY doc_id)"]
     for i, t in enumerate(terms[1:], 1):
         sql.append(f"t{i} AS (SELECT doc_id, pos FROM tokens WHERE {_like(t)})")
-        sql.append(f"h{i} AS (SELECT b.doc_id, b.pos FROM h{i - 1} a JOIN t{i} b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1)")
+        sql.append(f"h{i} AS (SELECT DISTINCT b.doc_id, b.pos FROM h{i - 1} a JOIN t{i} b ON a.doc_id = b.doc_id AND {behind})")
         sql.append(f"s{i} AS (SELECT doc_id, any_value(p.s) + (SELECT count(*) FROM t{i} t WHERE t.doc_id = h.doc_id) + count(*) - 1 AS s FROM h{i} h JOIN s{i - 1} p USING (doc_id) GROUP BY doc_id)")
     k = len(terms) - 1
     return ", ".join(sql) + f" SELECT doc_id, any_value(s)::BIGINT AS score, {_offsets('list(pos ORDER BY pos)')} AS offsets FROM h{k} JOIN s{k} USING (doc_id) GROUP BY doc_id"
@@ -294,6 +294,17 @@ for _name, _text in [("phrase", "of the"), ("phrase_repeated_term", "the the"),
     ORACLES[_name] = _phrase_sql(_text)
 
 
+def _phrase_gap(text: str, **gap):
+    return lambda spark, d: joined(query.phrase(index_of(spark, d), Query.parse(text), **gap))
+
+
+for _k in (1, 2, 3):
+    QUERIES[f"phrase_within_{_k}"] = _phrase_gap("the an* the", within=_k)
+    ORACLES[f"phrase_within_{_k}"] = _phrase_sql("the an* the", f"b.pos BETWEEN a.pos + 1 AND a.pos + {_k}")
+    QUERIES[f"phrase_apart_{_k}"] = _phrase_gap("the an* the", apart=_k)
+    ORACLES[f"phrase_apart_{_k}"] = _phrase_sql("the an* the", f"b.pos = a.pos + {_k}")
+
+
 def _wildcard(term: str):
     return lambda spark, d: query.expand(index_of(spark, d), term).select("term")
 
@@ -472,10 +483,11 @@ def paging(spark, d):
     return query.page(scored.select("doc_id", F.round("score", 6).alias("score")), 10, 10).select("rank", "doc_id", "score")
 
 
-@op("SELECT 3 AS size, 2.75::DOUBLE AS length")
+@op("SELECT item_id, len(t) AS size, len(t)::DOUBLE AS length FROM (SELECT item_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') AS t FROM benchmark)")
 def query_length(spark, d):
-    q = Query(["license", "mit", "apache"], [0.25, 2.0, 0.5])
-    return spark.createDataFrame([(q.size(), float(q.length()))], "size int, length double")
+    """Size and Manhattan length of the queries that the texts of a table are."""
+    rows = query.parsed(table(spark, d, "benchmark"), "text")
+    return rows.select("item_id", query.sizes("terms").alias("size"), query.lengths("weights").alias("length"))
 
 
 # ------------------------------------------------------------------ spelling
@@ -603,6 +615,12 @@ def pagerank_converged(spark, d):
     return graph.served(graph.pagerank(part_edges(spark, d)))
 
 
+@op(_pagerank_sql(_PART_EDGES, 3) + " SELECT node, round(pr, 12) AS pr FROM p2")
+def pagerank_not_converged(spark, d):
+    """What is served when the rounds end before the values settle: those before the last round."""
+    return graph.iterate(part_edges(spark, d), most=3, epsilon=1e-12).served().select("node", F.round("pr", 12).alias("pr"))
+
+
 def _walks(cyclic: bool, complete: bool, each: int = 10):
     def run(spark, d):
         edges = part_edges(spark, d)

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.text import base_name
+from tarn.plans.numbering import numbered_in_order
+from tarn.plans.storage import stored
 
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """doc_id, name, text: a document for each file below path, numbered in the order of their paths.
 
-    Numbers come from the paths alone (a window over names, not texts)."""
+    Numbers come from the paths alone, and no task orders all of them."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("name"), F.col("value").alias("text"))
-    names = files.select("name").distinct().withColumn("doc_id", (F.row_number().over(Window.orderBy("name")) - 1).try_cast("long"))
+    names = numbered_in_order(files.select("name").distinct(), "name", name="doc_id")
     return files.join(names, "name").select("doc_id", "name", "text")
 
 
@@ -37,6 +39,25 @@ def read_link_nodes(spark: SparkSession, path: str) -> DataFrame:
     return own.union(read_links(spark, path).select("dst")).where("node is not null").distinct()
 
 
+def read_numbered_links(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(links, nodes) of lines `node;out1,out2,...`, nodes being numbered from 0 by their first appearance, in lines and
+    from left to right: links is src, dst (numbers; repeated links once), nodes is node, name. Files come in order of their
+    paths; lines without ; are left out. Names are taken without blanks around them, and empty ones aren't nodes.
+
+    Lines are not numbered by one task: a line's place is its file, the start of the split that holds it, and its order
+    within that split; a node's number comes from the least place where it stands."""
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line")]
+    lines = spark.read.text(path).select(*place, F.split("value", ";", 2).alias("p")).where(F.size("p") == 2)
+    outs = F.filter(F.transform(F.split(F.col("p")[1], ","), lambda x: F.trim(x)), lambda x: x != "")
+    lines = stored(lines.select(F.struct("file", "split", "line").alias("place"), F.trim(F.col("p")[0]).alias("name"), outs.alias("outs")).where("name <> ''"), "lines")
+    seen = lines.select("place", F.posexplode(F.concat(F.array("name"), "outs")).alias("nth", "name"))
+    first = seen.groupBy("name").agg(F.min(F.struct("place.file", "place.split", "place.line", "nth")).alias("at"))
+    nodes = stored(numbered_in_order(first.select("name", "at.*"), "file", "split", "line", "nth", name="node").select("node", "name"), "numbered-nodes")
+    named = lines.select("name", F.explode("outs").alias("out")).distinct()
+    ends = named.join(nodes.select("name", F.col("node").alias("src")), "name").join(nodes.select(F.col("name").alias("out"), F.col("node").alias("dst")), "out")
+    return ends.select("src", "dst"), nodes
+
+
 def out_degrees(edges: DataFrame) -> DataFrame:
     """node, out: out-degree of each node (0 for nodes that are only linked to)."""
     out = edges.groupBy("src").agg(F.count("*").alias("out"))
