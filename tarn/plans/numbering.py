@@ -21,12 +21,17 @@ def numbered(keys: DataFrame, column: str, name: str = "number") -> DataFrame:
     return rows.withColumn("__at", inside).join(starts, "__part").withColumn(name, (F.col("__start") + F.col("__at")).cast("long")).drop("__part", "__at", "__start")
 
 
-def numbered_in_order(rows: DataFrame, *order: str, name: str = "number") -> DataFrame:
-    """rows with a dense number from 0 by `order`, which must be distinct. Rows are range-partitioned; running sums of the
-    partitions' sizes, as many as there are shuffle partitions, give each one's first number."""
+def running_sums(rows: DataFrame, *order: str, amount: str, total: str) -> DataFrame:
+    """rows with `total`, the sum of `amount` up to and with each row by `order`, which must be distinct. Rows are
+    range-partitioned; running sums of the partitions' own, as many as there are shuffle partitions, are added to theirs."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = stored(rows.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "in-order")
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = kept.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
-    return kept.withColumn("__at", inside).join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col("__at")).cast("long")).drop("__part", "__at", "__start")
+    starts = kept.groupBy("__part").agg(F.sum(amount).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    inside = F.sum(amount).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return kept.withColumn("__at", inside).join(F.broadcast(starts), "__part").withColumn(total, (F.col("__start") + F.col("__at")).cast("long")).drop("__part", "__at", "__start")
+
+
+def numbered_in_order(rows: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """rows with a dense number from 0 by `order`, which must be distinct."""
+    return running_sums(rows.withColumn("__one", F.lit(1)), *order, amount="__one", total=name).withColumn(name, F.col(name) - 1).drop("__one")
