@@ -247,7 +247,9 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
     if clash := {"lang_pred", "score"} & set(keep):
         raise ValueError(f"these columns are the result's own: {sorted(clash)}")
     learnt = docs.sparkSession.sparkContext.broadcast(CrossParser(references(labelled, id_col, text_col, lang_col)))
-    kept = docs.select(*(c for c in keep if c != text_col), F.col(text_col).alias("__text"))  # the text crosses once
+    # the text crosses once, last; columns cross under numbers, so that they may have any names
+    others = [c for c in keep if c != text_col]
+    kept = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(others)), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches):
         p = learnt.value
@@ -260,7 +262,7 @@ def identify(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in (kept.schema.fields if text_col in keep else kept.schema.fields[:-1]))
     judged = kept.mapInArrow(run, f"{fields}, lang_pred string, score double")
-    return judged.select(*(F.col("__text").alias(c) if c == text_col else F.col(c) for c in keep), "lang_pred", "score")
+    return judged.select(*(F.col("text" if c == text_col else f"c{others.index(c)}").alias(c) for c in keep), "lang_pred", "score")
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:

@@ -20,10 +20,7 @@ from how many words occur once and twice, and D2, D3 parameters,
   than the mass there is, never more;
   P(w | t u) = (c(t u w) - D3) / c(t u) for a trigram of the training texts, else b(t u) P(w | u), with
   b(t u) = D3 * successors(t u) / c(t u) / (1 - sum of P(. | u) over successors of t u).
-An unknown context has b = 1. This holds for contexts of any size, as HOT is infinite. A finite HOT is another model, which
-needs no sums over shards: a context u with more than HOT occurrences (`ways` of its count, not of shards) is then a mixture
-of classes: w's hash class is drawn first, by its share of u's occurrences, and then w within its class by the same
-formulas, where P(w) is divided by the class's share of all words, so that the probabilities of a context still sum to one.
+An unknown context has b = 1. This holds for contexts of any size.
 Probabilities and b are quantised on one grid of 1 / 2048 decade, so that a token is off by a thousandth of a decade at
 most. (A shard is counted and looked up in pieces of its contexts, one after the other, so that only a piece is ever unpacked.)
 """
@@ -46,8 +43,6 @@ from tarn.llm.elias_fano import NgramTrie, Quantised
 from tarn.llm.packing import Numbers, by_group, pack, small, unpack
 
 SHARD_TOKENS, PIECE_TOKENS, BATCH_TOKENS, SPLIT, TOP = 4_000_000, 400_000, 2_000_000, 400_000, 1e-5
-#: A context of more occurrences is a mixture of classes: none is, as scores would then depend on the size of the input.
-HOT = float("inf")
 #: Discounts of bigrams and trigrams.
 D2, D3 = 0.8, 0.85
 #: Begin and end of a text: hashes of strings that hold a blank and so are no words.
@@ -118,11 +113,9 @@ class Words:
         seen = np.concatenate((self.counts, [self.docs]))
         order = np.argsort(contexts)
         contexts, seen = contexts[order], seen[order]
-        # the training texts' share of occurrences is what is known here; HOT and SPLIT are about all of them
+        # the training texts' share of occurrences is what is known here; SPLIT is about all of them
         every = seen * max(1, totals["tokens"]) // max(1, self.n)
-        ways = -(-every // HOT)
-        self.hot, self.hot_count, self.hot_ways = contexts[ways > 1], seen[ways > 1], ways[ways > 1].astype(np.int64)
-        split = (every > SPLIT) & (ways <= 1) & (contexts != END)
+        split = (every > SPLIT) & (contexts != END)
         self.split, self.split_count, self.split_parts = contexts[split], seen[split], -(-every[split] // SPLIT)
 
     @staticmethod
@@ -138,24 +131,11 @@ class Words:
         return np.where(self.split[at] == hashes, at, -1)
 
     def dealt(self, hashes: np.ndarray) -> np.ndarray:
-        """Over how many shards each context is dealt: its classes, or parts."""
-        out, at = self.ways(hashes), self.split_at(hashes)
+        """Over how many shards each context is dealt."""
+        out, at = np.ones(len(hashes), dtype=np.int64), self.split_at(hashes)
         out[at >= 0] = self.split_parts[at[at >= 0]]
         return out
 
-    def ways(self, hashes: np.ndarray) -> np.ndarray:
-        """Of how many classes each context is a mixture."""
-        out = np.ones(len(hashes), dtype=np.int64)
-        if len(self.hot):
-            at = np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)
-            same = self.hot[at] == hashes
-            out[same] = self.hot_ways[at[same]]
-        return out
-
-    def hot_counts(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.hot, hashes), len(self.hot) - 1)
-        return self.hot_count[at]
-
     def probability(self, counts: np.ndarray) -> np.ndarray:
         return (counts - self.discount) / max(1, self.n)
 
@@ -167,11 +147,6 @@ class Words:
         same = self.hashes[at] == hashes
         return same, np.where(same, self.probability(self.counts[at]), 0.0)
 
-    def share(self, ways: int) -> np.ndarray:
-        """The probability of all words whose hash has each remainder modulo `ways`; words not sent count as evenly dealt."""
-        p = self.probability(self.counts)
-        return np.bincount(self.hashes % ways, weights=p, minlength=ways) + (1 - p.sum()) / ways
-
 
 def spread(hashes: np.ndarray, sub: np.ndarray) -> np.ndarray:
     """A number for each context and part of it, the hash itself for part 0."""
@@ -310,11 +285,11 @@ def piece_scores(prev: np.ndarray, cur: np.ndarray, nxt: np.ndarray, train: np.n
     contexts, cur = np.unique(cur, return_inverse=True)
     prevs, prev = np.unique(prev, return_inverse=True)
     nexts, nxt = np.unique(nxt, return_inverse=True)
-    ways, dealt, split = c.ways(contexts), c.dealt(contexts), c.split_at(contexts)
+    dealt, split = c.dealt(contexts), c.split_at(contexts)
     most = int(dealt.max())
-    # a node is a context, or the class or part of its next words that came here
+    # a node is a context, or the part of its next words that came here
     nodes, node = np.unique(cur * most + nexts[nxt] % dealt[cur], return_inverse=True)
-    owner, sub = nodes // most, nodes % most
+    owner = nodes // most
     n_prev, n_node, n_next = len(prevs), len(nodes), len(nexts)
     count = lambda which, n: np.bincount(which, weights=train, minlength=n).astype(np.int64)
     pair, in_pair = np.unique(node * n_next + nxt, return_inverse=True)
@@ -323,9 +298,6 @@ def piece_scores(prev: np.ndarray, cur: np.ndarray, nxt: np.ndarray, train: np.n
     c2, ch, c3, total = count(in_pair, len(pair)), count(in_history, len(history)), count(in_triple, len(triple)), count(node, n_node).astype(float)
     of2, succ2, of3, suffix = pair // n_next, pair % n_next, triple // n_next, in_pair[first]
     own = count(cur, len(contexts))
-    hot = ways > 1
-    if hot.any():
-        own[hot] = c.hot_counts(contexts[hot])
     own[split >= 0] = c.split_count[split[split >= 0]]
     part = split[owner] >= 0
     total[part] = own[owner[part]]
@@ -333,21 +305,16 @@ def piece_scores(prev: np.ndarray, cur: np.ndarray, nxt: np.ndarray, train: np.n
     d2, d3 = D2, D3
     # bigrams
     same, p = c.known(nexts)
-    room = np.ones(n_node)
-    for w in np.unique(ways[hot]):
-        mine = ways[owner] == w
-        room[mine] = np.maximum(c.share(int(w))[sub[mine]], 1e-9)
     more2 = np.bincount(of2[seen2], minlength=n_node)
     taken = np.bincount(of2[seen2], weights=p[succ2[seen2]], minlength=n_node)
-    left = np.maximum(room - taken, 1e-9)
-    share = np.where(hot[owner], np.where(total > 0, total / np.maximum(own[owner], 1), room), 1.0)  # of a class
+    left = np.maximum(1 - taken, 1e-9)
     p2 = np.where(seen2, (c2 - d2) / np.maximum(total[of2], 1), 0.0)
     # trigrams; values are relative to the context's count, and its ratio to the history's is added to them
     of_h = history % n_node
     more3 = np.bincount(of3[seen3], minlength=len(history))
     after3 = np.bincount(of3[seen3], weights=c2[suffix[seen3]], minlength=len(history))
     with np.errstate(divide="ignore", invalid="ignore"):
-        back2 = np.where(more2 > 0, back_off(d2, more2, total * left), -np.log10(room))
+        back2 = np.where(more2 > 0, back_off(d2, more2, total * left), 0.0)
         back3 = np.where(part[of_h], 0.0, back_off_history(more3, after3, total[of_h]))[seen_h]
         value2, value3 = np.log10(p2[seen2]), np.log10((c3 - d3) / total[of_h[of3]])[seen3]
         ratio = np.where(seen_h & ~part[of_h], np.log10(total[of_h] / ch), 0.0)
@@ -381,7 +348,7 @@ def piece_scores(prev: np.ndarray, cur: np.ndarray, nxt: np.ndarray, train: np.n
         score = np.where(at3 >= 0, trie.probability[1].take(np.maximum(at3, 0)), score)
     else:
         score = score[suffix]
-    score = score + np.log10(share)[of_h[of3]] + ratio[of3] + ending[suffix]
+    score = score + ratio[of3] + ending[suffix]
     key = history_key(prevs[history // n_node], contexts[owner[of_h]])
     backs = part[of_h[of3]] & (at3 < 0)
     ask3, ask2 = np.where(backs, key[of3], -1), np.where(backs & (at2[suffix] < 0), split[owner[of_h[of3]]], -1)

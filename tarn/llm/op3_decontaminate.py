@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import ship, table
 
-LEAST, APART, MATCH, MISMATCH, GAP, THRESHOLD, ITEM_CHARS = 3, 2, 2, -1, 1, 0.5, 8_000_000
+APART, MATCH, MISMATCH, GAP, THRESHOLD, ITEM_CHARS = 2, 2, -1, 1, 0.5, 8_000_000
+#: Items of up to so many words are looked up word for word: one word of two would score the threshold by itself.
+BRIEF = 2
 _SPACED = bytes(32 if chr(c) in string.punctuation or c < 32 else c for c in range(256))
 
 
@@ -59,12 +61,18 @@ class Items:
     def __init__(self, rows: list[tuple[int, int, str]]):
         """rows: id, copies and text of items whose words differ."""
         self.vocabulary: dict[bytes, int] = {}
-        self.ids, self.copies, self.words = [], [], []
+        self.ids, self.copies, self.words, brief = [], [], [], []
         for item_id, copies, text in rows:
+            words = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)], dtype=np.int64)
+            if len(words) <= BRIEF:
+                brief.append((words, item_id, copies))
+                continue
             self.ids.append(item_id)
             self.copies.append(copies)
-            self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in tokens(text)], dtype=np.int64))
+            self.words.append(words)
         self.base = len(self.vocabulary) + 1
+        # a brief item is a number: its word, or its pair of words
+        self.brief = [{int(w[0] if n == 1 else w[0] * self.base + w[1]): (i, c) for w, i, c in brief if len(w) == n} for n in (1, 2)]
         found = [self.codes(w, d) for w in self.words for d in range(1, APART + 1)]
         self.grams = np.unique(np.concatenate([*found, np.zeros(0, dtype=np.int64)]))
         found = [np.searchsorted(self.grams, f) for f in found]
@@ -118,6 +126,16 @@ class Items:
         out[np.isin(pairs[0], self.of[i][0])] = 2
         return out
 
+    def stand(self, ids: np.ndarray) -> list[tuple]:
+        """Brief items that stand in a document word for word, as matches() returns them."""
+        out = []
+        for n, items in enumerate(self.brief, 1):
+            if items and len(ids) >= n:
+                codes = ids if n == 1 else np.where((ids[:-1] > 0) & (ids[1:] > 0), self.codes(ids, 1), -1)
+                here, first = np.unique(codes, return_index=True)
+                out += [(*items[c], 1.0, a, a + n - 1, n) for c, a in zip(here.tolist(), first.tolist()) if c in items]
+        return out
+
     def matches(self, text: str | None, threshold: float) -> list[tuple]:
         """item, copies, score, first and last word in the document, aligned words: the best passage of each item."""
         ids = self.encode(text)
@@ -127,7 +145,7 @@ class Items:
             for a in np.nonzero(self.seed[gram] & (gram >= 0))[0].tolist() if len(self.seed) else []:
                 for i in self.owners[self.first[gram[a]] : self.first[gram[a] + 1]].tolist():
                     by.setdefault(i, []).append(a)
-        out = []
+        out = self.stand(ids)
         for i, found in by.items():
             item, m = self.words[i], len(self.words[i])
             found.sort()
@@ -162,7 +180,7 @@ def merged(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b" ".join(ws).decode("utf-8", "surrogatepass") for ws in found], pa.string()), pa.array([len(ws) for ws in found], pa.int64())], ["i", "t", "words"])
 
     rows = items.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
-    return rows.mapInArrow(read, "i long, t string, words long").where(F.col("words") >= LEAST).groupBy("t").agg(F.min("i").alias("i"), F.count("*").alias("n")).select("i", "n", "t")
+    return rows.mapInArrow(read, "i long, t string, words long").where("words > 0").groupBy("t").agg(F.min("i").alias("i"), F.count("*").alias("n")).select("i", "n", "t")
 
 
 def blocks(items: DataFrame, item_id: str, item_text: str, limit: int):
@@ -192,7 +210,7 @@ def ready_blocks(texts: DataFrame, items: DataFrame, item_id: str, item_text: st
                     held = np.unique(np.concatenate(b.pairs(b.encode(text.as_py()))))
                     seen[held[held >= 0]] += 1
             some = np.nonzero(seen)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["gram", "docs"])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(seen[some], pa.int64())], ["gram", "docs"])
 
         counted = texts.select("text").mapInArrow(count, "gram long, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
         seen = np.zeros(len(block.grams), dtype=np.int64)
@@ -208,9 +226,11 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     item whose alignment scores `threshold` or more (1: the item stands there word for word). Of several passages of the
     same score the first is reported.
 
-    Items of equal words are one item, under their smallest id. Items of fewer than LEAST words, or without id or text,
-    match nothing; null and empty documents match nothing. An item for which a single word would score the threshold
-    (threshold * words of 1 or less) still takes a pair of words. Repeated rows are each judged. Extra columns are left out.
+    Items of equal words are one item, under their smallest id. Items of BRIEF words or fewer match where they stand word
+    for word (score 1). Items without words, id or text match nothing; null and empty documents match nothing. A longer item
+    for which a single word would score the threshold (threshold * words of 1 or less) still takes a pair of words. An
+    alignment takes time as the item's words times the passage's, which are about twice as many. Repeated rows are
+    each judged. Extra columns are left out.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -4,7 +4,8 @@ Hamming distance to it; a search follows only edges within the radius of the dis
 Scale: no tree of all fingerprints is built or sent around. Fingerprints are dealt to shards such that two that are to
 be linked always share a shard; each shard has its own small tree, built and searched in one go. For small radii r the
 shards are exact: of r + 1 runs of bits, two fingerprints at distance r or less have one run in common. Shards with
-more than SPLIT members are dealt again by the bits that are left. Equal fingerprints are one member, and within a tree
+more than SPLIT members are dealt again by the bits that are left, and what is still larger after LEVELS times is parted, each two
+parts meeting in a tree of their own, so that no task holds a whole group. Equal fingerprints are one member, and within a tree
 a subtree whose members are all linked to the searcher already is passed over, so a shard of n near copies costs about n
 steps and gives n - 1 links, never all pairs. Links are joined by rounds of a distributed components search.
 """
@@ -19,8 +20,11 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import LAST_ID, parts, ship, stored, table, words
 from tarn.llm.components import connected_components
+from tarn.plans.skew import split_join
 
 WIDTH, RADIUS, SPLIT, LEVELS = 3, 3, 4096, 2
+#: Members of a shard that meet in one tree, at most twice as many: larger shards are parted, and each two parts have a tree.
+PART = 4096
 _BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
@@ -130,6 +134,16 @@ def shard_links(rows: DataFrame, radius: int, column: str | None = None, read=No
     return rows.select(*names).repartition(n, "key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long")
 
 
+def parted(rows: DataFrame, part: int | None = None) -> DataFrame:
+    """rows (key, node, n: the key's rows, ...) with keys of a bounded number of rows instead: those of at most `part` rows stay,
+    others are parted by their nodes, and each two parts share a new key. Every two rows of a key still share one."""
+    parts_ = F.ceil(F.col("n") / (part or PART)).cast("int")
+    own = F.pmod(F.xxhash64(F.lit(31), "node"), parts_).cast("int")
+    others = F.filter(F.sequence(F.lit(0), parts_ - 1), lambda p: p != own)
+    keys = F.when(parts_ <= 1, F.array("key")).otherwise(F.transform(others, lambda p: F.xxhash64("key", F.least(p, own), F.greatest(p, own))))
+    return rows.withColumn("key", F.explode(keys)).drop("n")
+
+
 def bit_shards(nodes: DataFrame, radius: int) -> DataFrame:
     """Rows key, node, fp such that nodes within the radius share a key; keys of one node are left out."""
     kept, rows = None, nodes.select("node", "fp", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("used"))
@@ -152,7 +166,7 @@ def bit_shards(nodes: DataFrame, radius: int) -> DataFrame:
         else:
             dealt = stored(dealt, "shards")
             done, rows = dealt.where(F.col("n") <= SPLIT), dealt.where(F.col("n") > SPLIT).drop("n")
-        done = done.select("key", "node", "fp")
+        done = parted(done.select("key", "node", "fp", "n"))
         kept = done if kept is None else kept.union(done)
         if level < LEVELS and rows.isEmpty():
             break
@@ -197,6 +211,8 @@ def op5_simhash_bktree(spark, sf_dir: str) -> DataFrame:
 # Near copies of a lower similarity, as the pipeline removes them.
 
 NEAR_WIDTH, SIMILARITY, NEAR_RADIUS, BANDS, BAND_ROWS, PERMUTATIONS = 5, 0.8, 28, 21, 6, 252
+#: As PART, where members have sets of shingles.
+SET_PART = 1024
 #: Pairs whose estimate is below the similarity by more than this aren't decided exactly: 5.5 standard errors at 0.8.
 SLACK = 0.14
 _rng = np.random.default_rng(20)
@@ -238,7 +254,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of a dozen shingles, 1e-6 of four or five). That is too many for shards by runs of bits: the shards are
     BANDS bands of BAND_ROWS of the min-hashes here (a pair at 0.8 misses all bands with a chance of 0.002). Band mates
     whose min-hashes agree to within SLACK of the similarity are put together, and each group of documents so connected is
-    a shard in which the shingle sets decide; texts are read again for these documents alone. Texts without words are
+    a shard in which the shingle sets decide, in parts of bounded size; texts are read again for these documents alone. Texts without words are
     linked to each other. Each row is judged by its own text, whatever its id: null and repeated ids link nothing. Extra
     columns are left out.
     """
@@ -265,7 +281,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = [np.unique(shingle_hashes(t, width)) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("node"), pa.array([fingerprint(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["key", "node", "fp", "set"])
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("n"), part.column("node"), pa.array([fingerprint(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["key", "n", "node", "fp", "set"])
 
     body = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(7), body).alias("h2"), body.alias("text"))
@@ -276,25 +292,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     firsts = sketch.join(nodes.select("node", "of.*"), ["node", "h1", "h2"]).dropDuplicates(["node"])
     firsts = stored(firsts.select("node", "h1", "h2", "fp", "sig", "keys"), "representatives")
     dealt = firsts.select("node", F.explode("keys").alias("key"))
-    several = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    rows = dealt.join(several, "key").join(firsts.select("node", "fp", "sig"), "node")
-    near = connected_components(shard_links(rows, radius, "sig", lambda s: np.frombuffer(s, dtype=np.uint16), lambda a, b: agree(a, b, similarity)))
-    chosen = firsts.select("node", "h1", "h2").join(near.select("node", F.col("component").alias("key")), "node")
-    chosen = texts.select("h1", "h2", "text").join(chosen, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("key", "node", "text")
-    chosen = chosen.mapInArrow(reread, "key long, node long, fp long, set binary")
+    several = stored(dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    rows = parted(split_join(dealt, several, "key", "n")).join(firsts.select("node", "fp", "sig"), "node")
+    near = stored(connected_components(shard_links(rows, radius, "sig", lambda s: np.frombuffer(s, dtype=np.uint16), lambda a, b: agree(a, b, similarity))).select("node", F.col("component").alias("key")), "near")
+    sizes = stored(near.groupBy("key").agg(F.count("*").alias("n")), "near-sizes")
+    # a text's set of shingles is made where its row is read, and goes to each tree that its group's parts have
+    chosen = firsts.select("node", "h1", "h2").join(split_join(near, sizes, "key", "n"), "node")
+    chosen = texts.select("h1", "h2", "text").join(chosen, ["h1", "h2"]).dropDuplicates(["h1", "h2"]).select("key", "n", "node", "text")
+    chosen = parted(chosen.mapInArrow(reread, "key long, n long, node long, fp long, set binary"), SET_PART)
     labels = connected_components(shard_links(chosen, radius, "set", lambda b: np.frombuffer(b, dtype=np.uint64), lambda a, b: resemble(a, b, similarity)))
     rows = sketch.select("doc_id", "h1", "h2", "node").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = stored(rows.drop("node"), "rows")
-    best = rows.groupBy("component").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("own"), F.col("doc_id").alias("component_id"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))).alias("best"))
-    found = rows.join(best.select("component", "best.component_id", "best.b1", "best.b2"), "component")
+    best = rows.groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct(F.coalesce("doc_id", F.lit(LAST_ID)).alias("own"), F.col("doc_id").alias("component_id"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))).alias("best"))
+    best = stored(best.select("component", "n", "best.component_id", "best.b1", "best.b2"), "best")
+    found = split_join(rows, best, "component", "n")
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h1") == F.col("b1")) & (F.col("h2") == F.col("b2"))
     return found.select("doc_id", "h1", "h2", "component_id", stays.alias("stays"))
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component of near_copies(); columns named h1, h2 or __own are replaced. Rows that are equal in
-    id and text become one row, which one is undefined where they differ in other columns."""
-    gone = near_copies(docs, id_col, text_col, **options).where("not stays").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("__own"), "h1", "h2").distinct()
-    body, columns = F.coalesce(F.col(text_col), F.lit("")), docs.columns
-    keyed = docs.withColumns({"__own": F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)), "h1": F.xxhash64(body), "h2": F.xxhash64(F.lit(7), body)})
-    return keyed.join(gone, ["__own", "h1", "h2"], "left_anti").dropDuplicates(["__own", "h1", "h2"]).select(*columns)
+    """docs, all its columns, with one row of each component of near_copies(). Rows that are equal in id and text become
+    one: the first by the JSON text of their other columns, so which one is defined unless these are equal too."""
+    gone = near_copies(docs, id_col, text_col, **options).where("not stays").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("own"), "h1", "h2").distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    keyed = docs.select(row, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("own"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(7), body).alias("h2"))
+    others = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in (id_col, text_col)]
+    first = F.to_json(F.struct(*others)) if others else F.lit("")
+    left = keyed.join(gone, ["own", "h1", "h2"], "left_anti")
+    return left.groupBy("own", "h1", "h2").agg(F.min_by("row", first).alias("row")).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -5,7 +5,7 @@ box of every dimension and can be pruned by min/max of any of them.
 Scale: a global order without a global sort. Texts are read once, for their size and checksum; the small rows that are
 left are written and read from there. They are counted by (curve index, sub-cell); cumulative counts give each group's
 first position, and a row's position is that plus its number within the group. Sub-cells are hashes of id and text, as
-many as keep a cell that holds all rows to about SUB_ROWS rows a window group. The curve is a table of 2^(bits *
+many as keep a cell that holds all rows to about SUB_ROWS rows a window group. Texts are quantised by their order as a whole, from counts of their distinct values. The curve is a table of 2^(bits *
 dimensions) numbers in the plan. Only ids and sizes are shuffled, not texts.
 """
 
@@ -16,8 +16,10 @@ import json
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tarn.llm.common import stored, table
+from tarn.plans.numbering import running_sums
 
 BITS, SUB, SUB_ROWS, MOST_CELLS = 4, 64, 200_000, 1 << 16
 
@@ -50,28 +52,39 @@ def hilbert_index(cells: list[np.ndarray], bits: int) -> np.ndarray:
     return out
 
 
-def sortable(col: Column) -> Column:
-    """A text's first 7 bytes as a number that sorts as the text does (null: null)."""
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(col, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def text_quantiles(rows: DataFrame, name: str, cells: int) -> list[str]:
+    """The text at which a column's rows, in order of whole texts, pass each k / cells of their number; a text that passes
+    several stands as often. cells - 1 at most.
+
+    Texts are counted and range-partitioned, and running sums of counts give each one's place, so that no task orders them
+    all. Only the texts at the bounds come to the driver."""
+    counted = rows.where(F.col(name).isNotNull()).groupBy(name).agg(F.count("*").alias("n"))
+    placed = stored(running_sums(counted, name, amount="n", total="upto"), "text-places")
+    every = placed.agg(F.max("upto")).first()[0] or 0
+    band = lambda at: F.expr(f"cast((cast({at} as decimal(20, 0)) * {cells}) div {max(every, 1)} as int)")
+    edges = placed.select(name, band("upto - n").alias("first"), band("upto").alias("last")).where("last > first").orderBy(name).collect()
+    return [r[name] for r in edges for _ in range(r["first"], min(r["last"], cells - 1))]
 
 
 def shard_plan(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", dimensions: dict[str, Column] | None = None, bits: int = BITS) -> DataFrame:
     """Returns doc_id, size, text_crc32, law, shard, slot, grown_shard, curve; one row for each input row.
 
-    dimensions: numeric columns to quantise; by default lang, source and size. Law `rows`: shard counts differ by
+    dimensions: columns to quantise, numbers or texts; by default lang, source and size. Law `rows`: shard counts differ by
     one at most. Null texts have size 16 and crc32 0; null metadata is in cell 0; rows with equal ids and texts take
     neighbouring positions in either order. Extra columns are left out. An empty table gives an empty result.
     """
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 16
-    dims = {"lang": sortable(F.col("lang")), "source": sortable(F.col("source")), "size": size} if dimensions is None else dimensions
+    dims = {"lang": F.col("lang"), "source": F.col("source"), "size": size} if dimensions is None else dimensions
     if 1 << bits * len(dims) > MOST_CELLS:
         raise ValueError(f"{len(dims)} dimensions of {bits} bits make more than {MOST_CELLS} cells")
     names = [f"dim{i}" for i in range(len(dims))]
-    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(F.col(text_col)), F.lit(0)).alias("text_crc32"), *(c.cast("long").alias(n) for n, c in zip(names, dims.values())))
-    rows = stored(rows, "shard-rows")
+    rows = docs.select(F.col(id_col).alias("doc_id"), size.alias("size"), F.coalesce(F.crc32(F.col(text_col)), F.lit(0)).alias("text_crc32"), *(c.alias(n) for n, c in zip(names, dims.values())))
+    texts = [n for n in names if isinstance(rows.schema[n].dataType, StringType)]
+    rows = stored(rows.select(*(F.col(c) if c not in names or c in texts else F.col(c).cast("long").alias(c) for c in rows.columns)), "shard-rows")
     cut = [k / 2**bits for k in range(1, 2**bits)]
-    seen = rows.agg(F.count("*").alias("n"), *(F.percentile_approx(n, cut, 10_000).alias(n) for n in names)).first()
+    seen = rows.agg(F.count("*").alias("n"), *(F.percentile_approx(n, cut, 10_000).alias(n) for n in names if n not in texts)).first().asDict()
     total = seen["n"]
+    seen |= {n: text_quantiles(rows, n, 1 << bits) for n in texts}
     cells = np.stack(np.meshgrid(*[np.arange(1 << bits)] * len(dims), indexing="ij"), -1).reshape(-1, len(dims))
     curve = F.from_json(F.lit(json.dumps(hilbert_index(list(cells.T), bits).tolist())), "array<int>")
 

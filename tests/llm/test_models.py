@@ -7,7 +7,6 @@ import zlib
 
 import numpy as np
 import pytest
-import xxhash
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -61,69 +60,53 @@ def test_trie_of_order_three():
     assert np.abs(trie.probability[1].take(trie.find(three)) - p3).max() < 1 / 200
 
 
-def brute_lm(texts, held, hot=op1_ngram_lm.HOT):
+def brute_lm(texts, held):
     """The model as its docstring states it; returns counts, base and score by text."""
     T = [words(t) + [None] for t in texts]
     train = [t for t, h in zip(T, held) if not h]
     c = collections.Counter(w for t in train for w in t)
-    n, v, every = sum(c.values()), len(c), sum(map(len, T))
+    n, v = sum(c.values()), len(c)
     places = lambda t: [(t[i - 2] if i > 1 else 0, t[i - 1] if i else 0, t[i]) for i in range(len(t))]
-    hashed = {None: op1_ngram_lm.END} | {w: xxhash.xxh64_intdigest(w) >> 1 for t in T for w in t if w is not None}
-    seen = collections.Counter(c)
-    seen[0] = len(train)
-    ways = {u: max(1, -(-(k * every // n) // hot)) for u, k in seen.items()}
-    part = lambda u, w: (u, hashed[w] % ways.get(u, 1))  # noqa: E731  a context, or its class of next words
     tri = collections.Counter(g for t in train for g in places(t))
     bi, hist, total = collections.Counter(), collections.Counter(), collections.Counter()
     for (a, b, w), k in tri.items():
         bi[b, w] += k
-        hist[a, part(b, w)] += k
-        total[part(b, w)] += k
+        hist[a, b] += k
+        total[b] += k
     xs = list(c.values())
     d1, d2, d3 = op1_ngram_lm.discount(xs.count(1), xs.count(2)), op1_ngram_lm.D2, op1_ngram_lm.D3
     p = lambda w: (c[w] - d1) / n if c[w] else d1 * v / n
-    sent = [w for w in c if c[w] >= max(1, int(n * op1_ngram_lm.TOP))]
-    room = collections.Counter()
-    for m in set(ways.values()):
-        for w in sent:
-            room[m, hashed[w] % m] += p(w)
-        rest = 1 - sum(p(w) for w in sent)
-        for k in range(m):
-            room[m, k] += rest / m
-    space = lambda u: room[ways[u[0]], u[1]] if ways.get(u[0], 1) > 1 else 1
+    sent = {w for w in c if c[w] >= max(1, int(n * op1_ngram_lm.TOP))}
     taken, more, taken3, more3 = (collections.Counter() for _ in range(4))
     for b, w in bi:
-        more[part(b, w)] += 1
-        if w in set(sent) if len(sent) < v else True:
-            taken[part(b, w)] += p(w)
+        more[b] += 1
+        if w in sent:
+            taken[b] += p(w)
     for a, b, w in tri:
-        u = part(b, w)
-        more3[a, u] += 1
-        taken3[a, u] += (bi[b, w] - d2) / total[u]
+        more3[a, b] += 1
+        taken3[a, b] += (bi[b, w] - d2) / total[b]
 
     def log_p(a, b, w):
-        u = part(b, w)
-        share = 0 if ways.get(b, 1) == 1 else math.log10(total[u] / seen[b]) if total[u] else math.log10(space(u))
         if tri[a, b, w]:
-            return share + math.log10((tri[a, b, w] - d3) / hist[a, u])
-        back = share + (math.log10(d3 * more3[a, u] / hist[a, u] / max(1 - taken3[a, u], 1e-9)) if hist[a, u] else 0)
+            return math.log10((tri[a, b, w] - d3) / hist[a, b])
+        back = math.log10(d3 * more3[a, b] / hist[a, b] / max(1 - taken3[a, b], 1e-9)) if hist[a, b] else 0
         if bi[b, w]:
-            return back + math.log10((bi[b, w] - d2) / total[u])
-        return back + math.log10(p(w)) + (math.log10(d2 * more[u] / total[u] / max(space(u) - taken[u], 1e-9)) if total[u] else -math.log10(space(u)))
+            return back + math.log10((bi[b, w] - d2) / total[b])
+        return back + math.log10(p(w)) + (math.log10(d2 * more[b] / total[b] / max(1 - taken[b], 1e-9)) if total[b] else 0)
 
     return [(len(t), sum(c[w] > 0 for w in t), n, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), sum(log_p(*g) for g in places(t))) for t in T]
 
 
-@pytest.mark.parametrize("sizes", [{}, {"SHARD_TOKENS": 9000, "PIECE_TOKENS": 700, "BATCH_TOKENS": 5000}, {"SHARD_TOKENS": 9000, "HOT": 1500}])
+@pytest.mark.parametrize("sizes", [{}, {"SHARD_TOKENS": 9000, "PIECE_TOKENS": 700, "BATCH_TOKENS": 5000}, {"SHARD_TOKENS": 9000, "SPLIT": 1500}])
 def test_language_model(spark, tiny, monkeypatch, sizes):
-    """Scores are those of the plain model to within quantisation, in one shard or many, with hot contexts in classes too."""
+    """Scores are those of the plain model to within quantisation, in one shard or many, with frequent contexts dealt too."""
     for k, n in sizes.items():
         monkeypatch.setattr(op1_ngram_lm, k, n)
     got = op1_ngram_lm.op1_ngram_lm(spark, tiny).toPandas().sort_values("doc_id")
     docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text").toPandas().sort_values("doc_id")
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in docs["doc_id"]]
     assert got["held_out"].tolist() == held and held.count(True) > 5
-    for row, (tokens, known, n, base, score) in zip(got.itertuples(), brute_lm(docs["text"], held, sizes.get("HOT", op1_ngram_lm.HOT))):
+    for row, (tokens, known, n, base, score) in zip(got.itertuples(), brute_lm(docs["text"], held)):
         assert (row.n_tokens, row.n_known, row.train_tokens) == (tokens, known, n)
         assert row.base_score == pytest.approx(base, rel=1e-9)
         assert abs(row.score - score) <= 1.5 * Quantised.STEP * tokens  # three values of half a step each
@@ -143,7 +126,7 @@ def test_contexts_of_any_size_follow_one_model(spark):
     held = [i % 7 == 2 for i in range(len(texts))]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = op1_ngram_lm.language_model_scores(docs, F.col("doc_id") % 7 == 2).toPandas().sort_values("doc_id")
-    for row, (tokens, _, n, base, score) in zip(got.itertuples(), brute_lm(texts, held, math.inf)):
+    for row, (tokens, _, n, base, score) in zip(got.itertuples(), brute_lm(texts, held)):
         assert (row.n_tokens, row.train_tokens) == (tokens, n) and row.base_score == pytest.approx(base, rel=1e-9)
         assert abs(row.score - score) <= 1.5 * Quantised.STEP * tokens
 
@@ -370,3 +353,10 @@ def test_language_of_messy_rows(messy, none):
     assert op10_language.identify(none, messy).count() == 0
     with pytest.raises(ValueError):
         op10_language.identify(messy, none, keep=["score"])
+
+
+def test_identified_rows_keep_columns_of_any_name(spark):
+    rows = [(1, "the house and the garden", "en", "x", "y"), (2, "das Haus und der Garten", "de", "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, __text string, `c0 d.e` string")
+    got = op10_language.identify(docs, docs, keep=["__text", "doc_id", "c0 d.e", "text"]).collect()
+    assert [tuple(r)[:5] for r in sorted(got, key=lambda r: r["doc_id"])] == [("x", 1, "y", rows[0][1], "en"), ("z", 2, None, rows[1][1], "de")]

@@ -133,14 +133,14 @@ def test_positions_equal_a_plain_sort_along_the_curve(spark, small, monkeypatch)
     """Quantise, sort by curve, sub-cell, checksum and id, cut into runs."""
     monkeypatch.setattr(op8_hilbert_shards, "SUB_ROWS", 10)
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    dims = {"lang": op8_hilbert_shards.sortable(F.col("lang")), "size": F.octet_length("text").cast("long")}
+    dims = {"site": F.concat(F.lit("https://www."), "source"), "size": F.octet_length("text").cast("long")}
     got = {r["doc_id"]: (r["shard"], r["slot"], r["curve"]) for r in op8_hilbert_shards.shard_plan(docs, 7, dimensions=dims, bits=3).collect()}
     rows = docs.select("doc_id", F.crc32("text").alias("crc"), *(c.alias(k) for k, c in dims.items()), F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(100)).alias("sub")).toPandas()
     cells = []
     for k in dims:  # with so few rows quantiles are exact: the smallest value that a share of k / 8 doesn't exceed
-        ranked = np.sort(rows[k].to_numpy())
+        ranked = sorted(rows[k])
         edges = [ranked[-(-len(ranked) * i // 8) - 1] for i in range(1, 8)]
-        cells.append(sum((rows[k].to_numpy() > e).astype(int) for e in edges))
+        cells.append(sum(np.array([v > e for v in rows[k]]).astype(int) for e in edges))
     rows["curve"] = op8_hilbert_shards.hilbert_index(cells, 3)
     rows = rows.sort_values(["curve", "sub", "crc", "doc_id"]).reset_index(drop=True)
     n, want, slots = len(rows), {}, Counter()
@@ -153,6 +153,13 @@ def test_positions_equal_a_plain_sort_along_the_curve(spark, small, monkeypatch)
         op8_hilbert_shards.shard_plan(docs, dimensions={str(i): F.lit(1) for i in range(5)})
 
 
+def test_texts_that_begin_alike_fall_into_cells_of_their_own(spark):
+    """Sixteen sources of one beginning: each has the documents of one shard."""
+    docs = spark.createDataFrame([(i, "x", "en", f"https://example.org/{i % 16:02d}") for i in range(320)], "doc_id long, text string, lang string, source string")
+    plan = op8_hilbert_shards.shard_plan(docs, 16).join(docs.select("doc_id", "source"), "doc_id")
+    assert {r["n"] for r in plan.groupBy("shard").agg(F.count_distinct("source").alias("n")).collect()} == {1}
+
+
 def test_written_shards(spark, tiny, tmp_path):
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     manifest = op8_hilbert_shards.write_shards(docs, str(tmp_path / "shards"), 8).collect()

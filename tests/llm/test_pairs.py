@@ -47,6 +47,21 @@ def test_benchmark_passages(spark, tiny):
     assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
+def test_items_of_one_or_two_words(spark):
+    docs = spark.createDataFrame([(1, "say Alpha, beta now"), (2, "alpha then beta"), (3, "beta alpha"), (4, "solo"), (5, None), (6, "")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "alpha beta"), (8, "Solo!"), (9, "alpha BETA."), (10, "?"), (11, "absent"), (12, "alpha absent")], "item_id long, text string")
+    rows = [(r["doc_id"], r["item_id"], r["item_copies"], r["score"], r["first_word"], r["last_word"]) for r in op3_decontaminate.contaminated(docs, items).collect()]
+    assert sorted(rows) == [(1, 7, 2, 1.0, 1, 2), (4, 8, 1, 1.0, 0, 0)]
+    assert sorted(r["doc_id"] for r in op3_decontaminate.without_items(docs, items).collect()) == [2, 3, 5, 6]
+
+
+def test_copies_keep_their_columns(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(1, text, "b", "mine", 3), (1, text, "a", "yours", 2), (2, text, "c", "theirs", 1), (3, "another text of its own", None, "ours", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, h1 string, h2 string, own int")
+    assert sorted(tuple(r) for r in op5_simhash_bktree.without_copies(docs).collect()) == [rows[1], rows[3]]
+
+
 def test_edited_copies_and_messy_rows(spark, messy, none):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
     words = item.split()
@@ -402,3 +417,29 @@ def test_pipeline_stages_against_plain_ones(spark, tiny):
     assert plain_rows(copies) == sorted(map(str, kept))
     clean = pipeline.benchmark_stage(spark, copies, tiny)
     assert plain_rows(clean) == sorted(str(r) for r in kept if bench not in r[1])
+
+
+def test_a_group_of_a_third_of_all_rows_meets_in_parts(spark, monkeypatch):
+    """Components are the same whether groups are whole or parted; no tree holds more than two parts."""
+    rng = np.random.default_rng(12)
+    base = [f"word{i}" for i in range(60)]
+    docs = [(i, " ".join(w if rng.random() > 0.002 else f"x{rng.integers(1 << 30)}" for w in base)) for i in range(60)]
+    docs += [(100 + i, " ".join(f"own{i}_{k // (1 + i % 2)}" for k in range(30))) for i in range(60)]
+    docs += [(200 + i, docs[60 + i][1] + " end") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {}
+    for part in (1_000, 7):
+        monkeypatch.setattr(op5_simhash_bktree, "PART", part)
+        monkeypatch.setattr(op5_simhash_bktree, "SET_PART", part)
+        near = op5_simhash_bktree.near_copies(df)
+        plain = op5_simhash_bktree.simhash_groups(df, radius=8)
+        got[part] = sorted((r["doc_id"], r["component_id"], r["stays"]) for r in near.collect()), sorted((r["doc_id"], r["component_id"]) for r in plain.collect())
+    assert got[7] == got[1_000]
+    assert max(collections.Counter(c for _, c, _ in got[7][0]).values()) > 40
+    rows = spark.range(100).selectExpr("7L as key", "id as node", "100L as n").union(spark.range(3).selectExpr("8L", "id + 200", "3L"))
+    dealt = op5_simhash_bktree.parted(rows, 10).collect()
+    keys = collections.defaultdict(set)
+    for r in dealt:
+        keys[r["key"]].add(r["node"])
+    assert max(map(len, keys.values())) < 60 and keys[8] == {200, 201, 202}
+    assert {(a, b) for s in keys.values() for a in s for b in s if a < b < 100} == {(a, b) for a in range(100) for b in range(a + 1, 100)}
