@@ -26,7 +26,7 @@ from tarn.llm.small_worlds import STEP, Graph, layer_sizes
 
 LEAST, SHARD_ROWS, SMALL_SHARD, MOST_TASKS = 0.95, 100_000, 1024, 10_000
 #: Beams: the width to begin with; vectors of each two shards whose links are compared with all; the recall asked for.
-BEAM, AUDIT, RECALL = 32, 256, 0.99
+BEAM, AUDIT, RECALL, SCAN = 32, 256, 0.99, 64
 #: Cosines of single precision are this much off at most.
 SLACK = 1e-4
 
@@ -79,11 +79,11 @@ class Labels:
 
 def neighbours(asked: Shard, lo: int, hi: int, other: Shard, graph: Graph | None, width: int, least: float, same: bool):
     """Pairs (place in asked, place in other) of cosine `least` or more, for the places lo .. hi - 1 of asked. A vector whose
-    whole beam is near is searched again with a wider one; a beam of an eighth of the shard is the shard. graph=None
-    compares with all."""
+    whole beam is near is searched again with a wider one; a beam of 1 / SCAN of the shard costs as much as all of the shard, and
+    becomes that. graph=None compares with all."""
     todo, found = np.arange(lo, hi), []
     while len(todo):
-        if graph is None or 8 * width >= other.n:
+        if graph is None or SCAN * width >= other.n:
             q, v = np.nonzero(asked.short[todo] @ other.short.T >= least - SLACK)
             rest = todo[:0]
         else:
@@ -113,7 +113,7 @@ def audited_width(asked: Shard, other: Shard, graph: Graph, least: float, same:
     truth = links(None, width)
     while True:
         recall = len(truth & links(graph, width)) / len(truth) if truth else 1.0
-        if recall >= RECALL or 8 * width >= other.n:
+        if recall >= RECALL or SCAN * width >= other.n:
             return width, recall
         width *= 2
 

@@ -1,7 +1,8 @@
 """Hierarchical navigable small-world graphs in NumPy: many nodes are inserted, and many queries searched, in step.
 
 A graph's nodes lie in a random order, of which every layer above the lowest holds a first part, each RATIO times smaller than
-the one below. A search goes down from the topmost layer, whose nodes are compared one by one, and on each layer widens
+the one below. A search goes down from the topmost layer, whose nodes are all compared, as a crowd of near copies may have
+few links that lead to it, but has nodes there; and on each layer it widens
 a beam of the best nodes seen along the links of those it holds.
 """
 
@@ -9,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LINKS, RATIO, TOP, BUILD_BEAM, UPPER_BEAM, STEP, OPEN = 12, 16, 256, 40, 4, 256, 4
+LINKS, RATIO, TOP, BUILD_BEAM, UPPER_BEAM, STEP, OPEN = 12, 8, 4096, 40, 4, 256, 4
 
 
 def layer_sizes(n: int) -> list[int]:
@@ -34,7 +35,7 @@ class Graph:
         for k in range(len(self.sizes) - 2, -1, -1):
             done, n = 0, self.sizes[k]
             while done < n:
-                step = min(n - done, max(TOP, min(done, 1024)))
+                step = min(n - done, max(256, min(done, 1024)))
                 self._insert(k, done, done + step)
                 done += step
         return self.layers
