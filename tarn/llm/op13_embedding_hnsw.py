@@ -26,7 +26,7 @@ from tarn.llm.small_worlds import STEP, Graph, layer_sizes
 
 LEAST, SHARD_ROWS, SMALL_SHARD, MOST_TASKS = 0.95, 100_000, 1024, 10_000
 #: Beams: the width to begin with; vectors of each two shards whose links are compared with all; the recall asked for.
-BEAM, AUDIT, RECALL, SCAN = 32, 256, 0.99, 64
+BEAM, AUDIT, RECALL, SCAN = 16, 256, 0.99, 128
 #: Cosines of single precision are this much off at most.
 SLACK = 1e-4
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-LINKS, RATIO, TOP, BUILD_BEAM, UPPER_BEAM, STEP, OPEN = 12, 8, 4096, 40, 4, 256, 4
+LINKS, RATIO, TOP, BUILD_BEAM, UPPER_BEAM, STEP, OPEN = 12, 8, 4096, 24, 4, 256, 4
 
 
 def layer_sizes(n: int) -> list[int]:
