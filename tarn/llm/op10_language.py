@@ -4,9 +4,10 @@ fewest, normalised by log2 of its reference's length over the text's length, win
 
 Scale: references come from a bounded sample (at most ROWS rows and CHARS characters a language, whatever the input's
 size and the number of languages; texts longer than their share give evenly spaced windows). Automata are built on the
-driver and sent as packed tables of a few megabytes at most. Scoring is one pass without a shuffle, vectorised over
+driver and sent as packed tables of about 0.75 MB a language, which no number of documents adds to. Scoring is one pass without a shuffle, vectorised over
 many texts: one step follows a transition in every text and language at once. Texts are parsed whole: they are stepped
-through in blocks of BLOCK characters side by side, and a second pass carries each block's open phrase over into the next
+through in blocks of BLOCK characters side by side, as many texts at once as GRID_BYTES allows (a byte for each character
+and language, and four for the character), and a second pass carries each block's open phrase over into the next
 until both parses begin a phrase at the same place, from where on they are equal, so that the count is that of one parse.
 """
 
@@ -22,7 +23,20 @@ from tarn.llm.sampling import bounded_sample
 
 #: Bounds of the fit: rows of a language, characters of its reference, windows of a text longer than its share.
 ROWS, CHARS, WINDOWS = 48, 32_000, 4
-BLOCK, BATCH, TRIES = 8192, 1000, 40
+BLOCK, BATCH, TRIES, GRID_BYTES = 8192, 1000, 40, 64 << 20
+
+
+def side_by_side(sizes: list[int], languages: int, limit: int, block: int = BLOCK):
+    """Ranges of texts whose blocks, laid side by side, take at most `limit` bytes; a text that takes more is alone."""
+    start = wide = blocks = 0
+    for i, n in enumerate(sizes):
+        own = max(1, -(-n // block))
+        wide, blocks = max(wide, min(n, block)), blocks + own
+        if i > start and wide * blocks * (languages + 4) > limit:
+            yield start, i
+            start, wide, blocks = i, min(n, block), own
+    if sizes:
+        yield start, len(sizes)
 
 
 def has_letter(text: str) -> bool:
@@ -205,14 +219,15 @@ class CrossParser:
         rows = [i for i, t in enumerate(texts) if t and has_letter(t)]
         if not rows or not self.languages:
             return lang, score
-        symbols = [self.symbols(texts[i]) for i in rows]
-        size = np.array([max(1, len(s)) for s in symbols])
-        entropy = self.phrases(symbols) * self.bits[:, None] / size
-        best = entropy.argmin(axis=0)
-        for j, i in enumerate(rows):
-            own = entropy[best[j], j]
-            rest = np.delete(entropy[:, j], best[j])
-            lang[i], score[i] = self.languages[best[j]], float(rest.min() / (own + rest.min())) if len(rest) else 1.0
+        for lo, hi in side_by_side([len(texts[i]) for i in rows], len(self.languages), GRID_BYTES):
+            symbols = [self.symbols(texts[i]) for i in rows[lo:hi]]
+            size = np.array([max(1, len(s)) for s in symbols])
+            entropy = self.phrases(symbols) * self.bits[:, None] / size
+            best = entropy.argmin(axis=0)
+            for j, i in enumerate(rows[lo:hi]):
+                own = entropy[best[j], j]
+                rest = np.delete(entropy[:, j], best[j])
+                lang[i], score[i] = self.languages[best[j]], float(rest.min() / (own + rest.min())) if len(rest) else 1.0
         return lang, score
 
 

@@ -166,7 +166,7 @@ class Batch:
 
     def __init__(self, common: Words):
         self.common = common
-        self.numbers, self.texts, self.ids, self.held, self.tokens = Numbers(), [], [], [], 0
+        self.numbers, self.texts, self.ids, self.held, self.tokens, self.digest = Numbers(), [], [], [], 0, xxhash.xxh3_64()
 
     def add(self, doc_id: int, text: str | None, held: bool) -> None:
         ws = words(text)
@@ -174,10 +174,14 @@ class Batch:
         self.ids.append(doc_id)
         self.held.append(held)
         self.tokens += len(ws) + 1
-
-    def rows(self, batch_id: int):
-        """Rows shard, batch, kind (0: occurrences, 1: the texts' ids and lengths), data."""
-        c = self.common
+        self.digest.update(repr((doc_id, held)).encode() + (text or "").encode("utf-8", "surrogatepass"))
+
+    def rows(self, place: int):
+        """Rows shard, batch, kind (0: occurrences, 1: the texts' ids and lengths), data. A batch is named by its place and
+        what it holds, so that one whose rows come in another order when a task is run again is not taken for the same."""
+        c, sent = self.common, 0
+        self.digest.update(str(place).encode())
+        batch_id = self.digest.intdigest() >> 1
         # training texts first, so that one number says which are
         order = np.argsort(self.held, kind="stable")
         texts, ids, trained = [self.texts[i] for i in order], np.array(self.ids, dtype=np.int64)[order], len(order) - sum(self.held)
@@ -202,10 +206,11 @@ class Batch:
             u, w = cur[at : at + (1 << 17)], nxt[at : at + (1 << 17)]
             shard[at : at + (1 << 17)] = spread(hashes[u], hashes[w] % dealt[u]) % np.uint64(c.shards)
         for g, at in by_group(shard, c.shards):
+            sent += 1
             cw, ci = np.unique(cur[at], return_inverse=True)
             ow, oi = np.unique(np.concatenate((prev[at], nxt[at])), return_inverse=True)
             yield g, batch_id, 0, pack(hashes[cw], small(ci), hashes[ow], small(oi[: len(at)]), small(oi[len(at) :]), small(np.diff(doc[at], prepend=0)), np.array([trained]))
-        yield int(batch_id % c.shards), batch_id, 1, pack(ids, np.array([trained]), small(size))
+        yield int(batch_id % c.shards), batch_id, 1, pack(ids, np.array([trained, sent]), small(size))
 
 
 def occurrences(texts: DataFrame, common) -> DataFrame:
@@ -366,7 +371,7 @@ def by_groups(hashes: list[np.ndarray], groups: int):
 
 
 def shard_model(rows: list[tuple[int, bytes]], c: Words, word_shards: int):
-    """Score a shard's occurrences, piece by piece. Yields rows batch, target, data: target -1 has sums for texts, others
+    """Score a shard's occurrences, piece by piece. Yields rows batch, target, data: target -1 has sums for texts, from 0 on
     occurrences whose next word's frequency, or whose back-off, that word shard has to add; batch TOLD what it adds them from."""
     rows = [(b, *unpack(d)) for b, d in rows]
     pieces = max(1, -(-sum(len(r[2]) for r in rows) // PIECE_TOKENS))
@@ -376,9 +381,11 @@ def shard_model(rows: list[tuple[int, bytes]], c: Words, word_shards: int):
         piece = (spread(cw[ci], sub) // np.uint64(c.shards) % np.uint64(pieces)).astype(np.int32)
         order = np.argsort(piece, kind="stable").astype(np.int32)
         edges = np.searchsorted(piece[order], np.arange(pieces + 1))
-        doc = np.cumsum(step, dtype=np.int64).astype(np.int32)
-        sums = np.zeros((3, int(doc.max(initial=-1)) + 1))
-        state.append((order, edges, doc, np.arange(sums.shape[1]) < trained[0], sums, np.unique(doc), []))
+        # texts are numbered among those that have occurrences here, so that memory grows with these alone
+        ids, new = np.cumsum(step, dtype=np.int64).astype(np.int32), step > 0
+        new[0] = True
+        ids, doc = ids[new], np.cumsum(new, dtype=np.int32) - 1
+        state.append((order, edges, doc, ids < trained[0], np.zeros((3, len(ids))), ids, []))
     for p in range(pieces):
         at = [s[0][s[1][p] : s[1][p + 1]] for s in state]
         if not sum(map(len, at)):
@@ -391,14 +398,14 @@ def shard_model(rows: list[tuple[int, bytes]], c: Words, word_shards: int):
         told.append(tell)
         lo = 0
         for s, i in zip(state, at):
-            hi, doc = lo + len(i), s[2][i]
+            hi, doc, ids = lo + len(i), s[2][i], s[5]
             for k, w in enumerate((score, base, known)):
                 s[4][k] += np.bincount(doc, weights=w[lo:hi], minlength=s[4].shape[1])
             wanted, keys, places = np.flatnonzero(ask[lo:hi]), np.flatnonzero(ask3[lo:hi] >= 0), np.flatnonzero(ask2[lo:hi] >= 0)
-            s[6].append((nxt[lo:hi][wanted], doc[wanted], ask3[lo:hi][keys], doc[keys], ask2[lo:hi][places], doc[places]))
+            s[6].append((nxt[lo:hi][wanted], ids[doc[wanted]], ask3[lo:hi][keys], ids[doc[keys]], ask2[lo:hi][places], ids[doc[places]]))
             lo = hi
     for (b, *_), (*_, sums, ids, asked) in zip(rows, state):
-        yield b, -1, pack(small(np.diff(ids.astype(np.int64), prepend=0)), sums[0][ids], sums[1][ids], small(sums[2][ids].astype(np.int64)))
+        yield b, -1, pack(small(np.diff(ids.astype(np.int64), prepend=0)), sums[0], sums[1], small(sums[2].astype(np.int64)))
         asked = [np.concatenate(x) for x in zip(*asked)]
         for g, at in by_groups(asked[::2], word_shards):
             yield b, g, pack(*(x for h, doc, i in zip(asked[::2], asked[1::2], at) for x in (h[i], small(doc[i]))))
@@ -426,11 +433,14 @@ def word_model(asked: bytes, hashes: np.ndarray, log: Quantised | None, backs: B
 
 def total_scores(pdf: pd.DataFrame, c: Words) -> pd.DataFrame:
     """One batch's sums."""
-    ids, trained, size = unpack(next(d for t, d in zip(pdf["target"], pdf["data"]) if t == -2))
-    held = np.arange(len(ids)) >= trained[0]
+    own = next((d for t, d in zip(pdf["target"], pdf["data"]) if t == -2), None)
+    ids, (trained, sent), size = unpack(own) if own else ([], (0, -1), [])
+    if sent != (pdf["target"] == -1).sum():
+        raise RuntimeError("a batch lacks sums of shards: its input came in another order when a task was run again")
+    held = np.arange(len(ids)) >= trained
     score, base, known = np.zeros(len(ids)), np.zeros(len(ids)), np.full(len(ids), int(c.docs > 0), dtype=np.int64)
     # sums are added in a fixed order, so that a repeated run gives the same bits
-    for d in sorted(d for t, d in zip(pdf["target"], pdf["data"]) if t == -1):
+    for d in sorted(d for t, d in zip(pdf["target"], pdf["data"]) if t != -2):
         step, s, b, k = unpack(d)
         at = np.cumsum(step, dtype=np.int64)
         score[at] += s
@@ -494,7 +504,7 @@ def language_model_scores(docs: DataFrame, held, id_col: str = "doc_id", text_co
                     log = Quantised(np.log10(c.probability(count.astype(np.int64)))) if len(hashes) else None
                 else:
                     backs, told = backs or BackOffs(told, c), []
-                    yield b, -1, word_model(data, hashes, log, backs, c)
+                    yield b, -3, word_model(data, hashes, log, backs, c)
 
     dealt = occurrences(texts, common).repartitionById(Words.number(totals), "shard")
     partial = stored(dealt.mapInArrow(score, PARTIAL), "partial")

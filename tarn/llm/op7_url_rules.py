@@ -141,7 +141,7 @@ def _oracle() -> str:
 
     ordered = sorted(HOST_RULES, key=lambda r: -len(r.name))
     rule = "CASE " + " ".join(f"WHEN {fits(r.name)} THEN '{r.name}'" for r in ordered) + " END"
-    pattern = "CASE " + " ".join(f"WHEN regexp_matches(lower(host || path), '(^|[^a-z0-9]){r.name}($|[^a-z0-9])') THEN '{r.name}'" for r in sorted(WORD_RULES, key=lambda r: (-len(r.name), r.name), reverse=False)) + " END"
+    pattern = "CASE " + " ".join(f"WHEN regexp_matches(translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^a-z0-9]){r.name}($|[^a-z0-9])') THEN '{r.name}'" for r in sorted(WORD_RULES, key=lambda r: (-len(r.name), r.name), reverse=False)) + " END"
     action = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN '{r.action}'" for r in ordered) + " ELSE CASE WHEN pattern IS NULL THEN 'allow' ELSE 'block' END END"
     return f"""
 WITH r AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),

@@ -28,6 +28,8 @@ from tarn.llm.packing import LEVEL, Numbers, by_group, pack, small, unpack
 BATCH_TOKENS, BATCH_BYTES, TABLE_BYTES, SLICE = 3_000_000, 24 << 20, 128 << 20, 200_000
 MARK = "▁"
 _CHUNK = re.compile(" +[^ ]*")
+#: What models with a normaliser change: blanks, wide and joined letters, signs, accents, case.
+PROBE = " \uff21  \ufb01 \u2460\te\u0301 \u00c9 "
 
 
 def chunks_of(text: str | None) -> list[str]:
@@ -39,7 +41,8 @@ def chunks_of(text: str | None) -> list[str]:
 
 
 class Segmenter:
-    """Ids of chunks by the library, each distinct chunk once. Raises ValueError for a model whose pieces cross white space."""
+    """Ids of chunks by the library, each distinct chunk once. Raises ValueError for a model whose pieces cross white space,
+    or that does not take texts as they are behind one marker: its normaliser may change what chunks are cut at."""
 
     def __init__(self, model: bytes, limit: int = TABLE_BYTES):
         import sentencepiece
@@ -47,6 +50,8 @@ class Segmenter:
         self.processor = p = sentencepiece.SentencePieceProcessor(model_proto=model)
         if crossing := [s for i in range(p.vocab_size()) if MARK in (s := p.id_to_piece(i)).lstrip(MARK)]:
             raise ValueError(f"pieces cross white space: {crossing[:3]}")
+        if (normal := p.normalize(PROBE)) != MARK + PROBE.replace(" ", MARK):
+            raise ValueError(f"the model normalises texts: {PROBE!r} becomes {normal!r}")
         # The library puts one marker before what it encodes: that of the chunk itself.
         self.empty = np.array([p.piece_to_id(MARK)], dtype="<u4").tobytes()
         self.limit, self.size, self.known, self.segmented = limit, 0, {"": self.empty}, 0

@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import zstandard
 from hypothesis import given, settings
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tarn.llm import op1_ngram_lm, op2_toxicity, op9_sentencepiece, op10_language
 from tarn.llm.common import words
 from tarn.llm.elias_fano import EliasFano, NgramTrie, Quantised
-from tarn.llm.packing import pack, small
+from tarn.llm.packing import pack, small, unpack
 
 
 @settings(max_examples=60, deadline=None)
@@ -131,6 +133,44 @@ def test_contexts_of_any_size_follow_one_model(spark):
         assert abs(row.score - score) <= 1.5 * Quantised.STEP * tokens
 
 
+def _batches(n, texts=1):
+    """n batches of texts of two words each, and what all tasks know."""
+    common = op1_ngram_lm.Words({"n": 3 * n * texts, "tokens": 3 * n * texts, "words": 2, "docs": n * texts, "once": 0, "twice": 0}, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+    for k in range(n):
+        batch = op1_ngram_lm.Batch(common)
+        for i in range(texts):
+            batch.add(i, f"a b{k}", i % 7 == 2)
+        yield common, batch
+
+
+def test_a_shard_holds_no_more_than_its_occurrences():
+    """Rows of a few occurrences in batches of many texts take memory by the occurrences, not by the texts."""
+    few = np.array([0, 1]), np.array([1, 2]), np.array([1])
+    peak = {}
+    for texts in (100, 100_000):
+        rows = [(k, pack(few[0], small(np.array([0])), few[1], small(np.array([0])), small(np.array([1])), small(np.array([texts])), np.array([texts + 1]))) for k in range(300)]
+        common = next(_batches(1))[0]
+        tracemalloc.start()
+        sums = [unpack(d) for b, t, d in op1_ngram_lm.shard_model(rows, common, 2) if t == -1]
+        peak[texts] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(sums) == 300 and all(s[0].tolist() == [texts] for s in sums)
+    assert peak[100_000] < 1.2 * peak[100] + 100_000
+
+
+def test_a_batch_in_another_order_is_noticed():
+    (c, one), (_, two) = _batches(2, texts=3)
+    rows, other = list(one.rows(0)), list(two.rows(0))
+    assert len({r[1] for r in rows}) == 1 and rows[0][1] != other[0][1] and rows[0][1] >= 0
+    ids = [(-2, d) for *_, kind, d in rows if kind]
+    sums = [(t, d) for _, t, d in op1_ngram_lm.shard_model([(b, d) for _, b, kind, d in rows if not kind], c, 2) if t == -1]
+    frame = lambda rows: pd.DataFrame(rows, columns=["target", "data"])
+    assert op1_ngram_lm.total_scores(frame(ids + sums), c)["own"].tolist() == [0, 1, 2]
+    for broken in (sums, ids, ids + sums + sums):
+        with pytest.raises(RuntimeError):
+            op1_ngram_lm.total_scores(frame(broken), c)
+
+
 def test_dealing_contexts_to_shards_changes_no_score(spark, tiny, monkeypatch):
     run = lambda: op1_ngram_lm.op1_ngram_lm(spark, tiny).toPandas().sort_values("doc_id")
     want = run()
@@ -261,6 +301,15 @@ def test_each_distinct_chunk_is_segmented_once(model, monkeypatch):
         op9_sentencepiece.assemble([1], next(_one("a b").rows(0, 2))[3], [], None, None)
 
 
+def test_a_model_that_normalises_is_refused(model, monkeypatch):
+    import sentencepiece
+
+    op9_sentencepiece.Segmenter(model)
+    monkeypatch.setattr(sentencepiece.SentencePieceProcessor, "normalize", lambda self, t: op9_sentencepiece.MARK + t.strip().replace(" ", op9_sentencepiece.MARK))
+    with pytest.raises(ValueError):
+        op9_sentencepiece.Segmenter(model)
+
+
 def _one(text):
     batch = op9_sentencepiece.Batch()
     batch.add(1, text)
@@ -332,6 +381,24 @@ def test_languages_and_scores_by_plain_parsing():
     assert lang[9:15] == ["x1"] * 3 + ["x2"] * 3 and all(s > 0.5 for s in score[9:15])
 
 
+@settings(max_examples=60, deadline=None)
+@given(sizes=st.lists(st.integers(1, 50), max_size=12), limit=st.integers(1, 600))
+def test_texts_side_by_side_stay_within_bytes(sizes, limit):
+    ranges = list(op10_language.side_by_side(sizes, 2, limit, block=8))
+    assert [i for lo, hi in ranges for i in range(lo, hi)] == list(range(len(sizes)))
+    for lo, hi in ranges:
+        blocks = sum(-(-n // 8) for n in sizes[lo:hi])
+        assert hi == lo + 1 or 6 * blocks * min(8, max(sizes[lo:hi])) <= limit
+
+
+def test_ranges_of_texts_change_no_verdict(monkeypatch):
+    p = op10_language.CrossParser({"en": "the house and the garden", "de": "das Haus und der Garten"})
+    texts = ["the house", None, "und der Garten " * 900, "", "garden and", "Haus", "1"] * 3
+    want = p.judge(texts)
+    monkeypatch.setattr(op10_language, "GRID_BYTES", 100)
+    assert p.judge(texts) == want
+
+
 def test_references_are_spread_over_whole_texts(spark):
     rows = [(i, "x" * 100 + chr(97 + i) * 900 + "y" * 100, "en") for i in range(5)] + [(9, "short", "de"), (10, "1 2", "de")]
     found = op10_language.references(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", rows=4, chars=800)
