@@ -17,6 +17,7 @@ from tarn.operators.rank import Normalization
 from tarn.plans.storage import new_path
 from tarn.sources.files import export_postings, import_postings
 from tarn.sources.tables import dealt, read_table
+from tarn.streaming.incremental import BucketedIndex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -210,6 +211,16 @@ def index_merge(spark, d):
     return joined(index.merge_postings(*parts).select("term", "doc_id", "tf", "offsets"))
 
 
+@op(f"{TOKENS} SELECT term, doc_id, tf, {_offsets('offsets')} AS offsets FROM post")
+def index_merge_bucketed(spark, d):
+    """Partial indexes of three batches in a bucketed table, merged without a shuffle."""
+    path = new_path(spark, "partial")
+    kept = BucketedIndex.open(spark, "partial_" + path[-32:], path, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for k in range(3):
+        kept.add(docs_of(spark, d).where(F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(0)) == k), k)
+    return joined(kept.merged().select("term", "doc_id", "tf", "offsets"))
+
+
 def saved_index(spark, d) -> Index:
     path = new_path(spark, "index")
     index_of(spark, d).save(path)

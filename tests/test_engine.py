@@ -113,6 +113,33 @@ def test_streamed_index(spark, tmp_path):
     assert rows(incremental.merged(spark, str(tmp_path / "out")), "term", "doc_id", "tf") == rows(postings(tokenized(docs)), "term", "doc_id", "tf")
 
 
+def test_bucketed_index_merges_without_a_shuffle(spark, tmp_path):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k % m} the" for m in range(1, 9))) for k in range(60)] + [(60, ""), (61, None)], "doc_id long, text string")
+    want = rows(postings(tokenized(docs)), "term", "doc_id", "tf", "offsets", "doc_len")
+    index = incremental.BucketedIndex.open(spark, "partial_indexes", f"file://{tmp_path}/o'ne", 3)
+    try:
+        assert rows(index.merged(), "term") == [] and index.buckets == 3
+        for number in (0, 1, 2, 1):  # a batch that is run again takes its own place
+            index.add(docs.where(f"doc_id % 3 = {number}"), number)
+        whole = index.merged()
+        assert rows(whole, "term", "doc_id", "tf", "offsets", "doc_len") == want
+        assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+        assert {r["n"] > 0 for r in whole.where("term = 'the'").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()} == {True}
+        assert whole.where("term = 'the'").select(F.spark_partition_id()).distinct().count() == 3  # a frequent term lies in all buckets
+        docs.where("doc_id > 40").write.parquet(str(tmp_path / "in"))  # these come a second time, as a batch of a stream
+        stream = spark.readStream.schema("doc_id long, text string").parquet(str(tmp_path / "in"))
+        index.add(docs.limit(0), 0)
+        index.add(docs.limit(0), 1)
+        index.add(docs.where("doc_id <= 40"), 2)
+        index.stream(stream, str(tmp_path / "cp")).awaitTermination()
+        assert rows(index.merged(), "term", "doc_id", "tf", "offsets", "doc_len") == want
+        spark.sql("DROP TABLE partial_indexes")  # the files stay, and a session that does not know them finds them
+        again = incremental.BucketedIndex.open(spark, "partial_indexes", f"file://{tmp_path}/o'ne", 3)
+        assert rows(again.merged(), "term", "doc_id", "tf", "offsets", "doc_len") == want
+    finally:
+        spark.sql("DROP TABLE IF EXISTS partial_indexes")
+
+
 def test_pagerank_loses_dangling_mass(spark):
     edges = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (1, 2)], "src long, dst long")
     one = {r["node"]: r["pr"] for r in graph.pagerank(edges, rounds=2, normalise=False).collect()}
