@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tarn.plans.numbering import numbered
 from tarn.plans.skew import split_join
-from tarn.plans.storage import stored
+from tarn.plans.storage import bucketed, new_path, removed, stored
 
 BORED, EPSILON, MOST_ROUNDS, KEEP_EVERY = 0.15, 1e-4, 1000, 4
 HITS_EPSILON = 1e-3
@@ -126,9 +126,9 @@ BLOCK, SPREAD = 1024, 4096
 ENDED, VISITED = 0, 1
 
 
-def _chance(seed: int, step, what: int) -> Column:
+def _chance(seed: int, walk: Column, step: Column, what: int) -> Column:
     """A number in [0, 1) for each walk and step, the same in every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), F.col("walk"), F.lit(step), F.lit(what)), F.lit(1 << 40)) / float(1 << 40)
+    return F.pmod(F.xxhash64(F.lit(seed), walk, step, F.lit(what)), F.lit(1 << 40)) / float(1 << 40)
 
 
 def node_facts(edges: DataFrame) -> DataFrame:
@@ -142,82 +142,146 @@ def node_facts(edges: DataFrame) -> DataFrame:
 
 
 def link_blocks(edges: DataFrame, facts: DataFrame) -> DataFrame:
-    """node, block, copy, links: a node's links in arrays of BLOCK, each link with what a walk needs to know of its end.
-
-    A node's links are numbered by hash part and end; parts hold about BLOCK links, and running sums of their sizes give
-    each part's first number, so that no task orders a hub's links."""
-    ahead = split_join(edges.select("src", F.col("dst").alias("node")), facts.select("node", "into", F.struct(F.col("node").alias("dst"), "out", "copies").alias("end")), "node", "into")
-    rows = split_join(ahead.select(F.col("src").alias("node"), "end"), facts.where("out > 0").select("node", "out", "copies"), "node", "out")
-    part = F.pmod(F.xxhash64("end.dst"), F.ceil(F.col("out") / BLOCK)).cast("int")
-    rows = rows.withColumn("part", part).withColumn("at", F.row_number().over(Window.partitionBy("node", "part").orderBy("end.dst")) - 1)
-    rows = stored(rows, "ordered-links")
-    sizes = rows.where(F.col("out") > BLOCK).groupBy("node", "part").agg(F.count("*").alias("n"))
-    starts = sizes.select("node", "part", F.coalesce(F.sum("n").over(Window.partitionBy("node").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    number = (F.coalesce("start", F.lit(0)) + F.col("at")).alias("number")
-    rows = rows.join(starts, ["node", "part"], "left").select("node", "copies", "end", number)
-    rows = rows.groupBy("node", "copies", F.floor(F.col("number") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("number", "end"))).alias("links"))
-    return rows.select("node", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("links.end").alias("links"))
-
-
-def walk_visits(edges: DataFrame, walks: int, cyclic: bool, jumps: bool = True, bands: list[int] | None = None, seed: int = 1, bored: float = BORED, steps_a_job: int = 6) -> DataFrame:
+    """node, block, copy, links: a node's links in arrays of BLOCK, each link with what a walk needs to know of its end, and with
+    its place, if facts have it. facts are read several times.
+
+    A node's links are numbered by hash part and end. Most nodes have one part, which is put in order in its own row. Parts of
+    hubs hold about BLOCK links, and running sums of their sizes give each part's first number, so that no task orders a
+    hub's links."""
+    end = F.struct(F.col("node").alias("dst"), "out", "copies", *(c for c in facts.columns if c == "place")).alias("end")
+    ahead = split_join(edges.select("src", F.col("dst").alias("node")), facts.select("node", "into", end), "node", "into").select(F.col("src").alias("node"), "end")
+    hubs = facts.where(F.col("out") > BLOCK).select("node", "out", "copies")
+    some = not hubs.isEmpty()
+    few = ahead.join(hubs, "node", "left_anti") if some else ahead
+    few = few.groupBy("node").agg(F.sort_array(F.collect_list("end")).alias("links")).join(facts.select("node", "copies"), "node")
+    blocks = few.select("node", F.lit(0).cast("long").alias("block"), "copies", "links")
+    if some:
+        rows = split_join(ahead, hubs, "node", "out")
+        part = F.pmod(F.xxhash64("end.dst"), F.ceil(F.col("out") / BLOCK)).cast("int")
+        rows = rows.withColumn("part", part).withColumn("at", F.row_number().over(Window.partitionBy("node", "part").orderBy("end.dst")) - 1)
+        rows = stored(rows, "ordered-links")
+        sizes = rows.groupBy("node", "part").agg(F.count("*").alias("n"))
+        starts = sizes.select("node", "part", F.coalesce(F.sum("n").over(Window.partitionBy("node").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+        rows = rows.join(starts, ["node", "part"]).select("node", "copies", "end", (F.col("start") + F.col("at")).alias("number"))
+        rows = rows.groupBy("node", "copies", F.floor(F.col("number") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(F.struct("number", "end"))).alias("links"))
+        blocks = blocks.unionByName(rows.select("node", "block", "copies", F.col("links.end").alias("links")))
+    return blocks.select("node", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "links")
+
+
+#: Bits of a number for a step with the flag behind it, and for a copy; walks up to which a round sends them to the links.
+STEP_BITS, COPY_BITS, FEW_WALKS = 16, 24, 50_000
+#: What a round makes of a walk: it goes on, it has ended at its place, or it is lost without a mark.
+_ON, _END, _LOST = 0, 1, 2
+
+
+def walk_visits(edges: DataFrame, walks: int, cyclic: bool, jumps: bool = True, bands: list[int] | None = None, seed: int = 1, bored: float = BORED, steps_a_job: int = 6, kinds: tuple[int, ...] = (ENDED, VISITED)) -> DataFrame:
     """node, kind, band, n: what `walks` random walks leave, counted. cyclic: walks / N (rounded down) from each node, else
     from random nodes. At each node a walk ends with chance `bored` (kind ENDED), else has visited it (kind VISITED, until
     it first meets a node without links) and follows one of its links; from a node without links it jumps to a random
-    one, or, with jumps=False, ends without counting. A walk is of the first band whose bound its number is below.
-
-    All walks step together. A step joins each walk with one block of links, drawn by number, and takes one of them: walks
-    at a hub meet as many tasks as it has blocks. Walks that have ended leave the table, which is written out every few
-    steps."""
+    one, or, with jumps=False, ends without counting. A walk is of the first band whose bound its number is below. Only
+    marks of `kinds` are counted.
+
+    All walks step together, as two numbers and a part: number, step and a flag in one, the place (nodes are numbered
+    densely, so a jump needs no lookup), and which block of the place's links, in which copy. A round joins them with blocks
+    that lie hash-partitioned, so it moves the walks alone, once; walks at a hub meet as many tasks as it has blocks and
+    copies. A walk that has come to a hub by a jump learns from its first block which one it wants, and goes there in the next
+    round. Whether a walk ends at a place is known before it goes there. Tables of walks are counted every few rounds and
+    removed."""
     spark = edges.sparkSession
-    facts = stored(node_facts(edges.select("src", "dst").distinct()), "facts")
+    edges = edges.select("src", "dst").distinct()
+    facts = stored(node_facts(edges), "facts")
     n = facts.count()
     schema = "node long, kind int, band int, n long"
     if not n or not walks:
         return spark.createDataFrame([], schema)
-    places = stored(numbered(facts.select(F.struct("node", "out", "copies").alias("spot"), "node"), "node", "place").select("place", "spot"), "places")
-    blocks = stored(link_blocks(edges.select("src", "dst").distinct(), facts), "blocks")
+    facts = stored(numbered(facts, "node", "place"), "places")
+    size = lambda out, copies: F.shiftleft(out.cast("long"), COPY_BITS) + copies
+    part = lambda block, copy: F.shiftleft(block.cast("long"), COPY_BITS) + copy
+    many = link_blocks(edges, facts).join(facts.select("node", "place", size(F.col("out"), F.col("copies")).alias("size")), "node")
+    many = many.select("place", part(F.col("block"), F.col("copy")).alias("part"), "size", F.col("links.place").alias("ends"), F.transform("links", lambda x: size(x["out"], x["copies"])).alias("sizes"))
+    no, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
+    lone = facts.where("out = 0").select("place", zero.alias("part"), zero.alias("size"), no.alias("ends"), no.alias("sizes"))
+    blocks = bucketed(many.unionByName(lone), "blocks", "place", "part")
     bands = bands or [walks]
-    jump = lambda step: F.floor(_chance(seed, step, 3) * n).cast("long")
-    at = spark.range(walks // n * n if cyclic else walks).select(F.col("id").alias("walk"))
-    at = at.withColumn("place", F.pmod("walk", F.lit(n)) if cyclic else jump(0)).join(places, "place")
-    none = F.array().cast("array<struct<node: bigint, kind: int>>")
-    at = at.select("walk", "spot", F.lit(True).alias("alive"), F.lit(True).alias("whole"), none.alias("left"))
-    found, step = None, 0
+    low = (1 << COPY_BITS) - 1
+
+    def state(walk: Column, step: Column, whole: Column) -> Column:
+        return F.shiftleft(walk, STEP_BITS) + F.shiftleft(step, 1).cast("long") + whole.cast("long")
+
+    walk, step = F.shiftright("state", STEP_BITS), F.shiftright("state", 1).bitwiseAND(F.lit((1 << STEP_BITS - 1) - 1)).cast("int")
+    whole = F.col("state").bitwiseAND(F.lit(1)) == 1
+    jump = lambda walk, step: F.floor(_chance(seed, walk, step, 3) * n).cast("long")
+    goes = lambda walk, step: _chance(seed, walk, step, 1) > bored
+    drawn = lambda walk, step, out: F.floor(_chance(seed, walk, step, 2) * out).cast("long")
+
+    start = F.pmod("id", F.lit(n)) if cyclic else jump(F.col("id"), F.lit(0))
+    one = F.lit(1)
+    begun = spark.range(walks // n * n if cyclic else walks).select(F.lit(None).cast("long").alias("visited"), state(F.col("id"), one, F.lit(True)).alias("state"), start.alias("place"), zero.alias("part"), F.when(goes(F.col("id"), one), _ON).otherwise(_END).alias("fate"))
+
+    def moved(at: DataFrame, few: bool) -> DataFrame:
+        at = at.where(F.col("fate") == _ON).select("state", "place", "part")
+        rows = (F.broadcast(at) if few else at.hint("merge")).join(blocks, ["place", "part"])
+        out, copies = F.shiftright("size", COPY_BITS), F.col("size").bitwiseAND(F.lit(low))
+        rows = rows.select("place", "part", "ends", "sizes", walk.alias("walk"), step.alias("step"), whole.alias("whole"), out.alias("out"), copies.alias("copies"), drawn(walk, step, out).alias("drawn"))
+        bare, block = F.col("out") == 0, F.floor(F.col("drawn") / BLOCK)
+        elsewhere = ~bare & (block != F.shiftright("part", COPY_BITS))
+        nth = (F.col("drawn") % BLOCK).cast("int")
+        there = F.when(bare, jump(F.col("walk"), F.col("step"))).otherwise(F.get("ends", nth))
+        size_there = F.when(bare, 0).otherwise(F.get("sizes", nth))
+        rows = rows.select("walk", "step", "whole", "place", bare.alias("bare"), elsewhere.alias("elsewhere"), block.alias("block"), "copies", there.alias("there"), size_there.alias("size_there"), (F.col("step") + 1).alias("next"))
+        onward = F.shiftright("size_there", COPY_BITS)
+        # a place reached by a jump, or without links, has a first block and a first copy
+        part_there = F.when(onward == 0, 0).otherwise(part(F.floor(drawn(F.col("walk"), F.col("next"), onward) / BLOCK), F.pmod("walk", F.greatest(F.col("size_there").bitwiseAND(F.lit(low)), one))))
+        again = F.col("elsewhere")
+        fate = F.when(again, _ON).when(F.col("bare") & F.lit(not jumps), _LOST).when(goes(F.col("walk"), F.col("next")), _ON).otherwise(_END)
+        return rows.select(
+            F.when(F.col("whole") & ~again, F.col("place")).alias("visited"),
+            state(F.col("walk"), F.when(again, F.col("step")).otherwise(F.col("next")), F.col("whole") & (again | ~F.col("bare"))).alias("state"),
+            F.when(again, F.col("place")).otherwise(F.col("there")).alias("place"),
+            F.when(again, part(F.col("block"), F.pmod("walk", "copies"))).otherwise(part_there).cast("long").alias("part"),
+            fate.alias("fate"),
+        )
+
+    band = F.aggregate(F.array(*(F.lit(int(b)) for b in bands)), F.lit(0), lambda a, b: a + F.when(walk >= b, 1).otherwise(0)) if len(bands) > 1 else (walk >= bands[0]).cast("int")
+
+    def marks(at: DataFrame) -> DataFrame:
+        which = {VISITED: at.where("visited is not null").select(F.col("visited").alias("place"), F.lit(VISITED).alias("kind"), band.alias("band")), ENDED: at.where(F.col("fate") == _END).select("place", F.lit(ENDED).alias("kind"), band.alias("band"))}
+        one, *more = (which[k] for k in kinds)
+        for m in more:
+            one = one.union(m)
+        return one.groupBy("place", "kind", "band").agg(F.count("*").alias("n"))
+
+    counted, rounds, paths, at, alive = [], [], [], begun, walks
     while True:
-        for _ in range(steps_a_job):
-            step += 1
-            goes = F.col("alive") & (_chance(seed, step, 1) > bored)
-            mark = lambda kind: F.concat("left", F.array(F.struct(F.col("spot.node").alias("node"), F.lit(kind).alias("kind"))))
-            left = F.when(goes & F.col("whole"), mark(VISITED)).when(F.col("alive") & ~goes, mark(ENDED)).otherwise(F.col("left"))
-            drawn = F.when(goes, F.floor(_chance(seed, step, 2) * F.col("spot.out")).cast("long")).otherwise(0)
-            at = at.select("walk", "spot", "whole", goes.alias("alive"), left.alias("left"), drawn.alias("drawn"), jump(step).alias("place"))
-            at = at.withColumns({"node": F.col("spot.node"), "block": F.floor(F.col("drawn") / BLOCK), "copy": F.pmod("walk", F.col("spot.copies")).cast("int")})
-            at = at.join(blocks, ["node", "block", "copy"], "left")
-            whole = F.col("whole") & F.col("links").isNotNull()
-            link = F.expr(f"links[cast(drawn % {BLOCK} as int)]")
-            if jumps:
-                # a place is drawn for every walk, so that the join has no hot key
-                there = F.struct(F.col("there.node").alias("dst"), F.col("there.out"), F.col("there.copies"))
-                at = at.join(places.withColumnRenamed("spot", "there"), "place")
-                at = at.select("walk", F.coalesce(link, there).alias("next"), "spot", whole.alias("whole"), "alive", "left")
-            else:
-                at = at.select("walk", link.alias("next"), "spot", whole.alias("whole"), (F.col("alive") & F.col("links").isNotNull()).alias("alive"), "left")
-            spot = F.struct(F.col("next.dst").alias("node"), F.col("next.out").alias("out"), F.col("next.copies").alias("copies"))
-            at = at.select("walk", F.when(F.col("alive"), spot).otherwise(F.col("spot")).alias("spot"), "alive", "whole", "left")
-        at = stored(at, "walks")
-        band = F.aggregate(F.array(*(F.lit(int(b)) for b in bands)), F.lit(0), lambda a, b: a + F.when(F.col("walk") >= b, 1).otherwise(0))
-        more = at.select(band.alias("band"), F.explode("left").alias("l")).groupBy("l.node", "l.kind", "band").agg(F.count("*").alias("n"))
-        found = stored(more if found is None else found.unionByName(more).groupBy("node", "kind", "band").agg(F.sum("n").alias("n")), "visits")
-        at = at.where("alive").select("walk", "spot", "alive", "whole", none.alias("left"))
-        if at.isEmpty():
-            return found
+        paths.append(new_path(spark, "walks"))
+        seen = Observation()
+        at = stored(at.observe(seen, F.coalesce(F.sum((F.col("fate") == _ON).cast("int")), F.lit(0)).alias("alive")), "walks", paths[-1])
+        rounds.append(at)
+        alive = seen.get["alive"]
+        # few walks take little room
+        if len(rounds) >= max(steps_a_job, 1) * (4 if alive <= FEW_WALKS else 1) or not alive:
+            these = rounds[0]
+            for r in rounds[1:]:
+                these = these.union(r)
+            counted.append(stored(marks(these), "visits"))
+            for path in paths[: None if not alive else -1]:
+                removed(spark, path)
+            rounds, paths = [], paths[-1:]
+        if not alive:
+            break
+        at = moved(at, alive <= FEW_WALKS)
+    found = counted[0]
+    for c in counted[1:]:
+        found = found.union(c)
+    found = found.groupBy("place", "kind", "band").agg(F.sum("n").alias("n"))
+    return stored(found.join(facts.select("node", "place"), "place").select("node", "kind", "band", "n"), "visits")
 
 
 def random_walks(edges: DataFrame, walks: int, cyclic: bool, complete: bool, seed: int = 1, bored: float = BORED, steps_a_job: int = 6) -> DataFrame:
     """node, pr estimated by `walks` random walks; see walk_visits. complete=False: shares of the walks that ended at a node
     (as in the cyclic case walks / N is rounded down, they may sum to less than 1). complete=True: shares of all visits."""
     kind = VISITED if complete else ENDED
-    counted = walk_visits(edges, walks, cyclic, not complete, None, seed, bored, steps_a_job).where(F.col("kind") == kind)
+    counted = walk_visits(edges, walks, cyclic, not complete, None, seed, bored, steps_a_job, (kind,))
     total = (counted.agg(F.sum("n")).first()[0] if complete else walks) or 1
     return nodes_of(edges).join(counted, "node", "left").select("node", (F.coalesce("n", F.lit(0)) / float(total)).alias("pr"))
 
@@ -232,8 +296,8 @@ def walk_losses(edges: DataFrame, ranks: DataFrame, runs: tuple[int, ...] = RUNS
 
     The runs are nested: one set of walks of each kind of start, numbered, gives the estimates of both kinds of count at
     every prefix, and one aggregation their losses."""
+    edges, ranks, runs, out = stored(edges.select("src", "dst").distinct(), "edges"), stored(ranks.select("node", "pr"), "ranks"), sorted(runs), None
     n = nodes_of(edges).count()
-    edges, runs, out = stored(edges.select("src", "dst").distinct(), "edges"), sorted(runs), None
     for cyclic, names in ((False, ("mc1", "mc5")), (True, ("mc2", "mc4"))):
         left = walk_visits(edges, runs[-1] * n, cyclic, True, [r * n for r in runs], seed, bored)
         sums = [F.sum(F.when((F.col("kind") == kind) & (F.col("band") <= j), F.col("n")).otherwise(0)).alias(f"{name}_{r}") for kind, name in zip((ENDED, VISITED), names) for j, r in enumerate(runs)]

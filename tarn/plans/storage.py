@@ -37,20 +37,36 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lineage ends there, and losing an executor loses nothing.
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Write df as a table in the shared folder (at path, a new_path() of the caller's, which may then be removed) and read it
+    again: lineage ends there, and losing an executor loses nothing.
 
     zstd, as the default codec keeps buffers outside the heap that many small files add up."""
-    path = new_path(df.sparkSession, name)
+    path = path or new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """As stored(), hash-partitioned by the columns `by`: a join on all of these moves the other side alone. There are as many
+    buckets as shuffle partitions. The catalog knows the table for as long as the application runs."""
+    spark = df.sparkSession
+    path, n = new_path(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name.replace('-', '_')}_{path[-32:]}"
+    df.repartition(n, *by).write.format("parquet").bucketBy(n, *by).option("compression", "zstd").option("parquet.block.size", BLOCK_BYTES).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a table that nothing reads any more."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
     for spark, path in _written:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            removed(spark, path)
         except Exception:  # noqa: BLE001 - the session is gone; the folder's owner clears it
             return
 

@@ -111,3 +111,18 @@ def test_losses_of_nested_runs(spark, edges):
                 total = runs * n if kind == graph.ENDED else sum(c for (_, k, _), c in left.items() if k == kind)
                 want[name, runs] = sum((left[x, kind, 0] / total - p) ** 2 for x, p in ranks.items())
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(w) for k, w in want.items())
+
+
+def test_a_round_moves_the_walks_alone(spark):
+    from tarn.plans.storage import bucketed
+
+    kept = bucketed(spark.range(50).selectExpr("id as place", "0L as part", "array(id) as ends"), "blocks", "place", "part")
+    met = spark.range(200).selectExpr("id", "id % 50 as place", "id % 1 as part").hint("merge").join(kept, ["place", "part"])
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r["id"], r["ends"]) for r in met.collect()) == [(i, [i % 50]) for i in range(200)]
+
+
+def test_marks_of_one_kind(spark, edges):
+    df, rows = edges
+    got = visits(graph.walk_visits(df, 40, True, True, [40], seed=5, kinds=(graph.ENDED,)))
+    assert got == Counter({k: c for k, c in plain_walks(rows, 40, True, True, [40], seed=5).items() if k[1] == graph.ENDED})
