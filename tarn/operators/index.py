@@ -46,6 +46,11 @@ def term_counts(tokens: DataFrame) -> DataFrame:
     return ordered.select(F.explode(marked).alias("m")).groupBy("m.term").agg(F.sum("m.first").alias("df"), F.count("*").alias("cf"))
 
 
+def term_dfs(tokens: DataFrame) -> DataFrame:
+    """term, df."""
+    return tokens.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def vocabulary(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode(F.array_distinct("toks")).alias("term")).distinct()
 
@@ -157,7 +162,9 @@ class Index:
 
     @property
     def terms(self) -> DataFrame:
-        return self.saved_terms if self.saved_terms is not None else vocabulary(self.tokens)
+        if self.saved_terms is not None:
+            return self.saved_terms
+        return vocabulary(self.tokens) if self.kept_df is None else self.kept_df.select("term")
 
     @property
     def docs(self) -> DataFrame:
@@ -183,9 +190,10 @@ class Index:
         return self.kept_bags
 
     def doc_freqs(self) -> DataFrame:
-        """term, df; written out the first time."""
+        """term, df; written out the first time. Where no bags are kept, documents are tokenized for it, and nothing of theirs is
+        written."""
         if self.kept_df is None:
-            self.kept_df = stored(doc_freqs(self.bags()), "df")
+            self.kept_df = stored(term_dfs(self.tokens) if self.kept_bags is None else doc_freqs(self.kept_bags), "df")
         return self.kept_df
 
     def counts(self, condition: Column) -> DataFrame:
@@ -199,7 +207,8 @@ class Index:
         """doc_id, norm; of the documents in `of` (doc_id) alone, where given."""
         if self.norms is not None:
             return self.norms
-        rows = self.bags() if of is None else self.bags().join(of.select("doc_id"), "doc_id", "left_semi")
+        bagged = self.bags()  # before df, which are counted from them
+        rows = bagged if of is None else bagged.join(of.select("doc_id"), "doc_id", "left_semi")
         return bag_norms(rows, self.doc_freqs(), self.n)
 
     def stored(self) -> Index:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tarn.functions.text import edit_distance_within_2, kgram_bag, kgrams
 from tarn.operators.index import Index
 from tarn.operators.query import Query, intersection, phrase
+from tarn.plans.storage import stored
 
 JACCARD, DISTANCE, LIMIT = 0.4, 2, 10
 
@@ -18,7 +19,8 @@ def term_grams(term: str, k: int = 2) -> list[str]:
 
 
 def candidates(terms: DataFrame, term: str, k: int = 2) -> DataFrame:
-    """term, jaccard for vocabulary terms that share a k-gram with ^term$.
+    """term, jaccard for vocabulary terms that share a k-gram with ^term$, with terms' other columns. terms should be a table that
+    is written out: on a lazy vocabulary the filter goes below its grouping and judges every token.
 
     The query side counts distinct k-grams, the vocabulary's side counts them with repeats, so it can exceed 1. The
     query's k-grams are a short list, so each term is judged in its own row, without a join.
@@ -26,8 +28,8 @@ def candidates(terms: DataFrame, term: str, k: int = 2) -> DataFrame:
     grams = term_grams(term, k)
     bag = kgram_bag(F.col("term"), k)
     inside = F.size(F.filter(F.col("bag"), lambda g: g.isin(grams)))
-    rows = terms.select("term", bag.alias("bag")).select("term", F.size("bag").alias("n"), inside.alias("shared")).where("shared > 0")
-    return rows.select("term", (F.col("shared") / (F.lit(len(grams)) + F.col("n") - F.col("shared"))).alias("jaccard"))
+    rows = terms.select("*", bag.alias("bag")).select(*terms.columns, F.size("bag").alias("n"), inside.alias("shared")).where("shared > 0")
+    return rows.select(*terms.columns, (F.col("shared") / (F.lit(len(grams)) + F.col("n") - F.col("shared"))).alias("jaccard"))
 
 
 def near_terms(index: Index, term: str, k: int = 2) -> DataFrame:
@@ -41,10 +43,11 @@ def near_terms(index: Index, term: str, k: int = 2) -> DataFrame:
 
 def corrections(counts: DataFrame, term: str, k: int = 2, near: DataFrame | None = None) -> DataFrame:
     """term, score (lower is better) for one unknown term; counts: term, df. score = distance / (df * jaccard). near: its
-    candidates, where they are known."""
-    near = (candidates(counts, term, k) if near is None else near).where(F.col("jaccard") >= JACCARD)
+    candidates, where they are known; else counts are read once, and each term is judged in its row."""
+    near = candidates(counts.select("term", "df"), term, k) if near is None else near.join(counts.select("term", "df"), "term")
+    near = near.where(F.col("jaccard") >= JACCARD)
     near = near.withColumn("distance", edit_distance_within_2(F.lit(term), F.col("term"))).where("distance is not null")
-    return near.join(counts, "term").select("term", (F.col("distance") / (F.greatest("df", F.lit(1)) * F.col("jaccard"))).alias("score"))
+    return near.select("term", (F.col("distance") / (F.greatest("df", F.lit(1)) * F.col("jaccard"))).alias("score"))
 
 
 #: Words up to this length meet by what is left of them without one or two letters, longer ones by thirds.
@@ -100,7 +103,9 @@ def correct_words(words: DataFrame, counts: DataFrame, k: int = 2) -> DataFrame:
     words, counts = words.select("word"), counts.select("term", "df")
     near = None
     for keys, part in ((short_keys, F.least(F.length("word"), F.length("term")) <= LONG), (long_keys, F.least(F.length("word"), F.length("term")) > LONG)):
-        met = keys(words, "word", 0).join(keys(counts, "term", 1), "meet").where(part).select("word", "term", "df").distinct()
+        # a word has up to hundreds of keys, of which a planner that knows the size of the words' file alone takes no notice: it
+        # would send all of them to the driver
+        met = keys(words, "word", 0).hint("merge").join(keys(counts, "term", 1), "meet").where(part).select("word", "term", "df").distinct()
         near = met if near is None else near.unionByName(met)
     near = near.withColumn("distance", edit_distance_within_2(F.col("word"), F.col("term"))).where("distance is not null")
     grams, bag = kgrams(F.col("word"), k), kgram_bag(F.col("term"), k)
@@ -113,39 +118,57 @@ def correct_words(words: DataFrame, counts: DataFrame, k: int = 2) -> DataFrame:
 def best_corrections(words: DataFrame, counts: DataFrame, k: int = 2) -> DataFrame:
     """word, term, score: each word with its best correction (ties: the first in order), nulls where it has none."""
     best = correct_words(words, counts, k).groupBy("word").agg(F.min(F.struct("score", "term")).alias("best"))
-    return words.select("word").join(best, "word", "left").select("word", "best.term", "best.score")
+    return words.select("word").hint("merge").join(best, "word", "left").select("word", "best.term", "best.score")
 
 
-def suggest(index: Index, query: Query, limit: int = LIMIT, k: int = 2) -> DataFrame:
+def suggest(index: Index, query: Query, limit: int = LIMIT, k: int = 2, digits: int | None = None) -> DataFrame:
     """phrase, score: the best `limit` corrections of a query. Known terms stand for themselves with score 1. Terms are
-    combined from the left, scores multiplied; from the second term on only the best `limit` go on."""
+    combined from the left, scores multiplied; from the second term on only the best `limit` go on. digits: the order is that of
+    scores rounded to so many, ties by phrase; scores are given unrounded."""
     spark = index.tokens.sparkSession
     counts = index.doc_freqs()
     beam: DataFrame | None = None
-    for term in query.terms:
+    shown = F.col("score") if digits is None else F.round("score", digits)
+    for at, term in enumerate(query.terms):
         if not counts.where(F.col("term") == term).isEmpty():
             options = spark.createDataFrame([(term, 1.0)], "term string, score double")
+        elif index.saved_kgrams is None or k != 2:
+            options = corrections(counts, term, k)
         else:
             options = corrections(counts, term, k, near_terms(index, term, k))
-        # products of positive scores: the best `limit` pairs are made of the best `limit` of each side
-        options = options.orderBy("score", "term").limit(limit)
+        if digits is None:
+            # products of positive scores: the best `limit` pairs are made of the best `limit` of each side
+            options = options.orderBy("score", "term").limit(limit)
         if beam is None:
             beam = options.select(F.col("term").alias("phrase"), "score")
-        else:
-            right = options.select("term", F.col("score").alias("s"))
-            # both sides on one key: `limit` rows against `limit` rows
-            pairs = beam.withColumn("one", F.lit(1)).join(right.withColumn("one", F.lit(1)), "one")
-            beam = pairs.select(F.concat_ws(" ", "phrase", "term").alias("phrase"), (F.col("score") * F.col("s")).alias("score")).orderBy("score", "phrase").limit(limit)
+            continue
+        beam, options = stored(beam, "phrases"), stored(options, "options")
+        right = options.select("term", F.col("score").alias("s"))
+        if digits is not None:
+            # rounded, further pairs tie with the best: those up to the last of the best as rounded, with all that rounding can add
+            most, first = _products(beam, right, limit).agg(F.max(shown)).first()[0], beam.agg(F.min("score")).first()[0]
+            least = right.agg(F.min("s")).first()[0]
+            if most is not None:
+                bound = most + 10.0**-digits
+                beam, right = beam.where(F.col("score") * F.lit(least) <= bound), right.where(F.col("s") * F.lit(first) <= bound)
+        pairs = beam.crossJoin(right)
+        beam = pairs.select(F.concat_ws(" ", "phrase", "term").alias("phrase"), (F.col("score") * F.col("s")).alias("score")).orderBy(shown, "phrase").limit(limit)
     if beam is None:
         return spark.createDataFrame([], "phrase string, score double")
-    return beam.orderBy("score", "phrase").limit(limit)
+    return beam.orderBy(shown, "phrase").limit(limit)
+
+
+def _products(left: DataFrame, right: DataFrame, limit: int) -> DataFrame:
+    """score: the `limit` smallest products, which are made of the `limit` smallest of each side."""
+    pairs = left.select("score").orderBy("score").limit(limit).crossJoin(right.select("s").orderBy("s").limit(limit))
+    return pairs.select((F.col("score") * F.col("s")).alias("score")).orderBy("score").limit(limit)
 
 
-def search_with_suggestions(index: Index, query: Query, as_phrase: bool = False, limit: int = LIMIT) -> tuple[DataFrame | None, DataFrame | None]:
+def search_with_suggestions(index: Index, query: Query, as_phrase: bool = False, limit: int = LIMIT, digits: int | None = None) -> tuple[DataFrame | None, DataFrame | None]:
     """(results, None), or (None, suggestions) where a search gives no list at all: an unknown first term of an
     intersection, or a single unknown term of a phrase."""
     results = phrase(index, query) if as_phrase else intersection(index, query)
-    return (results, None) if results is not None else (None, suggest(index, query, limit))
+    return (results, None) if results is not None else (None, suggest(index, query, limit, digits=digits))
 
 
 def shorten(text: str, most: int = 50) -> str:

@@ -189,3 +189,37 @@ def test_words_are_corrected_together_as_one_by_one(spark):
     assert [g[1:] for g in got if g[0] == one] == values(corrections(counts, one), "term", "score")
     best = {r["word"]: r["term"] for r in best_corrections(spark.createDataFrame([(one,), ("zz",)], "word string"), counts).collect()}
     assert best == {one: min((g[2], g[1]) for g in got if g[0] == one)[1], "zz": None}
+
+
+def test_suggestions_in_the_order_of_rounded_scores(spark, words):
+    index, limit, digits = Index.build(words), 10, 1
+    counts = index.doc_freqs()
+    some = sorted((r["term"] for r in counts.collect()), key=lambda t: (-len(t), t))
+    first, second = "z" + some[0], "z" + some[1]
+    a, b = corrections(counts, first), corrections(counts, second).withColumnsRenamed({"term": "t", "score": "s"})
+    for unknown in (first, second):
+        assert counts.where(F.col("term") == unknown).isEmpty() and not corrections(counts, unknown).isEmpty()
+    pairs = a.crossJoin(b).select(F.concat_ws(" ", "term", "t").alias("phrase"), (F.col("score") * F.col("s")).alias("score"))
+    want = [r["phrase"] for r in pairs.orderBy(F.round("score", digits), "phrase").limit(limit).collect()]
+    assert [r["phrase"] for r in suggest(index, Query.parse(f"{first} {second}"), limit, digits=digits).collect()] == want
+    # many of equal rounded score, more than the best of each side can make
+    near = spark.createDataFrame([("abcdefg" + c, 5000 - i) for i, c in enumerate("zyxwvutsrqponmlk")], "term string, df long")
+    made = Index(index.tokens, index.postings, index.n, kept_df=near)
+    got = [r["phrase"] for r in suggest(made, Query.parse("abcdefg abcdefg"), limit, digits=6).collect()]
+    assert got == [f"abcdefgk abcdefg{c}" for c in "klmnopqrst"]
+
+
+def test_keys_of_words_are_not_sent_to_the_driver(spark, words, tmp_path):
+    path = str(tmp_path / "df")
+    Index.build(words).doc_freqs().write.parquet(path)
+    counts = spark.read.parquet(path)
+    found = best_corrections(counts.where("df = 1").select(F.col("term").alias("word")), counts.where("df > 1"))
+    assert "Broadcast" not in plan_of(found)
+    assert "Join" not in plan_of(corrections(counts, "abced"))
+
+
+def test_a_vocabulary_is_written_out_before_it_is_judged(spark, words):
+    index = Index.build(words)
+    counts = index.doc_freqs()
+    assert index.kept_bags is None and "Generate" not in plan_of(index.terms) and "Generate" not in plan_of(candidates(counts, "abced"))
+    assert values(counts, "term", "df") == values(doc_freqs(bags(tokenized(words))), "term", "df")
