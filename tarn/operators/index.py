@@ -34,6 +34,25 @@ def postings(tokens: DataFrame) -> DataFrame:
     return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("offsets"), F.first("doc_len").alias("doc_len"))
 
 
+def ids_differ(rows: DataFrame) -> bool:
+    """Whether each row has a doc_id of its own, and none is null."""
+    seen = rows.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    return seen["rows"] == seen["ids"]
+
+
+def whole_postings(tokens: DataFrame) -> DataFrame:
+    """postings() of everything. Where each document is one row, its postings are made in that row, and nothing is shuffled; a
+    filter on `term` is not taken below that, so lookups in what isn't saved are for postings()."""
+    if not ids_differ(tokens.select("doc_id")):
+        return postings(tokens)
+    placed = F.sort_array(F.transform("toks", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    ordered = tokens.select("doc_id", F.size("toks").alias("doc_len"), placed.alias("t"))
+    starts = F.expr("case when size(t) > 0 then filter(sequence(0, size(t) - 1), i -> i = 0 or get(t, i - 1).term <> t[i].term) else array() end")
+    part = F.expr("transform(s, (at, k) -> struct(t[at].term as term, slice(t, at + 1, coalesce(get(s, k + 1), size(t)) - at).pos as offsets))")
+    rows = ordered.withColumn("s", starts).select("doc_id", "doc_len", F.explode(part).alias("p"))
+    return rows.select("p.term", "doc_id", F.size("p.offsets").cast("long").alias("tf"), "p.offsets", "doc_len")
+
+
 def doc_lengths(tokens: DataFrame) -> DataFrame:
     return tokens.select("doc_id", F.size("toks").alias("doc_len"))
 
@@ -62,7 +81,13 @@ def term_dictionary(tokens: DataFrame) -> DataFrame:
     any type; running sums within a partition and over partitions' sums, of which there are as many as shuffle partitions,
     give each document's first number, so no task orders all terms or documents.
     """
-    first = token_rows(tokens).groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("term", "at.doc_id", "at.pos")
+    # distinct tokens of a document are in order of first occurrence
+    rows = tokens.select("doc_id", F.posexplode(F.array_distinct("toks")).alias("pos", "term")).groupBy("term")
+    if ids_differ(tokens.select("doc_id")):
+        first = rows.agg(F.min("doc_id").alias("doc_id"), F.min_by("pos", "doc_id").alias("pos"))
+    else:
+        first = rows.agg(F.min(F.struct("doc_id", "pos")).alias("at")).select("term", "at.doc_id", "at.pos")
+    first = stored(first, "first-places")
     new = first.groupBy("doc_id").agg(F.count("*").alias("n"))
     n = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     new = stored(new.repartitionByRange(n, "doc_id").withColumn("part", F.spark_partition_id()), "new-terms")
@@ -111,6 +136,23 @@ def merge_postings(*partial: DataFrame) -> DataFrame:
     return rows.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("offsets"))).alias("offsets"), F.max("doc_len").alias("doc_len"))
 
 
+def merge_written(*partial: DataFrame) -> DataFrame:
+    """merge_postings() of partial indexes that are written out, each with one row a term and document: only the postings of
+    documents that are in several of them are shuffled."""
+    ids = None
+    for p in partial:
+        own = p.select("doc_id").distinct()
+        ids = own if ids is None else ids.union(own)
+    both = stored(ids.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("shared")), "shared-ids")
+    rows = partial[0]
+    for p in partial[1:]:
+        rows = rows.unionByName(p)
+    if both.isEmpty():
+        return rows
+    same = F.col("doc_id").eqNullSafe(F.col("shared"))
+    return rows.join(both, same, "left_anti").unionByName(merge_postings(rows.join(both, same, "left_semi")))
+
+
 def kgram_index(terms: DataFrame, k: int = 2) -> DataFrame:
     """kgram, term; terms: a column `term` of distinct terms."""
     return terms.select(F.explode(kgrams(F.col("term"), k)).alias("kgram"), "term")
@@ -216,6 +258,10 @@ class Index:
         tokens = stored(self.tokens, "tokens")
         return replace(self, tokens=tokens, postings=postings(tokens))
 
+    def everything(self) -> DataFrame:
+        """All postings, for work that reads the whole index."""
+        return self.postings if self.saved_terms is not None else whole_postings(self.tokens)
+
     def matching(self, condition: Column) -> DataFrame:
         return self.postings.where(condition)
 
@@ -233,7 +279,7 @@ class Index:
         write(self.tokens, "tokens")
         kept = replace(self, tokens=spark.read.parquet(f"{path}/tokens"))
         # doc_id too, so that a frequent term's postings fall into several files
-        write(postings(kept.tokens), "postings", "term", "doc_id")
+        write(whole_postings(kept.tokens), "postings", "term", "doc_id")
         write(kept.euclidean(), "norms")
         write(kept.doc_freqs(), "terms", "term")
         terms = spark.read.parquet(f"{path}/terms")

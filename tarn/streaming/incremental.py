@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.operators.index import merge_postings, postings, tokenized
+from tarn.operators.index import merge_postings, postings, tokenized, whole_postings
 
 
 def index_stream(docs: DataFrame, path: str, checkpoint: str, **options):
@@ -61,7 +61,7 @@ class BucketedIndex:
     def add(self, docs: DataFrame, number: int, **options) -> None:
         """Write the postings of docs (doc_id, text) as batch `number`, over what that batch held. Rows are dealt as buckets
         are, so each bucket gets one file."""
-        rows = postings(tokenized(docs, **options)).withColumn("offsets", F.col("offsets").cast("array<int>"))
+        rows = whole_postings(tokenized(docs, **options)).withColumn("offsets", F.col("offsets").cast("array<int>"))
         dealt = rows.select("term", "doc_id", "tf", "offsets", "doc_len").repartition(self.buckets, "term", "doc_id")
         view = f"{self.table.replace('.', '_')}_batch_{int(number)}"
         dealt.createOrReplaceTempView(view)

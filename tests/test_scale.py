@@ -223,3 +223,19 @@ def test_a_vocabulary_is_written_out_before_it_is_judged(spark, words):
     counts = index.doc_freqs()
     assert index.kept_bags is None and "Generate" not in plan_of(index.terms) and "Generate" not in plan_of(candidates(counts, "abced"))
     assert values(counts, "term", "df") == values(doc_freqs(bags(tokenized(words))), "term", "df")
+
+
+def test_whole_indexes_shuffle_no_tokens(spark, words):
+    from tarn.operators.index import merge_postings, merge_written, postings, term_dictionary, whole_postings
+
+    tokens = tokenized(words)
+    cols = ("term", "doc_id", "tf", "offsets", "doc_len")
+    want = values(postings(tokens), *cols)
+    assert values(whole_postings(tokens), *cols) == want and "Exchange" not in plan_of(whole_postings(tokens))
+    twice = tokens.union(tokens.where("doc_id = 3"))
+    assert values(whole_postings(twice), *cols) == values(postings(twice), *cols)
+    a, b, c = (stored(whole_postings(tokens.where(w)), "part") for w in ("doc_id < 20", "doc_id >= 20", "doc_id = 7 or doc_id = 30"))
+    assert values(merge_written(a, b), *cols) == want and "Exchange" not in plan_of(merge_written(a, b))
+    assert values(merge_written(a, b, c), *cols) == values(merge_postings(a, b, c), *cols)
+    seen = list(dict.fromkeys(t for r in tokens.orderBy("doc_id").collect() for t in r["toks"]))
+    assert values(term_dictionary(tokens), "term_id", "term") == list(enumerate(seen))
