@@ -47,6 +47,11 @@ def fold_case(col: Column, case: bool = True, strip_diacritics: bool = False) ->
     return F.lower(col) if case else col
 
 
+def folded(text: Column, case: bool = True, strip_diacritics: bool = False, **_) -> Column:
+    """A text as tokenize() cuts it up, with the same options: every token is a stretch of it."""
+    return fold_case(F.coalesce(text, F.lit("")), case, strip_diacritics)
+
+
 def split_punctuation(col: Column, keep: bool = False) -> Column:
     """What is between punctuation marks; with keep=True the marks too, each by itself."""
     if keep:
@@ -149,7 +154,7 @@ def tokenize(text: Column, patterns: list[str] | None = PATTERNS, case: bool = T
 
     patterns=None or [] splits at punctuation alone. drop_trailing_chunk leaves out a chunk that touches the text's end.
     """
-    body = fold_case(F.coalesce(text, F.lit("")), case, strip_diacritics)
+    body = folded(text, case, strip_diacritics)
     pieces = F.split(body, SEPARATOR)
     if drop_trailing_chunk:
         pieces = F.when(F.size(pieces) > 1, F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))

@@ -8,12 +8,13 @@ files are sorted by term, where the same filter prunes row groups.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.functions.text import kgrams, tokenize
+from tarn.functions.text import folded, kgrams, tokenize
 from tarn.plans.skew import HEAVY_KEYS, split_join
 from tarn.plans.storage import stored
 
@@ -23,15 +24,24 @@ def tokenized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     return docs.select(F.col(id_col).alias("doc_id"), tokenize(F.col(text_col), **options).alias("toks"))
 
 
+def placed(tokens: DataFrame) -> DataFrame:
+    """doc_id, doc_len, pos (from 0), term.
+
+    Exploded as outer, since for a plain explode Spark adds a filter that the array isn't empty, takes it below the column that
+    makes the array, and so tokenizes each document once more for it. The length stands in the row before, so that the array
+    isn't carried along with each token."""
+    rows = tokens.select("doc_id", F.size("toks").alias("doc_len"), "toks")
+    return rows.select("doc_id", "doc_len", F.posexplode_outer("toks").alias("pos", "term")).where(F.col("pos").isNotNull())
+
+
 def token_rows(tokens: DataFrame) -> DataFrame:
     """doc_id, pos (from 0), term."""
-    return tokens.select("doc_id", F.posexplode("toks").alias("pos", "term"))
+    return placed(tokens).select("doc_id", "pos", "term")
 
 
 def postings(tokens: DataFrame) -> DataFrame:
     """term, doc_id, tf, offsets (ascending), doc_len."""
-    rows = tokens.select("doc_id", F.size("toks").alias("doc_len"), F.posexplode("toks").alias("pos", "term"))
-    return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("offsets"), F.first("doc_len").alias("doc_len"))
+    return placed(tokens).groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("offsets"), F.first("doc_len").alias("doc_len"))
 
 
 def ids_differ(rows: DataFrame) -> bool:
@@ -45,8 +55,8 @@ def whole_postings(tokens: DataFrame) -> DataFrame:
     filter on `term` is not taken below that, so lookups in what isn't saved are for postings()."""
     if not ids_differ(tokens.select("doc_id")):
         return postings(tokens)
-    placed = F.sort_array(F.transform("toks", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
-    ordered = tokens.select("doc_id", F.size("toks").alias("doc_len"), placed.alias("t"))
+    by_term = F.sort_array(F.transform("toks", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    ordered = tokens.select("doc_id", F.size("toks").alias("doc_len"), by_term.alias("t"))
     starts = F.expr("case when size(t) > 0 then filter(sequence(0, size(t) - 1), i -> i = 0 or get(t, i - 1).term <> t[i].term) else array() end")
     part = F.expr("transform(s, (at, k) -> struct(t[at].term as term, slice(t, at + 1, coalesce(get(s, k + 1), size(t)) - at).pos as offsets))")
     rows = ordered.withColumn("s", starts).select("doc_id", "doc_len", F.explode(part).alias("p"))
@@ -184,7 +194,8 @@ def reversed_terms(terms: DataFrame) -> DataFrame:
 
 @dataclass
 class Index:
-    """What queries read. norms may be None until Euclidean normalisation is asked for."""
+    """What queries read. norms may be None until Euclidean normalisation is asked for. source: documents, their columns of ids
+    and texts, and tokenize()'s options, where tokens are made from texts as they are read."""
 
     tokens: DataFrame
     postings: DataFrame
@@ -196,11 +207,12 @@ class Index:
     saved_reversed: DataFrame | None = None
     kept_bags: DataFrame | None = None
     kept_df: DataFrame | None = None
+    source: tuple[DataFrame, str, str, dict] | None = None
 
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> Index:
         tokens = tokenized(docs, id_col, text_col, **options)
-        return cls(tokens, postings(tokens), docs.count())
+        return cls(tokens, postings(tokens), docs.count(), source=(docs, id_col, text_col, options))
 
     @property
     def terms(self) -> DataFrame:
@@ -238,10 +250,11 @@ class Index:
             self.kept_df = stored(term_dfs(self.tokens) if self.kept_bags is None else doc_freqs(self.kept_bags), "df")
         return self.kept_df
 
-    def counts(self, condition: Column) -> DataFrame:
-        """term, doc_id, tf, doc_len of the terms that the condition picks: from bags where there are any, else postings."""
+    def counts(self, condition: Column, of_text: Callable[[Column], Column] | None = None) -> DataFrame:
+        """term, doc_id, tf, doc_len of the terms that the condition picks: from bags where there are any, else postings; see
+        matching()."""
         if self.kept_bags is None:
-            return self.matching(condition).select("term", "doc_id", "tf", "doc_len")
+            return self.matching(condition, of_text).select("term", "doc_id", "tf", "doc_len")
         rows = self.kept_bags.select("doc_id", "doc_len", F.explode("bag").alias("b"))
         return rows.select("b.term", "doc_id", F.col("b.tf").cast("long").alias("tf"), "doc_len").where(condition)
 
@@ -256,14 +269,20 @@ class Index:
     def stored(self) -> Index:
         """This index with its tokens written to the shared folder, for work that reads them more than once."""
         tokens = stored(self.tokens, "tokens")
-        return replace(self, tokens=tokens, postings=postings(tokens))
+        return replace(self, tokens=tokens, postings=postings(tokens), source=None)
 
     def everything(self) -> DataFrame:
         """All postings, for work that reads the whole index."""
         return self.postings if self.saved_terms is not None else whole_postings(self.tokens)
 
-    def matching(self, condition: Column) -> DataFrame:
-        return self.postings.where(condition)
+    def matching(self, condition: Column, of_text: Callable[[Column], Column] | None = None) -> DataFrame:
+        """Postings of the terms that the condition picks. of_text: what is true of the folded text (and may be of others) of every
+        document with such a term; where tokens are made from texts, the other documents are not tokenized."""
+        if of_text is None or self.source is None:
+            return self.postings.where(condition)
+        docs, id_col, text_col, options = self.source
+        some = docs.where(of_text(folded(F.col(text_col), **options)))
+        return postings(tokenized(some, id_col, text_col, **options)).where(condition)
 
     def save(self, path: str, partitions: int | None = None, names: DataFrame | None = None) -> None:
         """Write the index below path, so that lookups read few row groups: postings, terms (with df) and k-grams
@@ -277,7 +296,7 @@ class Index:
             rows.write.option("parquet.block.size", BLOCK_BYTES).option("parquet.bloom.filter.enabled#term", name == "postings").parquet(f"{path}/{name}")
 
         write(self.tokens, "tokens")
-        kept = replace(self, tokens=spark.read.parquet(f"{path}/tokens"))
+        kept = replace(self, tokens=spark.read.parquet(f"{path}/tokens"), source=None)
         # doc_id too, so that a frequent term's postings fall into several files
         write(whole_postings(kept.tokens), "postings", "term", "doc_id")
         write(kept.euclidean(), "norms")

@@ -6,7 +6,9 @@ before anything is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,6 +75,35 @@ def matches(term: str, column: str = "term") -> Column:
     return t.startswith(before) & t.endswith(after)
 
 
+def matches_any(terms: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a | b, (matches(t) for t in sorted(set(terms))), F.lit(False))
+
+
+def fixed_parts(term: str) -> list[str]:
+    """What every token that matches a term holds; see matches()."""
+    if "*" not in term:
+        return [term]
+    if term.startswith("*"):
+        return [term[1:]]
+    if term.endswith("*"):
+        return [term[:-1]]
+    before, _, after = term.partition("*")
+    return [before, after]
+
+
+def may_hold_any(terms: Iterable[str], text: Column) -> Column:
+    """True of every folded text with a token that matches a term: as a token is a stretch of the text, its parts are in the text. It
+    is true of other texts too, for `mit` of one with `permit`."""
+    held = (reduce(lambda a, b: a & b, map(text.contains, fixed_parts(t))) for t in sorted(set(terms)))
+    return reduce(lambda a, b: a | b, held, F.lit(False))
+
+
+def postings_of(index: Index, terms: Iterable[str]) -> DataFrame:
+    """Postings of a query's terms; documents whose texts can't hold any of them are not tokenized."""
+    terms = set(terms)
+    return index.matching(matches_any(terms), lambda text: may_hold_any(terms, text))
+
+
 def expand(index: Index, term: str) -> DataFrame:
     """The vocabulary's terms that a wildcard stands for.
 
@@ -96,10 +127,7 @@ def end_grams(before: str, after: str, k: int = 2) -> list[str]:
 def by_position(rows: DataFrame, query: Query) -> DataFrame:
     """rows with `ord`: a row for each position of the query that its term matches."""
     places = F.filter(F.array(*(F.when(matches(t), F.lit(i)) for i, t in enumerate(query.terms))), lambda x: x.isNotNull())
-    some = F.lit(False)
-    for t in set(query.terms):
-        some = some | matches(t)
-    return rows.where(some).select("*", F.explode(places).alias("ord"))
+    return rows.where(matches_any(query.terms)).select("*", F.explode(places).alias("ord"))
 
 
 def empty_results(index: Index) -> DataFrame:
@@ -108,7 +136,7 @@ def empty_results(index: Index) -> DataFrame:
 
 def known_positions(index: Index, query: Query) -> set[int]:
     """Which terms of the query match anything: a row for each position at most."""
-    return {r["ord"] for r in by_position(index.postings.select("term"), query).select("ord").distinct().collect()} if query.terms else set()
+    return {r["ord"] for r in by_position(postings_of(index, query.terms).select("term"), query).select("ord").distinct().collect()} if query.terms else set()
 
 
 def intersection(index: Index, query: Query) -> DataFrame | None:
@@ -125,17 +153,14 @@ def intersection(index: Index, query: Query) -> DataFrame | None:
         if 0 not in known:
             return None
         need = len(known)
-    rows = by_position(index.postings, query)
+    rows = by_position(postings_of(index, query.terms), query)
     found = rows.groupBy("doc_id").agg(F.sum("tf").alias("score"), F.sort_array(F.flatten(F.collect_list("offsets"))).alias("offsets"), F.count_distinct("ord").alias("n"))
     return found.where(F.col("n") == need).select("doc_id", "score", "offsets")
 
 
 def union_postings(index: Index, terms: list[str]) -> DataFrame:
     """Postings of several terms as one list: doc_id, score (sum of tf), offsets."""
-    some = F.lit(False)
-    for t in terms:
-        some = some | matches(t)
-    return index.matching(some).groupBy("doc_id").agg(F.sum("tf").alias("score"), F.sort_array(F.flatten(F.collect_list("offsets"))).alias("offsets"))
+    return postings_of(index, terms).groupBy("doc_id").agg(F.sum("tf").alias("score"), F.sort_array(F.flatten(F.collect_list("offsets"))).alias("offsets"))
 
 
 def phrase(index: Index, query: Query, apart: int = 1, within: int | None = None) -> DataFrame | None:
@@ -153,7 +178,7 @@ def phrase(index: Index, query: Query, apart: int = 1, within: int | None = None
         if not query.wild and not known_positions(index, query):
             return None
         return union_postings(index, query.terms)
-    at = by_position(index.postings.select("doc_id", "term", F.explode("offsets").alias("pos")), query)
+    at = by_position(postings_of(index, query.terms).select("doc_id", "term", F.explode("offsets").alias("pos")), query)
     if within is not None:
         return chained(at, n, within)
     starts = at.groupBy("doc_id", (F.col("pos") - F.col("ord") * apart).alias("start")).agg(F.collect_set("ord").alias("ords"))

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from enum import Enum
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.operators.graph import root_scores
-from tarn.operators.index import Index
-from tarn.operators.query import Query, by_position, empty_results, matches
+from tarn.operators.index import Index, placed
+from tarn.operators.query import Query, by_position, empty_results, matches, matches_any, may_hold_any, postings_of
 from tarn.plans.skew import split_join
 from tarn.plans.storage import stored
 
@@ -23,24 +22,26 @@ class Normalization(Enum):
 
 def hits_of(index: Index, query: Query) -> DataFrame:
     """Postings of the query's terms with `weight`: term, doc_id, tf, doc_len, weight."""
-    some = reduce(lambda a, b: a | b, (matches(t) for t in set(query.terms)), F.lit(False))
     weight = F.lit(0.0)
     for t, w in zip(query.terms, query.weights):
         weight = weight + F.when(matches(t), w).otherwise(0.0)
-    return index.counts(some).select("term", "doc_id", "tf", "doc_len", weight.alias("weight"))
+    rows = index.counts(matches_any(query.terms), lambda text: may_hold_any(query.terms, text))
+    return rows.select("term", "doc_id", "tf", "doc_len", weight.alias("weight"))
 
 
 def ranked_tfidf(index: Index, query: Query, norm: Normalization = Normalization.NUMBER_OF_WORDS) -> DataFrame:
     """doc_id, score: sum over the query's terms of tf * ln(N / df) * weight, if above 0, then normalised.
 
-    Both the count of documents for each term and the scores read the same shuffled postings of the query's terms; the
-    counts, a row for each term, go to where the postings are. Euclidean norms are worked out for the documents found.
+    The postings of the query's terms are written out, so that documents are tokenized once for both the count of documents for
+    each term and the scores. The counts, a row for each term of the query, go to where the postings are; those of wildcards,
+    which may be many, by split_join. Euclidean norms are worked out for the documents found.
     """
     if norm is Normalization.EUCLIDEAN and index.norms is None:
         index.bags()
-    rows = hits_of(index, query)
+    rows = stored(hits_of(index, query), "hits")
     df = rows.groupBy("term").agg(F.count("*").alias("df"))
-    return normalised(index, scores_of(index, rows.join(df, "term")), norm)
+    counted = split_join(rows, stored(df, "hits-df"), "term", "df") if query.wild else rows.join(F.broadcast(df), "term")
+    return normalised(index, scores_of(index, counted), norm)
 
 
 def scores_of(index: Index, rows: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def ranked_weighted(index: Index, weights: DataFrame, norm: Normalization = Norm
     """As ranked_tfidf, for a query that is a table of term, weight (after relevance feedback): of any size."""
     weights = stored(weights.groupBy("term").agg(F.sum("weight").alias("weight")), "weights")
     # tokens of other terms are left out before anything is grouped
-    kept = index.tokens.select("doc_id", F.size("toks").alias("doc_len"), F.explode("toks").alias("term")).join(weights, "term")
+    kept = placed(index.tokens).join(weights, "term")
     rows = kept.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("doc_len").alias("doc_len"), F.first("weight").alias("weight"))
     rows = stored(rows, "weighted-rows")
     df = stored(rows.groupBy("term").agg(F.count("*").alias("df")), "weighted-df")
@@ -71,11 +72,10 @@ def ranked_weighted(index: Index, weights: DataFrame, norm: Normalization = Norm
 
 def occurrences(index: Index, query: Query) -> DataFrame:
     """doc_id, times: how many of the query's term places (each expansion of a wildcard by itself) a document matches."""
-    some = reduce(lambda a, b: a | b, (matches(t) for t in set(query.terms)), F.lit(False))
     times = F.lit(0)
     for t in query.terms:
         times = times + F.when(matches(t), 1).otherwise(0)
-    return index.matching(some).select("doc_id", times.alias("times")).groupBy("doc_id").agg(F.sum("times").alias("times"))
+    return postings_of(index, query.terms).select("doc_id", times.alias("times")).groupBy("doc_id").agg(F.sum("times").alias("times"))
 
 
 def ranked_pagerank(index: Index, query: Query, ranks: DataFrame) -> DataFrame:
@@ -100,5 +100,5 @@ def ranked_hits(index: Index, query: Query, edges: DataFrame, rounds: int | None
     if not query.terms:
         return empty_results(index).select("doc_id", F.lit(0.0).alias("score"))
     edges = stored(edges.select("src", "dst").distinct(), "edges")
-    roots = by_position(index.postings, query).select(F.col("ord").alias("key"), F.col("doc_id").alias("node"))
+    roots = by_position(postings_of(index, query.terms), query).select(F.col("ord").alias("key"), F.col("doc_id").alias("node"))
     return root_scores(edges, roots, rounds).groupBy(F.col("node").alias("doc_id")).agg(F.sum("score").alias("score"))

@@ -1,14 +1,15 @@
 """How work is laid out: joins split by frequency, many root sets at once, lookups that read few row groups."""
 
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tarn.operators import graph
-from tarn.operators.index import Index, bag_norms, bags, doc_freqs, tokenized
-from tarn.operators.query import Query, end_grams, expand, matches
-from tarn.operators.rank import Normalization, ranked_hits, ranked_tfidf
+from tarn.operators.index import Index, bag_norms, bags, doc_freqs, postings, token_rows, tokenized
+from tarn.operators.query import Query, end_grams, expand, matches, matches_any, postings_of
+from tarn.operators.rank import Normalization, ranked_combination, ranked_hits, ranked_tfidf
 from tarn.plans.skew import split_join
 from tarn.plans.storage import stored
 from tarn.operators.spell import best_corrections, candidates, correct_words, corrections, near_terms, suggest
@@ -239,3 +240,39 @@ def test_whole_indexes_shuffle_no_tokens(spark, words):
     assert values(merge_written(a, b, c), *cols) == values(merge_postings(a, b, c), *cols)
     seen = list(dict.fromkeys(t for r in tokens.orderBy("doc_id").collect() for t in r["toks"]))
     assert values(term_dictionary(tokens), "term_id", "term") == list(enumerate(seen))
+
+
+ODD = [(0, "Permit the MIT license; a.b.mit 12thmit 1/2mit http://a*bc/mit"), (1, "submit limits"), (2, None), (3, ""), (4, "Élan élan ÉLAN."), (5, "x-mit mit-x the"), (6, "http://a*zz apaches"), (7, "the-an mit"), (8, "12th"), (9, "mitten * *"), (9, "the mit again")]
+
+
+@pytest.mark.parametrize("options", [{}, {"case": False}, {"strip_diacritics": True}, {"patterns": None}, {"patterns": [r"\bm\w+"]}, {"keep_punctuation": True}, {"drop_trailing_chunk": True}])
+def test_documents_that_cannot_hold_a_term_are_left_out_unseen(spark, options):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string").coalesce(1)
+    index = Index.build(docs, **options)
+    kept = index.stored()  # of all documents
+    cols = ("term", "doc_id", "tf", "offsets", "doc_len")
+    for terms in (["mit"], ["http://a*b*"], ["elan", "élan", "*th", "m*n", "mit"]):
+        assert values(postings_of(index, terms), *cols) == values(kept.postings.where(matches_any(terms)), *cols), terms
+    assert "Contains(" in (plan := plan_of(postings_of(index, ["mit"]))) and plan.index("posexplode") < plan.index("Contains(")
+
+
+def test_each_document_is_tokenized_once(spark, words):
+    tokens, index = tokenized(words), Index.build(words)
+    for rows in (postings(tokens), token_rows(tokens), index.matching(F.col("term") == "the"), postings_of(index, ["the"])):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("RLIKE" in line for line in plan.split("\n")) == 1, plan
+    ranks = words.select(F.col("doc_id").alias("node"), F.lit(0.5).alias("pr"))
+    for text in ("the abc", "the ab*"):
+        query = Query.parse(text)
+        for found in (ranked_tfidf(index, query), ranked_combination(index, query, ranks)):
+            assert "posexplode" not in plan_of(found)  # of postings that are written out
+
+
+def test_scores_are_those_of_plain_counts(spark, words):
+    texts = {r["doc_id"]: (r["text"] or "").split() for r in words.collect()}
+    for text in ("a the", "ab* *d", "nowhere"):
+        query = Query.parse(text)
+        fits = lambda t: sum(t == q or q.endswith("*") and t.startswith(q[:-1]) or q.startswith("*") and t.endswith(q[1:]) for q in query.terms)
+        df = {t: sum(t in x for x in texts.values()) for t in {t for x in texts.values() for t in x if fits(t)}}
+        want = {d: sum(fits(t) * math.log(len(texts) / df[t]) for t in x if t in df) / max(len(x), 1) for d, x in texts.items()}
+        assert values(ranked_tfidf(Index.build(words), query), "doc_id", "score") == [(d, pytest.approx(s, abs=1e-9)) for d, s in sorted(want.items()) if s > 0]
