@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tarn.functions import stepping
 from tarn.plans.numbering import numbered
+from tarn.plans.shipping import ship
 from tarn.plans.skew import split_join
 from tarn.plans.storage import bucketed, new_path, removed, stored
 
@@ -126,11 +128,6 @@ BLOCK, SPREAD = 1024, 4096
 ENDED, VISITED = 0, 1
 
 
-def _chance(seed: int, walk: Column, step: Column, what: int) -> Column:
-    """A number in [0, 1) for each walk and step, the same in every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), walk, step, F.lit(what)), F.lit(1 << 40)) / float(1 << 40)
-
-
 def node_facts(edges: DataFrame) -> DataFrame:
     """node, out, into, copies for each node of edges (distinct links). Walks at a node are spread over its blocks of
     links and, where many links lead to it, over copies of these."""
@@ -168,113 +165,96 @@ def link_blocks(edges: DataFrame, facts: DataFrame) -> DataFrame:
     return blocks.select("node", "block", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "links")
 
 
-#: Bits of a number for a step with the flag behind it, and for a copy; walks up to which a round sends them to the links.
-STEP_BITS, COPY_BITS, FEW_WALKS = 16, 24, 50_000
-#: What a round makes of a walk: it goes on, it has ended at its place, or it is lost without a mark.
-_ON, _END, _LOST = 0, 1, 2
+#: Bytes of a part of the graph with its counts, walks that a group holds at the start, fewest walks for a group of its own, and walks
+#: stepped at once.
+PART_BYTES, GROUP_WALKS, LEAST_WALKS, CHUNK = 64 << 20, 2_000_000, 10_000, 1 << 17
+#: Rounds that a job has, when at most FEW_WALKS are left.
+TAIL_ROUNDS, FEW_WALKS = 8, 1_000_000
+#: Bits of a number behind the walk: its step, its kind of start, and whether it has met no node without links.
+STEP_BITS = 18
 
 
-def walk_visits(edges: DataFrame, walks: int, cyclic: bool, jumps: bool = True, bands: list[int] | None = None, seed: int = 1, bored: float = BORED, steps_a_job: int = 6, kinds: tuple[int, ...] = (ENDED, VISITED)) -> DataFrame:
-    """node, kind, band, n: what `walks` random walks leave, counted. cyclic: walks / N (rounded down) from each node, else
-    from random nodes. At each node a walk ends with chance `bored` (kind ENDED), else has visited it (kind VISITED, until
-    it first meets a node without links) and follows one of its links; from a node without links it jumps to a random
-    one, or, with jumps=False, ends without counting. A walk is of the first band whose bound its number is below. Only
-    marks of `kinds` are counted.
-
-    All walks step together, as two numbers and a part: number, step and a flag in one, the place (nodes are numbered
-    densely, so a jump needs no lookup), and which block of the place's links, in which copy. A round joins them with blocks
-    that lie hash-partitioned, so it moves the walks alone, once; walks at a hub meet as many tasks as it has blocks and
-    copies. A walk that has come to a hub by a jump learns from its first block which one it wants, and goes there in the next
-    round. Whether a walk ends at a place is known before it goes there. Tables of walks are counted every few rounds and
-    removed."""
+def walk_marks(edges: DataFrame, walks: int, starts: tuple[bool, ...], jumps: bool = True, bands: list[int] | None = None, seed: int = 1, bored: float = BORED, steps_a_job: int = 6, kinds: tuple[int, ...] = (ENDED, VISITED)) -> DataFrame:
+    """node, cyclic, kind, band, n: what random walks leave, counted, for each kind of start (starts: values of cyclic); see
+    walk_visits.
+
+    Nodes are numbered densely, so a jump needs no lookup, and their links lie in parts: ranges of numbers, packed. A graph of up to
+    PART_BYTES is one part, of which there are copies, each with its share of the walks, that are done after one job. A larger one
+    has parts enough for their bytes and the walks that start in them, and copies of those that many links lead to. A round
+    joins parts with the walks that have come to them; these step until they end or leave the part. Walks travel packed by the
+    group (part and copy) that they go to, the parts stay where they are. Rounds' tables are counted every few rounds and
+    removed; the last walks take several rounds a job."""
     spark = edges.sparkSession
+    ship(spark)
     edges = edges.select("src", "dst").distinct()
     facts = stored(node_facts(edges), "facts")
-    n = facts.count()
-    schema = "node long, kind int, band int, n long"
+    n, links = facts.agg(F.count("*"), F.coalesce(F.sum("out"), F.lit(0))).first()
     if not n or not walks:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "node long, cyclic boolean, kind int, band int, n long")
     facts = stored(numbered(facts, "node", "place"), "places")
-    size = lambda out, copies: F.shiftleft(out.cast("long"), COPY_BITS) + copies
-    part = lambda block, copy: F.shiftleft(block.cast("long"), COPY_BITS) + copy
-    many = link_blocks(edges, facts).join(facts.select("node", "place", size(F.col("out"), F.col("copies")).alias("size")), "node")
-    many = many.select("place", part(F.col("block"), F.col("copy")).alias("part"), "size", F.col("links.place").alias("ends"), F.transform("links", lambda x: size(x["out"], x["copies"])).alias("sizes"))
-    no, zero = F.array().cast("array<bigint>"), F.lit(0).cast("long")
-    lone = facts.where("out = 0").select("place", zero.alias("part"), zero.alias("size"), no.alias("ends"), no.alias("sizes"))
-    blocks = bucketed(many.unionByName(lone), "blocks", "place", "part")
     bands = bands or [walks]
-    low = (1 << COPY_BITS) - 1
-
-    def state(walk: Column, step: Column, whole: Column) -> Column:
-        return F.shiftleft(walk, STEP_BITS) + F.shiftleft(step, 1).cast("long") + whole.cast("long")
-
-    walk, step = F.shiftright("state", STEP_BITS), F.shiftright("state", 1).bitwiseAND(F.lit((1 << STEP_BITS - 1) - 1)).cast("int")
-    whole = F.col("state").bitwiseAND(F.lit(1)) == 1
-    jump = lambda walk, step: F.floor(_chance(seed, walk, step, 3) * n).cast("long")
-    goes = lambda walk, step: _chance(seed, walk, step, 1) > bored
-    drawn = lambda walk, step, out: F.floor(_chance(seed, walk, step, 2) * out).cast("long")
-
-    start = F.pmod("id", F.lit(n)) if cyclic else jump(F.col("id"), F.lit(0))
-    one = F.lit(1)
-    begun = spark.range(walks // n * n if cyclic else walks).select(F.lit(None).cast("long").alias("visited"), state(F.col("id"), one, F.lit(True)).alias("state"), start.alias("place"), zero.alias("part"), F.when(goes(F.col("id"), one), _ON).otherwise(_END).alias("fate"))
-
-    def moved(at: DataFrame, few: bool) -> DataFrame:
-        at = at.where(F.col("fate") == _ON).select("state", "place", "part")
-        rows = (F.broadcast(at) if few else at.hint("merge")).join(blocks, ["place", "part"])
-        out, copies = F.shiftright("size", COPY_BITS), F.col("size").bitwiseAND(F.lit(low))
-        rows = rows.select("place", "part", "ends", "sizes", walk.alias("walk"), step.alias("step"), whole.alias("whole"), out.alias("out"), copies.alias("copies"), drawn(walk, step, out).alias("drawn"))
-        bare, block = F.col("out") == 0, F.floor(F.col("drawn") / BLOCK)
-        elsewhere = ~bare & (block != F.shiftright("part", COPY_BITS))
-        nth = (F.col("drawn") % BLOCK).cast("int")
-        there = F.when(bare, jump(F.col("walk"), F.col("step"))).otherwise(F.get("ends", nth))
-        size_there = F.when(bare, 0).otherwise(F.get("sizes", nth))
-        rows = rows.select("walk", "step", "whole", "place", bare.alias("bare"), elsewhere.alias("elsewhere"), block.alias("block"), "copies", there.alias("there"), size_there.alias("size_there"), (F.col("step") + 1).alias("next"))
-        onward = F.shiftright("size_there", COPY_BITS)
-        # a place reached by a jump, or without links, has a first block and a first copy
-        part_there = F.when(onward == 0, 0).otherwise(part(F.floor(drawn(F.col("walk"), F.col("next"), onward) / BLOCK), F.pmod("walk", F.greatest(F.col("size_there").bitwiseAND(F.lit(low)), one))))
-        again = F.col("elsewhere")
-        fate = F.when(again, _ON).when(F.col("bare") & F.lit(not jumps), _LOST).when(goes(F.col("walk"), F.col("next")), _ON).otherwise(_END)
-        return rows.select(
-            F.when(F.col("whole") & ~again, F.col("place")).alias("visited"),
-            state(F.col("walk"), F.when(again, F.col("step")).otherwise(F.col("next")), F.col("whole") & (again | ~F.col("bare"))).alias("state"),
-            F.when(again, F.col("place")).otherwise(F.col("there")).alias("place"),
-            F.when(again, part(F.col("block"), F.pmod("walk", "copies"))).otherwise(part_there).cast("long").alias("part"),
-            fate.alias("fate"),
-        )
-
-    band = F.aggregate(F.array(*(F.lit(int(b)) for b in bands)), F.lit(0), lambda a, b: a + F.when(walk >= b, 1).otherwise(0)) if len(bands) > 1 else (walk >= bands[0]).cast("int")
-
-    def marks(at: DataFrame) -> DataFrame:
-        which = {VISITED: at.where("visited is not null").select(F.col("visited").alias("place"), F.lit(VISITED).alias("kind"), band.alias("band")), ENDED: at.where(F.col("fate") == _END).select("place", F.lit(ENDED).alias("kind"), band.alias("band"))}
-        one, *more = (which[k] for k in kinds)
-        for m in more:
-            one = one.union(m)
-        return one.groupBy("place", "kind", "band").agg(F.count("*").alias("n"))
-
-    counted, rounds, paths, at, alive = [], [], [], begun, walks
+    width = 4 if n < 1 << 31 else 8
+    total = walks * len(starts)
+    size = width * links + (8 + 32 * (len(bands) + 1)) * n
+    parts = 1 if size <= PART_BYTES else max(-(-size // PART_BYTES), -(-total // GROUP_WALKS))
+    each = -(-n // parts)
+    part = F.floor(F.col("place") / F.lit(each)).cast("int").alias("part")
+    # a row a part
+    loads = {r["part"]: r["load"] for r in facts.groupBy(part).agg(F.sum(F.col("into") + 1).alias("load")).collect()}
+    parts = -(-n // each)
+    tasks = max(-(-total // GROUP_WALKS), min(3 * spark.sparkContext.defaultParallelism, -(-total // LEAST_WALKS)))
+    copies = [max(1, round(tasks * loads[k] / (links + n))) for k in range(parts)]
+    rules = stepping.Rules(n, each, copies, width, jumps, bored, seed, sorted(bands), kinds, STEP_BITS)
+
+    lists = link_blocks(edges, facts).where("copy = 0").join(facts.select("node", "place"), "node").select(part, "place", "block", F.col("links.place").alias("ends"))
+    packed = lists.groupBy("part").applyInArrow(stepping.packing(rules), "part int, offsets binary, ends binary")
+    many = spark.createDataFrame([(k, rules.first[k] + c) for k in range(parts) for c in range(copies[k])], "part int, group int")
+    graph = bucketed(stored(packed, "parts").join(F.broadcast(many), "part").select("group", "offsets", "ends"), "groups", "group")
+
+    columns = "group int, states binary, places binary, place long, code int, n long"
+    begun = spark.range(0, walks, 1, max(tasks, 1)).mapInArrow(stepping.beginning(rules, walks, starts), columns)
+    step = stepping.stepping(rules, CHUNK)
+    alive_now = F.coalesce(F.sum(F.octet_length("states")), F.lit(0)) / 8
+
+    def moved(at: DataFrame) -> DataFrame:
+        return at.groupBy("group").cogroup(graph.groupBy("group")).applyInArrow(step, columns)
+
+    counted, rounds, paths, at, alive = [], [], [], begun, total
     while True:
+        for _ in range(TAIL_ROUNDS if alive <= FEW_WALKS and parts > 1 else 1):
+            at = moved(at)
         paths.append(new_path(spark, "walks"))
         seen = Observation()
-        at = stored(at.observe(seen, F.coalesce(F.sum((F.col("fate") == _ON).cast("int")), F.lit(0)).alias("alive")), "walks", paths[-1])
+        at = stored(at.observe(seen, alive_now.cast("long").alias("alive")), "walks", paths[-1])
         rounds.append(at)
         alive = seen.get["alive"]
-        # few walks take little room
-        if len(rounds) >= max(steps_a_job, 1) * (4 if alive <= FEW_WALKS else 1) or not alive:
+        if len(rounds) >= max(steps_a_job, 1) or not alive:
             these = rounds[0]
             for r in rounds[1:]:
                 these = these.union(r)
-            counted.append(stored(marks(these), "visits"))
+            counted.append(stored(these.where("n is not null").groupBy("place", "code").agg(F.sum("n").alias("n")), "visits"))
             for path in paths[: None if not alive else -1]:
                 removed(spark, path)
             rounds, paths = [], paths[-1:]
         if not alive:
             break
-        at = moved(at, alive <= FEW_WALKS)
+        at = at.where("n is null")
     found = counted[0]
     for c in counted[1:]:
         found = found.union(c)
-    found = found.groupBy("place", "kind", "band").agg(F.sum("n").alias("n"))
-    return stored(found.join(facts.select("node", "place"), "place").select("node", "kind", "band", "n"), "visits")
+    found = found.groupBy("place", "code").agg(F.sum("n").alias("n")).join(facts.select("node", "place"), "place")
+    width_of = len(bands) + 1
+    code = F.col("code")
+    return stored(found.select("node", (F.floor(code / (2 * width_of)) == 1).alias("cyclic"), (F.floor(code / width_of) % 2).cast("int").alias("kind"), (code % width_of).cast("int").alias("band"), "n"), "visits")
+
+
+def walk_visits(edges: DataFrame, walks: int, cyclic: bool, jumps: bool = True, bands: list[int] | None = None, seed: int = 1, bored: float = BORED, steps_a_job: int = 6, kinds: tuple[int, ...] = (ENDED, VISITED)) -> DataFrame:
+    """node, kind, band, n: what `walks` random walks leave, counted. cyclic: walks / N (rounded down) from each node, else
+    from random nodes. At each node a walk ends with chance `bored` (kind ENDED), else has visited it (kind VISITED, until
+    it first meets a node without links) and follows one of its links; from a node without links it jumps to a random
+    one, or, with jumps=False, ends without counting. A walk is of the first band whose bound its number is below. Only
+    marks of `kinds` are counted."""
+    return walk_marks(edges, walks, (cyclic,), jumps, bands, seed, bored, steps_a_job, kinds).drop("cyclic")
 
 
 def random_walks(edges: DataFrame, walks: int, cyclic: bool, complete: bool, seed: int = 1, bored: float = BORED, steps_a_job: int = 6) -> DataFrame:
@@ -295,11 +275,12 @@ def walk_losses(edges: DataFrame, ranks: DataFrame, runs: tuple[int, ...] = RUNS
     from each node in turn, mc1, mc5 at random.
 
     The runs are nested: one set of walks of each kind of start, numbered, gives the estimates of both kinds of count at
-    every prefix, and one aggregation their losses."""
+    every prefix, and one aggregation their losses. Both sets step in the same rounds."""
     edges, ranks, runs, out = stored(edges.select("src", "dst").distinct(), "edges"), stored(ranks.select("node", "pr"), "ranks"), sorted(runs), None
     n = nodes_of(edges).count()
+    marks = walk_marks(edges, runs[-1] * n, (False, True), True, [r * n for r in runs], seed, bored)
     for cyclic, names in ((False, ("mc1", "mc5")), (True, ("mc2", "mc4"))):
-        left = walk_visits(edges, runs[-1] * n, cyclic, True, [r * n for r in runs], seed, bored)
+        left = marks.where(F.col("cyclic") == cyclic)
         sums = [F.sum(F.when((F.col("kind") == kind) & (F.col("band") <= j), F.col("n")).otherwise(0)).alias(f"{name}_{r}") for kind, name in zip((ENDED, VISITED), names) for j, r in enumerate(runs)]
         visits = left.agg(*sums).first()
         total = {f"{name}_{r}": float((r * n if kind == ENDED else visits[f"{name}_{r}"]) or 1) for kind, name in zip((ENDED, VISITED), names) for r in runs}

@@ -126,3 +126,27 @@ def test_marks_of_one_kind(spark, edges):
     df, rows = edges
     got = visits(graph.walk_visits(df, 40, True, True, [40], seed=5, kinds=(graph.ENDED,)))
     assert got == Counter({k: c for k, c in plain_walks(rows, 40, True, True, [40], seed=5).items() if k[1] == graph.ENDED})
+
+
+@pytest.mark.parametrize("jumps", [False, True])
+def test_walks_through_many_parts_equal_plain_ones(spark, edges, monkeypatch, jumps):
+    """Parts of a few nodes, copies of those that many links lead to, several rounds a job and one."""
+    df, rows = edges
+    monkeypatch.setattr(graph, "PART_BYTES", 1)
+    monkeypatch.setattr(graph, "GROUP_WALKS", 40)
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    monkeypatch.setattr(graph, "FEW_WALKS", 60)
+    marks = graph.walk_marks(df, 150, (False, True), jumps, [50, 150], seed=7)
+    for cyclic in (False, True):
+        assert visits(marks.where(marks["cyclic"] == cyclic)) == plain_walks(rows, 150, cyclic, jumps, [50, 150], seed=7, block=8)
+
+
+def test_walks_in_one_part_take_no_job_a_step(spark, edges):
+    df, _ = edges
+    used = []
+    for walks in (10, 3000):  # the longest take about 15 and 50 steps
+        spark.sparkContext.setJobGroup(f"walks-{walks}", "walks")
+        graph.walk_visits(df, walks, False).collect()
+        spark.sparkContext.setJobGroup("", "")
+        used.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"walks-{walks}")))
+    assert used[1] <= used[0] + 5
