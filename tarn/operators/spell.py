@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.text import edit_distance_within_2, kgram_bag, kgrams
+from tarn.functions import cuts
+from tarn.functions.text import edit_distance_within_2, kgram_bag
 from tarn.operators.index import Index
 from tarn.operators.query import Query, intersection, phrase
+from tarn.plans.shipping import ship
 from tarn.plans.storage import stored
 
 JACCARD, DISTANCE, LIMIT = 0.4, 2, 10
@@ -56,27 +58,33 @@ LONG = 24
 CUTS = ((0, 0), (0, 1), (1, 0), (1, 1), (0, 2), (2, 0))
 
 
-def shortened(word: Column, letters: int) -> Column:
-    """What is left of a word without 0, 1 or 2 of its letters: distinct texts."""
-    if not letters:
-        return F.array(word)
-    without = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.call_function("left", w, i - 1), F.call_function("substring", w, i + 1)))
-    some = F.when(F.length(word) >= letters, without(word)).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(some if letters == 1 else F.flatten(F.transform(some, without)))
+#: Bits of a filter for each text that it holds, and of all of it at most; rows of its slices.
+BITS_EACH, MOST_BITS, SLICES = 16, 28, 64
 
 
-def short_keys(words: DataFrame, column: str, side: int) -> DataFrame:
-    """words with `meet`: hashes under which a word and a term of two edits at most meet, side 0 for words and 1 for terms.
-    For each kind of cut both sides give what is left after their part of it, so only such pairs meet."""
+def filter_of(words: DataFrame, most: int):
+    """A broadcast of bits and a Bloom filter that holds the words (one column) of up to `most` letters. Its slices are made by
+    the tasks; it has 32 MB at most, and beyond that lets more through."""
+    spark = words.sparkSession
+    bits = min(max(words.count() * BITS_EACH - 1, 1 << 10).bit_length(), MOST_BITS)
+    each = (1 << bits) // SLICES
+    at = words.mapInArrow(cuts.filling(most, bits, SLICES), "slice int, at int")
+    found = {r["slice"]: bytes(r["bits"]) for r in at.groupBy("slice").applyInArrow(cuts.slice_bits(each), "slice int, bits binary").collect()}
+    return spark.sparkContext.broadcast((bits, b"".join(found.get(k, bytes(each // 8)) for k in range(SLICES))))
 
-    def hashed(kind: int, texts: Column) -> Column:
-        return F.transform(texts, lambda t: F.xxhash64(F.lit(kind), t))
 
-    kinds = [hashed(k, shortened(F.col(column), cut[side])) for k, cut in enumerate(CUTS)]
-    return words.where(F.length(column) <= LONG + 2).select("*", F.explode(F.array_distinct(F.flatten(F.array(*kinds)))).alias("meet"))
+def short_keys(words: DataFrame, column: str, side: int, others: DataFrame) -> DataFrame:
+    """words with `meet`: hashes under which a word and a term of two edits at most meet, side 0 for words and 1 for terms.
+    For each kind of cut both sides give what is left after their part of it, so only such pairs meet. others: the other side's
+    words (one column); what is left of a word where the other side stays whole is kept only if it may be one of them."""
+    most = LONG + 2
+    known = filter_of(others, most)
+    filters = [known if cut[side] and not cut[1 - side] else None for cut in CUTS]
+    made = cuts.keyed(words.columns.index(column), [cut[side] for cut in CUTS], most, filters)
+    return words.mapInArrow(made, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema) + ", meet long")
 
 
-def long_keys(words: DataFrame, column: str, side: int) -> DataFrame:
+def long_keys(words: DataFrame, column: str, side: int, others: DataFrame | None = None) -> DataFrame:
     """As short_keys, for words of more than LONG letters: of a term's thirds, two edits leave one as it is, at most two
     places from where it was. Terms give their thirds, words what lies at those places for each length that a term can have."""
     w, n = F.col(column), F.length(column)
@@ -99,20 +107,17 @@ def correct_words(words: DataFrame, counts: DataFrame, k: int = 2) -> DataFrame:
 
     A similarity join: words and terms meet under keys that two edits leave in common, then distance and Jaccard decide. No
     word scans the vocabulary, and pairs that meet are few beyond those that are near. A pair of which the shorter has
-    LONG letters at most meets by short keys, any other by long ones."""
+    LONG letters at most meets by short keys, any other by long ones. What is left of words without two letters, most of all
+    keys, need not travel: a filter of the other side's words tells which of it is none of them."""
     words, counts = words.select("word"), counts.select("term", "df")
+    ship(words.sparkSession)
     near = None
     for keys, part in ((short_keys, F.least(F.length("word"), F.length("term")) <= LONG), (long_keys, F.least(F.length("word"), F.length("term")) > LONG)):
         # a word has up to hundreds of keys, of which a planner that knows the size of the words' file alone takes no notice: it
         # would send all of them to the driver
-        met = keys(words, "word", 0).hint("merge").join(keys(counts, "term", 1), "meet").where(part).select("word", "term", "df").distinct()
+        met = keys(words, "word", 0, counts.select("term")).hint("merge").join(keys(counts, "term", 1, words), "meet").where(part).select("word", "term", "df").distinct()
         near = met if near is None else near.unionByName(met)
-    near = near.withColumn("distance", edit_distance_within_2(F.col("word"), F.col("term"))).where("distance is not null")
-    grams, bag = kgrams(F.col("word"), k), kgram_bag(F.col("term"), k)
-    near = near.select("word", "term", "df", "distance", grams.alias("grams"), bag.alias("bag"))
-    near = near.withColumn("shared", F.size(F.filter("bag", lambda g: F.array_contains("grams", g)))).where("shared > 0")
-    near = near.withColumn("jaccard", F.col("shared") / (F.size("grams") + F.size("bag") - F.col("shared"))).where(F.col("jaccard") >= JACCARD)
-    return near.select("word", "term", (F.col("distance") / (F.greatest("df", F.lit(1)) * F.col("jaccard"))).alias("score"))
+    return near.mapInArrow(cuts.judging(k, JACCARD), "word string, term string, score double")
 
 
 def best_corrections(words: DataFrame, counts: DataFrame, k: int = 2) -> DataFrame:

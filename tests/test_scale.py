@@ -276,3 +276,37 @@ def test_scores_are_those_of_plain_counts(spark, words):
         df = {t: sum(t in x for x in texts.values()) for t in {t for x in texts.values() for t in x if fits(t)}}
         want = {d: sum(fits(t) * math.log(len(texts) / df[t]) for t in x if t in df) / max(len(x), 1) for d, x in texts.items()}
         assert values(ranked_tfidf(Index.build(words), query), "doc_id", "score") == [(d, pytest.approx(s, abs=1e-9)) for d, s in sorted(want.items()) if s > 0]
+
+
+def test_cuts_and_distances_are_those_of_plain_text():
+    from itertools import combinations
+
+    from tarn.functions import cuts
+
+    rng = random.Random(3)
+    some = sorted({"".join(rng.choice("aabcé😀") for _ in range(rng.randint(1, 7))) for _ in range(150)})
+    left = lambda w, n: {"".join(x for i, x in enumerate(w) if i not in gone) for gone in combinations(range(len(w)), n)}
+    known = {}
+    for n in (0, 1, 2):
+        for w in some:
+            got = set(cuts.cut_keys([w, w], n)[0].tolist())
+            assert got == set(cuts.cut_keys([w], n)[0].tolist()) and len(got) == len(left(w, n))
+            for text in left(w, n) - {""}:
+                known[text] = cuts.cut_keys([text], 0)[0].tolist()[0]
+                assert known[text] in got
+    assert len(set(known.values())) == len(known)
+    for a in some:
+        for b in some:
+            want = next((i + j for i, j in ((0, 0), (0, 1), (1, 0), (1, 1), (0, 2), (2, 0)) if left(a, i) & left(b, j)), None)
+            assert cuts.distance(a, b) == want, (a, b)
+
+
+def test_keys_that_meet_nothing_do_not_travel(spark):
+    from tarn.operators.spell import short_keys
+
+    rng = random.Random(4)
+    made = lambda n: [("".join(rng.choice("abcdefghij") for _ in range(16)),) for _ in range(n)]
+    words, terms = (spark.createDataFrame(made(400), f"{c} string") for c in ("word", "term"))
+    # of 16 letters: one key for each of three kinds, 16 for one letter of each, and few of the other 136
+    assert short_keys(words, "word", 0, terms).count() < 400 * 24
+    assert short_keys(terms, "term", 1, words).count() < 400 * 24
